@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.operators.ranking import (
-    WEIGHT_ALS,
     fallback_songs,
     hybrid_rank,
     seeded_sample,
     topk_per,
 )
 from earshot.operators.topk import topk_ip
+from earshot.session import cut
 
 
 @dataclass(frozen=True)
@@ -117,7 +117,12 @@ def home_feed(
     """
     whole = F.col("n")
     quota = F.when(F.col("has_long"), whole).otherwise(F.floor(whole * 0.5))
-    asks = wanted.join(vectors, "user_id").select("user_id", "vector", quota.alias("quota"))
+    wanted = cut(
+        wanted.join(vectors, "user_id", "left").select(
+            "user_id", "n", "vector", quota.alias("quota")
+        )
+    )
+    asks = wanted.filter(F.col("vector").isNotNull())
     seen = served.select("user_id", "id")
     most, pool_of = _pools(feed_pool, batch)
     best = topk_ip(
@@ -129,9 +134,11 @@ def home_feed(
     pool = best.join(asks.select("user_id", "quota"), "user_id").filter(
         F.col("rank") <= pool_of(F.col("quota"))
     )
-    taken = seeded_sample(
-        pool.select("user_id", "id", "quota"), "user_id", batch, seed, F.col("quota")
-    ).select("user_id", "id", "rank")
+    taken = cut(
+        seeded_sample(
+            pool.select("user_id", "id", "quota"), "user_id", batch, seed, F.col("quota")
+        ).select("user_id", "id", "rank")
+    )
     got = taken.groupBy("user_id").agg(F.count(F.lit(1)).alias("_got"))
     short = wanted.join(got, "user_id", "left").select(
         "user_id", (F.col("n") - F.coalesce(F.col("_got"), F.lit(0))).alias("n")
@@ -163,11 +170,11 @@ def next_songs(
     user without a vector is ranked by content alone. Only when both lists are empty do
     trending songs answer, and there the current song may appear.
     """
-    queries = requests.select("query_id", "user_id", "current_song_id", "n")
+    queries = cut(requests.select("query_id", "user_id", "current_song_id", "n"))
     asked = queries.select("query_id", "user_id")
     seen = asked.join(served.select("user_id", "id"), "user_id").select("query_id", "id")
     current = queries.select("query_id", F.col("current_song_id").alias("id"))
-    hidden = seen.unionByName(current).distinct()
+    hidden = cut(seen.unionByName(current).distinct())
     most, pool_of = _pools(next_pool, batch)
 
     def candidates(asks: DataFrame, table: DataFrame) -> DataFrame:
@@ -181,8 +188,10 @@ def next_songs(
     similar = candidates(
         playing.select("query_id", F.col("embedding").alias("vector")), content
     )
-    merged = topk_per(
-        hybrid_rank(als, similar, WEIGHT_ALS), ["query_id"], [F.desc("score"), F.asc("id")], batch
+    merged = cut(
+        topk_per(
+            hybrid_rank(als, similar), ["query_id"], [F.desc("score"), F.asc("id")], batch
+        )
     )
     ranked = merged.join(queries.select("query_id", "n"), "query_id").filter(
         F.col("rank") <= F.col("n")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from earshot.session import ensure_checkpoint_dir
+from earshot.session import cut
 
 MAX_INT = 2**31 - 1
 
@@ -21,9 +21,8 @@ def dense_rank_by(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame
     a whole. The sorted stretches are checkpointed: both uses must see the same cut, also
     after an executor is lost.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = sorted_rows.withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    placed = cut(sorted_rows.withColumn("_at", F.monotonically_increasing_id()))
     # The id holds the partition in its upper bits and the place in its lower 33.
     part = F.shiftright("_at", 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))

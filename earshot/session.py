@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "earshot", master: str | None = None, **conf) -> SparkSession:
@@ -41,3 +41,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write an intermediate result that several branches read to the shared folder.
+
+    The branches then read one copy instead of each computing it, and a lost executor
+    costs a read, not the whole lineage.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
