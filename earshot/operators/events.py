@@ -22,9 +22,8 @@ def parse_events(df: DataFrame, payload: str = "value") -> DataFrame:
     """
     fields = ", ".join(f"`{f.name}` string" for f in PLAY_LOG.fields)
     raw = F.col(payload).cast("string")
-    return df.select(raw.alias("payload"), F.from_json(raw, fields).alias("data")).select(
-        "payload", "data.*"
-    )
+    # As a generator the parser runs once per payload, not once per field that is read.
+    return df.select(raw.alias("payload"), F.inline_outer(F.array(F.from_json(raw, fields))))
 
 
 def encode_events(df: DataFrame) -> DataFrame:

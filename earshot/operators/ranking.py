@@ -7,14 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from earshot.functions.scores import (
-    popularity_weight,
-    sample_hash,
-    sample_key,
-    unit_scale,
-)
+from earshot.functions.scores import popularity_weight, sample_hash, sample_key, unit_scale
 from earshot.operators.catalogue import song_summary
 from earshot.operators.indexing import dense_rank_by
+from earshot.session import spread
 
 WEIGHT_ALS = 0.6
 
@@ -171,10 +167,10 @@ def _near_pools(asks: DataFrame, songs: DataFrame, seen: DataFrame, longest: int
     )
     skip = F.coalesce(F.col("_skip"), F.array().cast("array<bigint>"))
     free = F.array_except(F.sequence(F.lit(1), F.col("_pool") + F.size(skip)), skip)
+    pool = F.slice(free, F.lit(1), F.col("_pool").cast("int"))
     return (
-        asks.join(skips, "user_id", "left")
-        .repartition("user_id")
-        .select("user_id", "n", F.explode(F.slice(free, F.lit(1), F.col("_pool").cast("int"))).alias("position"))
+        spread(asks.join(skips, "user_id", "left"), "user_id")
+        .select("user_id", "n", F.explode(pool).alias("position"))
         .join(top, "position")
         .select("user_id", "n", "id", "plays")
     )
@@ -189,9 +185,8 @@ def _far_pools(asks: DataFrame, songs: DataFrame, seen: DataFrame) -> DataFrame:
     """
     table, order = _by_plays(songs)
     ranked = dense_rank_by(table, order, "position")
-    slots = asks.select(
-        "user_id", "n", "_pool", F.explode(F.sequence(F.lit(0), F.col("_reach") - 1)).alias("position")
-    )
+    reach = F.sequence(F.lit(0), F.col("_reach") - 1)
+    slots = asks.select("user_id", "n", "_pool", F.explode(reach).alias("position"))
     place = Window.partitionBy("user_id").orderBy("position")
     return (
         slots.join(ranked, "position")

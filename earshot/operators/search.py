@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.functions.text import words
-from earshot.operators.ranking import page
+from earshot.operators.ranking import page, topk_per
 
 # What one occurrence of a word counts in each name.
 TRACK_WEIGHT = 10
@@ -33,22 +33,100 @@ def token_index(songs: DataFrame) -> DataFrame:
     )
 
 
-def search_songs(index: DataFrame, queries: DataFrame, limit: int, skip: int = 0) -> DataFrame:
+# A word in more songs than this is frequent: its songs are not listed per query.
+FREQUENT = 1000
+
+
+def _frequent_scores(
+    texts: DataFrame, profiles: DataFrame, probe: int
+) -> DataFrame:
+    """``(_text, id, score)`` by frequent words alone, the best ``probe`` per text.
+
+    Songs with the same frequent words, equally often, score alike, so queries meet these
+    profiles, not songs. Texts with the same frequent words share one list. Of a profile
+    only the first ``probe`` ids can appear on a page, and of a text's profiles only the
+    ``probe`` best, ties by smallest id.
+    """
+    firsts = (
+        topk_per(profiles, ["profile"], [F.asc("id")], probe)
+        .groupBy("profile")
+        .agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    )
+    wanted = texts.filter(F.size("frequent") > 0).select("_text", "frequent")
+    by_word = wanted.select("frequent").distinct().select(
+        "frequent", F.explode("frequent").alias("token")
+    )
+    held = firsts.select("profile", "ids", F.inline("profile"))
+    hits = by_word.join(
+        held.select("profile", F.get("ids", F.lit(0)).alias("first_id"), "token", "weight"), "token"
+    )
+    scored = hits.groupBy("frequent", "profile").agg(
+        F.sum("weight").alias("score"), F.min("first_id").alias("first_id")
+    )
+    best = topk_per(scored, ["frequent"], [F.desc("score"), F.asc("first_id")], probe, "_p")
+    ids = best.join(firsts, "profile").select("frequent", "score", F.explode("ids").alias("id"))
+    shared = topk_per(ids, ["frequent"], [F.desc("score"), F.asc("id")], probe, "_p")
+    return wanted.join(shared, "frequent").select("_text", "id", "score")
+
+
+def search_songs(
+    index: DataFrame,
+    queries: DataFrame,
+    limit: int,
+    skip: int = 0,
+    frequent: int = FREQUENT,
+) -> DataFrame:
     """A page of results for each of ``queries(query_id, text)``, best first, ties by id.
 
     A song matches when it has any of the query's distinct words; its score is the sum of
     their weights. Equal texts are searched once. A query without words has no results.
+
+    A word that very many songs share would pair every query with all of them. Only
+    rarer words look songs up one by one. Such a song's frequent words are then added to
+    its score; songs that match by frequent words alone come from `_frequent_scores`.
     """
+    probe = skip + limit + 1
     key = F.array_join(F.array_sort(F.array_distinct(words(F.col("text")))), " ")
     asked = queries.select("query_id", key.alias("_text"))
-    texts = asked.select("_text").distinct()
-    tokens = texts.select("_text", F.explode(F.split("_text", " ")).alias("token")).filter(
-        F.col("token") != ""
+    common = (
+        index.groupBy("token")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > frequent)
+        .select("token", F.lit(True).alias("_common"))
+    )
+    tokens = (
+        asked.select("_text")
+        .distinct()
+        .select("_text", F.explode(F.split("_text", " ")).alias("token"))
+        .filter(F.col("token") != "")
+        .join(common, "token", "left")
+    )
+    texts = tokens.groupBy("_text").agg(
+        F.sort_array(F.collect_set(F.when(F.col("_common"), F.col("token")))).alias("frequent")
+    )
+    entry = F.struct("token", F.col("weight").cast("bigint").alias("weight"))
+    profiles = (
+        index.join(common, "token", "left_semi")
+        .groupBy("id")
+        .agg(F.sort_array(F.collect_list(entry)).alias("profile"))
+    )
+    looked_up = (
+        index.join(tokens.filter(F.col("_common").isNull()), "token")
+        .groupBy("_text", "id")
+        .agg(F.sum("weight").alias("_rare"))
+        .join(texts, "_text")
+        .join(profiles, "id", "left")
+    )
+    shared = F.filter("profile", lambda e: F.array_contains(F.col("frequent"), e["token"]))
+    extra = F.aggregate(shared, F.lit(0).cast("bigint"), lambda s, e: s + e["weight"])
+    rare = looked_up.select(
+        "_text", "id", (F.col("_rare") + F.coalesce(extra, F.lit(0))).alias("score")
     )
+    # A song found both ways has its full score from the look-up, which is no smaller.
     scores = (
-        index.join(tokens, "token")
+        rare.unionByName(_frequent_scores(texts, profiles, probe))
         .groupBy("_text", "id")
-        .agg(F.sum("weight").cast("bigint").alias("score"))
+        .agg(F.max("score").cast("bigint").alias("score"))
     )
     pages = page(scores, ["_text"], [F.desc("score"), F.asc("id")], skip, limit)
     return asked.join(pages, "_text").select("query_id", "id", "score", "rank", "has_more")

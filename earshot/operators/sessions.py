@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.functions.time import HOUR_MS
 from earshot.functions.vector import vec_blend_guard
 from earshot.operators import slices
+from earshot.schemas import ITEM_DIM
 
 SESSION_GAP_MS = HOUR_MS
 DECAY = 0.7
@@ -100,41 +99,51 @@ def short_term_vectors(
     decay: float = DECAY,
     gap_ms: int = SESSION_GAP_MS,
     slice_ms: int | None = None,
+    alive_at_ms: int | None = None,
+    dim: int = ITEM_DIM,
 ) -> DataFrame:
     """Moving average of the vectors of the songs played, per user and session.
 
     The first play sets the vector, each later one moves it by ``1 - decay``. Plays of
     songs without a vector count for nothing, not even to keep a session alive. The
-    weights of a session sum to 1, so the average is a weighted mean, which aggregates
-    partially: no user's plays are gathered as a list.
+    average is a weighted sum, one partial sum per component: no user's plays are
+    gathered as a list. With ``alive_at_ms`` only the sessions whose last play is younger
+    than ``gap_ms`` then are computed.
     """
     ids = items.select(F.col("id").alias("track_id"))
     known = plays.select("user_id", "track_id", "timestamp").join(ids, "track_id", "left_semi")
     weights = play_weights(known, decay, gap_ms, slice_ms)
-    vectors = items.select(
-        F.col("id").alias("track_id"), array_to_vector(F.col("embedding")).alias("_v")
-    )
+    if alive_at_ms is not None:
+        age = F.lit(alive_at_ms) - F.col("last_ts")
+        weights = weights.filter((age >= 0) & (age < gap_ms))
+    vectors = items.select(F.col("id").alias("track_id"), F.col("embedding").alias("_v"))
+    parts = [F.sum(F.col("weight") * F.get("_v", F.lit(i))).alias(f"_{i}") for i in range(dim)]
     return (
         weights.join(vectors, "track_id")
         .groupBy("user_id", "session_no")
-        .agg(
-            Summarizer.mean(F.col("_v"), F.col("weight")).alias("_mean"),
-            F.max("last_ts").alias("last_ts"),
-            F.max("n_plays").alias("n_plays"),
+        .agg(*parts, F.max("last_ts").alias("last_ts"), F.max("n_plays").alias("n_plays"))
+        .select(
+            "user_id",
+            "session_no",
+            "last_ts",
+            "n_plays",
+            F.array(*[F.col(f"_{i}") for i in range(dim)]).alias("vector"),
         )
-        .select("user_id", "session_no", "last_ts", "n_plays", vector_to_array("_mean").alias("vector"))
     )
 
 
 def active_short_term(
-    sessions: DataFrame, as_of_ms: int | Column, ttl_ms: int = SESSION_GAP_MS
+    plays: DataFrame,
+    items: DataFrame,
+    as_of_ms: int,
+    decay: float = DECAY,
+    ttl_ms: int = SESSION_GAP_MS,
+    dim: int = ITEM_DIM,
 ) -> DataFrame:
-    """The vectors still alive: a user's session whose last play is younger than the ttl."""
-    as_of = as_of_ms if isinstance(as_of_ms, Column) else F.lit(as_of_ms)
-    age = as_of - F.col("last_ts")
-    alive = sessions.filter((age >= 0) & (age < ttl_ms))
-    latest = F.max_by("vector", "last_ts").alias("short_vector")
-    return alive.groupBy("user_id").agg(latest)
+    """Each user's short-term vector at a moment, if they have one that is still alive."""
+    past = plays.filter(F.col("timestamp") <= as_of_ms)
+    alive = short_term_vectors(past, items, decay, ttl_ms, alive_at_ms=as_of_ms, dim=dim)
+    return alive.select("user_id", F.col("vector").alias("short_vector"))
 
 
 def session_vectors(

@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.operators.ranking import topk_per
+from earshot.session import spread
 
 ITEM_BLOCK = 4096
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 512
 MAX_PIVOTS = 1024
 RESCORE = 65_536
 # Scores of one matrix product agree with a plain sum to far better than this.
@@ -210,7 +211,7 @@ def _scored(visits: DataFrame, balls: Balls, query_block: int) -> DataFrame:
     packed = _packed(cut, ["ball", "chunk"], "query_id", "vector", "need").select(
         "ball", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), "need"
     )
-    met = packed.join(balls.blocks, "ball").select("q_ids", "q_vecs", "need", "ids", "vecs")
+    met = spread(packed, "ball", "q_ids").join(balls.blocks, "ball").select("q_ids", "q_vecs", "need", "ids", "vecs")
     return met.mapInArrow(_score_blocks, "query_id string, id string, score double")
 
 

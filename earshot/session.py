@@ -51,3 +51,13 @@ def cut(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by ``keys`` ahead of a step that makes many rows, or much work, of each.
+
+    Adaptive execution would merge partitions by their size before that step; an explicit
+    number, the session's shuffle partitions, keeps them apart.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from earshot.operators.counts import play_counts, resync_trending, trending_7d
 from earshot.operators.feed import active_served
-from earshot.operators.sessions import active_short_term, session_vectors, short_term_vectors
+from earshot.operators.sessions import active_short_term, session_vectors
 
 AS_OF = date(2024, 1, 31)
 AS_OF_MS = 1_706_659_200_000
@@ -120,8 +120,7 @@ class Fixtures:
         ).join(listeners, "user_id", "left_semi")
 
     def short_vectors(self) -> DataFrame:
-        sessions = short_term_vectors(self.play_log(), self.items())
-        return active_short_term(sessions, AS_OF_MS)
+        return active_short_term(self.play_log(), self.items(), AS_OF_MS)
 
     def vectors(self) -> DataFrame:
         return session_vectors(self.long_vectors(), self.short_vectors())
