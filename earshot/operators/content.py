@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -17,10 +16,14 @@ from earshot.functions.vector import as_vector
 from earshot.operators.catalogue import MAX_CHARS, MIN_CHARS, gate_text, with_lyrics
 from earshot.operators.merge import missing_vectors
 from earshot.schemas import CONTENT_DIM
+from earshot.session import cut
 
 
 class Encoder(Protocol):
-    """Turns ``(id, text)`` into ``(id, embedding)``; reads at most ``max_chars``."""
+    """Turns ``(id, text)`` into ``(id, embedding)``; reads at most ``max_chars``.
+
+    ``texts`` are the rows to encode, all of them also in ``corpus``.
+    """
 
     max_chars: int | None
 
@@ -43,11 +46,13 @@ class HashingEncoder:
             inputCol="text", outputCol="words", pattern=r"[^\p{L}\p{N}]+", toLowercase=True
         )
         count = HashingTF(inputCol="words", outputCol="counts", numFeatures=self.dim)
-        weigh = IDF(inputCol="counts", outputCol="weighed")
+        # Counting reads every text; fitting and weighing then read the short counts.
+        counted = cut(count.transform(tokenise.transform(corpus)).select("id", "counts"))
+        weigh = IDF(inputCol="counts", outputCol="weighed").fit(counted)
         scale = Normalizer(inputCol="weighed", outputCol="unit", p=2.0)
-        model = Pipeline(stages=[tokenise, count, weigh, scale]).fit(corpus)
+        chosen = counted.join(texts.select("id"), "id", "left_semi")
         unit = as_vector(vector_to_array("unit"))
-        return model.transform(texts).select("id", unit.alias("embedding"))
+        return scale.transform(weigh.transform(chosen)).select("id", unit.alias("embedding"))
 
 
 @dataclass(frozen=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.operators.ranking import (
@@ -140,17 +140,15 @@ def home_feed(
         ).select("user_id", "id", "rank")
     )
     got = taken.groupBy("user_id").agg(F.count(F.lit(1)).alias("_got"))
+    n_taken = F.coalesce(F.col("_got"), F.lit(0))
     short = wanted.join(got, "user_id", "left").select(
-        "user_id", (F.col("n") - F.coalesce(F.col("_got"), F.lit(0))).alias("n")
+        "user_id", (F.col("n") - n_taken).alias("n"), n_taken.alias("offset")
     )
     filler = fallback_songs(short, songs, seen.unionByName(taken.select("user_id", "id")), seed)
     both = taken.withColumn("source", F.lit(1)).unionByName(
         filler.withColumn("source", F.lit(2))
     )
-    order = Window.partitionBy("user_id").orderBy("source", "rank")
-    return both.withColumn("rank", F.row_number().over(order)).select(
-        "user_id", "id", "source", "rank"
-    )
+    return both.select("user_id", "id", "source", "rank")
 
 
 def next_songs(

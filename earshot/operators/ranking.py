@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from earshot.functions.scores import popularity_weight, sample_hash, sample_key, unit_scale
 from earshot.operators.catalogue import song_summary
 from earshot.operators.indexing import dense_rank_by
-from earshot.session import spread
+from earshot.session import cut, spread
 
 WEIGHT_ALS = 0.6
 
@@ -156,9 +156,8 @@ def _near_pools(asks: DataFrame, songs: DataFrame, seen: DataFrame, longest: int
     table, order = _by_plays(songs)
     best = table.orderBy(*order).limit(longest)
     # A window without partitions, over at most TOP_N_LIMIT rows.
-    top = F.broadcast(
-        best.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-    )
+    place = F.row_number().over(Window.orderBy(*order)).cast("bigint")
+    top = F.broadcast(cut(best.withColumn("position", place)))
     skips = (
         seen.select("user_id", "id")
         .join(top.select("id", "position"), "id")
@@ -169,10 +168,11 @@ def _near_pools(asks: DataFrame, songs: DataFrame, seen: DataFrame, longest: int
     free = F.array_except(F.sequence(F.lit(1), F.col("_pool") + F.size(skip)), skip)
     pool = F.slice(free, F.lit(1), F.col("_pool").cast("int"))
     return (
-        spread(asks.join(skips, "user_id", "left"), "user_id")
-        .select("user_id", "n", F.explode(pool).alias("position"))
+        spread(asks, "user_id")
+        .join(skips, "user_id", "left")
+        .select("user_id", "n", "offset", F.explode(pool).alias("position"))
         .join(top, "position")
-        .select("user_id", "n", "id", "plays")
+        .select("user_id", "n", "offset", "id", "plays")
     )
 
 
@@ -186,14 +186,14 @@ def _far_pools(asks: DataFrame, songs: DataFrame, seen: DataFrame) -> DataFrame:
     table, order = _by_plays(songs)
     ranked = dense_rank_by(table, order, "position")
     reach = F.sequence(F.lit(0), F.col("_reach") - 1)
-    slots = asks.select("user_id", "n", "_pool", F.explode(reach).alias("position"))
+    slots = asks.select("user_id", "n", "offset", "_pool", F.explode(reach).alias("position"))
     place = Window.partitionBy("user_id").orderBy("position")
     return (
         slots.join(ranked, "position")
         .join(seen.select("user_id", "id"), ["user_id", "id"], "left_anti")
         .withColumn("_place", F.row_number().over(place))
         .filter(F.col("_place") <= F.col("_pool"))
-        .select("user_id", "n", "id", "plays")
+        .select("user_id", "n", "offset", "id", "plays")
     )
 
 
@@ -206,24 +206,31 @@ def fallback_songs(
 ) -> DataFrame:
     """Popular songs for ``wanted(user_id, n)``: a weighted draw from the trending pool.
 
+    An optional column ``offset`` of ``wanted`` is added to the ranks.
+
     A user's pool is the ``max(n + 40, 1.5 n)`` most played songs they have not seen; if
     it holds more than ``n``, ``n`` are drawn without replacement with weight
     ``ln(plays + 2)``.
     """
     pool = F.greatest(F.col("n") + 40, F.floor(F.col("n") * 1.5))
+    offset = F.col("offset") if "offset" in wanted.columns else F.lit(0)
     n_seen = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("_s"))
-    asks = (
+    asks = cut(
         wanted.filter(F.col("n") > 0)
-        .select("user_id", F.col("n").cast("bigint").alias("n"))
+        .select("user_id", F.col("n").cast("bigint").alias("n"), offset.cast("int").alias("offset"))
         .join(n_seen, "user_id", "left")
         .withColumn("_pool", pool)
         .withColumn("_reach", F.col("_pool") + F.coalesce(F.col("_s"), F.lit(0)))
+        .drop("_s")
     )
     near = F.col("_reach") <= top_n_limit
     reach = asks.agg(
         F.max(F.when(near, F.col("_reach"))).alias("near"),
         F.max(F.when(~near, F.col("_reach"))).alias("far"),
     ).first()
+    if reach["near"] is None and reach["far"] is None:
+        nobody = asks.select("user_id", F.lit("").alias("id"), F.lit(0).alias("rank"))
+        return nobody.filter(F.lit(False))
     cands = _near_pools(asks.filter(near), songs, seen, reach["near"] or 1)
     if reach["far"] is not None:
         cands = cands.unionByName(_far_pools(asks.filter(~near), songs, seen))
@@ -233,5 +240,5 @@ def fallback_songs(
         cands.withColumn("_key", sample_key(hashed, popularity_weight(F.col("plays"))))
         .withColumn("rank", F.row_number().over(draw))
         .filter(F.col("rank") <= F.col("n"))
-        .select("user_id", "id", "rank")
+        .select("user_id", "id", (F.col("rank") + F.col("offset")).alias("rank"))
     )

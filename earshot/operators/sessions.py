@@ -117,7 +117,7 @@ def short_term_vectors(
         age = F.lit(alive_at_ms) - F.col("last_ts")
         weights = weights.filter((age >= 0) & (age < gap_ms))
     vectors = items.select(F.col("id").alias("track_id"), F.col("embedding").alias("_v"))
-    parts = [F.sum(F.col("weight") * F.get("_v", F.lit(i))).alias(f"_{i}") for i in range(dim)]
+    parts = [F.expr(f"sum(weight * get(_v, {i})) AS _{i}") for i in range(dim)]
     return (
         weights.join(vectors, "track_id")
         .groupBy("user_id", "session_no")
@@ -127,7 +127,7 @@ def short_term_vectors(
             "session_no",
             "last_ts",
             "n_plays",
-            F.array(*[F.col(f"_{i}") for i in range(dim)]).alias("vector"),
+            F.array(*[f"_{i}" for i in range(dim)]).alias("vector"),
         )
     )
 

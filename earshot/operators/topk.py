@@ -23,6 +23,7 @@ from earshot.session import spread
 
 ITEM_BLOCK = 4096
 QUERY_BLOCK = 512
+CHUNKS_PER_LANE = 16
 MAX_PIVOTS = 1024
 RESCORE = 65_536
 # Scores of one matrix product agree with a plain sum to far better than this.
@@ -201,17 +202,31 @@ def _score_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _scored(visits: DataFrame, balls: Balls, query_block: int) -> DataFrame:
-    """Meet packed queries with the blocks of the balls they visit."""
-    crowd = visits.groupBy("ball").agg(F.count(F.lit(1)).alias("_n"))
-    parts = F.ceil(F.col("_n") / F.lit(query_block))
+    """Meet packed queries with the blocks of the balls they visit.
+
+    A ball that many queries visit is handed to several tasks: its queries are dealt to
+    lanes and its blocks are copied to each lane.
+    """
+    chunks = F.ceil(F.col("_n") / F.lit(query_block))
+    lanes = F.ceil(chunks / F.lit(CHUNKS_PER_LANE))
     # One row per ball, at most MAX_PIVOTS: a bounded broadcast.
-    cut = visits.join(F.broadcast(crowd), "ball").withColumn(
-        "chunk", F.pmod(F.xxhash64("query_id"), parts)
+    crowd = F.broadcast(
+        visits.groupBy("ball")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select("ball", chunks.alias("_chunks"), lanes.alias("_lanes"))
+    )
+    dealt = (
+        visits.join(crowd, "ball")
+        .withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("_chunks")))
+        .withColumn("lane", F.pmod(F.col("chunk"), F.col("_lanes")))
     )
-    packed = _packed(cut, ["ball", "chunk"], "query_id", "vector", "need").select(
-        "ball", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), "need"
+    keys = ["ball", "lane"]
+    packed = _packed(spread(dealt, *keys), [*keys, "chunk"], "query_id", "vector", "need")
+    asked = packed.select(*keys, F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), "need")
+    copies = balls.blocks.join(crowd, "ball").withColumn(
+        "lane", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_lanes") - 1))
     )
-    met = spread(packed, "ball", "q_ids").join(balls.blocks, "ball").select("q_ids", "q_vecs", "need", "ids", "vecs")
+    met = asked.join(copies, keys).select("q_ids", "q_vecs", "need", "ids", "vecs")
     return met.mapInArrow(_score_blocks, "query_id string, id string, score double")
 
 
