@@ -168,24 +168,28 @@ def next_songs(
     user without a vector is ranked by content alone. Only when both lists are empty do
     trending songs answer, and there the current song may appear.
     """
-    queries = cut(requests.select("query_id", "user_id", "current_song_id", "n"))
-    asked = queries.select("query_id", "user_id")
-    seen = asked.join(served.select("user_id", "id"), "user_id").select("query_id", "id")
+    tastes = vectors.select("user_id", F.col("vector").alias("taste"))
+    sound = content.select(
+        F.col("id").alias("current_song_id"), F.col("embedding").alias("sound")
+    )
+    queries = cut(
+        requests.select("query_id", "user_id", "current_song_id", "n")
+        .join(tastes, "user_id", "left")
+        .join(sound, "current_song_id", "left")
+    )
+    seen = queries.select("query_id", "user_id").join(served.select("user_id", "id"), "user_id")
+    seen = seen.select("query_id", "id")
     current = queries.select("query_id", F.col("current_song_id").alias("id"))
     hidden = cut(seen.unionByName(current).distinct())
     most, pool_of = _pools(next_pool, batch)
 
-    def candidates(asks: DataFrame, table: DataFrame) -> DataFrame:
-        best = topk_ip(asks, table, most, hidden)
+    def candidates(vector: str, table: DataFrame) -> DataFrame:
+        asks = queries.select("query_id", F.col(vector).alias("vector"))
         limits = queries.select("query_id", pool_of(F.col("n")).alias("_pool"))
-        return best.join(limits, "query_id").filter(F.col("rank") <= F.col("_pool"))
+        best = topk_ip(asks, table, most, hidden).join(limits, "query_id")
+        return best.filter(F.col("rank") <= F.col("_pool"))
 
-    tastes = asked.join(vectors.select("user_id", "vector"), "user_id")
-    playing = queries.select("query_id", F.col("current_song_id").alias("id")).join(content, "id")
-    als = candidates(tastes.select("query_id", "vector"), items)
-    similar = candidates(
-        playing.select("query_id", F.col("embedding").alias("vector")), content
-    )
+    als, similar = candidates("taste", items), candidates("sound", content)
     merged = cut(
         topk_per(
             hybrid_rank(als, similar), ["query_id"], [F.desc("score"), F.asc("id")], batch

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions.text import words
 from earshot.operators.ranking import page, topk_per
+from earshot.session import spread
 
 # What one occurrence of a word counts in each name.
 TRACK_WEIGHT = 10
@@ -37,9 +38,7 @@ def token_index(songs: DataFrame) -> DataFrame:
 FREQUENT = 1000
 
 
-def _frequent_scores(
-    texts: DataFrame, profiles: DataFrame, probe: int
-) -> DataFrame:
+def _frequent_scores(texts: DataFrame, profiles: DataFrame, probe: int) -> DataFrame:
     """``(_text, id, score)`` by frequent words alone, the best ``probe`` per text.
 
     Songs with the same frequent words, equally often, score alike, so queries meet these
@@ -94,12 +93,13 @@ def search_songs(
         .filter(F.col("_n") > frequent)
         .select("token", F.lit(True).alias("_common"))
     )
-    tokens = (
+    tokens = spread(
         asked.select("_text")
         .distinct()
         .select("_text", F.explode(F.split("_text", " ")).alias("token"))
         .filter(F.col("token") != "")
-        .join(common, "token", "left")
+        .join(common, "token", "left"),
+        "_text",
     )
     texts = tokens.groupBy("_text").agg(
         F.sort_array(F.collect_set(F.when(F.col("_common"), F.col("token")))).alias("frequent")
@@ -122,9 +122,10 @@ def search_songs(
     rare = looked_up.select(
         "_text", "id", (F.col("_rare") + F.coalesce(extra, F.lit(0))).alias("score")
     )
+    best = topk_per(rare, ["_text"], [F.desc("score"), F.asc("id")], probe).drop("rank")
     # A song found both ways has its full score from the look-up, which is no smaller.
     scores = (
-        rare.unionByName(_frequent_scores(texts, profiles, probe))
+        best.unionByName(_frequent_scores(texts, profiles, probe))
         .groupBy("_text", "id")
         .agg(F.max("score").cast("bigint").alias("score"))
     )
