@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.operators.ranking import topk_per
@@ -87,6 +87,14 @@ def _packed(df: DataFrame, keys: list[str], id_col: str, vec_col: str, *more: st
     )
 
 
+def only_ball(key: str) -> Column:
+    """The single ball, 0, computed from the row.
+
+    As a constant it would vanish from the join condition and leave a nested loop.
+    """
+    return F.pmod(F.xxhash64(key), F.lit(1)).cast("int").alias("ball")
+
+
 def build_balls(items: DataFrame, block: int = ITEM_BLOCK, pivots: int | None = None) -> Balls:
     """Group ``items(id, embedding)`` into balls, each cut into blocks of about ``block``.
 
@@ -100,7 +108,7 @@ def build_balls(items: DataFrame, block: int = ITEM_BLOCK, pivots: int | None =
         # A single ball is visited by every query: no centre or radius is needed.
         parts = max(1, -(-n_items // block))
         part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-        cut = items.select("id", "embedding", F.lit(0).alias("ball"), part.alias("part"))
+        cut = items.select("id", "embedding", only_ball("id"), part.alias("part"))
         blocks = _packed(cut, ["ball", "part"], "id", "embedding")
         return Balls(blocks, np.zeros((1, 0)), np.zeros(1), np.array([n_items]))
     chosen = items.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
@@ -273,7 +281,7 @@ def topk_ip(
         )
     kind = "query_id string, vector array<float>, need bigint, ball int"
     if len(balls.centres) == 1:
-        visits = asks.withColumn("ball", F.lit(0))
+        visits = asks.select("*", only_ball("query_id"))
     else:
         first = _scored(asks.mapInArrow(_visits(balls, False), kind), balls, query_block)
         floors = _floors(first, asks)

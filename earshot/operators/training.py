@@ -60,6 +60,8 @@ def train_als(
 ) -> ALSModel:
     """Non-negative implicit factors; the same seed and data give the same factors.
 
+    Equal up to rounding: sums run in the order in which blocks arrive.
+
     ``blocks`` sets how many parts users and items are cut into. The iterations cut their
     lineage at the shared checkpoint folder.
     """
