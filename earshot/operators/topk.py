@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.operators.ranking import topk_per
-from earshot.session import spread
+from earshot.session import cut, spread
 
 ITEM_BLOCK = 4096
 QUERY_BLOCK = 512
@@ -279,12 +279,14 @@ def topk_ip(
         asks = asks.join(counts, "query_id", "left").select(
             "query_id", "vector", (F.lit(k) + F.coalesce(F.col("_s"), F.lit(0))).alias("need")
         )
+    # Counting, dealing and scoring all read the queries.
+    asks = cut(asks)
     kind = "query_id string, vector array<float>, need bigint, ball int"
     if len(balls.centres) == 1:
         visits = asks.select("*", only_ball("query_id"))
     else:
         first = _scored(asks.mapInArrow(_visits(balls, False), kind), balls, query_block)
-        floors = _floors(first, asks)
+        floors = cut(_floors(first, asks))
         visits = floors.mapInArrow(_visits(balls, True), kind)
     cands = _scored(visits, balls, query_block)
     if exclude is not None:

@@ -94,15 +94,15 @@ def run_incremental(lake: DataFrame, songs_root: str, marks_root: str) -> int |
     """
     spark = lake.sparkSession
     mark = read_mark(spark, marks_root, INCREMENTAL_JOB)
-    counts, newest = incremental_counts(lake, mark)
+    _, newest = incremental_counts(lake, mark)
     found = newest.first()
     if found is None:
         return None
     # Fix the end of the range, so that events landing meanwhile wait for the next run.
-    upto = lake.filter(F.col("timestamp") <= found["last_timestamp"])
-    counts, newest = incremental_counts(upto, mark)
+    end = found["last_timestamp"]
+    counts, _ = incremental_counts(lake.filter(F.col("timestamp") <= end), mark)
     version = publish(add_counts(read_table(spark, songs_root), counts), songs_root)
-    advance_mark(newest, marks_root, INCREMENTAL_JOB)
+    advance_mark(spark, marks_root, INCREMENTAL_JOB, end)
     return version
 
 

@@ -62,12 +62,9 @@ def read_mark(spark: SparkSession, root: str, job: str) -> int:
     return marks.agg(F.max("last_timestamp")).first()[0] or 0
 
 
-def advance_mark(mark: DataFrame, root: str, job: str) -> None:
-    """Append the new mark; marks only grow, so the largest one counts.
-
-    ``mark`` is the one-row result of the counting job, or empty when nothing was new.
-    """
-    row = mark.select(F.lit(job).alias("job_name"), "last_timestamp")
+def advance_mark(spark: SparkSession, root: str, job: str, last_timestamp: int) -> None:
+    """Append the new mark; marks only grow, so the largest one counts."""
+    row = spark.createDataFrame([(job, last_timestamp)], _MARKS)
     row.coalesce(1).write.mode("append").parquet(f"{root}/_marks")
 
 

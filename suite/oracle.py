@@ -642,5 +642,76 @@ SQL["next_songs"] = f"""
     SELECT user_id, id, NULL, rank::INTEGER FROM ({fallback("lost", "served")})"""
 
 
+LISTENED = f"(SELECT DISTINCT user_id FROM play_log WHERE {PLAYED})"
+TRACKS = f"(SELECT DISTINCT track_id FROM play_log WHERE {PLAYED})"
+KEPT = """(SELECT _id FROM songs WHERE NOT (lrclib_fetched AND
+           (lrclib_not_found OR coalesce(lrclib_plain_lyrics, '') = '')))"""
+DROPPED = """(SELECT _id FROM songs WHERE lrclib_fetched AND
+              (lrclib_not_found OR coalesce(lrclib_plain_lyrics, '') = ''))"""
+
+VIEWS |= {
+    "next_ranked": """
+        SELECT m.query_id, m.id, m.score, m.rank
+        FROM merged m JOIN room r ON m.query_id = r.query_id WHERE rank <= r.n""",
+    "served_feed": """
+        SELECT user_id, id, rank FROM feed WHERE user_id IN (SELECT user_id FROM play_log)""",
+    "found": """
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+        FROM (SELECT query_id, id, sum(weight) AS score
+              FROM (SELECT DISTINCT query_id,
+                           unnest(string_split_regex(lower(p_brand), '[^\\p{L}\\p{N}]+')) AS token
+                    FROM requests JOIN part ON current_song_id = p_partkey::VARCHAR) q
+              JOIN tokens USING (token) GROUP BY query_id, id)""",
+}
+
+SQL |= {
+    "lake_trending": "SELECT track_id, plays FROM trend",
+    "jsonl_round_trip": """
+        SELECT _id, track_name, duration, 0::BIGINT AS plays_7d, release_date,
+               md5(coalesce(lrclib_plain_lyrics, '')) AS lyrics_md5 FROM songs""",
+    "publish_vectors": f"SELECT id, {vector_sums('embedding')} FROM content",
+    "prepare_history": """
+        SELECT user_id, track AS track_id,
+               epoch_us(strptime("timestamp", '%Y-%m-%dT%H:%M:%SZ')) // 1000 AS "timestamp",
+               p_size * 10.0::DOUBLE AS duration
+        FROM history JOIN part ON track = p_partkey::VARCHAR WHERE "timestamp" <> 'bad'
+        UNION ALL SELECT DISTINCT user_id, NULL, NULL, NULL FROM history WHERE "timestamp" <> 'bad'""",
+    "sync_master": f"""
+        SELECT coalesce(c_custkey::VARCHAR, user_id) AS _id,
+               CASE WHEN user_id IS NULL THEN c_name ELSE substr(sha1(user_id), 1, 8) END AS username,
+               {DAY} AS signup_date
+        FROM customer FULL JOIN (SELECT DISTINCT user_id FROM play_log)
+          ON c_custkey::VARCHAR = user_id""",
+    "run_incremental": f"""
+        SELECT coalesce(p_partkey::VARCHAR, track_id) AS _id, coalesce(plays, 0)::BIGINT AS plays_cumulative
+        FROM part FULL JOIN (SELECT track_id, count(*) AS plays FROM play_log
+                             WHERE {PLAYED} GROUP BY track_id) ON p_partkey::VARCHAR = track_id""",
+    "run_nightly": f"""
+        SELECT 'song' AS kind, id, plays AS n FROM counted UNION ALL
+        SELECT 'user', coalesce(c_custkey::VARCHAR, user_id), CASE WHEN user_id IS NULL THEN 0 ELSE 16 END
+        FROM customer FULL JOIN {LISTENED} ON c_custkey::VARCHAR = user_id UNION ALL
+        SELECT 'item', track_id, 16 FROM {TRACKS}""",
+    "als_factors": f"""
+        SELECT 'item' AS kind, track_id AS id, 16 AS dim FROM {TRACKS} UNION ALL
+        SELECT 'user', user_id, 16 FROM {LISTENED}""",
+    "build_content": f"""
+        SELECT id, len(embedding)::INTEGER AS dim, round({dot("embedding", "embedding")}, 3) AS square
+        FROM content UNION ALL
+        SELECT _id, 384, 1.0::DOUBLE FROM songs
+        WHERE length(trim(lrclib_plain_lyrics, {SPACES})) >= 50 AND _id NOT IN (SELECT id FROM content)""",
+    "clean_catalogue": f"""
+        SELECT _id AS id, 0 AS part FROM {KEPT} UNION ALL SELECT _id, 3 FROM {KEPT} UNION ALL
+        SELECT id, 1 FROM items WHERE id NOT IN {DROPPED} UNION ALL
+        SELECT id, 2 FROM content WHERE id NOT IN {DROPPED}""",
+    "serve_batch": f"""
+        SELECT kind, query_id, id, rank::INTEGER AS rank FROM (
+            SELECT 'feed' AS kind, user_id AS query_id, id, rank FROM served_feed UNION ALL
+            SELECT 'next', query_id, id, rank FROM next_ranked UNION ALL
+            SELECT 'next', user_id, id, rank FROM ({fallback("lost", "served")}) UNION ALL
+            SELECT 'search', query_id, id, rank FROM found WHERE rank <= 20)
+        WHERE id IN (SELECT id FROM counted)""",
+}
+
+
 def statements() -> dict[str, str]:
     return {name: with_views(sql) for name, sql in SQL.items()}

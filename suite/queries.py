@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.functions import scores, text, time, vector
+from earshot import schemas
+from earshot.functions import text, time, vector
 from earshot.operators import (
     catalogue,
     content,
@@ -26,7 +28,7 @@ from earshot.operators import (
 )
 from earshot.plans import jobs
 from earshot.session import ensure_checkpoint_dir
-from earshot.sources import lake, tables
+from earshot.sources import lake, master, tables
 from earshot.streaming import counts as stream_counts
 from earshot.streaming import ingest
 from earshot.streaming import player as stream_player
@@ -670,6 +672,141 @@ def content_vectors(fx):
     return made.select("id", *vector_sums("embedding"))
 
 
+# ---- sources and jobs ---------------------------------------------------------------
+
+
+@register
+def lake_trending(fx):
+    """Land the events in a lake, then count its last days with pruned partitions."""
+    path = scratch(fx.spark, "lake")
+    lake.write_lake(fx.play_log().drop("date_str"), path)
+    return counts.trending_7d(lake.read_lake(fx.spark, path), AS_OF)
+
+
+@register
+def jsonl_round_trip(fx):
+    """Export the cleaned songs as JSON lines and load them back into the song schema."""
+    path = scratch(fx.spark, "songs")
+    lake.write_jsonl(catalogue.clean_songs(fx.songs()), path)
+    good, _ = master.read_master_jsonl(fx.spark, path, schemas.SONGS)
+    return good.select(
+        "_id",
+        "track_name",
+        "duration",
+        F.col("plays_7d").cast("bigint").alias("plays_7d"),
+        "release_date",
+        F.md5("lrclib_plain_lyrics").alias("lyrics_md5"),
+    )
+
+
+@register
+def publish_vectors(fx):
+    root = scratch(fx.spark, "vectors")
+    tables.write_vectors(fx.items(), root, schemas.ITEM_DIM)
+    tables.write_vectors(fx.content(), root, schemas.ITEM_DIM)
+    return tables.read_table(fx.spark, root).select("id", *vector_sums("embedding"))
+
+
+@register
+def prepare_history(fx):
+    log, users = jobs.prepare_history(fx.history(), fx.names(), AS_OF)
+    return log.select("user_id", "track_id", "timestamp", "duration").unionByName(
+        users.select(F.col("_id").alias("user_id")), allowMissingColumns=True
+    )
+
+
+@register
+def sync_master(fx):
+    """Load the listeners' profiles over the user table."""
+    path = scratch(fx.spark, "users")
+    lake.write_jsonl(catalogue.extract_users(fx.play_log(), AS_OF), path)
+    table, _, _ = jobs.sync_master(
+        fx.users(), path, schemas.USERS, master.USER_IDS, ("latent_vector",)
+    )
+    return table.select("_id", "username", "signup_date")
+
+
+@register
+def run_incremental(fx):
+    """Two runs of the counting job, the second over what the first had not seen."""
+    root = scratch(fx.spark, "counting")
+    songs, marks = f"{root}/songs", f"{root}/marks"
+    tables.publish(schemas.conform(fx.names(), schemas.SONGS), songs)
+    log = fx.play_log()
+    jobs.run_incremental(log.filter(F.col("timestamp") <= MARK_MS), songs, marks)
+    jobs.run_incremental(log, songs, marks)
+    return tables.read_table(fx.spark, songs).select("_id", "plays_cumulative")
+
+
+@register
+def run_nightly(fx):
+    """Trailing counts and trained vectors, as published by the nightly job."""
+    root = scratch(fx.spark, "nightly")
+    roots = jobs.Roots(*[f"{root}/{n}" for n in ("songs", "users", "items", "content")])
+    tables.publish(schemas.conform(fx.names(), schemas.SONGS), roots.songs)
+    tables.publish(fx.users(), roots.users)
+    at = datetime.combine(AS_OF, datetime.min.time())
+    jobs.run_nightly(fx.play_log(), roots, at, ALS_PARAMS, SEED, blocks=4)
+    songs = tables.read_table(fx.spark, roots.songs)
+    users = tables.read_table(fx.spark, roots.users)
+    items = tables.read_table(fx.spark, roots.item_vectors)
+
+    def rows(df: DataFrame, kind: str, key: str, number: Column) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), number.alias("n"))
+
+    dim = F.coalesce(F.size("latent_vector"), F.lit(0)).cast("bigint")
+    return (
+        rows(songs, "song", "_id", F.col("plays_7d").cast("bigint"))
+        .unionByName(rows(users, "user", "_id", dim))
+        .unionByName(rows(items, "item", "id", F.size("embedding").cast("bigint")))
+    )
+
+
+@register
+def build_content(fx):
+    """Which songs have a content vector after the job, and that the new ones are unit."""
+    have = fx.content()
+    table = jobs.build_content(fx.songs(), have)
+    square = F.round(vector.vec_ip(F.col("embedding"), F.col("embedding")), 3)
+    return table.select("id", F.size("embedding").alias("dim"), square.alias("square"))
+
+
+@register
+def clean_catalogue(fx):
+    songs, items, vectors, export = jobs.clean_catalogue(fx.songs(), fx.items(), fx.content())
+    parts = (songs.select("_id"), items.select("id"), vectors.select("id"), export.select("_id"))
+    out = [p.toDF("id").withColumn("part", F.lit(i)) for i, p in enumerate(parts)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@register
+def serve_batch(fx):
+    """Every listener asks for a feed, for what follows, and searches their brand's name."""
+    listeners = fx.requests()
+    brand = fx.names().select(F.col("_id").alias("current_song_id"), F.col("artist_name").alias("text"))
+    asked = listeners.join(brand, "current_song_id", "left").select(
+        "query_id", "user_id", "current_song_id", "text", F.explode(F.array(*map(F.lit, ("feed", "next", "search")))).alias("kind")
+    )
+    served = fx.feed_served()
+    feeds_, following, found = jobs.serve_batch(
+        asked,
+        jobs.Tables(
+            fx.counted_songs(), fx.items(), fx.content(), fx.vectors(), served, fx.served()
+        ),
+        20,
+        SEED,
+    )
+
+    def rows(df: DataFrame, kind: str, key: str) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), F.col(key).alias("query_id"), "id", "rank")
+
+    return (
+        rows(feeds_, "feed", "user_id")
+        .unionByName(rows(following, "next", "query_id"))
+        .unionByName(rows(found, "search", "query_id"))
+    )
+
+
 # ---- streams ------------------------------------------------------------------------
 
 NOW = {"availableNow": True}

@@ -81,7 +81,7 @@ def test_marks_only_grow(spark, tmp_path):
     root = str(tmp_path / "control")
     assert tables.read_mark(spark, root, "job") == 0
     for ts in (50, 90, 70):
-        tables.advance_mark(spark.createDataFrame([(ts,)], "last_timestamp long"), root, "job")
+        tables.advance_mark(spark, root, "job", ts)
     assert tables.read_mark(spark, root, "job") == 90
     assert tables.read_mark(spark, root, "other") == 0
 
