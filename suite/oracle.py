@@ -410,8 +410,8 @@ SQL: dict[str, str] = {
         FROM songs LEFT JOIN (SELECT *, n_chars >= 200 AND text <> '' AS found FROM documents) d
           ON _id = doc_id::VARCHAR""",
     "enrichment_report": """
-        SELECT count(*) AS processed, count_if(n_chars >= 200) AS found,
-               count(*) - count_if(n_chars >= 200) AS not_found,
+        SELECT count(*) AS processed, count_if(n_chars >= 200)::BIGINT AS found,
+               (count(*) - count_if(n_chars >= 200))::BIGINT AS not_found,
                round(count_if(n_chars >= 200) * 100.0::DOUBLE / count(*), 1) AS success_rate
         FROM documents""",
     "gate_text": f"""
@@ -540,7 +540,7 @@ SQL: dict[str, str] = {
         FROM feed JOIN part ON id = p_partkey::VARCHAR""",
     "next_songs": None,
     "feed_state": """
-        SELECT user_id, count(*) AS n_generated, count_if(queued) AS n_queued
+        SELECT user_id, count(*) AS n_generated, count_if(queued)::BIGINT AS n_queued
         FROM served GROUP BY user_id""",
     "active_served": "SELECT user_id, id FROM feed_served",
     "mark_served": f"""
