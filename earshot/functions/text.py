@@ -75,3 +75,8 @@ def words(text: Column) -> Column:
     """Lower-case words of a name: maximal runs of letters and digits."""
     parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
     return F.filter(parts, lambda word: word != "")
+
+
+def new_id() -> Column:
+    """A fresh random id; write the result before anything reads it twice."""
+    return F.uuid()

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earshot.functions.text import avatar_url, nonempty, short_username, strip_ws, truncate
+from earshot.functions.text import (
+    avatar_url,
+    new_id,
+    nonempty,
+    short_username,
+    strip_ws,
+    truncate,
+)
 from earshot.functions.time import iso_to_ms
 from earshot.schemas import (
     DEFAULT_DURATION,
@@ -47,6 +54,11 @@ def resolve_id(df: DataFrame, *candidates: str) -> DataFrame:
     return df.select(picked.alias("_id"), *rest).filter(F.col("_id").isNotNull())
 
 
+def stamp(df: DataFrame, col: str, as_of: date | datetime) -> DataFrame:
+    """Add a run's date or time; always an argument, never the clock."""
+    return df.withColumn(col, F.lit(as_of))
+
+
 def extract_songs(history: DataFrame) -> DataFrame:
     """One song per track id of the listening history, in the song schema.
 
@@ -89,7 +101,7 @@ def new_profiles(names: DataFrame, as_of: date) -> DataFrame:
     """
     entered = names.select(strip_ws(F.col("name")).alias("username"))
     kept = entered.filter(F.col("username") != "")
-    return conform(kept, USERS, _id=F.uuid(), signup_date=as_of)
+    return conform(kept, USERS, _id=new_id(), signup_date=as_of)
 
 
 def attach_duration(history: DataFrame, songs: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.functions.time import HOUR_MS
 from earshot.operators import slices
 
 KEY = "play_id"
@@ -64,7 +63,7 @@ def _spans(events: DataFrame, slice_ms: int) -> DataFrame:
     )
 
 
-def listen_time(events: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:
+def listen_time(events: DataFrame, slice_ms: int = slices.SLICE_MS) -> DataFrame:
     """Milliseconds on the timer after each play's last event."""
     spans = _spans(events, slice_ms)
     counts = F.col("_cleared").isNull() | (F.col("ts_ms") >= F.col("_cleared"))
@@ -78,7 +77,7 @@ def listen_time(events: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:
 
 
 def qualified_listens(
-    events: DataFrame, seconds: float = QUALIFIED_SECONDS, slice_ms: int = HOUR_MS
+    events: DataFrame, seconds: float = QUALIFIED_SECONDS, slice_ms: int = slices.SLICE_MS
 ) -> DataFrame:
     """The first moment each play's timer reaches ``seconds``; at most one per play.
 

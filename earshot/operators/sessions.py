@@ -21,7 +21,7 @@ def _session_slices(plays: DataFrame, gap_ms: int, slice_ms: int | None) -> tupl
     Slices are no wider than the gap, so a session never breaks inside one: breaks show
     between consecutive slices, in the summary.
     """
-    width = gap_ms if slice_ms is None else slice_ms
+    width = min(gap_ms, slices.SLICE_MS) if slice_ms is None else slice_ms
     if width > gap_ms:
         raise ValueError("slice_ms must not exceed gap_ms")
     rows = slices.with_slice(plays, "timestamp", width)

@@ -17,6 +17,11 @@ from pyspark.sql.window import WindowSpec
 from earshot.functions.time import bucket_of
 
 
+# Width of a slice. One busy key over months of events then spreads over some hundred
+# thousand groups, while an ordinary key has about one row per slice.
+SLICE_MS = 60_000
+
+
 def with_slice(df: DataFrame, ts: str, width_ms: int) -> DataFrame:
     return df.withColumn("_slice", bucket_of(F.col(ts), width_ms))
 

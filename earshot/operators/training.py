@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earshot.functions.vector import as_vector
+from earshot.operators.catalogue import stamp
 from earshot.operators.counts import ratings
 from earshot.operators.events import implicit_score, last_days
 from earshot.operators.indexing import build_idmap, decode_ids, encode_ids
@@ -109,11 +110,10 @@ def export_item_factors(trained: Trained) -> DataFrame:
 
 def export_user_factors(trained: Trained, users: DataFrame, as_of: datetime) -> DataFrame:
     """The user table with fresh vectors; a user without a profile gets a bare one."""
-    fresh = user_factors(trained).select(
-        F.col("user_id").alias("_id"),
-        F.col("vector").alias("latent_vector"),
-        F.lit(as_of).cast("timestamp").alias("last_model_update"),
+    factors = user_factors(trained).select(
+        F.col("user_id").alias("_id"), F.col("vector").alias("latent_vector")
     )
+    fresh = stamp(factors, "last_model_update", as_of)
     return merge_set(users, fresh, "_id", ["latent_vector", "last_model_update"])
 
 

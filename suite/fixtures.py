@@ -23,11 +23,15 @@ class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.dir = sf_dir
+        self._tables: dict[str, DataFrame] = {}
         # The given timestamps carry no zone; they are read as UTC.
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """A given table; its footer is read once per query."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._tables[name]
 
     def play_log(self, events: DataFrame | None = None) -> DataFrame:
         events = self.raw("events") if events is None else events
