@@ -26,6 +26,8 @@ def test_every_statement_belongs_to_a_query():
 @pytest.mark.parametrize("name", list(queries()))
 def test_query(spark, con, name):
     df = queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
     ours = as_frame(df)
     sql = oracle_sql().get(name)
     if sql is None:

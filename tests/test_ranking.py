@@ -37,7 +37,9 @@ def ranked(df):
 
 
 @pytest.mark.parametrize("block,pivots", [(4096, None), (40, 1), (40, 12), (7, 5)])
-def test_topk_equals_brute_force(spark, block, pivots):
+def test_topk_equals_brute_force(spark, monkeypatch, block, pivots):
+    # Few chunks per lane, so that busy balls are dealt to several lanes.
+    monkeypatch.setattr(topk, "CHUNKS_PER_LANE", 2)
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(6, 8)) * 3
     items = {f"i{n:03d}": centres[n % 6] + rng.normal(size=8) * 0.2 for n in range(250)}
@@ -300,3 +302,25 @@ def test_idmap_is_dense_and_ordered(spark):
     df = spark.createDataFrame([("hot",), ("unknown",)], "k string")
     there = encode_ids(df, idmap, "k", "i")
     assert [r["k"] for r in decode_ids(there, idmap, "i", "k").collect()] == ["hot"]
+
+
+def test_topk_is_cut_before_the_shuffle(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("g"), F.col("id").alias("id"))
+    for cut in (
+        ranking.topk_per(df, ["g"], [F.desc("id")], 5),
+        ranking.seeded_sample(df, "g", 5, 1, F.col("g")),
+        ranking.page(df, ["g"], [F.asc("id")], 0, 5),
+    ):
+        plan = cut._jdf.queryExecution().executedPlan().toString()
+        assert "row_number(), " in plan and plan.rindex("WindowGroupLimit") > plan.index("Exchange")
+
+
+def test_pools_are_joined_without_nested_loops(spark):
+    wanted = spark.createDataFrame([("u", 5)], "user_id string, n int")
+    songs = spark.createDataFrame([(f"s{i}", i) for i in range(30)], "_id string, plays_7d int")
+    seen = spark.createDataFrame([("u", "s29")], "user_id string, id string")
+    for limit in (10_000, 1):
+        df = ranking.fallback_songs(wanted, songs, seen, 1, limit)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Cartesian" not in plan and "NestedLoop" not in plan
+        assert df.count() == 5
