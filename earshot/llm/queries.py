@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import block_naming, near_dedup, pieces, poisson_mix, quality
+from earshot.llm import (
+    block_naming,
+    byte_model,
+    cross_parse,
+    metric_tree,
+    near_dedup,
+    pieces,
+    poisson_mix,
+    private_data,
+    quality,
+    wrappers,
+)
 from earshot.llm.common import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +49,14 @@ def op1_sentencepiece(spark, sf_dir):
     )
 
 
+@register
+def op2_cross_parse(spark, sf_dir):
+    """The language of every document."""
+    docs = documents(spark, sf_dir)
+    named = cross_parse.identify(docs, cross_parse.language_samples(docs))
+    return named.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 @register
 def op3_subword_quality(spark, sf_dir):
     """The quality score of every document."""
@@ -57,6 +76,41 @@ def op4_bottom_k(spark, sf_dir):
     return near_dedup.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
 
 
+@register
+def op5_byte_model(spark, sf_dir):
+    """How likely every document is to the model and to word counts."""
+    return byte_model.score_texts(documents(spark, sf_dir))
+
+
+@register
+def op6_wrappers(spark, sf_dir):
+    """The main text of every page."""
+    text = wrappers.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return text.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@register
+def op7_metric_tree(spark, sf_dir):
+    """The 20 best neighbours of every twentieth vector."""
+    return metric_tree.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@register
+def op8_bootstrap(spark, sf_dir):
+    """Personal data in every document: base spans as a digest, and all spans."""
+    found = private_data.find_private(documents(spark, sf_dir))
+
+    def number(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *(number(kind) for kind in private_data.KINDS),
+        F.sha2(F.encode(private_data.span_text("base"), "UTF-8"), 256).alias("base_sha256"),
+        private_data.span_text("spans").alias("spans"),
+    )
+
+
 @register
 def op9_block_naming(spark, sf_dir):
     """Which document stays of those with equal text."""
@@ -70,6 +124,18 @@ def op10_poisson_mix(spark, sf_dir):
 
 
 SQL = {
+    "op7_metric_tree": """
+        WITH v AS (
+            SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v))
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+            FROM scored) WHERE rank <= 20""",
     "op9_block_naming": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS chars,
