@@ -151,9 +151,8 @@ def language_samples(
 
     At most about ``rows`` times ``piece`` code points of each language reach the driver.
     """
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(
-        fold("doc_id", folds) != held_out
-    )
+    known = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
+    known = known.where(fold("doc_id", folds) != held_out)
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     # One row per language, as many as there are labels.
     draw = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)

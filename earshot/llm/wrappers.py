@@ -69,10 +69,9 @@ _PART = re.compile(r"[^A-Za-z0-9]+")
 
 @dataclass
 class Text:
-    """One block of text: where it stands and whether it may be main text."""
+    """One block of text, and what encloses it."""
 
     value: str
-    path: str
     framed: bool
     in_article: bool
     in_link: bool
@@ -108,12 +107,11 @@ def parse(html: str) -> Page:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            path = "/".join(t for t, _ in stack if t != "a")
             # A heading's or footer's own header within an article is framed all the same.
             framed = any(f for _, f in stack)
             page.places.append(len(page.tokens))
             page.tokens.append("#")
-            page.texts.append(Text(text, path, framed, articles > 0, linked * 2 > size))
+            page.texts.append(Text(text, framed, articles > 0, linked * 2 > size))
         linked = size = 0
 
     at, end = 0, len(html)
@@ -270,7 +268,8 @@ def extract(html: str, wrapper: dict | None) -> str:
     page = parse(html)
     tokens, texts = groups(page)
     own = any(t.in_article and not t.framed for t in page.texts)
-    keep = [not t.framed and (t.in_article or not own) and not (t.in_link and not own) for t in page.texts]
+    plain = [not t.framed and (t.in_article or not own) and not (t.in_link and not own) for t in page.texts]
+    keep = list(plain)
     if wrapper:
         match = SequenceMatcher(None, wrapper["places"], tokens, autojunk=False)
         for a, b, n in match.get_matching_blocks():
@@ -283,6 +282,8 @@ def extract(html: str, wrapper: dict | None) -> str:
                         keep[number] = True
                     elif role == "f" and not (own and t.in_article and not t.framed):
                         keep[number] = False
+    if not any(keep):  # a page unlike its host's others
+        keep = plain
     return "\n".join(t.value for t, k in zip(page.texts, keep, strict=True) if k)
 
 

@@ -41,3 +41,68 @@ def near_components(docs: dict[int, str | None], size: int, percent: int) -> dic
             x, y = sorted((find(a), find(b)))
             root[y] = x
     return {i: (len(sets[i]), find(i)) for i in docs}
+
+
+def luhn(digits: str) -> bool:
+    double = [sum(divmod(2 * int(c), 10)) for c in digits[-2::-2]]
+    return (sum(double) + sum(map(int, digits[::-2]))) % 10 == 0
+
+
+PATTERNS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+]
+
+
+def base_spans(text: str | None) -> list[tuple[int, str, int]]:
+    out = []
+    for k, (kind, pattern) in enumerate(PATTERNS):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            fits = {
+                "email": True,
+                "ip": kind != "ip" or all(int(p) <= 255 for p in m[0].split(".")),
+                "card": 14 <= len(digits) <= 19 and luhn(digits),
+                "phone": 10 <= len(digits) <= 15,
+            }[kind]
+            if fits:
+                out.append((m.start(), k, m.end()))
+    return [(a, PATTERNS[k][0], b) for a, k, b in sorted(out)]
+
+
+def ppm_digits(text: str | None, training: list[str | None], order: int = 3) -> float:
+    """-log10 of a text and its end mark by escape method C with exclusions."""
+    from collections import Counter, defaultdict
+    from math import log10
+
+    counts: dict[tuple, Counter] = defaultdict(Counter)
+
+    def marked(t):
+        return [0xFE] * 3 + list((t or "").encode()) + [0xFF]
+
+    for t in training:
+        s = marked(t)
+        for i in range(3, len(s)):
+            for k in range(order + 1):
+                counts[tuple(s[i - k : i])][s[i]] += 1
+
+    def chance(context: tuple, symbol: int) -> float:
+        p, excluded = 1.0, set()
+        for k in range(len(context), -1, -1):
+            seen = counts.get(context[len(context) - k :])
+            if not seen:
+                continue
+            left = {x: n for x, n in seen.items() if x not in excluded}
+            if not left:
+                continue
+            total = sum(left.values()) + len(left)
+            if symbol in left:
+                return p * left[symbol] / total
+            p *= len(left) / total
+            excluded |= set(seen)
+        return p / (256 - len(excluded))
+
+    s = marked(text)
+    return -sum(log10(chance(tuple(s[i - order : i]), s[i])) for i in range(3, len(s)))
