@@ -1,21 +1,28 @@
 """Exact top-k by inner product of many query vectors against many item vectors.
 
-Items are grouped into balls around pivot items. Within a ball of centre ``c`` and
-radius ``r`` no inner product with a query ``q`` exceeds ``q.c + |q| r``, so a query needs
-to visit only the balls whose bound reaches the score it already has. Queries and balls
-meet in an equi-join on the ball, in packed blocks of bounded size, and one matrix product
-per block pair emits only the best few ids of each query. Neither side is gathered, no
-pair list is built, and the bounded facts the driver sees are the pivots.
+Items are grouped into balls around pivot items, about half the square root of their number.
+Within a ball of centre ``c`` no item ``r`` away from it has an inner product above ``q.c + |q| r``
+with a query ``q``. A ball is cut into shells by distance and these into blocks of bounded size, so
+that copies of one vector spread too. A query first visits the balls nearest to it; the k-th score
+found there is its floor. Then it visits only balls whose bound reaches the floor, skips blocks
+whose own bound does not, and takes from a block only what reaches the floor.
+
+Queries and blocks meet in an equi-join on ball, block and lane: a ball's queries are copied to its
+blocks, and a block that many queries visit is copied to several lanes. Neither side is gathered
+and no pair list is built. On vectors without structure no bound helps, and an exact search
+costs queries times items; then it is spread over all blocks and lanes. What the driver sees are
+the pivots and one number per ball.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.operators.ranking import topk_per
@@ -24,7 +31,6 @@ from earshot.session import cut, spread
 ITEM_BLOCK = 4096
 QUERY_BLOCK = 512
 CHUNKS_PER_LANE = 16
-MAX_PIVOTS = 1024
 RESCORE = 65_536
 # Scores of one matrix product agree with a plain sum to far better than this.
 SLACK = 1e-9
@@ -32,9 +38,10 @@ SLACK = 1e-9
 
 @dataclass(frozen=True)
 class Balls:
-    """The item table in blocks, and the centre, radius and size of each ball."""
+    """The item table in blocks, where each item is, and the centre, radius and size of each ball."""
 
     blocks: DataFrame
+    places: DataFrame
     centres: np.ndarray
     radii: np.ndarray
     sizes: np.ndarray
@@ -87,45 +94,42 @@ def _packed(df: DataFrame, keys: list[str], id_col: str, vec_col: str, *more: st
     )
 
 
-def only_ball(key: str) -> Column:
-    """The single ball, 0, computed from the row.
-
-    As a constant it would vanish from the join condition and leave a nested loop.
-    """
-    return F.pmod(F.xxhash64(key), F.lit(1)).cast("int").alias("ball")
-
-
 def build_balls(items: DataFrame, block: int = ITEM_BLOCK, pivots: int | None = None) -> Balls:
     """Group ``items(id, embedding)`` into balls, each cut into blocks of about ``block``.
 
-    Pivots are the items with the smallest id hashes: a fixed choice that follows the
-    data. A ball with many items, such as copies of one vector, is cut by id hash.
+    Pivots are the items with the smallest id hashes: a fixed choice that follows the data.
     """
-    items = items.select("id", F.col("embedding").cast("array<float>").alias("embedding"))
-    n_items = items.count()
-    wanted = pivots or min(MAX_PIVOTS, max(1, n_items // block))
-    if wanted == 1:
-        # A single ball is visited by every query: no centre or radius is needed.
-        parts = max(1, -(-n_items // block))
-        part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-        cut = items.select("id", "embedding", only_ball("id"), part.alias("part"))
-        blocks = _packed(cut, ["ball", "part"], "id", "embedding")
-        return Balls(blocks, np.zeros((1, 0)), np.zeros(1), np.array([n_items]))
+    items = cut(items.select("id", F.col("embedding").cast("array<float>").alias("embedding")))
+    wanted = pivots or max(1, math.isqrt(items.count()) // 2)
     chosen = items.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
+    if not chosen:
+        chosen = [{"embedding": [0.0]}]
     centres = np.array([row["embedding"] for row in chosen], dtype=np.float64)
-    placed = items.mapInArrow(
-        _nearest_pivot(centres), "id string, embedding array<float>, ball int, away double"
+    placed = cut(
+        items.mapInArrow(
+            _nearest_pivot(centres), "id string, embedding array<float>, ball int, away double"
+        )
     )
     facts = placed.groupBy("ball").agg(F.max("away").alias("r"), F.count(F.lit(1)).alias("n"))
+    facts = cut(facts)
     radii, sizes = np.zeros(len(centres)), np.zeros(len(centres), dtype=np.int64)
-    for row in facts.collect():  # at most MAX_PIVOTS rows
+    for row in facts.collect():  # one row per ball
         radii[row["ball"]], sizes[row["ball"]] = row["r"], row["n"]
-    parts = F.element_at(
-        F.array(*[F.lit(max(1, -(-int(n) // block))) for n in sizes]), F.col("ball") + 1
-    )
-    cut = placed.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    blocks = _packed(cut, ["ball", "part"], "id", "embedding")
-    return Balls(blocks, centres, radii, sizes)
+    shells = F.ceil(F.col("n") / F.lit(block))
+    width = F.greatest(F.col("r"), F.lit(1e-300))
+    shell = F.least(shells - 1, F.floor(shells * F.col("away") / width)).alias("shell")
+    # One row per ball: the square root of the items, broadcast like the pivots.
+    shelled = placed.join(F.broadcast(facts), "ball").select("id", "embedding", "ball", "away", shell)
+    crowds = shelled.groupBy("ball", "shell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("_m"))
+    before = Window.partitionBy("ball").orderBy("shell")
+    crowds = crowds.withColumn("_end", F.sum("_m").over(before))
+    salt = F.pmod(F.xxhash64("id"), F.col("_m"))
+    blocked = shelled.join(crowds, ["ball", "shell"]).withColumn("block", F.col("_end") - 1 - salt)
+    blocked = cut(blocked.select("id", "embedding", "ball", "block", "away"))
+    reach = blocked.groupBy("ball", "block").agg(F.max("away").alias("reach"))
+    packed = _packed(blocked, ["ball", "block"], "id", "embedding")
+    blocks = packed.join(reach, ["ball", "block"])
+    return Balls(cut(blocks), blocked.select("id", "ball"), centres, radii, sizes)
 
 
 def _visits(balls: Balls, bounded: bool):
@@ -160,28 +164,32 @@ def _visits(balls: Balls, bounded: bool):
                 [
                     batch.column("query_id").take(taken),
                     batch.column("vector").take(taken),
-                    batch.column("need").take(taken),
+                    batch.column("floor").take(taken),
                     pa.array(cols.astype(np.int32)),
                 ],
-                names=["query_id", "vector", "need", "ball"],
+                names=["query_id", "vector", "floor", "ball"],
             )
 
     return choose
 
 
 def _best_of_block(
-    queries: np.ndarray, need: np.ndarray, items: np.ndarray
+    queries: np.ndarray, floor: np.ndarray, k: int, items: np.ndarray, barred: list[tuple[int, int]]
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, item and score of each query's ``need`` best items; ties to the earlier item.
+    """Row, item and score of each query's ``k`` best items that reach its floor and are not
+    barred; ties to the earlier item.
 
     The matrix product only picks candidates. Their scores are summed again row by row,
     so that equal vectors get equal scores wherever they stand in a block.
     """
     rough = queries @ items.T
-    at = len(items) - np.minimum(need, len(items))
-    kth = np.partition(rough, np.unique(at), axis=1)[np.arange(len(queries)), at]
+    for row, col in barred:
+        rough[row, col] = -np.inf
+    at = len(items) - min(k, len(items))
+    kth = np.partition(rough, at, axis=1)[:, at]
     scale = np.sqrt((queries**2).sum(axis=1) * (items**2).sum(axis=1).max())
-    rows, cols = np.nonzero(rough >= (kth - SLACK * (1 + scale))[:, None])
+    least = np.maximum(kth, floor) - SLACK * (1 + scale)
+    rows, cols = np.nonzero((rough >= least[:, None]) & (rough > -np.inf))
     score = np.empty(len(rows))
     for start in range(0, len(rows), RESCORE):
         part = slice(start, start + RESCORE)
@@ -189,67 +197,96 @@ def _best_of_block(
     order = np.lexsort((cols, -score, rows))
     rows, cols, score = rows[order], cols[order], score[order]
     first = np.searchsorted(rows, np.arange(len(queries)))
-    kept = np.arange(len(rows)) - first[rows] < need[rows]
+    kept = np.arange(len(rows)) - first[rows] < k
     return rows[kept], cols[kept], score[kept]
 
 
-def _score_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            names, q_ids = _rows(batch.column("ids"), i), _rows(batch.column("q_ids"), i)
-            items = _rows(batch.column("vecs"), i).to_numpy().reshape(len(names), -1)
-            queries = _rows(batch.column("q_vecs"), i).to_numpy().reshape(len(q_ids), -1)
-            need = _rows(batch.column("need"), i).to_numpy()
-            rows, cols, score = _best_of_block(
-                queries.astype(np.float64), need, items.astype(np.float64)
-            )
-            yield pa.RecordBatch.from_arrays(
-                [q_ids.take(pa.array(rows)), names.take(pa.array(cols)), pa.array(score)],
-                names=["query_id", "id", "score"],
-            )
-
-
-def _scored(visits: DataFrame, balls: Balls, query_block: int) -> DataFrame:
-    """Meet packed queries with the blocks of the balls they visit.
-
-    A ball that many queries visit is handed to several tasks: its queries are dealt to
-    lanes and its blocks are copied to each lane.
-    """
+def _score_blocks(centres: np.ndarray, k: int):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                names, q_ids = _rows(batch.column("ids"), i), _rows(batch.column("q_ids"), i)
+                queries = _rows(batch.column("q_vecs"), i).to_numpy().reshape(len(q_ids), -1)
+                queries = queries.astype(np.float64)
+                floor = _rows(batch.column("floor"), i).to_numpy()
+                centre = centres[batch.column("ball")[i].as_py()]
+                norm = np.sqrt((queries**2).sum(axis=1))
+                bound = queries @ centre + norm * batch.column("reach")[i].as_py()
+                able = np.flatnonzero(bound + SLACK * (1 + norm) >= floor)
+                if not len(able):
+                    continue
+                items = _rows(batch.column("vecs"), i).to_numpy().reshape(len(names), -1)
+                hidden = batch.column("barred")[i].as_py()
+                barred = []
+                if any(hidden[row] for row in able):
+                    place = {name: col for col, name in enumerate(names.to_pylist())}
+                    barred = [
+                        (n, place[name])
+                        for n, row in enumerate(able)
+                        for name in hidden[row] if name in place
+                    ]
+                rows, cols, got = _best_of_block(
+                    queries[able], floor[able], k, items.astype(np.float64), barred
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [q_ids.take(pa.array(able[rows])), names.take(pa.array(cols)), pa.array(got)],
+                    names=["query_id", "id", "score"],
+                )
+
+    return score
+
+
+def _scored(
+    visits: DataFrame, balls: Balls, k: int, hidden: DataFrame | None, query_block: int
+) -> DataFrame:
+    """Meet packed queries with the blocks of the balls they visit."""
     chunks = F.ceil(F.col("_n") / F.lit(query_block))
     lanes = F.ceil(chunks / F.lit(CHUNKS_PER_LANE))
-    # One row per ball, at most MAX_PIVOTS: a bounded broadcast.
+    number = balls.blocks.groupBy("ball").agg(F.max("block").alias("_last"))
+    # One row per ball.
     crowd = F.broadcast(
         visits.groupBy("ball")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select("ball", chunks.alias("_chunks"), lanes.alias("_lanes"))
+        .join(number, "ball")
+        .select("ball", "_last", chunks.alias("_chunks"), lanes.alias("_lanes"))
     )
-    dealt = (
-        visits.join(crowd, "ball")
-        .withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("_chunks")))
-        .withColumn("lane", F.pmod(F.col("chunk"), F.col("_lanes")))
+    if hidden is None:
+        barred = visits.withColumn("barred", F.array().cast("array<string>"))
+    else:
+        barred = visits.join(hidden, ["query_id", "ball"], "left").withColumn(
+            "barred", F.coalesce("barred", F.array().cast("array<string>"))
+        )
+    dealt = barred.join(crowd, "ball").withColumn(
+        "chunk", F.pmod(F.xxhash64("query_id"), F.col("_chunks"))
     )
-    keys = ["ball", "lane"]
-    packed = _packed(spread(dealt, *keys), [*keys, "chunk"], "query_id", "vector", "need")
-    asked = packed.select(*keys, F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), "need")
-    copies = balls.blocks.join(crowd, "ball").withColumn(
-        "lane", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_lanes") - 1))
+    dealt = dealt.withColumn("lane", F.pmod(F.col("chunk"), F.col("_lanes")))
+    keys = ["ball", "lane", "chunk"]
+    packed = _packed(spread(dealt, *keys), [*keys, "_last"], "query_id", "vector", "floor", "barred")
+    asked = packed.select(
+        "ball", "lane", F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")).alias("block"),
+        F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), "floor", "barred",
+    )
+    copies = balls.blocks.join(crowd, "ball").select(
+        "ball", "block", "ids", "vecs", "reach",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_lanes") - 1)).alias("lane"),
+    )
+    on = ["ball", "block", "lane"]
+    met = spread(asked, *on).join(copies, on)
+    met = met.select("ball", "reach", "q_ids", "q_vecs", "floor", "barred", "ids", "vecs")
+    return met.mapInArrow(
+        _score_blocks(balls.centres, k), "query_id string, id string, score double"
     )
-    met = asked.join(copies, keys).select("q_ids", "q_vecs", "need", "ids", "vecs")
-    return met.mapInArrow(_score_blocks, "query_id string, id string, score double")
 
 
-def _floors(first: DataFrame, asks: DataFrame) -> DataFrame:
-    """Add to each query the score that its last needed item has at least.
+def _floors(first: DataFrame, asks: DataFrame, k: int) -> DataFrame:
+    """Give each query the score that its ``k``-th item has at least.
 
     A query that the first visits did not fill has no such score: it visits every ball.
     """
-    window = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    ranked = first.withColumn("_place", F.row_number().over(window))
-    last = ranked.select("query_id", F.col("_place").cast("bigint").alias("need"), "score")
-    return asks.join(last, ["query_id", "need"], "left").select(
+    last = topk_per(first, ["query_id"], [F.desc("score")], k).filter(F.col("rank") == k)
+    return asks.drop("floor").join(last.select("query_id", "score"), "query_id", "left").select(
         "query_id",
         "vector",
-        "need",
         F.coalesce(F.col("score"), F.lit(float("-inf"))).alias("floor"),
     )
 
@@ -265,30 +302,27 @@ def topk_ip(
     """The ``k`` items with the largest inner product for every query, exactly.
 
     ``queries(query_id, vector)``, ``items(id, embedding)``, ``exclude(query_id, id)``.
-    Excluding ``s`` ids from a query can only lift lower items into its list, so its best
-    ``k + s`` are found and the excluded ones removed: the list is full whenever enough
+    Excluded items are left out where blocks are scored, so a list is full whenever enough
     items exist. Equal scores rank by id. Returns ``(query_id, id, score, rank)``.
     """
     balls = balls or build_balls(items)
     asks = queries.select("query_id", F.col("vector").cast("array<float>").alias("vector"))
     asks = asks.filter(F.col("vector").isNotNull())
-    if exclude is None:
-        asks = asks.withColumn("need", F.lit(k).cast("bigint"))
-    else:
+    hidden = None
+    need = F.lit(k).cast("bigint")
+    if exclude is not None:
         counts = exclude.groupBy("query_id").agg(F.count(F.lit(1)).alias("_s"))
-        asks = asks.join(counts, "query_id", "left").select(
-            "query_id", "vector", (F.lit(k) + F.coalesce(F.col("_s"), F.lit(0))).alias("need")
-        )
+        asks = asks.join(counts, "query_id", "left")
+        need = need + F.coalesce(F.col("_s"), F.lit(0))
+        at = exclude.select("query_id", "id").distinct().join(balls.places, "id")
+        # What one query has excluded of one ball.
+        hidden = cut(at.groupBy("query_id", "ball").agg(F.collect_list("id").alias("barred")))
+    none = F.lit(float("-inf")).alias("floor")
     # Counting, dealing and scoring all read the queries.
-    asks = cut(asks)
-    kind = "query_id string, vector array<float>, need bigint, ball int"
-    if len(balls.centres) == 1:
-        visits = asks.select("*", only_ball("query_id"))
-    else:
-        first = _scored(asks.mapInArrow(_visits(balls, False), kind), balls, query_block)
-        floors = cut(_floors(first, asks))
-        visits = floors.mapInArrow(_visits(balls, True), kind)
-    cands = _scored(visits, balls, query_block)
-    if exclude is not None:
-        cands = cands.join(exclude.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    asks = cut(asks.select("query_id", "vector", need.alias("need"), none))
+    kind = "query_id string, vector array<float>, floor double, ball int"
+    first = _scored(asks.mapInArrow(_visits(balls, False), kind), balls, k, hidden, query_block)
+    floors = cut(_floors(first, asks, k))
+    visits = floors.mapInArrow(_visits(balls, True), kind)
+    cands = _scored(visits, balls, k, hidden, query_block)
     return topk_per(cands, ["query_id"], [F.desc("score"), F.asc("id")], k)

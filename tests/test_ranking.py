@@ -74,6 +74,39 @@ def test_topk_emits_no_cross_join(spark):
         assert "Cartesian" not in plan.toString() and "NestedLoop" not in plan.toString()
 
 
+def test_topk_spreads_over_tasks(spark):
+    rng = np.random.default_rng(4)
+    items = {f"i{n:04d}": rng.normal(size=8) for n in range(600)}
+    queries = {f"q{n:03d}": rng.normal(size=8) for n in range(80)}
+    i = vector_frame(spark, items, "id", "embedding")
+    q = vector_frame(spark, queries, "query_id", "vector")
+    balls = topk.build_balls(i, 50, 1)  # one ball: its blocks alone spread the work
+    asks = q.select("query_id", "vector", F.lit(float("-inf")).alias("floor"), F.lit(0).alias("ball"))
+    found = topk._scored(asks, balls, 5, None, 16)
+    tasks = found.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 1
+
+
+def test_topk_leaves_out_far_blocks_and_low_scores(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16)) * 10
+    items = {f"i{n:04d}": centres[n % 40] + rng.normal(size=16) * 0.05 for n in range(2000)}
+    queries = {f"q{n:02d}": centres[n] for n in range(40)}
+    i = vector_frame(spark, items, "id", "embedding")
+    q = vector_frame(spark, queries, "query_id", "vector")
+    balls = topk.build_balls(i, 25, 200)
+    asks = q.select("query_id", "vector", F.lit(5).cast("long").alias("need"), F.lit(float("-inf")).alias("floor"))
+    kind = "query_id string, vector array<float>, floor double, ball int"
+    first = topk._scored(asks.mapInArrow(topk._visits(balls, False), kind), balls, 5, None, 16)
+    floors = topk._floors(first, asks, 5)
+    visits = floors.mapInArrow(topk._visits(balls, True), kind)
+    assert visits.count() < 40 * 200 / 4
+    rows = topk._scored(visits, balls, 5, None, 16)
+    low = rows.join(floors, "query_id").filter(F.col("score") < F.col("floor") - 1e-6)
+    assert low.isEmpty() and rows.count() < 40 * 5 * 8
+    assert ranked(topk.topk_ip(q, i, 5, None, balls)) == brute_topk(queries, items, 5)
+
+
 def test_minmax(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", 2.0), ("b", 5.0), ("c", 2.0), ("c", 2.0)], "q string, s double")
     got = sorted((r["q"], r["scaled"]) for r in ranking.minmax(df, "q", "s").collect())
