@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.operators.ranking import (
     fallback_songs,
     hybrid_rank,
+    hydrate,
     seeded_sample,
     topk_per,
 )
@@ -53,10 +53,55 @@ def reset_served(served: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def mark_served(served: DataFrame, new: DataFrame, served_at_ms: int) -> DataFrame:
-    """Add new ids to the served table; an id served again keeps its last time."""
-    added = new.select("user_id", "id", F.lit(served_at_ms).cast("bigint").alias("served_at"))
-    both = served.select("user_id", "id", "served_at").unionByName(added)
-    return both.groupBy("user_id", "id").agg(F.max("served_at").alias("served_at"))
+    """Append a new batch ``(user_id, id, rank)`` to the queues: the state after a refill.
+
+    ``served(user_id, id, position, queued, served_at)`` holds each session's ids once; new
+    ones wait at the end of their user's queue, in the order of ``rank``. An id generated again
+    waits again.
+    """
+    columns = ["user_id", "id", "position", "queued", "served_at"]
+    ends = served.groupBy("user_id").agg(F.max("position").alias("_end"))
+    place = F.coalesce(F.col("_end"), F.lit(0)) + F.col("rank")
+    added = new.join(ends, "user_id", "left").select(
+        "user_id", "id", place.cast("bigint").alias("position"), F.lit(True).alias("queued"),
+        F.lit(served_at_ms).cast("bigint").alias("served_at"),
+    )
+    both = served.select(*columns).unionByName(added)
+    return both.groupBy("user_id", "id").agg(
+        *(F.max(c).alias(c) for c in ("position", "queued", "served_at"))
+    )
+
+
+def hand_out(state: DataFrame, asks: DataFrame, songs: DataFrame, limit: int, quota: Quota) -> tuple[DataFrame, DataFrame]:
+    """Answer ``asks(query_id, user_id)`` from the queues: ``(pages, state afterwards)``.
+
+    A user's queries, in the order of their ids, take the next ``limit`` waiting ids each. A page
+    holds those that have a song, with its data; ``rank`` counts places of the page, songs or
+    not. More follows a page with songs while ids wait behind it or the session has room.
+    """
+    limit = min(limit, quota.cap)
+    turn = F.row_number().over(Window.partitionBy("user_id").orderBy("query_id"))
+    turns = cut(asks.select("query_id", "user_id").withColumn("turn", turn))
+    counts = feed_state(state).join(turns.select("user_id").distinct(), "user_id")
+    most = F.max("turn") * limit
+    wanted = turns.groupBy("user_id").agg(most.alias("_wanted"))
+    line = state.filter("queued").join(wanted, "user_id")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("position", "id"))
+    popped = cut(line.withColumn("_place", place).filter(F.col("_place") <= F.col("_wanted")))
+    pages = (
+        popped.select(
+            "user_id", "id", F.ceil(F.col("_place") / limit).cast("int").alias("turn"),
+            ((F.col("_place") - 1) % limit + 1).cast("int").alias("rank"),
+        )
+        .join(turns, ["user_id", "turn"])
+        .join(counts, "user_id")
+    )
+    more = (F.col("n_queued") > F.col("turn") * limit) | (F.col("n_generated") < quota.cap)
+    shown = hydrate(pages.withColumn("has_more", more), songs)
+    after = state.join(popped.select("user_id", "id", F.lit(True).alias("_out")), ["user_id", "id"], "left")
+    queued = F.col("queued") & F.col("_out").isNull()
+    after = after.select("user_id", "id", "position", queued.alias("queued"), "served_at")
+    return shown.drop("turn", "n_queued", "n_generated"), after
 
 
 def feed_state(served: DataFrame) -> DataFrame:
@@ -82,21 +127,22 @@ def refills(users: DataFrame, state: DataFrame, quota: Quota) -> DataFrame:
     )
 
 
-def feed_pool(quota: int) -> int:
+# How many candidates lists of a length are drawn from.
+def feed_pool(quota: Column) -> Column:
     """How many candidates a personal quota is drawn from."""
-    return max(int(quota * (3.0 if quota <= 50 else 1.2)), 20)
+    pool = F.floor(quota * F.when(quota <= 50, 3.0).otherwise(1.2))
+    return F.greatest(pool, F.lit(20)).cast("bigint")
 
 
-def next_pool(limit: int) -> int:
+def next_pool(limit: Column) -> Column:
     """How many candidates each of the two next-song lists holds."""
-    return max(int(limit * (3.0 if limit <= 50 else 1.5)), PLAYLIST.refill_below)
+    pool = F.floor(limit * F.when(limit <= 50, 3.0).otherwise(1.5))
+    return F.greatest(pool, F.lit(15)).cast("bigint")
 
 
-def _pools(rule: Callable[[int], int], batch: int) -> tuple[int, Callable[[Column], Column]]:
-    """The largest pool a batch can ask for, and the pool as a column of the quota."""
-    sizes = [rule(n) for n in range(batch + 1)]
-    table = F.array(*[F.lit(s) for s in sizes])
-    return max(sizes), lambda n: F.element_at(table, n.cast("int") + 1)
+def _most(requests: DataFrame, n: Column) -> int:
+    """The largest ``n`` that a request table holds."""
+    return int(requests.agg(F.max(n)).first()[0] or 0)
 
 
 def home_feed(
@@ -106,7 +152,6 @@ def home_feed(
     songs: DataFrame,
     served: DataFrame,
     seed: int,
-    batch: int = FEED.batch,
 ) -> DataFrame:
     """Ranked feed ids for ``wanted(user_id, n)``.
 
@@ -124,19 +169,19 @@ def home_feed(
     )
     asks = wanted.filter(F.col("vector").isNotNull())
     seen = served.select("user_id", "id")
-    most, pool_of = _pools(feed_pool, batch)
     best = topk_ip(
         asks.select(F.col("user_id").alias("query_id"), "vector"),
         items,
-        most,
+        max(1, _most(asks, feed_pool(F.col("quota")))),
         seen.withColumnRenamed("user_id", "query_id"),
     ).withColumnRenamed("query_id", "user_id")
     pool = best.join(asks.select("user_id", "quota"), "user_id").filter(
-        F.col("rank") <= pool_of(F.col("quota"))
+        F.col("rank") <= feed_pool(F.col("quota"))
     )
+    longest = _most(asks, F.col("quota"))
     taken = cut(
         seeded_sample(
-            pool.select("user_id", "id", "quota"), "user_id", batch, seed, F.col("quota")
+            pool.select("user_id", "id", "quota"), "user_id", longest, seed, F.col("quota")
         ).select("user_id", "id", "rank")
     )
     got = taken.groupBy("user_id").agg(F.count(F.lit(1)).alias("_got"))
@@ -159,7 +204,6 @@ def next_songs(
     songs: DataFrame,
     served: DataFrame,
     seed: int,
-    batch: int = PLAYLIST.batch,
 ) -> DataFrame:
     """Ranked next songs for ``requests(query_id, user_id, current_song_id, n)``.
 
@@ -181,18 +225,19 @@ def next_songs(
     seen = seen.select("query_id", "id")
     current = queries.select("query_id", F.col("current_song_id").alias("id"))
     hidden = cut(seen.unionByName(current).distinct())
-    most, pool_of = _pools(next_pool, batch)
+    longest = _most(queries, F.col("n"))
+    most = max(1, _most(queries, next_pool(F.col("n"))))
 
     def candidates(vector: str, table: DataFrame) -> DataFrame:
         asks = queries.select("query_id", F.col(vector).alias("vector"))
-        limits = queries.select("query_id", pool_of(F.col("n")).alias("_pool"))
+        limits = queries.select("query_id", next_pool(F.col("n")).alias("_pool"))
         best = topk_ip(asks, table, most, hidden).join(limits, "query_id")
         return best.filter(F.col("rank") <= F.col("_pool"))
 
     als, similar = candidates("taste", items), candidates("sound", content)
     merged = cut(
         topk_per(
-            hybrid_rank(als, similar), ["query_id"], [F.desc("score"), F.asc("id")], batch
+            hybrid_rank(als, similar), ["query_id"], [F.desc("score"), F.asc("id")], longest
         )
     )
     ranked = merged.join(queries.select("query_id", "n"), "query_id").filter(

@@ -41,12 +41,17 @@ def page(
 
 
 def paginate(
-    ranked: DataFrame, page_size: int, cap: int, already: DataFrame | None = None
+    ranked: DataFrame,
+    page_size: int,
+    cap: int,
+    already: DataFrame | None = None,
+    songs: DataFrame | None = None,
 ) -> DataFrame:
     """Page numbers for ranked lists, and whether more can follow each page.
 
     More follows while the list goes on, or while the ids generated so far (this list
-    and ``already(user_id, n_generated)``) stay under the cap.
+    and ``already(user_id, n_generated)``) stay under the cap. With ``songs(_id)`` nothing
+    follows a page none of whose ids has a song.
     """
     lists = ranked.groupBy("user_id").agg(F.max("rank").alias("_size"))
     before = F.lit(0)
@@ -56,12 +61,22 @@ def paginate(
     lists = lists.select("user_id", "_size", (before + F.col("_size")).alias("_generated"))
     number = F.ceil(F.col("rank") / F.lit(page_size)).cast("int")
     remaining = F.col("_size") > F.col("page") * page_size
-    return (
+    pages = (
         ranked.join(lists, "user_id")
         .withColumn("page", number)
         .withColumn("has_more", remaining | (F.col("_generated") < cap))
         .select(*ranked.columns, "page", "has_more")
     )
+    if songs is None:
+        return pages
+    shown = pages.join(songs.select(F.col("_id").alias("id")), "id", "left_semi")
+    filled = shown.select("user_id", "page").distinct().withColumn("_filled", F.lit(True))
+    return (
+        pages.join(filled, ["user_id", "page"], "left")
+        .withColumn("has_more", F.col("has_more") & F.col("_filled").isNotNull())
+        .select(*ranked.columns, "page", "has_more")
+    )
+
 
 
 def minmax(df: DataFrame, by: str, col: str, out: str = "scaled") -> DataFrame:

@@ -23,9 +23,18 @@ from earshot.operators.counts import (
     resync_trending,
     trending_7d,
 )
-from earshot.operators.feed import FEED, PLAYLIST, feed_state, home_feed, next_songs, refills
+from earshot.operators.feed import (
+    FEED,
+    PLAYLIST,
+    feed_state,
+    hand_out,
+    home_feed,
+    mark_served,
+    next_songs,
+    refills,
+)
 from earshot.operators.merge import cascade_delete, merge_set, profile_table
-from earshot.operators.ranking import hydrate
+from earshot.operators.ranking import hydrate, topk_per
 from earshot.operators.search import search_songs, token_index
 from earshot.operators.training import (
     Params,
@@ -34,6 +43,7 @@ from earshot.operators.training import (
     export_user_factors,
     train,
 )
+from earshot.session import cut
 from earshot.sources.lake import sort_history
 from earshot.sources.master import SONG_IDS, read_master_jsonl
 from earshot.sources.tables import (
@@ -166,26 +176,43 @@ class Tables:
     playlist_served: DataFrame
 
 
+@dataclass(frozen=True)
+class Served:
+    """Answers to a table of requests, and the session tables afterwards."""
+
+    feeds: DataFrame
+    following: DataFrame
+    found: DataFrame
+    feed_served: DataFrame
+    playlist_served: DataFrame
+
+
 def serve_batch(
-    requests: DataFrame, tables: Tables, limit: int, seed: int
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(feeds, next songs, search pages)`` for a table of requests, with song data.
+    requests: DataFrame, tables: Tables, limit: int, seed: int, now_ms: int
+) -> Served:
+    """Answer every request: feed pages, next-song pages and search pages, with song data.
 
     ``requests(query_id, kind, user_id, current_song_id, text)`` with kind feed, next or
-    search. Feeds and playlists are refilled by quota; ``feed_served`` and
-    ``playlist_served`` hold ``(user_id, id, queued)`` of the live sessions.
+    search. Queues that run low are refilled first, by quota; then each feed and next request is
+    handed the next ``limit`` ids of its user's queue. ``feed_served`` and ``playlist_served``
+    hold ``(user_id, id, position, queued, served_at)`` of the live sessions, before and after. A
+    user's playlist is refilled for the first of their requests in the batch.
     """
-    feeds = requests.filter(F.col("kind") == "feed").select("user_id").distinct()
-    wanted = refills(feeds, feed_state(tables.feed_served), FEED)
-    feed = home_feed(
+    feeds = requests.filter(F.col("kind") == "feed").select("query_id", "user_id")
+    wanted = refills(feeds.select("user_id").distinct(), feed_state(tables.feed_served), FEED)
+    fresh = home_feed(
         wanted, tables.vectors, tables.items, tables.songs, tables.feed_served, seed
     )
+    state = cut(mark_served(tables.feed_served, fresh, now_ms))
+    shown, feed_after = hand_out(state, feeds, tables.songs, limit, FEED)
+
     plays = requests.filter(F.col("kind") == "next")
-    room = refills(
-        plays.select("user_id").distinct(), feed_state(tables.playlist_served), PLAYLIST
-    )
-    following = next_songs(
-        plays.join(room, "user_id"),
+    first = topk_per(
+        plays.select("query_id", "user_id", "current_song_id"), ["user_id"], [F.asc("query_id")], 1
+    ).drop("rank")
+    room = refills(first.select("user_id"), feed_state(tables.playlist_served), PLAYLIST)
+    after = next_songs(
+        first.join(room, "user_id"),
         tables.vectors,
         tables.items,
         tables.content,
@@ -193,12 +220,11 @@ def serve_batch(
         tables.playlist_served,
         seed,
     )
+    batch = after.join(first.select("query_id", "user_id"), "query_id")
+    state = cut(mark_served(tables.playlist_served, batch.select("user_id", "id", "rank"), now_ms))
+    asks = plays.select("query_id", "user_id")
+    following, playlist_after = hand_out(state, asks, tables.songs, limit, PLAYLIST)
+
     texts = requests.filter(F.col("kind") == "search").select("query_id", "text")
     found = search_songs(token_index(tables.songs), texts, limit)
-    return (
-        hydrate(feed, tables.songs),
-        hydrate(following, tables.songs),
-        hydrate(found, tables.songs),
-    )
-
-
+    return Served(shown, following, hydrate(found, tables.songs), feed_after, playlist_after)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from earshot.operators.counts import play_counts, resync_trending, trending_7d
@@ -160,17 +160,38 @@ class Fixtures:
 
     def served(self) -> DataFrame:
         """What each user was served: every track of theirs; skipped ones still wait."""
-        return (
-            self.play_log()
-            .groupBy("user_id", F.col("track_id").alias("id"))
-            .agg(
-                F.max("timestamp").alias("served_at"),
-                F.min(F.col("action") == "skip").alias("queued"),
-            )
+        last = self.play_log().groupBy("user_id", F.col("track_id").alias("id")).agg(
+            F.max("timestamp").alias("served_at"),
+            F.min(F.col("action") == "skip").alias("queued"),
         )
+        place = F.row_number().over(Window.partitionBy("user_id").orderBy("served_at", "id"))
+        return last.withColumn("position", place.cast("bigint"))
 
     def feed_served(self) -> DataFrame:
-        return active_served(self.served(), AS_OF_MS, 86_400_000)
+        """Live sessions, and three kinds more: a full queue, one whose first ids have no song, and
+        a session at its cap."""
+        alive = active_served(self.served(), AS_OF_MS, 86_400_000)
+        users = self.user_ids().withColumn("_kind", F.col("user_id").cast("bigint") % 10)
+
+        def more(kind: int, n: int, queued: bool, name: str, first: int) -> DataFrame:
+            k = F.explode(F.sequence(F.lit(1), F.lit(n)))
+            some = users.filter(F.col("_kind") == kind).select("user_id", k.alias("k"))
+            return some.select(
+                "user_id",
+                F.concat(F.lit(name), F.col("k").cast("string")).alias("id"),
+                F.lit(AS_OF_MS).alias("served_at"),
+                F.lit(queued).alias("queued"),
+                (F.col("k") + first).cast("bigint").alias("position"),
+            )
+
+        full = more(1, 40, True, "", 1_000_000)
+        ghosts = more(2, 25, True, "ghost-", -1_000)
+        capped = more(3, 500, False, "old-", -1_000)
+        new = full.join(alive.select("user_id", "id"), ["user_id", "id"], "left_anti")
+        out = alive.select("user_id", "id", "served_at", "queued", "position")
+        for part in (new, ghosts, capped):
+            out = out.unionByName(part)
+        return out
 
     def requests(self) -> DataFrame:
         """Each listener asks for what follows their latest track."""

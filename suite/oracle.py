@@ -57,13 +57,25 @@ VIEWS: dict[str, str] = {
                     WHEN turn % 2 = 0 THEN 'play' ELSE 'pause' END AS kind
         FROM conversations""",
     "served": """
-        SELECT user_id, track_id AS id, max("timestamp") AS served_at,
-               bool_and(action = 'skip') AS queued
-        FROM play_log GROUP BY ALL""",
-    "feed_served": f"""
+        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY served_at, id) AS position
+        FROM (SELECT user_id, track_id AS id, max("timestamp") AS served_at,
+                     bool_and(action = 'skip') AS queued
+              FROM play_log GROUP BY ALL)""",
+    "alive": f"""
         SELECT * FROM served WHERE user_id IN (
             SELECT user_id FROM served GROUP BY user_id
             HAVING {AS_OF_MS} < max(served_at) + 86400000)""",
+    "feed_served": f"""
+        SELECT user_id, id, served_at, queued, position FROM alive UNION ALL
+        SELECT c_custkey::VARCHAR, k::VARCHAR, {AS_OF_MS}, TRUE, 1000000 + k
+        FROM customer, unnest(range(1, 41)) AS r(k)
+        WHERE c_custkey % 10 = 1 AND NOT EXISTS (
+            SELECT 1 FROM alive a WHERE a.user_id = c_custkey::VARCHAR AND a.id = k::VARCHAR)
+        UNION ALL
+        SELECT c_custkey::VARCHAR, 'ghost-' || k, {AS_OF_MS}, TRUE, k - 1000
+        FROM customer, unnest(range(1, 26)) AS r(k) WHERE c_custkey % 10 = 2 UNION ALL
+        SELECT c_custkey::VARCHAR, 'old-' || k, {AS_OF_MS}, FALSE, k - 1000
+        FROM customer, unnest(range(1, 501)) AS r(k) WHERE c_custkey % 10 = 3""",
     # Sessions of plays whose track has a vector; w is the play's weight in the average.
     "vec_sessions": """
         SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY "timestamp", track_id
@@ -530,7 +542,9 @@ SQL: dict[str, str] = {
     "home_feed": "SELECT user_id, id, source, rank::INTEGER AS rank FROM feed",
     "paginate_feed": """
         SELECT f.user_id, id, f.rank::INTEGER AS rank, ceil(f.rank / 20)::INTEGER AS page,
-               size > ceil(f.rank / 20) * 20 OR coalesce(g, 0) + size < 500 AS has_more
+               (size > ceil(f.rank / 20) * 20 OR coalesce(g, 0) + size < 500)
+                 AND count_if(id IN (SELECT p_partkey::VARCHAR FROM part))
+                       OVER (PARTITION BY f.user_id, ceil(f.rank / 20)) > 0 AS has_more
         FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS size FROM feed) f
         LEFT JOIN (SELECT user_id, count(*) AS g FROM feed_served GROUP BY user_id) s
           ON f.user_id = s.user_id""",
@@ -544,9 +558,19 @@ SQL: dict[str, str] = {
         FROM served GROUP BY user_id""",
     "active_served": "SELECT user_id, id FROM feed_served",
     "mark_served": f"""
-        SELECT user_id, id, max(served_at)::BIGINT AS served_at
-        FROM (SELECT user_id, id, served_at FROM served UNION ALL
-              SELECT c_custkey::VARCHAR, '5', {AS_OF_MS} FROM customer) GROUP BY user_id, id""",
+        SELECT user_id, id, max(position)::BIGINT AS position, bool_or(queued) AS queued,
+               max(served_at)::BIGINT AS served_at
+        FROM (SELECT user_id, id, position, queued, served_at FROM served UNION ALL
+              SELECT c_custkey::VARCHAR, '5', coalesce(last, 0) + 1, TRUE, {AS_OF_MS}
+              FROM customer LEFT JOIN (SELECT user_id, max(position) AS last FROM served
+                                       GROUP BY user_id) ON c_custkey::VARCHAR = user_id)
+        GROUP BY user_id, id""",
+    "hand_out": """
+        SELECT user_id, count(*) AS n_generated,
+               greatest(0, count_if(queued)
+                        - CASE WHEN user_id IN (SELECT user_id FROM play_log) THEN 20 ELSE 0 END
+               )::BIGINT AS n_queued
+        FROM feed_served GROUP BY user_id""",
     "reset_served": """
         SELECT user_id, id FROM served WHERE user_id NOT IN (SELECT user_id FROM feed_served)""",
     "search_songs": """
@@ -653,10 +677,9 @@ VIEWS |= {
     "next_ranked": """
         SELECT m.query_id, m.id, m.score, m.rank
         FROM merged m JOIN room r ON m.query_id = r.query_id WHERE rank <= r.n""",
-    "served_feed": """
-        SELECT user_id, id, rank FROM feed WHERE user_id IN (SELECT user_id FROM play_log)""",
     "found": """
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank,
+               count(*) OVER (PARTITION BY query_id) AS n
         FROM (SELECT query_id, id, sum(weight) AS score
               FROM (SELECT DISTINCT query_id,
                            unnest(string_split_regex(lower(p_brand), '[^\\p{L}\\p{N}]+')) AS token
@@ -704,14 +727,40 @@ SQL |= {
         SELECT id, 1 FROM items WHERE id NOT IN {DROPPED} UNION ALL
         SELECT id, 2 FROM content WHERE id NOT IN {DROPPED}""",
     "serve_batch": f"""
-        SELECT kind, query_id, id, rank::INTEGER AS rank FROM (
-            SELECT 'feed' AS kind, user_id AS query_id, id, rank FROM served_feed UNION ALL
-            SELECT 'next', query_id, id, rank FROM next_ranked UNION ALL
-            SELECT 'next', user_id, id, rank FROM ({fallback("lost", "served")}) UNION ALL
-            SELECT 'search', query_id, id, rank FROM found WHERE rank <= 20)
+        SELECT kind, query_id, id, rank::INTEGER AS rank, has_more FROM (
+            SELECT 'feed' AS kind, user_id AS query_id, id, place AS rank,
+                   waiting > 20 OR generated < 500 AS has_more FROM feed_line WHERE place <= 20
+            UNION ALL
+            SELECT 'next', user_id, id, place, waiting > 20 OR generated < 200
+            FROM next_line WHERE place <= 20 UNION ALL
+            SELECT 'search', query_id, id, rank, n > 20 FROM found WHERE rank <= 20)
         WHERE id IN (SELECT id FROM counted)""",
 }
 
 
+def _line(name: str, state: str, batch: str) -> None:
+    """A session table's waiting ids in order after its refill, for everyone who listens."""
+    VIEWS[name] = f"""
+        SELECT l.*, coalesce(g, 0) + coalesce(b, 0) AS generated FROM (
+            SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY position, id) AS place,
+                   count(*) OVER (PARTITION BY user_id) AS waiting
+            FROM (SELECT user_id, id, position FROM {state} WHERE queued UNION ALL
+                  SELECT b.user_id, b.id, coalesce(last, 0) + b.rank
+                  FROM {batch} b LEFT JOIN (SELECT user_id, max(position) AS last FROM {state}
+                                            GROUP BY user_id) e ON b.user_id = e.user_id)) l
+        LEFT JOIN (SELECT user_id, count(*) AS b FROM {batch} GROUP BY user_id) n
+          ON l.user_id = n.user_id
+        LEFT JOIN (SELECT user_id, count(*) AS g FROM {state} GROUP BY user_id) s
+          ON l.user_id = s.user_id
+        WHERE l.user_id IN (SELECT user_id FROM play_log)"""
+
+
+VIEWS["next_batch"] = f"""
+    SELECT query_id AS user_id, id, rank FROM next_ranked UNION ALL
+    SELECT user_id, id, rank FROM ({fallback("lost", "served")})"""
+_line("feed_line", "feed_served", "feed")
+_line("next_line", "served", "next_batch")
+
+
 def statements() -> dict[str, str]:
     return {name: with_views(sql) for name, sql in SQL.items()}

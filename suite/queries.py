@@ -555,7 +555,7 @@ def home_feed(fx):
 @register
 def paginate_feed(fx):
     state = feed.feed_state(fx.feed_served())
-    return ranking.paginate(feeds(fx).drop("source"), 20, feed.FEED.cap, state)
+    return ranking.paginate(feeds(fx).drop("source"), 20, feed.FEED.cap, state, fx.names())
 
 
 @register
@@ -591,10 +591,18 @@ def active_served(fx):
 
 @register
 def mark_served(fx):
-    new = fx.user_ids().withColumn("id", F.lit("5"))
+    new = fx.user_ids().select("user_id", F.lit("5").alias("id"), F.lit(1).alias("rank"))
     return feed.mark_served(fx.served(), new, AS_OF_MS)
 
 
+@register
+def hand_out(fx):
+    """The queues after every listener took one page of 20."""
+    asks = fx.requests().select("query_id", "user_id")
+    _, after = feed.hand_out(fx.feed_served(), asks, fx.names(), 20, feed.FEED)
+    return feed.feed_state(after)
+
+
 @register
 def reset_served(fx):
     quiet = fx.feed_served().select("user_id")
@@ -787,23 +795,23 @@ def serve_batch(fx):
     asked = listeners.join(brand, "current_song_id", "left").select(
         "query_id", "user_id", "current_song_id", "text", F.explode(F.array(*map(F.lit, ("feed", "next", "search")))).alias("kind")
     )
-    served = fx.feed_served()
-    feeds_, following, found = jobs.serve_batch(
+    out = jobs.serve_batch(
         asked,
         jobs.Tables(
-            fx.counted_songs(), fx.items(), fx.content(), fx.vectors(), served, fx.served()
+            fx.counted_songs(), fx.items(), fx.content(), fx.vectors(), fx.feed_served(), fx.served()
         ),
         20,
         SEED,
+        AS_OF_MS,
     )
 
-    def rows(df: DataFrame, kind: str, key: str) -> DataFrame:
-        return df.select(F.lit(kind).alias("kind"), F.col(key).alias("query_id"), "id", "rank")
+    def rows(df: DataFrame, kind: str) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), "query_id", "id", "rank", "has_more")
 
     return (
-        rows(feeds_, "feed", "user_id")
-        .unionByName(rows(following, "next", "query_id"))
-        .unionByName(rows(found, "search", "query_id"))
+        rows(out.feeds, "feed")
+        .unionByName(rows(out.following, "next"))
+        .unionByName(rows(out.found, "search"))
     )
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from earshot.operators import content, training
+from earshot.operators import feed, content, training
 from earshot.operators.events import with_event_date
 from earshot.plans import jobs
 from earshot.schemas import SONGS, USERS, conform
@@ -178,16 +178,49 @@ def test_serve_batch(spark):
     )
     vecs = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=3)]) for i in ids], "id string, embedding array<float>")
     requests = spark.createDataFrame(
-        [("f", "feed", "u", None, None), ("n", "next", "u", "s05", None), ("s", "search", None, None, "s07 song")],
+        [("f", "feed", "u", None, None), ("f2", "feed", "u", None, None)]
+        + [(u, "feed", u, None, None) for u in ("full", "ghost", "capped")]
+        + [("n", "next", "u", "s05", None), ("s", "search", None, None, "s07 song")],
         "query_id string, kind string, user_id string, current_song_id string, text string",
     )
-    served = spark.createDataFrame([("u", "s01", False)], "user_id string, id string, queued boolean")
+    kind = "user_id string, id string, position long, queued boolean, served_at long"
+    feeds = spark.createDataFrame(
+        [("u", "s01", 1, False, 5)]
+        + [("full", f"s{i:02d}", i + 1, True, 5) for i in range(25)]
+        + [("ghost", f"x{i}", i, True, 5) for i in range(20)]
+        + [("capped", f"o{i}", i, False, 5) for i in range(498)]
+        + [("capped", f"s{i:02d}", 500 + i, True, 5) for i in range(3)],
+        kind,
+    )
+    served = spark.createDataFrame([("u", "s01", 1, False, 5)], kind)
     tastes = spark.createDataFrame([("u", True, [1.0, 0.0, 0.0])], "user_id string, has_long boolean, vector array<double>")
-    feeds, following, found = jobs.serve_batch(
-        requests, jobs.Tables(songs, vecs, vecs, tastes, served, served), 5, 1
+    state = jobs.Tables(songs, vecs, vecs, tastes, feeds, served)
+    out = jobs.serve_batch(requests, state, 5, 1, 9)
+
+    def pages(df):
+        got = {}
+        for r in sorted(df.collect(), key=lambda r: r["rank"]):
+            got.setdefault(r["query_id"], []).append((r["id"], r["has_more"]))
+        return got
+
+    one, following = pages(out.feeds), pages(out.following)
+    assert one["full"] == [(f"s{i:02d}", True) for i in range(5)]  # nothing generated
+    assert one["capped"] == [(f"s{i:02d}", False) for i in range(3)]
+    assert "ghost" not in one  # its first ids have no song
+    assert len(one["f"]) == 5 and len(one["f2"]) == 5 and len(following["n"]) == 5
+    assert not {i for i, _ in one["f"]} & {i for i, _ in one["f2"]}
+    waiting = {r["user_id"]: r["n_queued"] for r in feed.feed_state(out.feed_served).collect()}
+    assert waiting == {"u": 49, "full": 20, "ghost": 15, "capped": 0}
+    # The next batch goes on where this one ended.
+    again = jobs.serve_batch(
+        requests, jobs.Tables(songs, vecs, vecs, tastes, out.feed_served, out.playlist_served), 5, 1, 10
     )
-    assert feeds.count() == 59 and following.count() == 50
-    got = found.orderBy("rank").collect()
+    two = pages(again.feeds)
+    seen = {i for q in ("f", "f2") for i, _ in one[q]}
+    assert len(two["f"]) == 5 and not seen & {i for q in ("f", "f2") for i, _ in two[q]}
+    assert not {i for i, _ in following["n"]} & {i for i, _ in pages(again.following)["n"]}
+    assert two["full"] == [(f"s{i:02d}", True) for i in range(5, 10)]
+    got = out.found.orderBy("rank").collect()
     assert got[0]["id"] == "s07" and len(got) == 5 and got[0]["has_more"]
 
 

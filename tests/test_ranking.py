@@ -258,9 +258,10 @@ def test_next_songs_rules(spark):
 
 def test_refills_and_session_state(spark):
     served = spark.createDataFrame(
-        [("u", f"s{i}", i, i < 5) for i in range(450)] + [("full", f"s{i}", 1, False) for i in range(500)]
-        + [("queue", f"s{i}", 1, True) for i in range(20)],
-        "user_id string, id string, served_at long, queued boolean",
+        [("u", f"s{i}", i, i < 5, i) for i in range(450)]
+        + [("full", f"s{i}", 1, False, i) for i in range(500)]
+        + [("queue", f"s{i}", 1, True, i) for i in range(20)],
+        "user_id string, id string, served_at long, queued boolean, position long",
     )
     users = spark.createDataFrame([("u",), ("full",), ("queue",), ("new",)], "user_id string")
     got = feed.refills(users, feed.feed_state(served), feed.FEED)
@@ -268,8 +269,12 @@ def test_refills_and_session_state(spark):
     alive = feed.active_served(served, 449 + 10, 10)
     assert alive.isEmpty()
     assert feed.active_served(served, 449 + 9, 10).select("user_id").distinct().count() == 1
-    fresh = spark.createDataFrame([("u", "s0"), ("new", "x")], "user_id string, id string")
+    fresh = spark.createDataFrame([("u", "s0", 1), ("new", "x", 1)], "user_id string, id string, rank int")
     marked = feed.mark_served(served, fresh, 9_999)
+    ends = {(r["user_id"], r["position"], r["queued"]) for r in marked.filter("served_at = 9999").collect()}
+    assert ends == {("u", 450, True), ("new", 1, True)}
+    state = {r["user_id"]: r["n_generated"] for r in feed.feed_state(marked).collect()}
+    assert state == {"u": 450, "full": 500, "queue": 20, "new": 1}
     assert marked.filter("served_at = 9999").count() == 2 and marked.count() == 971
     assert feed.reset_served(served, users.filter("user_id = 'full'")).count() == 470
 
