@@ -6,17 +6,14 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.functions.vector import as_vector
-from earshot.operators.catalogue import MAX_CHARS, MIN_CHARS, gate_text, with_lyrics
+from earshot.operators.catalogue import MIN_CHARS, gate_text, with_lyrics
 from earshot.operators.merge import missing_vectors
 from earshot.schemas import CONTENT_DIM
-from earshot.session import cut
 
 
 class Encoder(Protocol):
@@ -30,29 +27,54 @@ class Encoder(Protocol):
     def encode(self, texts: DataFrame, corpus: DataFrame) -> DataFrame: ...
 
 
+def word_buckets(texts: DataFrame, dim: int) -> DataFrame:
+    """``(id, bucket, n)``: how many words of each text fall in each of ``dim`` md5 buckets."""
+    words = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
+    each = texts.select("id", F.explode(F.filter(words, lambda w: w != "")).alias("word"))
+    digest = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint")
+    return each.groupBy("id", (digest % dim).cast("int").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+def fit_rarity(corpus: DataFrame, dim: int = CONTENT_DIM) -> DataFrame:
+    """``(bucket, rarity)`` for all buckets: ln((texts + 1) / (texts with the bucket + 1)).
+
+    Publish it and give it to the encoder, so that vectors made later are comparable.
+    """
+    held = word_buckets(corpus.select("id", "text"), dim).groupBy("bucket")
+    held = held.agg(F.count(F.lit(1)).alias("held"))
+    buckets = corpus.sparkSession.range(dim).select(F.col("id").cast("int").alias("bucket"))
+    share = (F.lit(corpus.count()) + 1) / (F.coalesce("held", F.lit(0)) + 1)
+    return buckets.join(held, "bucket", "left").select("bucket", F.log(share).alias("rarity"))
+
+
 @dataclass(frozen=True)
 class HashingEncoder:
-    """Hashed word counts, weighted by rarity in the corpus and scaled to length one.
+    """Hashed word counts, weighted by rarity and scaled to length one; reads whole texts.
 
-    It reads whole texts. Rarity is fitted on ``corpus``, all songs with lyrics, so a
-    text gets one vector whichever songs are encoded beside it.
+    Without a stored ``rarity(bucket, rarity)`` it is fitted on the corpus, which reads all of it.
     """
 
     dim: int = CONTENT_DIM
+    rarity: DataFrame | None = None
     max_chars: int | None = None
 
     def encode(self, texts: DataFrame, corpus: DataFrame) -> DataFrame:
-        tokenise = RegexTokenizer(
-            inputCol="text", outputCol="words", pattern=r"[^\p{L}\p{N}]+", toLowercase=True
+        rarity = self.rarity if self.rarity is not None else fit_rarity(corpus, self.dim)
+        value = F.struct("bucket", (F.col("n") * F.col("rarity")).alias("x"))
+        # ``dim`` rows.
+        weighed = word_buckets(texts, self.dim).join(F.broadcast(rarity), "bucket")
+        held = weighed.groupBy("id").agg(F.map_from_entries(F.collect_list(value)).alias("_x"))
+        at = F.sequence(F.lit(0), F.lit(self.dim - 1))
+        dense = F.transform(at, lambda i: F.coalesce(F.try_element_at("_x", i), F.lit(0.0)))
+        held = texts.select("id").join(held, "id", "left").withColumn("_v", dense)
+        square = F.aggregate("_v", F.lit(0.0), lambda total, x: total + x * x)
+        length = F.when(square > 0, F.sqrt(square)).otherwise(1.0)
+        unit = held.withColumn("_l", length)
+        return unit.select(
+            "id", F.transform("_v", lambda x: (x / F.col("_l")).cast("float")).alias("embedding")
         )
-        count = HashingTF(inputCol="words", outputCol="counts", numFeatures=self.dim)
-        # Counting reads every text; fitting and weighing then read the short counts.
-        counted = cut(count.transform(tokenise.transform(corpus)).select("id", "counts"))
-        weigh = IDF(inputCol="counts", outputCol="weighed").fit(counted)
-        scale = Normalizer(inputCol="weighed", outputCol="unit", p=2.0)
-        chosen = counted.join(texts.select("id"), "id", "left_semi")
-        unit = as_vector(vector_to_array("unit"))
-        return scale.transform(weigh.transform(chosen)).select("id", unit.alias("embedding"))
 
 
 @dataclass(frozen=True)
@@ -60,23 +82,32 @@ class BatchEncoder:
     """A model applied to batches of ``(id, text)`` inside tasks.
 
     ``make`` runs once per task and returns a function from a batch's texts to their
-    vectors, so the model is loaded once, not per row.
+    vectors, so the model is loaded once, not per row. A model that reads ``window`` characters at
+    most gets longer texts in windows of that length; their vectors are averaged.
     """
 
     make: Callable[[], Callable[[list[str]], list]]
-    max_chars: int | None = MAX_CHARS
+    window: int | None = None
+    max_chars: int | None = None
 
     def encode(self, texts: DataFrame, corpus: DataFrame) -> DataFrame:
-        make = self.make
+        make, window = self.make, self.window
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             model = make()
             for batch in batches:
-                if len(batch):
-                    vectors = model(batch["text"].tolist())
-                    yield pd.DataFrame(
-                        {"id": batch["id"], "embedding": [list(map(float, v)) for v in vectors]}
-                    )
+                if not len(batch):
+                    continue
+                parts = [
+                    [t[i : i + window] for i in range(0, max(len(t), 1), window)]
+                    if window else [t]
+                    for t in batch["text"]
+                ]
+                made = iter(model([p for ps in parts for p in ps]))
+                vectors = [
+                    np.mean([np.asarray(next(made), float) for _ in ps], axis=0).tolist() for ps in parts
+                ]
+                yield pd.DataFrame({"id": batch["id"], "embedding": vectors})
 
         return texts.mapInPandas(run, "id string, embedding array<float>")
 

@@ -40,12 +40,14 @@ def dense_rank_by(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame
     )
 
 
-def build_idmap(df: DataFrame, col: str) -> DataFrame:
-    """``(id, idx)``: ids numbered from 0, most frequent first, ties by id.
+def build_idmap(df: DataFrame, col: str, weight: str | None = None) -> DataFrame:
+    """``(id, n, idx)``: ids numbered from 0, most frequent first, ties by id.
 
-    The trainer takes 32-bit ids, so a larger number fails the job instead of wrapping.
+    ``weight`` names a column of counts if rows stand for several events. The trainer takes
+    32-bit ids, so a larger number fails the job instead of wrapping.
     """
-    counts = df.groupBy(F.col(col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    number = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = df.groupBy(F.col(col).alias("id")).agg(number.alias("n"))
     ranked = dense_rank_by(counts, [F.desc("n"), F.asc("id")], "idx")
     fits = F.when(F.col("idx") <= MAX_INT, F.col("idx").cast("int")).otherwise(
         F.raise_error(F.lit("more ids than a 32-bit index can hold")).cast("int")

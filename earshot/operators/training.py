@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 
 from earshot.functions.vector import as_vector
 from earshot.operators.catalogue import stamp
-from earshot.operators.counts import ratings
 from earshot.operators.events import implicit_score, last_days
 from earshot.operators.indexing import build_idmap, decode_ids, encode_ids
 from earshot.operators.merge import merge_set
 from earshot.operators.topk import topk_ip
-from earshot.session import ensure_checkpoint_dir
+from earshot.session import cut, ensure_checkpoint_dir
 
 WINDOW_DAYS = 90
 
@@ -43,13 +42,14 @@ def training_data(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(triples, user ids, item ids)`` of the trailing window.
 
-    Events collapse to one rating per user and track before any id is looked up, so the
-    joins move pairs, not events. Ids are numbered by how many scored events they have.
+    The lake is read once: events collapse to one rating and count per user and track, and both
+    id maps and the triples come from these. Ids are numbered by how many scored events they have.
     """
-    window = last_days(lake, as_of, days)
-    scored = implicit_score(window)
-    users, items = build_idmap(scored, "user_id"), build_idmap(scored, "track_id")
-    pairs = ratings(window)
+    scored = implicit_score(last_days(lake, as_of, days))
+    rating = F.sum("score").cast("float").alias("rating")
+    pairs = scored.groupBy("user_id", "track_id").agg(rating, F.count(F.lit(1)).alias("events"))
+    pairs = cut(pairs)
+    users, items = build_idmap(pairs, "user_id", "events"), build_idmap(pairs, "track_id", "events")
     triples = encode_ids(
         encode_ids(pairs, users, "user_id", "user_index"), items, "track_id", "item_index"
     )
@@ -57,15 +57,16 @@ def training_data(
 
 
 def train_als(
-    triples: DataFrame, params: Params = Params(), seed: int = 0, blocks: int = 10
+    triples: DataFrame, params: Params = Params(), seed: int = 0, blocks: int | None = None
 ) -> ALSModel:
     """Non-negative implicit factors; the same seed and data give the same factors.
 
     Equal up to rounding: sums run in the order in which blocks arrive.
 
-    ``blocks`` sets how many parts users and items are cut into. The iterations cut their
-    lineage at the shared checkpoint folder.
+    ``blocks`` sets how many parts users and items are cut into, by default as many as the
+    cluster runs tasks at once. The iterations cut their lineage at the shared checkpoint folder.
     """
+    blocks = blocks or max(2, triples.sparkSession.sparkContext.defaultParallelism)
     ensure_checkpoint_dir(triples.sparkSession)
     als = ALS(
         **asdict(params),
@@ -89,7 +90,7 @@ def train(
     params: Params = Params(),
     seed: int = 0,
     days: int = WINDOW_DAYS,
-    blocks: int = 10,
+    blocks: int | None = None,
 ) -> Trained:
     triples, users, items = training_data(lake, as_of, days)
     return Trained(train_als(triples, params, seed, blocks), users, items)

@@ -43,20 +43,24 @@ from earshot.operators.training import (
     export_user_factors,
     train,
 )
+from earshot.schemas import CONTENT_DIM
 from earshot.session import cut
 from earshot.sources.lake import sort_history
 from earshot.sources.master import SONG_IDS, read_master_jsonl
 from earshot.sources.tables import (
-    advance_mark,
+    append_delta,
     append_vectors,
+    delta_mark,
     publish,
-    read_mark,
+    read_deltas,
+    read_marks,
     read_table,
     write_vectors,
 )
+from earshot.streaming.counts import read_counts
 from earshot.streaming.ingest import ingest_stream, read_event_stream
 
-INCREMENTAL_JOB = "incremental_counts"
+INCREMENTAL_JOB, STREAM_JOB = "incremental_counts", "stream_counts"
 
 
 def prepare_history(
@@ -97,13 +101,15 @@ def run_ingest(
     return ingest_stream(payloads, path, quarantine, ckpt, trigger)
 
 
-def run_incremental(lake: DataFrame, songs_root: str, marks_root: str) -> int | None:
-    """Add everything after the mark to the song counters; returns the new version.
+def run_incremental(lake: DataFrame, counts_root: str) -> int | None:
+    """Keep the play counts of everything after the mark; returns the new mark.
 
-    The version is published before the mark moves; the mark moves to what was counted.
+    Counts and mark are committed by one log row, so a run that dies counts nothing and its
+    repetition counts once. The song table is not rewritten: `song_counters` adds the deltas when
+    it is read, `fold_counts` now and then.
     """
     spark = lake.sparkSession
-    mark = read_mark(spark, marks_root, INCREMENTAL_JOB)
+    mark = delta_mark(spark, counts_root, INCREMENTAL_JOB)
     _, newest = incremental_counts(lake, mark)
     found = newest.first()
     if found is None:
@@ -111,9 +117,31 @@ def run_incremental(lake: DataFrame, songs_root: str, marks_root: str) -> int |
     # Fix the end of the range, so that events landing meanwhile wait for the next run.
     end = found["last_timestamp"]
     counts, _ = incremental_counts(lake.filter(F.col("timestamp") <= end), mark)
-    version = publish(add_counts(read_table(spark, songs_root), counts), songs_root)
-    advance_mark(spark, marks_root, INCREMENTAL_JOB, end)
-    return version
+    append_delta(counts, counts_root, INCREMENTAL_JOB, mark, end)
+    return end
+
+
+def song_counters(spark: SparkSession, songs_root: str, counts_root: str) -> DataFrame:
+    """The song table with all counts that it does not hold yet."""
+    songs = read_table(spark, songs_root)
+    folded = read_marks(spark, songs_root).get(INCREMENTAL_JOB, 0)
+    deltas = read_deltas(spark, counts_root, INCREMENTAL_JOB, folded)
+    return songs if deltas is None else add_counts(songs, deltas)
+
+
+def fold_counts(spark: SparkSession, songs_root: str, counts_root: str) -> int:
+    """Publish the song table with the kept counts added; the version says how far it goes."""
+    end = delta_mark(spark, counts_root, INCREMENTAL_JOB)
+    table = song_counters(spark, songs_root, counts_root)
+    return publish(table, songs_root, marks={INCREMENTAL_JOB: end})
+
+
+def fold_stream_counts(spark: SparkSession, songs_root: str, deltas: str, upto: int) -> int:
+    """Publish the song table with the stream's batches up to ``upto`` added, each once."""
+    done = read_marks(spark, songs_root).get(STREAM_JOB, -1)
+    counts = read_counts(spark, deltas, done, upto)
+    table = add_counts(read_table(spark, songs_root), counts)
+    return publish(table, songs_root, marks={STREAM_JOB: max(done, upto)})
 
 
 @dataclass(frozen=True)
@@ -132,7 +160,7 @@ def run_nightly(
     as_of: datetime,
     params: Params = Params(),
     seed: int = 0,
-    blocks: int = 10,
+    blocks: int | None = None,
 ) -> Trained:
     """Reset the trailing counts from the lake, then train and publish all vectors."""
     spark = lake.sparkSession
@@ -147,10 +175,13 @@ def run_nightly(
 
 
 def build_content(
-    songs: DataFrame, vectors: DataFrame, encoder: Encoder = HashingEncoder()
+    songs: DataFrame,
+    vectors: DataFrame,
+    encoder: Encoder = HashingEncoder(),
+    dim: int = CONTENT_DIM,
 ) -> DataFrame:
-    """The content-vector table with the songs added that had none."""
-    return append_vectors(embed_text(songs, vectors, encoder), vectors)
+    """The content-vector table with the songs added that had none; all are ``dim`` long."""
+    return append_vectors(embed_text(songs, vectors, encoder), vectors, dim)
 
 
 def clean_catalogue(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,6 +13,7 @@ def build_session(app: str = "earshot", master: str | None = None, **conf) -> Sp
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -26,18 +25,13 @@ def build_session(app: str = "earshot", master: str | None = None, **conf) -> Sp
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and scratch tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local-mode session, where
-    the driver and the executors share one machine, may fall back to a new folder.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in tests, it is a
+    folder in the warehouse, which all executors share too.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        folder = spark.conf.get("earshot.local.scratch", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="earshot-")
-        spark.conf.set("earshot.local.scratch", folder)
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
 from earshot.operators.events import with_event_date
@@ -20,13 +19,11 @@ def read_lake(spark: SparkSession, path: str) -> DataFrame:
 def write_lake(events: DataFrame, path: str) -> None:
     """Append a batch of events to the lake.
 
-    Rows are spread by date and a hash of the row, so one busy day is written by many
-    tasks and a quiet one by few files.
+    Rows are dealt by date, and adaptive execution splits large dates by their size, so that a busy
+    day is written by as many tasks as it needs and a quiet one to one file.
     """
-    dated = with_event_date(events).drop("event_time")
-    dated.withColumn("_spread", F.pmod(F.xxhash64("user_id", "timestamp"), F.lit(16))).repartition(
-        "date_str", "_spread"
-    ).drop("_spread").write.mode("append").partitionBy("date_str").parquet(path)
+    dated = with_event_date(events).drop("event_time").hint("rebalance", "date_str")
+    dated.write.mode("append").partitionBy("date_str").parquet(path)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
@@ -35,8 +32,12 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sort_history(history: DataFrame, ts: str = "timestamp") -> DataFrame:
-    """Global time order over many partitions: written out, the files follow each other."""
-    return history.repartitionByRange(ts).sortWithinPartitions(ts)
+    """Global time order over many partitions: written out, the files follow each other.
+
+    The other columns break ties, so that rows of one moment can be split too.
+    """
+    order = [ts, *(c for c in history.columns if c != ts)]
+    return history.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from earshot.schemas import VECTORS, conform
 
-_LOG = "version long, path string"
+_LOG = "version long, path string, marks map<string,long>"
+_DELTAS = "job_name string, after long, upto long, path string"
 _MARKS = "job_name string, last_timestamp long"
 
 
@@ -32,11 +33,14 @@ def current_version(spark: SparkSession, root: str) -> int:
     return newest or 0
 
 
-def publish(df: DataFrame, root: str, version: int | None = None) -> int:
+def publish(
+    df: DataFrame, root: str, version: int | None = None, marks: dict[str, int] | None = None
+) -> int:
     """Write ``df`` as the next version and make it current.
 
     Publishing a given version again replaces its data and changes nothing else, so a
-    repeated job is harmless.
+    repeated job is harmless. ``marks`` says how far each job's work is in this version; the same
+    log row commits both. Marks not given carry over from the version before.
     """
     spark = df.sparkSession
     newest = current_version(spark, root)
@@ -44,11 +48,18 @@ def publish(df: DataFrame, root: str, version: int | None = None) -> int:
     path = f"{root}/v={version}"
     df.write.mode("overwrite").parquet(path)
     if version > newest:
-        row = spark.createDataFrame([(version, path)], _LOG)
+        known = read_marks(spark, root) | (marks or {})
+        row = spark.createDataFrame([(version, path, known)], _LOG)
         row.coalesce(1).write.mode("append").parquet(f"{root}/_versions")
     return version
 
 
+def read_marks(spark: SparkSession, root: str) -> dict[str, int]:
+    """How far each job's work is in the current version."""
+    last = F.max_by("marks", "version")
+    return _log(spark, root, "_versions", _LOG).agg(last).first()[0] or {}
+
+
 def read_table(spark: SparkSession, root: str) -> DataFrame:
     version = current_version(spark, root)
     if version == 0:
@@ -68,6 +79,31 @@ def advance_mark(spark: SparkSession, root: str, job: str, last_timestamp: int)
     row.coalesce(1).write.mode("append").parquet(f"{root}/_marks")
 
 
+def append_delta(df: DataFrame, root: str, job: str, after: int, upto: int) -> None:
+    """Keep what a job found in the range ``(after, upto]``; its log row is data and mark in one.
+
+    A job that dies before the row is written has changed nothing: its folder is not read, and
+    the next run covers the range again.
+    """
+    spark, path = df.sparkSession, f"{root}/deltas/{job}-{after}-{upto}"
+    df.write.mode("overwrite").parquet(path)
+    row = spark.createDataFrame([(job, after, upto, path)], _DELTAS)
+    row.coalesce(1).write.mode("append").parquet(f"{root}/_deltas")
+
+
+def delta_mark(spark: SparkSession, root: str, job: str) -> int:
+    """The end of the job's last kept range, 0 before the first."""
+    log = _log(spark, root, "_deltas", _DELTAS).filter(F.col("job_name") == job)
+    return log.agg(F.max("upto")).first()[0] or 0
+
+
+def read_deltas(spark: SparkSession, root: str, job: str, after: int = 0) -> DataFrame | None:
+    """All that the job kept beyond ``after``, or None."""
+    log = _log(spark, root, "_deltas", _DELTAS).filter(F.col("job_name") == job)
+    paths = [r["path"] for r in log.filter(F.col("after") >= after).select("path").distinct().collect()]
+    return spark.read.parquet(*paths) if paths else None
+
+
 def checked_vectors(df: DataFrame, dim: int) -> DataFrame:
     """Vectors in the declared schema; a wrong length or a repeated id fails the job."""
     size = F.size("embedding")
@@ -96,7 +132,7 @@ def write_vectors(df: DataFrame, root: str, dim: int, version: int | None = None
     return publish(checked_vectors(df, dim), root, version)
 
 
-def append_vectors(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """The vector table with the vectors added whose ids it lacks."""
+def append_vectors(new: DataFrame, existing: DataFrame, dim: int) -> DataFrame:
+    """The vector table with the vectors added whose ids it lacks; a wrong length fails the job."""
     missing = new.select("id", "embedding").join(existing.select("id"), "id", "left_anti")
-    return existing.select("id", "embedding").unionByName(missing)
+    return checked_vectors(existing.select("id", "embedding").unionByName(missing), dim)

@@ -467,10 +467,11 @@ SQL: dict[str, str] = {
                              FROM lineitem GROUP BY l_partkey) ON p_partkey = l_partkey""",
     "missing_vectors": """
         SELECT _id FROM songs WHERE _id NOT IN (SELECT id FROM items)""",
-    "append_vectors": """
-        SELECT id, len(embedding)::INTEGER AS dim FROM items UNION ALL
-        SELECT p_partkey::VARCHAR, 1 FROM part
-        WHERE p_partkey NOT IN (SELECT vec_id FROM embeddings)""",
+    "append_vectors": f"""
+        SELECT id, len(embedding)::INTEGER AS dim, {vector_sums("embedding")} FROM (
+            SELECT id, embedding FROM items UNION ALL
+            SELECT p_partkey::VARCHAR, [p_size::FLOAT FOR i IN range(64)] FROM part
+            WHERE p_partkey NOT IN (SELECT vec_id FROM embeddings))""",
     "keep_known": """
         SELECT user_id, track_id AS id, "timestamp" FROM play_log
         WHERE track_id IN (SELECT id FROM items)""",
@@ -709,16 +710,29 @@ SQL |= {
         SELECT coalesce(p_partkey::VARCHAR, track_id) AS _id, coalesce(plays, 0)::BIGINT AS plays_cumulative
         FROM part FULL JOIN (SELECT track_id, count(*) AS plays FROM play_log
                              WHERE {PLAYED} GROUP BY track_id) ON p_partkey::VARCHAR = track_id""",
+    "fold_stream_counts": f"""
+        SELECT coalesce(p_partkey::VARCHAR, track_id) AS _id, coalesce(plays, 0)::BIGINT AS plays_cumulative
+        FROM part FULL JOIN (SELECT track_id, count(*) AS plays FROM play_log
+                             WHERE {PLAYED} GROUP BY track_id) ON p_partkey::VARCHAR = track_id""",
     "run_nightly": f"""
         SELECT 'song' AS kind, id, plays AS n FROM counted UNION ALL
-        SELECT 'user', coalesce(c_custkey::VARCHAR, user_id), CASE WHEN user_id IS NULL THEN 0 ELSE 16 END
+        SELECT 'user', coalesce(c_custkey::VARCHAR, user_id), CASE WHEN user_id IS NULL THEN 0 ELSE 64 END
         FROM customer FULL JOIN {LISTENED} ON c_custkey::VARCHAR = user_id UNION ALL
-        SELECT 'item', track_id, 16 FROM {TRACKS}""",
+        SELECT 'item', track_id, 64 FROM {TRACKS}""",
     "als_factors": f"""
-        SELECT 'item' AS kind, track_id AS id, 16 AS dim FROM {TRACKS} UNION ALL
-        SELECT 'user', user_id, 16 FROM {LISTENED}""",
+        SELECT 'item' AS kind, track_id AS id, 64 AS dim, TRUE AS not_negative, TRUE AS not_zero
+        FROM {TRACKS} UNION ALL
+        SELECT 'user', user_id, 64, TRUE, TRUE FROM {LISTENED}""",
+    "als_recommend": f"""
+        SELECT user_id, rank::INTEGER AS rank, TRUE AS is_product, TRUE AS falls, TRUE AS bounded
+        FROM {LISTENED}, unnest(range(1, 1 + least(10, (SELECT count(*) FROM {TRACKS})))) AS r(rank)""",
+    "content_vectors": """
+        SELECT gated.id, round(coalesce(sum(v), 0), 6) AS v_sum,
+               round(coalesce(sum(v * v), 0), 6) AS v_square,
+               round(coalesce(sum(v * (bucket + 1)), 0), 6) AS v_moment
+        FROM gated LEFT JOIN unit_parts ON gated.id = unit_parts.id GROUP BY gated.id""",
     "build_content": f"""
-        SELECT id, len(embedding)::INTEGER AS dim, round({dot("embedding", "embedding")}, 3) AS square
+        SELECT id, 384 AS dim, round(6 * {dot("embedding", "embedding")}, 3) AS square
         FROM content UNION ALL
         SELECT _id, 384, 1.0::DOUBLE FROM songs
         WHERE length(trim(lrclib_plain_lyrics, {SPACES})) >= 50 AND _id NOT IN (SELECT id FROM content)""",
@@ -738,6 +752,25 @@ SQL |= {
 }
 
 
+VIEWS |= {
+    "gated": f"""
+        SELECT _id AS id, lrclib_plain_lyrics AS text FROM songs
+        WHERE length(trim(lrclib_plain_lyrics, {SPACES})) >= 50""",
+    "buckets": """
+        SELECT id, (('0x' || substr(md5(word), 1, 8))::BIGINT % 384) AS bucket, count(*) AS n
+        FROM (SELECT id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS word
+              FROM gated) WHERE word <> '' GROUP BY ALL""",
+    "rarity": """
+        SELECT bucket, ln(((SELECT count(*) FROM gated) + 1) / (count(*) + 1)) AS r
+        FROM buckets GROUP BY bucket""",
+    "unit_parts": """
+        SELECT id, bucket, (x / CASE WHEN l > 0 THEN l ELSE 1 END)::FLOAT::DOUBLE AS v
+        FROM (SELECT id, b.bucket, n * r AS x,
+                     sqrt(sum((n * r) * (n * r)) OVER (PARTITION BY id)) AS l
+              FROM buckets b JOIN rarity ON b.bucket = rarity.bucket)""",
+}
+
+
 def _line(name: str, state: str, batch: str) -> None:
     """A session table's waiting ids in order after its refill, for everyone who listens."""
     VIEWS[name] = f"""

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from earshot import schemas
@@ -431,10 +431,10 @@ def missing_vectors(fx):
 def append_vectors(fx):
     new = fx.raw("part").select(
         F.col("p_partkey").cast("string").alias("id"),
-        F.array(F.col("p_size").cast("float")).alias("embedding"),
+        F.array_repeat(F.col("p_size").cast("float"), 64).alias("embedding"),
     )
-    return tables.append_vectors(new, fx.items()).select(
-        "id", F.size("embedding").alias("dim")
+    return tables.append_vectors(new, fx.items(), 64).select(
+        "id", F.size("embedding").alias("dim"), *vector_sums("embedding")
     )
 
 
@@ -653,29 +653,57 @@ def training_triples(fx):
     return triples.withColumn("rating", F.col("rating").cast("double"))
 
 
-ALS_PARAMS = training.Params(rank=16, maxIter=5)
+def trained(fx: Fixtures) -> training.Trained:
+    return training.train(fx.play_log(), AS_OF, seed=SEED)
 
 
 @register
 def als_factors(fx):
-    trained = training.train(fx.play_log(), AS_OF, ALS_PARAMS, SEED, blocks=4)
-    items = training.export_item_factors(trained).select("id", F.size("embedding").alias("dim"))
-    users = training.user_factors(trained).select("user_id", F.size("vector").alias("dim"))
-    return items.select(F.lit("item").alias("kind"), "id", "dim").unionByName(
-        users.select(F.lit("user").alias("kind"), F.col("user_id").alias("id"), "dim")
-    )
+    """Every factor's id and length, that none is negative, and that it is not all zero."""
+    model = trained(fx)
+
+    def facts(df: DataFrame, kind: str, key: str, vec: str) -> DataFrame:
+        return df.select(
+            F.lit(kind).alias("kind"),
+            F.col(key).alias("id"),
+            F.size(vec).alias("dim"),
+            F.forall(vec, lambda x: x >= 0).alias("not_negative"),
+            F.exists(vec, lambda x: x > 0).alias("not_zero"),
+        )
+
+    items = facts(training.export_item_factors(model), "item", "id", "embedding")
+    return items.unionByName(facts(training.user_factors(model), "user", "user_id", "vector"))
 
 
 @register
 def als_recommend(fx):
-    trained = training.train(fx.play_log(), AS_OF, ALS_PARAMS, SEED, blocks=4)
-    return training.recommend(trained, fx.play_log().select("user_id").distinct(), 10)
+    """For each user and rank whether the score is the inner product of the two factors, whether it
+    falls with the rank, and whether no left-out item beats the last one."""
+    model = trained(fx)
+    users = training.user_factors(model)
+    items = training.export_item_factors(model)
+    best = training.recommend(model, users.select("user_id"), 10)
+    both = best.join(users, "user_id").join(items, "id")
+    product = F.aggregate(
+        F.zip_with("vector", "embedding", lambda a, b: a.cast("double") * b.cast("double")),
+        F.lit(0.0),
+        lambda total, x: total + x,
+    )
+    before = F.lag("score").over(Window.partitionBy("user_id").orderBy("rank"))
+    top = both.agg(F.max(product)).first()[0]
+    return both.select(
+        "user_id",
+        "rank",
+        (F.abs(product - F.col("score")) <= 1e-9 * (1 + F.abs(product))).alias("is_product"),
+        F.coalesce(before >= F.col("score"), F.lit(True)).alias("falls"),
+        (F.col("score") <= top + 1e-9).alias("bounded"),
+    )
 
 
 @register
 def content_vectors(fx):
     songs = fx.songs()
-    none = fx.items().limit(0)
+    none = fx.spark.createDataFrame([], schemas.VECTORS)
     made = content.embed_text(songs, none)
     return made.select("id", *vector_sums("embedding"))
 
@@ -736,14 +764,31 @@ def sync_master(fx):
 
 @register
 def run_incremental(fx):
-    """Two runs of the counting job, the second over what the first had not seen."""
+    """Three runs of the counting job with a fold between; one run dies before it commits."""
     root = scratch(fx.spark, "counting")
-    songs, marks = f"{root}/songs", f"{root}/marks"
+    songs, kept = f"{root}/songs", f"{root}/counts"
     tables.publish(schemas.conform(fx.names(), schemas.SONGS), songs)
     log = fx.play_log()
-    jobs.run_incremental(log.filter(F.col("timestamp") <= MARK_MS), songs, marks)
-    jobs.run_incremental(log, songs, marks)
-    return tables.read_table(fx.spark, songs).select("_id", "plays_cumulative")
+    early = log.filter(F.col("timestamp") <= MARK_MS)
+    jobs.run_incremental(early.filter(F.col("timestamp") <= MARK_MS // 2), kept)
+    jobs.run_incremental(early, kept)
+    jobs.fold_counts(fx.spark, songs, kept)
+    # What a run that died before its log row leaves behind.
+    early.write.parquet(f"{kept}/deltas/{jobs.INCREMENTAL_JOB}-{MARK_MS}-{MARK_MS + 1}")
+    jobs.run_incremental(log, kept)
+    return jobs.song_counters(fx.spark, songs, kept).select("_id", "plays_cumulative")
+
+
+@register
+def fold_stream_counts(fx):
+    """The stream's counts in the song table; the last fold repeats one that was already done."""
+    root = scratch(fx.spark, "folding")
+    tables.publish(schemas.conform(fx.names(), schemas.SONGS), f"{root}/songs")
+    log = fx.play_log(stream_of(fx, "events"))
+    stream_counts.count_stream(log, f"{root}/deltas", f"{root}/ckpt", NOW).awaitTermination()
+    for upto in (0, 10**9, 10**9):
+        jobs.fold_stream_counts(fx.spark, f"{root}/songs", f"{root}/deltas", upto)
+    return tables.read_table(fx.spark, f"{root}/songs").select("_id", "plays_cumulative")
 
 
 @register
@@ -754,7 +799,7 @@ def run_nightly(fx):
     tables.publish(schemas.conform(fx.names(), schemas.SONGS), roots.songs)
     tables.publish(fx.users(), roots.users)
     at = datetime.combine(AS_OF, datetime.min.time())
-    jobs.run_nightly(fx.play_log(), roots, at, ALS_PARAMS, SEED, blocks=4)
+    jobs.run_nightly(fx.play_log(), roots, at, seed=SEED)
     songs = tables.read_table(fx.spark, roots.songs)
     users = tables.read_table(fx.spark, roots.users)
     items = tables.read_table(fx.spark, roots.item_vectors)
@@ -773,7 +818,8 @@ def run_nightly(fx):
 @register
 def build_content(fx):
     """Which songs have a content vector after the job, and that the new ones are unit."""
-    have = fx.content()
+    wide = F.flatten(F.array_repeat("embedding", 6))
+    have = fx.content().select("id", wide.alias("embedding"))
     table = jobs.build_content(fx.songs(), have)
     square = F.round(vector.vec_ip(F.col("embedding"), F.col("embedding")), 3)
     return table.select("id", F.size("embedding").alias("dim"), square.alias("square"))

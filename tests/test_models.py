@@ -112,19 +112,34 @@ def test_content_vectors_are_unit_and_equal_for_equal_texts(spark):
 def test_only_missing_vectors_are_made_and_they_do_not_depend_on_the_rest(spark):
     songs = lyric_songs(spark)
     full = {r["id"]: r["embedding"] for r in content.embed_text(songs, no_vectors(spark)).collect()}
-    have = spark.createDataFrame([("a", [1.0])], "id string, embedding array<float>")
+    have = spark.createDataFrame([("a", [1.0] * 384)], "id string, embedding array<float>")
     table = {r["id"]: r["embedding"] for r in jobs.build_content(songs, have).collect()}
-    assert table["a"] == [1.0]
+    assert table["a"] == [1.0] * 384
     assert table["b"] == full["b"] and table["c"] == full["c"]
+    short = spark.createDataFrame([("a", [1.0])], "id string, embedding array<float>")
+    with pytest.raises(Exception, match="not of length 384"):
+        jobs.build_content(songs, short).collect()
 
 
-def test_batch_encoder_gets_texts_cut_to_its_limit(spark):
+def test_stored_rarity_keeps_vectors_comparable(spark):
+    songs = lyric_songs(spark)
+    texts = songs.select(F.col("_id").alias("id"), F.col("lrclib_plain_lyrics").alias("text"))
+    rarity = content.fit_rarity(texts.filter("id in ('a', 'b', 'c')"))
+    encoder = content.HashingEncoder(rarity=rarity)
+    one = content.embed_text(songs.filter("_id = 'c'"), no_vectors(spark), encoder).first()["embedding"]
+    full = {r["id"]: r["embedding"] for r in content.embed_text(songs, no_vectors(spark)).collect()}
+    assert one == full["c"]
+
+
+def test_batch_encoder_reads_whole_texts_in_windows(spark):
     def make():
         return lambda texts: [[len(t), 1.0] for t in texts]
 
-    encoder = content.BatchEncoder(make, max_chars=60)
-    made = content.embed_text(lyric_songs(spark), no_vectors(spark), encoder)
-    assert {r["id"]: r["embedding"] for r in made.collect()} == {k: [60.0, 1.0] for k in "abc"}
+    lengths = {"a": 140, "b": 140, "c": 220}
+    for window, mean in ((None, lambda n: n), (60, lambda n: n / -(-n // 60)), (1000, lambda n: n)):
+        encoder = content.BatchEncoder(make, window=window)
+        made = {r["id"]: r["embedding"] for r in content.embed_text(lyric_songs(spark), no_vectors(spark), encoder).collect()}
+        assert made == {k: [pytest.approx(mean(n)), 1.0] for k, n in lengths.items()}
 
 
 def test_prepare_history(spark):
@@ -225,11 +240,50 @@ def test_serve_batch(spark):
 
 
 def test_incremental_job_counts_once(spark, tmp_path):
-    songs, marks = str(tmp_path / "songs"), str(tmp_path / "marks")
+    songs, kept = str(tmp_path / "songs"), str(tmp_path / "counts")
+    tables.publish(conform(spark.createDataFrame([("t0",)], "_id string"), SONGS), songs)
+    log = clustered_log(spark).filter("timestamp >= 0")
+    newest = log.agg(F.max("timestamp")).first()[0]
+    assert jobs.run_incremental(log, kept) == newest
+    assert jobs.run_incremental(log, kept) is None
+
+    def total():
+        return jobs.song_counters(spark, songs, kept).agg(F.sum("plays_cumulative")).first()[0]
+
+    expected = log.filter("action <> 'skip' and timestamp > 0").count()
+    assert total() == expected
+    jobs.fold_counts(spark, songs, kept)
+    assert total() == expected and tables.read_table(spark, songs).agg(F.sum("plays_cumulative")).first()[0] == expected
+    jobs.fold_counts(spark, songs, kept)
+    assert total() == expected
+    assert tables.delta_mark(spark, kept, jobs.INCREMENTAL_JOB) == newest
+
+
+def test_a_counting_run_that_dies_counts_once_when_repeated(spark, tmp_path, monkeypatch):
+    songs, kept = str(tmp_path / "songs"), str(tmp_path / "counts")
     tables.publish(conform(spark.createDataFrame([("t0",)], "_id string"), SONGS), songs)
     log = clustered_log(spark).filter("timestamp >= 0")
-    assert jobs.run_incremental(log, songs, marks) == 2
-    assert jobs.run_incremental(log, songs, marks) is None
-    total = tables.read_table(spark, songs).agg(F.sum("plays_cumulative")).first()[0]
+    create = type(spark).createDataFrame
+
+    def dies(*_, **__):
+        raise RuntimeError("lost before the log row")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", dies)
+    with pytest.raises(RuntimeError):
+        tables.append_delta(log.select("track_id"), kept, jobs.INCREMENTAL_JOB, 0, 5)
+    monkeypatch.setattr(type(spark), "createDataFrame", create)
+    jobs.run_incremental(log, kept)
+    total = jobs.song_counters(spark, songs, kept).agg(F.sum("plays_cumulative")).first()[0]
     assert total == log.filter("action <> 'skip' and timestamp > 0").count()
-    assert tables.read_mark(spark, marks, jobs.INCREMENTAL_JOB) == log.agg(F.max("timestamp")).first()[0]
+
+
+def test_stream_deltas_fold_once(spark, tmp_path):
+    songs, deltas = str(tmp_path / "songs"), str(tmp_path / "deltas")
+    tables.publish(conform(spark.createDataFrame([("a",)], "_id string"), SONGS), songs)
+    for batch in range(3):
+        rows = spark.createDataFrame([("a", 1), ("b", 2)], "track_id string, plays long")
+        rows.write.parquet(f"{deltas}/batch_id={batch}")
+    for upto in (0, 2, 2):
+        jobs.fold_stream_counts(spark, songs, deltas, upto)
+    got = {r["_id"]: r["plays_cumulative"] for r in tables.read_table(spark, songs).collect()}
+    assert got == {"a": 3, "b": 6}

@@ -99,7 +99,7 @@ def test_vectors_are_checked(spark, tmp_path):
 def test_append_vectors_adds_only_missing(spark):
     old = spark.createDataFrame([("a", [1.0])], "id string, embedding array<float>")
     new = spark.createDataFrame([("a", [9.0]), ("b", [2.0])], "id string, embedding array<float>")
-    assert rows(tables.append_vectors(new, old)) == [("a", [1.0]), ("b", [2.0])]
+    assert rows(tables.append_vectors(new, old, 1)) == [("a", [1.0]), ("b", [2.0])]
 
 
 def test_master_file_is_read_leniently(spark, tmp_path):
