@@ -20,10 +20,12 @@ def parse_events(df: DataFrame, payload: str = "value") -> DataFrame:
 
     Fields are read as text, so that a badly typed one can be reported, not lost.
     """
-    fields = ", ".join(f"`{f.name}` string" for f in PLAY_LOG.fields)
+    fields = ", ".join(f"`{f.name}` string" for f in PLAY_LOG.fields) + ", _malformed string"
     raw = F.col(payload).cast("string")
+    parsed = F.from_json(raw, fields, {"columnNameOfCorruptRecord": "_malformed"})
     # As a generator the parser runs once per payload, not once per field that is read.
-    return df.select(raw.alias("payload"), F.inline_outer(F.array(F.from_json(raw, fields))))
+    events = df.select(raw.alias("payload"), F.inline_outer(F.array(parsed)))
+    return events.withColumn("_malformed", F.col("_malformed").isNotNull())
 
 
 def encode_events(df: DataFrame) -> DataFrame:
@@ -33,7 +35,10 @@ def encode_events(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*cols)).alias("value"))
 
 
-def _reasons(df: DataFrame, arrival_ms: int | Column) -> DataFrame:
+def check_events(df: DataFrame, arrival_ms: int | Column) -> DataFrame:
+    """Parsed events with typed fields, defaults, and the ``reason`` of those to reject."""
+    if "_malformed" not in df.columns:
+        df = df.withColumn("_malformed", F.lit(False))
     arrival = arrival_ms if isinstance(arrival_ms, Column) else F.lit(arrival_ms)
     stamp = F.col("timestamp").try_cast("bigint")
 
@@ -44,7 +49,8 @@ def _reasons(df: DataFrame, arrival_ms: int | Column) -> DataFrame:
         return F.col(name).isNotNull() & F.col(name).try_cast("int").isNull()
 
     reason = (
-        F.when(F.col("user_id").isNull(), "user_id missing")
+        F.when(F.col("_malformed"), "malformed")
+        .when(F.col("user_id").isNull(), "user_id missing")
         .when(F.col("track_id").isNull(), "track_id missing")
         .when(~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False)), "action unknown")
         .when(~F.coalesce(F.col("source").isin(*SOURCES), F.lit(False)), "source unknown")
@@ -70,7 +76,7 @@ def validate_events(df: DataFrame, arrival_ms: int | Column) -> tuple[DataFrame,
     Ids are required, action and source must be known, durations are whole seconds
     with default 0, and a timestamp that is missing or 0 becomes the arrival time.
     """
-    checked = _reasons(df, arrival_ms)
+    checked = check_events(df, arrival_ms).drop("_malformed")
     valid = checked.filter(F.col("reason").isNull()).select(*PLAY_LOG.fieldNames())
     return valid, checked.filter(F.col("reason").isNotNull())
 

@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import DateType, StructField, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from earshot.operators.events import with_event_date
 from earshot.schemas import PLAY_LOG, conform
 
 LAKE = StructType([*PLAY_LOG.fields, StructField("date_str", DateType(), True)])
+_BATCH = StructField("batch_id", StringType(), True)
 
 
 def read_lake(spark: SparkSession, path: str) -> DataFrame:
     """The lake with its declared schema; filters on ``date_str`` prune folders."""
-    return spark.read.schema(LAKE).parquet(path)
+    return spark.read.schema(StructType([*LAKE.fields, _BATCH])).parquet(path).drop("batch_id")
 
 
-def write_lake(events: DataFrame, path: str) -> None:
-    """Append a batch of events to the lake.
+def write_lake(events: DataFrame, path: str, batch_id: str | None = None) -> None:
+    """Add a batch of events to the lake, in folders by date and batch.
 
-    Rows are dealt by date, and adaptive execution splits large dates by their size, so that a busy
-    day is written by as many tasks as it needs and a quiet one to one file.
+    A batch that is written again under its id replaces itself. Rows are dealt by date, and
+    adaptive execution splits large dates by their size, so that a busy day is written by as many
+    tasks as it needs and a quiet one to one file.
     """
     dated = with_event_date(events).drop("event_time").hint("rebalance", "date_str")
-    dated.write.mode("append").partitionBy("date_str").parquet(path)
+    (
+        dated.withColumn("batch_id", F.lit(batch_id or f"load-{uuid.uuid4().hex}"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("date_str", "batch_id")
+        .parquet(path)
+    )
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from earshot.operators.events import parse_events, validate_events, with_event_date
+from earshot.operators.events import check_events, parse_events
+from earshot.schemas import PLAY_LOG
+from earshot.sources.lake import write_lake
 
 # Start at the newest events and keep running when the broker has dropped old ones.
 KAFKA_DEFAULTS = {"startingOffsets": "latest", "failOnDataLoss": "false"}
@@ -24,38 +26,34 @@ def read_event_stream(spark: SparkSession, fmt: str = "kafka", **opts: str) -> D
     return spark.readStream.format(fmt).options(**opts).load()
 
 
-def drop_repeats(events: DataFrame, delay: str) -> DataFrame:
-    """Optional: forget events sent twice within ``delay`` of event time."""
+def drop_repeats(checked: DataFrame, delay: str) -> DataFrame:
+    """Optional: forget events sent twice within ``delay`` of event time; rejects all stay."""
+    key = F.concat_ws("|", "user_id", "track_id", F.col("timestamp").cast("string"))
+    own = F.when(F.col("reason").isNull(), key).otherwise(F.uuid())
     return (
-        events.withColumn("event_time", F.timestamp_millis("timestamp"))
+        checked.withColumn("event_time", F.timestamp_millis("timestamp"))
+        .withColumn("_key", own)
         .withWatermark("event_time", delay)
-        .dropDuplicatesWithinWatermark(["user_id", "track_id", "timestamp"])
-        .drop("event_time")
+        .dropDuplicatesWithinWatermark(["_key"])
+        .drop("event_time", "_key")
     )
 
 
-def land(payloads: DataFrame, dedupe_within: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(events ready for the lake, rejected payloads)`` of a payload stream."""
+def land(payloads: DataFrame, dedupe_within: str | None = None) -> DataFrame:
+    """Checked events of a payload stream; ``reason`` is null for those that the lake takes."""
     arrival = F.unix_millis(F.current_timestamp())
-    valid, rejected = validate_events(parse_events(payloads), arrival)
-    if dedupe_within is not None:
-        valid = drop_repeats(valid, dedupe_within)
-    return with_event_date(valid).drop("event_time"), rejected.select("payload", "reason")
+    checked = check_events(parse_events(payloads), arrival).drop("_malformed")
+    return checked if dedupe_within is None else drop_repeats(checked, dedupe_within)
 
 
-def write_lake_stream(
-    df: DataFrame, path: str, ckpt: str, trigger: dict | None = None
-) -> StreamingQuery:
-    """Append to Parquet by event date; the checkpoint makes each event land once."""
-    return (
-        df.writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy("date_str")
-        .option("path", path)
-        .option("checkpointLocation", ckpt)
-        .trigger(**(trigger or EVERY_MINUTE))
-        .start()
-    )
+def write_batch(batch: DataFrame, batch_id: int, path: str, quarantine: str) -> None:
+    """Write one micro-batch to the lake and to quarantine; a replay replaces what it wrote."""
+    batch = batch.persist()
+    valid = batch.filter(F.col("reason").isNull()).select(*PLAY_LOG.fieldNames())
+    write_lake(valid, path, f"stream-{batch_id}")
+    rejected = batch.filter(F.col("reason").isNotNull()).select("payload", "reason")
+    rejected.write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
+    batch.unpersist()
 
 
 def ingest_stream(
@@ -65,16 +63,16 @@ def ingest_stream(
     ckpt: str,
     trigger: dict | None = None,
     dedupe_within: str | None = None,
-) -> tuple[StreamingQuery, StreamingQuery]:
-    """Start the lake writer and the quarantine writer."""
-    events, rejected = land(payloads, dedupe_within)
-    to_lake = write_lake_stream(events, path, f"{ckpt}/lake", trigger)
-    to_quarantine = (
-        rejected.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", quarantine)
-        .option("checkpointLocation", f"{ckpt}/quarantine")
+) -> StreamingQuery:
+    """Start the one query that reads the events once and lands both kinds.
+
+    Lake and quarantine see the same events from the same starting point. Each micro-batch is
+    written under its id, so that one which is replayed replaces itself.
+    """
+    return (
+        land(payloads, dedupe_within)
+        .writeStream.foreachBatch(lambda df, i: write_batch(df, i, path, quarantine))
+        .option("checkpointLocation", ckpt)
         .trigger(**(trigger or EVERY_MINUTE))
         .start()
     )
-    return to_lake, to_quarantine

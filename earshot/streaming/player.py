@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -11,23 +12,42 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from earshot.operators.player import QUALIFIED_SECONDS
 
 OUTPUT = "play_id string, ts_ms long, listen_ms long, qualified_ms long"
-STATE = "total long, opened long, qualified long"
+STATE = "total long, opened long, qualified long, last long"
 RANK = {"reset": 0, "pause": 1, "play": 2, "snapshot": 2}
 
 
-def step(timer: tuple, kind: str, ts: int, limit: int) -> tuple[tuple, int]:
-    """The timer after one event, and what it reads at that moment."""
-    total, opened, qualified = timer
-    reading = total + (ts - opened if opened is not None else 0)
-    if qualified is None and opened is not None and reading >= limit:
-        qualified = opened + max(limit - total, 0)
-    if kind == "play":
-        return (total, ts, qualified), total
-    if kind == "pause":
-        return (reading, None, qualified), reading
-    if kind == "reset":
-        return (0, None, qualified), 0
-    return (total, opened, qualified), reading
+def fold_events(
+    state: tuple[int, int, int, int], kinds: np.ndarray, ts: np.ndarray, limit: int
+) -> tuple[tuple[int, int, int, int], int]:
+    """The timer after a batch of events in time order, and what it reads then.
+
+    The state is (total, opened or -1, qualified or -1, time of the newest event). An event that
+    comes late counts as one at the newest moment seen: no span is ever negative.
+    """
+    total, opened, qualified, last = state
+    ts = np.maximum.accumulate(np.maximum(ts, last))
+    moves = kinds != "snapshot"
+    if opened >= 0:  # the open timer goes on as if its play came first
+        kind, at = np.r_[["play"], kinds[moves]], np.r_[opened, ts[moves]]
+    else:
+        kind, at = np.r_[["pause"], kinds[moves]], np.r_[ts[0], ts[moves]]
+    until = np.r_[at[1:], ts[-1]]
+    plays = kind == "play"
+    span = np.where(plays, until - at, 0)
+    # A span counts when a pause closes it; a reset clears what came before.
+    closed = np.where(np.r_[kind[1:] == "pause", False], span, 0)
+    before = total + np.r_[0, np.cumsum(closed)[:-1]]
+    resets = kind == "reset"
+    clear = np.maximum.accumulate(np.where(resets, before, 0))
+    timer = before - np.where(np.logical_or.accumulate(resets), clear, 0)
+    if qualified < 0:
+        reached = np.flatnonzero(plays & (timer + span >= limit))
+        if len(reached):
+            i = reached[0]
+            qualified = int(at[i] + max(limit - timer[i], 0))
+    held = 0 if resets[-1] else int(timer[-1])
+    opened = int(at[-1]) if plays[-1] else -1
+    return (held, opened, qualified, int(ts[-1])), held + (int(span[-1]) if plays[-1] else 0)
 
 
 def listen_stream(
@@ -35,7 +55,7 @@ def listen_stream(
 ) -> DataFrame:
     """Stream of each play's timer, and when it qualified, after every micro-batch.
 
-    The state is three numbers per play; a play without events for ``idle_ms`` is freed.
+    The state is four numbers per play; a play without events for ``idle_ms`` is freed.
     """
     limit = int(seconds * 1000)
 
@@ -47,28 +67,18 @@ def listen_stream(
             return
         rows = pd.concat(list(chunks))
         rows = rows.assign(_rank=rows["kind"].map(RANK)).sort_values(["ts_ms", "_rank"])
-        timer = (0, None, None)
-        if state.exists:
-            total, opened, qualified = state.get
-            timer = (
-                total,
-                None if opened < 0 else opened,
-                None if qualified < 0 else qualified,
-            )
-        reading, ts = 0, 0
-        for kind, ts in zip(rows["kind"], rows["ts_ms"].astype(int)):
-            timer, reading = step(timer, kind, int(ts), limit)
-        total, opened, qualified = timer
-        state.update(
-            (total, -1 if opened is None else opened, -1 if qualified is None else qualified)
+        timer = state.get if state.exists else (0, -1, -1, 0)
+        timer, reading = fold_events(
+            timer, rows["kind"].to_numpy(str), rows["ts_ms"].to_numpy(np.int64), limit
         )
+        state.update(timer)
         state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(
             {
                 "play_id": [key[0]],
-                "ts_ms": [int(ts)],
-                "listen_ms": [int(reading)],
-                "qualified_ms": pd.array([qualified], dtype="Int64"),
+                "ts_ms": [timer[3]],
+                "listen_ms": [reading],
+                "qualified_ms": pd.array([None if timer[2] < 0 else timer[2]], dtype="Int64"),
             }
         )
 

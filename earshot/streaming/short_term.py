@@ -22,8 +22,15 @@ def fold_plays(
     """Move a taste vector through plays in time order.
 
     After a pause of at least ``gap`` the next play starts over. Only the last run of
-    plays matters, so earlier ones are skipped and the rest is one weighted sum.
+    plays matters, so earlier ones are skipped and the rest is one weighted sum. A play that comes
+    late counts as one at the newest moment seen; one at least ``gap`` older than that belongs to
+    a session that is over, and is left out.
     """
+    if vector is not None:
+        fits = ts > last_ts - gap
+        ts, songs = np.maximum(ts[fits], last_ts), songs[fits]
+        if not len(ts):
+            return vector, last_ts
     quiet = np.diff(ts, prepend=last_ts if vector is not None else ts[0] - gap)
     breaks = np.flatnonzero(quiet >= gap)
     start = breaks[-1] if len(breaks) else 0
@@ -36,17 +43,29 @@ def fold_plays(
     return vector * decay ** len(run) + weights @ run, int(ts[-1])
 
 
+def latest_vectors(updates: DataFrame) -> DataFrame:
+    """``(user_id, short_vector, last_ts)`` of each user from the stream's kept micro-batches.
+
+    ``updates`` has the stream's rows with the ``batch_id`` they were written under.
+    """
+    last = F.max_by(F.struct("last_ts", "vector"), "batch_id").alias("_last")
+    return updates.groupBy("user_id").agg(last).select(
+        "user_id", F.col("_last.vector").alias("short_vector"), "_last.last_ts"
+    )
+
+
 def short_term_stream(
     plays: DataFrame,
     items: DataFrame,
     decay: float = DECAY,
     ttl_ms: int = SESSION_GAP_MS,
+    idle_ms: int = 86_400_000,
 ) -> DataFrame:
     """Stream of each user's vector after every micro-batch with plays of theirs.
 
     Expiry follows event time, as in the batch form: a play at least ``ttl_ms`` after the
-    last one starts over. The processing-time timeout only frees the state of users who
-    are gone. The state is one vector per user; what a task holds of a busy user is that
+    last one starts over. The processing-time timeout ``idle_ms`` only frees the state of users
+    who are gone; it is longer, so that a replay slower than real time loses nothing. The state is one vector per user; what a task holds of a busy user is that
     user's part of one micro-batch, whose size the source's admission limit sets
     (``maxOffsetsPerTrigger``, ``maxFilesPerTrigger``).
     """
@@ -77,7 +96,7 @@ def short_term_stream(
             vector = np.array(stored, dtype=np.float64)
         vector, last_ts = fold_plays(vector, last_ts, ts[order], songs, decay, ttl_ms)
         state.update((last_ts, vector.tolist()))
-        state.setTimeoutDuration(ttl_ms)
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"user_id": [key[0]], "last_ts": [last_ts], "vector": [vector.tolist()]})
 
     return known.groupBy("user_id").applyInPandasWithState(

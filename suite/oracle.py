@@ -265,7 +265,7 @@ SPACES = (
 )
 
 REASON = """
-    CASE WHEN garbage THEN 'user_id missing'
+    CASE WHEN garbage THEN 'malformed'
          WHEN track_id IS NULL THEN 'track_id missing'
          WHEN action = 'signup' THEN 'action unknown'
          WHEN bad_duration THEN 'duration unreadable' END"""

@@ -875,15 +875,22 @@ def stream_of(fx: Fixtures, name: str) -> DataFrame:
     )
 
 
+def in_files(fx: Fixtures, df: DataFrame, path: str, number: Column) -> DataFrame:
+    """Rows as a stream of one file per micro-batch, in the order of ``number``, from 0."""
+    numbered = df.withColumn("_file", number.cast("int"))
+    for i in range(numbered.agg(F.max("_file")).first()[0] + 1):
+        part = numbered.filter(F.col("_file") == i).drop("_file")
+        part.coalesce(1).write.mode("append").parquet(path)
+    return fx.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @register
 def ingest_stream(fx):
     root = scratch(fx.spark, "ingest")
     lake_path, quarantine = f"{root}/lake", f"{root}/quarantine"
-    started = ingest.ingest_stream(
-        payloads(stream_of(fx, "events")), lake_path, quarantine, f"{root}/ckpt", NOW
-    )
-    for query in started:
-        query.awaitTermination()
+    events_ = in_files(fx, fx.raw("events"), f"{root}/events", F.pmod(F.xxhash64("event_id"), F.lit(3)))
+    query = ingest.ingest_stream(payloads(events_), lake_path, quarantine, f"{root}/ckpt", NOW)
+    query.awaitTermination()
     landed = lake.read_lake(fx.spark, lake_path)
     # A missing time becomes the arrival time, which differs from run to run: hide it.
     timed = F.col("action") != "listen"
@@ -907,6 +914,8 @@ def count_stream(fx):
 
 
 def _collected(stream: DataFrame, root: str, spark: SparkSession) -> DataFrame:
+    """The stream's updates, each with the micro-batch that made it."""
+
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
 
@@ -926,15 +935,35 @@ def _collected(stream: DataFrame, root: str, spark: SparkSession) -> DataFrame:
 
 @register
 def short_term_stream(fx):
+    """Plays in three micro-batches by time, then a fourth that repeats plays of sessions long over."""
     root = scratch(fx.spark, "short")
-    log = fx.play_log(stream_of(fx, "events"))
-    out = _collected(short_term.short_term_stream(log, fx.items()), root, fx.spark)
-    return out.select("user_id", "last_ts", *vector_sums("vector"))
+    log = fx.play_log().select("user_id", "track_id", "timestamp")
+    whole = Window.partitionBy("user_id")
+    known = log.join(fx.items().select(F.col("id").alias("track_id")), "track_id", "left_semi")
+    old = known.withColumn("_last", F.max("timestamp").over(whole)).filter(
+        F.col("timestamp") <= F.col("_last") - 3_600_000
+    )
+    third = F.floor((F.col("timestamp") - F.col("_low")) * 3 / (F.col("_high") - F.col("_low") + 1))
+    ends = log.agg(F.min("timestamp").alias("_low"), F.max("timestamp").alias("_high"))
+    numbered = log.join(F.broadcast(ends)).withColumn("_n", third).drop("_low", "_high")
+    late = old.drop("_last").withColumn("_n", F.lit(3))
+    rows = numbered.unionByName(late)
+    stream = in_files(fx, rows, f"{root}/log", F.col("_n"))
+    out = _collected(short_term.short_term_stream(stream, fx.items()), root, fx.spark)
+    last = short_term.latest_vectors(out)
+    return last.select("user_id", "last_ts", *vector_sums("short_vector"))
 
 
 @register
 def listen_stream(fx):
+    """Turns in three micro-batches, then late snapshots, which read the timer at its newest moment."""
     root = scratch(fx.spark, "listen")
-    turns = fx.player_events(stream_of(fx, "conversations"))
-    out = _collected(stream_player.listen_stream(turns), root, fx.spark)
-    return out.select("play_id", "listen_ms", "qualified_ms")
+    turns = fx.player_events()
+    late = turns.groupBy("play_id").agg(F.lit(0).cast("int").alias("ts_ms"))
+    late = late.withColumn("kind", F.lit("snapshot")).withColumn("_n", F.lit(3))
+    rows = turns.withColumn("_n", F.least(F.floor(F.col("ts_ms") / 40_000), F.lit(2)).cast("int"))
+    rows = rows.withColumn("ts_ms", F.col("ts_ms").cast("int")).unionByName(late)
+    stream = in_files(fx, rows, f"{root}/turns", F.col("_n"))
+    out = _collected(stream_player.listen_stream(stream), root, fx.spark)
+    last = F.max_by(F.struct("listen_ms", "qualified_ms"), "batch_id").alias("last")
+    return out.groupBy("play_id").agg(last).select("play_id", "last.listen_ms", "last.qualified_ms")

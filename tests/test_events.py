@@ -42,7 +42,7 @@ def test_valid_events_are_completed(spark):
 
 def test_broken_events_are_kept_apart_with_a_reason(spark):
     broken = {
-        "garbage": "user_id missing",
+        "garbage": "malformed",
         payload(user_id="absent"): "user_id missing",
         payload(track_id=None): "track_id missing",
         payload(action="dance"): "action unknown",

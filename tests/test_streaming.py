@@ -44,8 +44,7 @@ def test_ingest_lands_valid_events_once_and_quarantines_the_rest(spark, tmp_path
     (tmp_path / "src" / "1.json").write_text("\n".join([event(0), event(1), "garbage", event(2, action="x")]))
 
     def run():
-        for query in jobs.run_ingest(spark, {"path": src}, out, bad, ckpt, "text", NOW):
-            query.awaitTermination()
+        jobs.run_ingest(spark, {"path": src}, out, bad, ckpt, "text", NOW).awaitTermination()
 
     run()
     (tmp_path / "src" / "2.json").write_text("\n".join([event(3), event(4)]))
@@ -56,17 +55,53 @@ def test_ingest_lands_valid_events_once_and_quarantines_the_rest(spark, tmp_path
     days = {str(r["date_str"]) for r in lake.select("date_str").distinct().collect()}
     assert days == {"2023-11-14", "2023-11-15", "2023-11-16"}
     reasons = {r["reason"] for r in spark.read.parquet(bad).collect()}
-    assert reasons == {"user_id missing", "action unknown"}
+    assert reasons == {"malformed", "action unknown"}
 
 
 def test_repeats_can_be_dropped(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src" / "1.json").write_text("\n".join([event(0), event(0), event(1)]))
     stream = ingest.read_event_stream(spark, "text", path=str(tmp_path / "src"))
-    events, _ = ingest.land(stream, dedupe_within="1 hour")
-    query = ingest.write_lake_stream(events, str(tmp_path / "lake"), str(tmp_path / "c"), NOW)
-    query.awaitTermination()
-    assert read_lake(spark, str(tmp_path / "lake")).count() == 2
+    lake, bad = str(tmp_path / "lake"), str(tmp_path / "bad")
+    ingest.ingest_stream(stream, lake, bad, str(tmp_path / "c"), NOW, "1 hour").awaitTermination()
+    assert read_lake(spark, lake).count() == 2
+
+
+def test_a_replayed_batch_replaces_itself(spark, tmp_path):
+    lake, bad = str(tmp_path / "lake"), str(tmp_path / "bad")
+    lines = spark.createDataFrame([(event(i),) for i in range(4)] + [("{",)], "value string")
+    for _ in range(2):
+        ingest.write_batch(ingest.land(lines), 7, lake, bad)
+    ingest.write_batch(ingest.land(lines.limit(1)), 8, lake, bad)
+    assert read_lake(spark, lake).count() == 5 and spark.read.parquet(bad).count() == 1
+
+
+def test_late_plays_neither_move_time_back_nor_restart(spark):
+    songs = np.eye(3)
+    vector, last = short_term.fold_plays(None, 0, np.array([10_000_000]), songs[:1], 0.7, 3_600_000)
+    late, at = short_term.fold_plays(vector, last, np.array([7_000_000]), songs[1:2], 0.7, 3_600_000)
+    assert at == 10_000_000 and late == pytest.approx([0.7, 0.3, 0])
+    same, at = short_term.fold_plays(late, at, np.array([5_000_000]), songs[2:], 0.7, 3_600_000)
+    assert at == 10_000_000 and same is late
+    after, at = short_term.fold_plays(late, at, np.array([10_700_000]), songs[2:], 0.7, 3_600_000)
+    assert at == 10_700_000 and after == pytest.approx([0.49, 0.21, 0.3])
+
+
+def test_late_player_events_give_no_negative_time():
+    def fold(state, *events):
+        kinds, ts = np.array([k for k, _ in events]), np.array([t for _, t in events], np.int64)
+        return stream_player.fold_events(state, kinds, ts, 30_000)
+
+    state, reading = fold((0, -1, -1, 0), ("play", 50_000))
+    state, reading = fold(state, ("pause", 20_000))
+    assert reading == 0 and state == (0, -1, -1, 50_000)
+    state, reading = fold(state, ("play", 60_000), ("snapshot", 80_000), ("play", 85_000), ("pause", 95_000))
+    assert reading == 10_000 and state[2] == -1
+    state, reading = fold(state, ("play", 100_000))
+    state, reading = fold(state, ("snapshot", 125_000))
+    assert reading == 35_000 and state[2] == 120_000
+    state, reading = fold(state, ("reset", 130_000))
+    assert reading == 0 and state[:2] == (0, -1)
 
 
 def log_stream(spark, tmp_path, rows, schema, n_files, order):
