@@ -148,11 +148,6 @@ def hydrate(ranked: DataFrame, songs: DataFrame) -> DataFrame:
     return ranked.join(shown, "id")
 
 
-# Up to this many trending songs are picked with a bounded top-n and broadcast; a longer
-# list is ranked by a distributed sort and joined by shuffles.
-TOP_N_LIMIT = 10_000
-
-
 def _by_plays(songs: DataFrame) -> tuple[DataFrame, list[Column]]:
     table = songs.select(
         F.col("_id").alias("id"),
@@ -161,21 +156,20 @@ def _by_plays(songs: DataFrame) -> tuple[DataFrame, list[Column]]:
     return table, [F.desc("plays"), F.asc("id")]
 
 
-def _near_pools(asks: DataFrame, songs: DataFrame, seen: DataFrame, longest: int) -> DataFrame:
-    """Pools that end within the first ``longest`` (at most TOP_N_LIMIT) trending songs.
+def _pools(asks: DataFrame, songs: DataFrame, seen: DataFrame) -> DataFrame:
+    """Every user's pool of trending songs: the first positions that hold none they have seen.
 
-    What a user has seen of those songs is a short set of positions. The pool is the
-    first positions not in it. Requests are partitioned by user before they expand, so
-    the expanded rows are never shuffled.
+    Seen songs push a pool at most as many places down, so a user looks at the first
+    ``pool + seen`` positions. Requests are partitioned by user before they expand; a
+    pool then meets the ranked songs in an equi-join whose size follows the requests.
     """
     table, order = _by_plays(songs)
-    best = table.orderBy(*order).limit(longest)
-    # A window without partitions, over at most TOP_N_LIMIT rows.
-    place = F.row_number().over(Window.orderBy(*order)).cast("bigint")
-    top = F.broadcast(cut(best.withColumn("position", place)))
+    ranked = cut(dense_rank_by(table, order, "_place").withColumn("position", F.col("_place") + 1))
     skips = (
         seen.select("user_id", "id")
-        .join(top.select("id", "position"), "id")
+        .join(ranked.select("id", "position"), "id")
+        .join(asks.select("user_id", "_reach"), "user_id")
+        .filter(F.col("position") <= F.col("_reach"))
         .groupBy("user_id")
         .agg(F.collect_set("position").alias("_skip"))
     )
@@ -186,28 +180,7 @@ def _near_pools(asks: DataFrame, songs: DataFrame, seen: DataFrame, longest: int
         spread(asks, "user_id")
         .join(skips, "user_id", "left")
         .select("user_id", "n", "offset", F.explode(pool).alias("position"))
-        .join(top, "position")
-        .select("user_id", "n", "offset", "id", "plays")
-    )
-
-
-def _far_pools(asks: DataFrame, songs: DataFrame, seen: DataFrame) -> DataFrame:
-    """Pools of users who have seen so much that theirs may end anywhere.
-
-    Excluding ``s`` songs pushes the pool at most ``s`` places down, so a user looks at
-    the first ``pool + s`` trending positions: an equi-join whose size follows the
-    requests and the exclusions.
-    """
-    table, order = _by_plays(songs)
-    ranked = dense_rank_by(table, order, "position")
-    reach = F.sequence(F.lit(0), F.col("_reach") - 1)
-    slots = asks.select("user_id", "n", "offset", "_pool", F.explode(reach).alias("position"))
-    place = Window.partitionBy("user_id").orderBy("position")
-    return (
-        slots.join(ranked, "position")
-        .join(seen.select("user_id", "id"), ["user_id", "id"], "left_anti")
-        .withColumn("_place", F.row_number().over(place))
-        .filter(F.col("_place") <= F.col("_pool"))
+        .join(ranked, "position")
         .select("user_id", "n", "offset", "id", "plays")
     )
 
@@ -217,7 +190,6 @@ def fallback_songs(
     songs: DataFrame,
     seen: DataFrame,
     seed: int,
-    top_n_limit: int = TOP_N_LIMIT,
 ) -> DataFrame:
     """Popular songs for ``wanted(user_id, n)``: a weighted draw from the trending pool.
 
@@ -238,17 +210,7 @@ def fallback_songs(
         .withColumn("_reach", F.col("_pool") + F.coalesce(F.col("_s"), F.lit(0)))
         .drop("_s")
     )
-    near = F.col("_reach") <= top_n_limit
-    reach = asks.agg(
-        F.max(F.when(near, F.col("_reach"))).alias("near"),
-        F.max(F.when(~near, F.col("_reach"))).alias("far"),
-    ).first()
-    if reach["near"] is None and reach["far"] is None:
-        nobody = asks.select("user_id", F.lit("").alias("id"), F.lit(0).alias("rank"))
-        return nobody.filter(F.lit(False))
-    cands = _near_pools(asks.filter(near), songs, seen, reach["near"] or 1)
-    if reach["far"] is not None:
-        cands = cands.unionByName(_far_pools(asks.filter(~near), songs, seen))
+    cands = _pools(asks, songs, seen)
     hashed = sample_hash(seed, F.col("user_id"), F.col("id"))
     draw = Window.partitionBy("user_id").orderBy("_key", "id")
     return (

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.functions.text import words
 from earshot.operators.ranking import page, topk_per
-from earshot.session import spread
+from earshot.session import cut, spread
 
 # What one occurrence of a word counts in each name.
 TRACK_WEIGHT = 10
@@ -34,120 +32,100 @@ def token_index(songs: DataFrame) -> DataFrame:
     )
 
 
-# A word in more songs than this is frequent: its songs are not listed per query.
-FREQUENT = 1000
-
-
-def _frequent_scores(texts: DataFrame, profiles: DataFrame, probe: int) -> DataFrame:
-    """``(_text, id, score)`` by frequent words alone, the best ``probe`` per text.
-
-    Songs with the same frequent words, equally often, score alike, so queries meet these
-    profiles, not songs. Texts with the same frequent words share one list. Of a profile
-    only the first ``probe`` ids can appear on a page, and of a text's profiles only the
-    ``probe`` best, ties by smallest id.
-    """
-    firsts = (
-        topk_per(profiles, ["profile"], [F.asc("id")], probe)
-        .groupBy("profile")
-        .agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    )
-    wanted = texts.filter(F.size("frequent") > 0).select("_text", "frequent")
-    by_word = wanted.select("frequent").distinct().select(
-        "frequent", F.explode("frequent").alias("token")
-    )
-    held = firsts.select("profile", "ids", F.inline("profile"))
-    hits = by_word.join(
-        held.select("profile", F.get("ids", F.lit(0)).alias("first_id"), "token", "weight"), "token"
-    )
-    scored = hits.groupBy("frequent", "profile").agg(
-        F.sum("weight").alias("score"), F.min("first_id").alias("first_id")
-    )
-    best = topk_per(scored, ["frequent"], [F.desc("score"), F.asc("first_id")], probe, "_p")
-    ids = best.join(firsts, "profile").select("frequent", "score", F.explode("ids").alias("id"))
-    shared = topk_per(ids, ["frequent"], [F.desc("score"), F.asc("id")], probe, "_p")
-    return wanted.join(shared, "frequent").select("_text", "id", "score")
+# Songs of each word, best first, that the first round looks at.
+HEAD = 200
 
 
 def search_songs(
-    index: DataFrame,
-    queries: DataFrame,
-    limit: int,
-    skip: int = 0,
-    frequent: int = FREQUENT,
+    index: DataFrame, queries: DataFrame, limit: int, skip: int = 0, head: int = HEAD
 ) -> DataFrame:
     """A page of results for each of ``queries(query_id, text)``, best first, ties by id.
 
     A song matches when it has any of the query's distinct words; its score is the sum of
     their weights. Equal texts are searched once. A query without words has no results.
 
-    A word that very many songs share would pair every query with all of them. Only
-    rarer words look songs up one by one. Such a song's frequent words are then added to
-    its score; songs that match by frequent words alone come from `_frequent_scores`.
+    A first round over each word's ``head`` best songs finds as many songs as a page needs; the
+    lowest of their full scores is the text's floor. The commonest words whose greatest weights
+    together stay below the floor cannot lift a song onto the page alone, and the commonest word
+    never lifts one above its own best songs, which the first round has. Of the others those songs
+    are listed whose weight, with the greatest of all other words, reaches the floor. The songs
+    left are then scored in full.
     """
     probe = skip + limit + 1
     key = F.array_join(F.array_sort(F.array_distinct(words(F.col("text")))), " ")
     asked = queries.select("query_id", key.alias("_text"))
-    common = (
-        index.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > frequent)
-        .select("token", F.lit(True).alias("_common"))
+    index = index.select("token", "id", F.col("weight").cast("bigint").alias("weight"))
+    most = index.groupBy("token").agg(
+        F.max("weight").alias("_most"), F.count(F.lit(1)).alias("_songs")
     )
-    tokens = spread(
-        asked.select("_text")
-        .distinct()
-        .select("_text", F.explode(F.split("_text", " ")).alias("token"))
+    texts = asked.select("_text").distinct()
+    tokens = cut(
+        texts.select("_text", F.explode(F.split("_text", " ")).alias("token"))
         .filter(F.col("token") != "")
-        .join(common, "token", "left"),
-        "_text",
-    )
-    texts = tokens.groupBy("_text").agg(
-        F.sort_array(F.collect_set(F.when(F.col("_common"), F.col("token")))).alias("frequent")
-    )
-    entry = F.struct("token", F.col("weight").cast("bigint").alias("weight"))
-    profiles = (
-        index.join(common, "token", "left_semi")
-        .groupBy("id")
-        .agg(F.sort_array(F.collect_list(entry)).alias("profile"))
-    )
-    looked_up = (
-        index.join(tokens.filter(F.col("_common").isNull()), "token")
-        .groupBy("_text", "id")
-        .agg(F.sum("weight").alias("_rare"))
-        .join(texts, "_text")
-        .join(profiles, "id", "left")
+        .join(most, "token")
     )
-    shared = F.filter("profile", lambda e: F.array_contains(F.col("frequent"), e["token"]))
-    extra = F.aggregate(shared, F.lit(0).cast("bigint"), lambda s, e: s + e["weight"])
-    rare = looked_up.select(
-        "_text", "id", (F.col("_rare") + F.coalesce(extra, F.lit(0))).alias("score")
-    )
-    best = topk_per(rare, ["_text"], [F.desc("score"), F.asc("id")], probe).drop("rank")
-    # A song found both ways has its full score from the look-up, which is no smaller.
-    scores = (
-        best.unionByName(_frequent_scores(texts, profiles, probe))
-        .groupBy("_text", "id")
-        .agg(F.max("score").cast("bigint").alias("score"))
+    heads = topk_per(
+        index.join(tokens.select("token").distinct(), "token", "left_semi"),
+        ["token"], [F.desc("weight"), F.asc("id")], max(head, probe),
+    ).drop("rank")
+    first = tokens.join(heads, "token").groupBy("_text", "id").agg(F.sum("weight").alias("part"))
+    first = cut(topk_per(first, ["_text"], [F.desc("part"), F.asc("id")], probe))
+    full = first.select("_text", "id").join(tokens, "_text").join(index, ["token", "id"])
+    full = full.groupBy("_text", "id").agg(F.sum("weight").alias("score"))
+    floors = full.groupBy("_text").agg(F.count(F.lit(1)).alias("_found"), F.min("score").alias("_floor"))
+    floors = floors.filter(F.col("_found") == probe).select("_text", "_floor")
+    # Within a text, by its few words.
+    whole = Window.partitionBy("_text")
+    common = whole.orderBy(F.desc("_songs"), "token")
+    upto = F.sum("_most").over(common.rowsBetween(Window.unboundedPreceding, 0))
+    bounds = (
+        tokens.withColumn("_rest", F.sum("_most").over(whole) - F.col("_most"))
+        .withColumns({"_upto": upto, "_place": F.row_number().over(common)})
+        .join(floors, "_text", "left")
+        .withColumn("_floor", F.coalesce("_floor", F.lit(0)))
+        .filter((F.col("_upto") >= F.col("_floor")) & (F.col("_place") > 1))
     )
+    steps = index.select("token", "weight").distinct()
+    able = bounds.join(steps, "token").filter(F.col("weight") + F.col("_rest") >= F.col("_floor"))
+    listed = spread(able.select("_text", "token", "weight"), "token", "weight")
+    found = listed.join(index, ["token", "weight"]).select("_text", "id")
+    near = cut(found.unionByName(first.select("_text", "id")).distinct())
+    held = near.join(tokens.select("_text", "token"), "_text").join(index, ["token", "id"])
+    scores = held.groupBy("_text", "id").agg(F.sum("weight").alias("score"))
     pages = page(scores, ["_text"], [F.desc("score"), F.asc("id")], skip, limit)
     return asked.join(pages, "_text").select("query_id", "id", "score", "rank", "has_more")
 
 
+# Patterns that one row of songs meets at once.
+PATTERNS = 200
+
+
 def search_regex(
-    songs: DataFrame, patterns: Mapping[str, str], limit: int, skip: int = 0
+    songs: DataFrame, patterns: DataFrame, limit: int, skip: int = 0
 ) -> DataFrame:
     """A page of songs whose track or artist name matches each pattern, ignoring case.
 
-    The patterns of a request come as ``{query_id: pattern}`` and become conditions of
-    one scan, so songs are read once and only matches are emitted.
+    ``patterns(query_id, pattern)`` meet the songs in blocks of about ``PATTERNS``: a song is
+    copied once per block, not per pattern, and only matches leave the row.
     """
-    hits = []
-    for query_id, pattern in patterns.items():
-        found = [F.col(c).rlike("(?i)" + pattern) for c in ("track_name", "artist_name")]
-        either = F.coalesce(found[0], F.lit(False)) | F.coalesce(found[1], F.lit(False))
-        hits.append(F.when(either, F.lit(query_id)))
-    matches = songs.select(
-        F.col("_id").alias("id"), F.explode(F.array_compact(F.array(*hits))).alias("query_id")
+    blocks = -(-patterns.count() // PATTERNS) or 1
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block")
+    entry = F.struct("query_id", F.concat(F.lit("(?i)"), "pattern").alias("pattern"))
+    packed = patterns.filter("pattern IS NOT NULL").groupBy(block).agg(
+        F.collect_list(entry).alias("_all")
+    )
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    copies = songs.select(F.col("_id").alias("id"), "track_name", "artist_name", each.alias("_block"))
+
+    def hit(entry: Column) -> Column:
+        found = [
+            F.coalesce(F.rlike(F.col(c), entry["pattern"]), F.lit(False))
+            for c in ("track_name", "artist_name")
+        ]
+        return found[0] | found[1]
+
+    matches = copies.join(packed, "_block").select(
+        "id", F.explode(F.filter("_all", hit)["query_id"]).alias("query_id")
     )
     return page(matches, ["query_id"], [F.asc("id")], skip, limit).select(
         "query_id", "id", "rank", "has_more"

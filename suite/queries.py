@@ -630,7 +630,8 @@ def token_index(fx):
 
 @register
 def search_regex(fx):
-    return search.search_regex(fx.names(), FEED_PATTERNS, 20, 10)
+    patterns = fx.spark.createDataFrame(list(FEED_PATTERNS.items()), "query_id string, pattern string")
+    return search.search_regex(fx.names(), patterns, 20, 10)
 
 
 # ---- training and content -----------------------------------------------------------
