@@ -23,7 +23,9 @@ def _spans(events: DataFrame, slice_ms: int) -> DataFrame:
     ``_closed`` is the span a play event adds to the total.
     """
     rank = F.when(F.col("kind") == "reset", 0).when(F.col("kind") == "pause", 1).otherwise(2)
-    rows = slices.with_slice(events.select(KEY, "ts_ms", "kind"), "ts_ms", slice_ms)
+    # The same event at the same moment again changes nothing.
+    once = events.select(KEY, "ts_ms", "kind").distinct()
+    rows = slices.with_slice(once, "ts_ms", slice_ms)
     rows = rows.withColumn("_rank", rank)
     moves = F.col("kind") != "snapshot"
     step = F.struct("ts_ms", "_rank", "kind")

@@ -31,7 +31,7 @@ def _session_slices(plays: DataFrame, gap_ms: int, slice_ms: int | None) -> tupl
         {
             "_first": F.min("timestamp"),
             "_last": F.max("timestamp"),
-            "_n": F.count(F.lit(1)),
+            "_n": F.sum("_times") if "_times" in plays.columns else F.count(F.lit(1)),
         },
     )
     order = slices.by_slice("user_id")
@@ -51,10 +51,11 @@ def sessionize(
     return slices.attach(rows, summary, "user_id", ["session_no"]).drop("_slice")
 
 
-def ema_weight(n: Column, k: Column, decay: float) -> Column:
-    """Weight of the ``k``-th of ``n`` plays in a moving average begun by the first."""
-    faded = F.pow(F.lit(decay), n - k)
-    return F.when(k == 1, faded).otherwise(faded * (1.0 - decay))
+def ema_weight(n: Column, k: Column, times: Column, decay: float) -> Column:
+    """Weight of the ``k``-th to ``k + times - 1``-th of ``n`` plays in a moving average begun by
+    the first: a geometric sum, and more for the first."""
+    run = F.pow(F.lit(decay), n - k - times + 1) * (1 - F.pow(F.lit(decay), times))
+    return run + F.when(k == 1, F.pow(F.lit(decay), n)).otherwise(0.0)
 
 
 def play_weights(
@@ -66,8 +67,10 @@ def play_weights(
     """Total moving-average weight per user, session and track, with the last play time.
 
     A play's weight depends on how many plays of its session follow it: those in its own
-    slice, counted there, plus those in later slices, summed in the summary.
+    slice, counted there, plus those in later slices, summed in the summary. Plays of one song at
+    one moment are one row from the start, however often an import repeats them.
     """
+    plays = plays.groupBy("user_id", "timestamp", "track_id").agg(F.count(F.lit(1)).alias("_times"))
     rows, summary = _session_slices(plays, gap_ms, slice_ms)
     session = slices.by_slice("user_id", "session_no")
     earlier = F.coalesce(F.sum("_n").over(slices.before(session)), F.lit(0))
@@ -81,9 +84,10 @@ def play_weights(
     )
     rows = slices.attach(rows, summary, "user_id", ["session_no", "_earlier", "_size", "_ended"])
     here = slices.in_slice("user_id", "timestamp", "track_id")
-    position = F.col("_earlier") + F.row_number().over(here)
+    before = F.coalesce(F.sum("_times").over(slices.before(here)), F.lit(0))
+    position = F.col("_earlier") + before + 1
     return (
-        rows.withColumn("_w", ema_weight(F.col("_size"), position, decay))
+        rows.withColumn("_w", ema_weight(F.col("_size"), position, F.col("_times"), decay))
         .groupBy("user_id", "session_no", "track_id")
         .agg(
             F.sum("_w").alias("weight"),
@@ -100,7 +104,7 @@ def short_term_vectors(
     gap_ms: int = SESSION_GAP_MS,
     slice_ms: int | None = None,
     alive_at_ms: int | None = None,
-    dim: int = ITEM_DIM,
+    dim: int | None = None,
 ) -> DataFrame:
     """Moving average of the vectors of the songs played, per user and session.
 
@@ -108,15 +112,21 @@ def short_term_vectors(
     songs without a vector count for nothing, not even to keep a session alive. The
     average is a weighted sum, one partial sum per component: no user's plays are
     gathered as a list. With ``alive_at_ms`` only the sessions whose last play is younger
-    than ``gap_ms`` then are computed.
+    than ``gap_ms`` then are computed. The vectors are ``dim`` long, by default as long as the
+    table's first; one of another length fails the job.
     """
+    if dim is None:
+        first = items.select(F.size("embedding").alias("n")).first()
+        dim = first["n"] if first else ITEM_DIM
     ids = items.select(F.col("id").alias("track_id"))
     known = plays.select("user_id", "track_id", "timestamp").join(ids, "track_id", "left_semi")
     weights = play_weights(known, decay, gap_ms, slice_ms)
     if alive_at_ms is not None:
         age = F.lit(alive_at_ms) - F.col("last_ts")
         weights = weights.filter((age >= 0) & (age < gap_ms))
-    vectors = items.select(F.col("id").alias("track_id"), F.col("embedding").alias("_v"))
+    wrong = F.raise_error(F.lit(f"vector not of length {dim}")).cast(items.schema["embedding"].dataType)
+    checked = F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(wrong)
+    vectors = items.select(F.col("id").alias("track_id"), checked.alias("_v"))
     parts = [F.expr(f"sum(weight * get(_v, {i})) AS _{i}") for i in range(dim)]
     return (
         weights.join(vectors, "track_id")
@@ -138,7 +148,7 @@ def active_short_term(
     as_of_ms: int,
     decay: float = DECAY,
     ttl_ms: int = SESSION_GAP_MS,
-    dim: int = ITEM_DIM,
+    dim: int | None = None,
 ) -> DataFrame:
     """Each user's short-term vector at a moment, if they have one that is still alive."""
     past = plays.filter(F.col("timestamp") <= as_of_ms)

@@ -710,6 +710,27 @@ SQL |= {
         SELECT coalesce(p_partkey::VARCHAR, track_id) AS _id, coalesce(plays, 0)::BIGINT AS plays_cumulative
         FROM part FULL JOIN (SELECT track_id, count(*) AS plays FROM play_log
                              WHERE {PLAYED} GROUP BY track_id) ON p_partkey::VARCHAR = track_id""",
+    "rejected_lines": """
+        SELECT CASE p_partkey % 3 WHEN 0 THEN 'broken ' || p_partkey
+                                  ELSE '{"track_name":"' || p_partkey || '"}' END AS line,
+               CASE p_partkey % 3 WHEN 0 THEN 'malformed' ELSE 'id missing' END AS reason
+        FROM part WHERE p_partkey % 3 < 2""",
+    "read_history": 'SELECT user_id, track_id, "timestamp", action FROM play_log',
+    "load_vectors": f"SELECT id, {vector_sums('embedding')} FROM items",
+    "conform_times": """
+        SELECT event_id, CASE WHEN event_type <> 'error' THEN epoch_ms(date_trunc('second', ts)) END AS ms
+        FROM events""",
+    "is_empty": """
+        SELECT a.action, count(p.action) = 0 AS empty
+        FROM (SELECT unnest(['listen', 'skip', 'complete', 'never']) AS action) a
+        LEFT JOIN play_log p ON a.action = p.action GROUP BY a.action""",
+    "batch_encoder": """
+        SELECT id, round(avg(length(w))::FLOAT::DOUBLE, 6) AS x0,
+               round(avg(length(w) - length(replace(w, 'e', '')))::FLOAT::DOUBLE, 6) AS x1,
+               round(avg(length(w) - length(replace(w, ' ', '')))::FLOAT::DOUBLE, 6) AS x2
+        FROM (SELECT id, substr(text, i * 500 + 1, 500) AS w
+              FROM gated, unnest(range(0, ((length(text) + 499) // 500)::BIGINT)) AS r(i))
+        GROUP BY id""",
     "fold_stream_counts": f"""
         SELECT coalesce(p_partkey::VARCHAR, track_id) AS _id, coalesce(plays, 0)::BIGINT AS plays_cumulative
         FROM part FULL JOIN (SELECT track_id, count(*) AS plays FROM play_log

@@ -9,6 +9,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import LongType, StructField, StructType, TimestampType
+
 from earshot import schemas
 from earshot.functions import text, time, vector
 from earshot.operators import (
@@ -736,6 +738,70 @@ def jsonl_round_trip(fx):
     )
 
 
+@register
+def rejected_lines(fx):
+    """Master lines that are no JSON object or lack an id, each kept with its reason."""
+    path = scratch(fx.spark, "lines")
+    key = F.col("p_partkey")
+    line = (
+        F.when(key % 3 == 0, F.concat(F.lit("broken "), key.cast("string")))
+        .when(key % 3 == 1, F.concat(F.lit('{"track_name":"'), key.cast("string"), F.lit('"}')))
+        .otherwise(F.concat(F.lit('{"id":"'), key.cast("string"), F.lit('"}')))
+    )
+    fx.raw("part").select(line.alias("value")).write.text(path)
+    _, rejected = master.read_master_jsonl(fx.spark, path, schemas.SONGS)
+    return rejected
+
+
+@register
+def read_history(fx):
+    """A history folder of several files, sorted, written and read back whole."""
+    path = scratch(fx.spark, "history")
+    lake.write_table(lake.sort_history(fx.play_log().drop("date_str")), path, schemas.PLAY_LOG)
+    whole = lake.read_history(fx.spark, path)
+    return whole.select("user_id", "track_id", "timestamp", "action")
+
+
+@register
+def load_vectors(fx):
+    path = scratch(fx.spark, "vectors")
+    fx.items().write.parquet(path)
+    return tables.load_vectors(fx.spark, path, 64).select("id", *vector_sums("embedding"))
+
+
+@register
+def conform_times(fx):
+    """Event times as text, some unreadable, cast to timestamps."""
+    text = F.when(F.col("event_type") == "error", "bad").otherwise(
+        F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    )
+    wanted = StructType([StructField("event_id", LongType()), StructField("ts", TimestampType())])
+    cast = schemas.conform(fx.raw("events").select("event_id", text.alias("ts")), wanted)
+    return cast.select("event_id", F.unix_millis("ts").alias("ms"))
+
+
+@register
+def is_empty(fx):
+    """Whether each action has events in the log; one never does."""
+    log = fx.play_log()
+    names = ["listen", "skip", "complete", "never"]
+    found = [(n, counts.is_empty(log.filter(F.col("action") == n))) for n in names]
+    return fx.spark.createDataFrame(found, "action string, empty boolean")
+
+
+def letter_counts():
+    """A stand-in for a sentence model: a text's length, its letters e and its blanks."""
+    return lambda texts: [[len(t), t.count("e"), t.count(" ")] for t in texts]
+
+
+@register
+def batch_encoder(fx):
+    """Whole lyrics through a model that reads 500 characters at once: means of the windows."""
+    none = fx.spark.createDataFrame([], schemas.VECTORS)
+    made = content.embed_text(fx.songs(), none, content.BatchEncoder(letter_counts, window=500))
+    return made.select("id", *(r6(F.col("embedding")[i].cast("double")).alias(f"x{i}") for i in range(3)))
+
+
 @register
 def publish_vectors(fx):
     root = scratch(fx.spark, "vectors")

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from earshot.operators import player, sessions
 
@@ -139,3 +140,41 @@ def test_player_timer_equals_fold(spark, slice_ms):
         reading, hit = timer(es, 30_000)
         assert read[p] == reading, (p, es)
         assert hits.get(p) == hit, (p, es)
+
+
+def test_many_plays_at_one_moment_are_few_rows_before_any_window(spark):
+    """An import without times gives all its plays one arrival stamp."""
+    rows = [("hot", f"t{i % 3}", 1_000) for i in range(3_000)] + [("hot", "t0", 2_000), ("u", "t1", 5)]
+    log = spark.createDataFrame(rows, "user_id string, track_id string, timestamp long")
+    got = {(r["user_id"], r["track_id"]): r for r in sessions.play_weights(log, decay=0.999).collect()}
+    order = sorted(r[1] for r in rows[:3_000]) + ["t0"]
+    weights = {}
+    for k, track in enumerate(order, 1):
+        w = 0.999 ** (len(order) - k) * (1 if k == 1 else 1 - 0.999)
+        weights[track] = weights.get(track, 0) + w
+    for track, w in weights.items():
+        assert got["hot", track]["weight"] == pytest.approx(w, rel=1e-9)
+        assert got["hot", track]["n_plays"] == 3_001
+    assert got["u", "t1"]["weight"] == 1
+
+
+def test_vectors_of_another_length_fail(spark):
+    log = spark.createDataFrame([("u", "a", 1), ("u", "b", 2)], "user_id string, track_id string, timestamp long")
+    items = spark.createDataFrame([("a", [1.0] * 128), ("b", [2.0] * 128)], "id string, embedding array<float>")
+    (row,) = sessions.short_term_vectors(log, items).collect()
+    assert len(row["vector"]) == 128
+    with pytest.raises(Exception, match="not of length 64"):
+        sessions.short_term_vectors(log, items, dim=64).collect()
+
+
+def test_sorted_history_splits_rows_of_one_moment(spark):
+    from earshot.sources.lake import sort_history
+
+    rows = [(7, f"u{i:04d}") for i in range(2_000)] + [(1, "a"), (9, "z")]
+    df = spark.createDataFrame(rows, "timestamp long, user_id string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    out = sort_history(df)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert max(sizes) < 2_000
+    assert [tuple(r) for r in out.collect()] == sorted(rows)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
