@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from earshot.session import cut
 
 MAX_ROUNDS = 60
+#: Edges that one task may handle; small tables need few tasks.
+TASK = 500_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,16 +28,18 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             break
-        seen = mark
+        seen, tasks = mark, -(-mark[0] // TASK)
+        now = now.coalesce(tasks)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = both.coalesce(tasks)
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         least = least.select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u > v").distinct()
+        large = large.where("u > v").coalesce(tasks).distinct().coalesce(tasks)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         hung = least.select("u", F.col("m").alias("v"))
-        now = cut(small.unionByName(hung).distinct())
+        now = cut(small.unionByName(hung).coalesce(tasks).distinct().coalesce(tasks))
     else:
         raise RuntimeError("components did not settle")
     ends = now.select(F.col("u").alias("id"), F.col("v").alias("root"))

@@ -1,23 +1,26 @@
 """Near-duplicate detection by bottom-k sketches from one hash function.
 
 A document's set is its distinct word shingles, hashed to 64 bits. The hash range is divided in
-``STRATA`` equal strata, and the sketch retains the ``DEPTH`` smallest values of each. Each
-stratum's retained values together are a key of the inverted lists: single values would put
-all documents with a common phrase in one list, whole runs of them only like documents.
+``STRATA`` equal strata. The ``RUN`` smallest values of a stratum together are a key of the inverted
+lists: single values would put all documents with a common phrase in one list, whole runs of them
+only like documents. For estimates the sketch retains ``DEPTH`` values of each stratum, or the whole
+set if it has no more than ``STRATA * DEPTH`` values.
 
 1. Documents with equal sets are one class; the work goes on with one of each class.
 2. Lists of up to ``SMALL`` classes give all their pairs. Longer lists give a star: each member
-   with a leader that a hash picks anew in every list.
-3. Pairs whose sketches cannot reach the threshold (an upper bound of the union-sketch estimate
-   plus six standard deviations) fall away; the rest is verified on the full sets.
+   with a leader, picked by one of ``ORDERS`` hash orders of the ids.
+3. Pairs whose sketches cannot reach the threshold fall away: whole sets are compared as they are,
+   sketches by an upper bound of the union-sketch estimate plus six standard deviations.
+   The rest is verified on the full sets.
 4. Verified links join classes to components. In long lists that still hold several of them,
-   each member outside the list's main component meets all members of other components, the
-   sketch bound being part of the join, so that only likely pairs are ever made. This is the
-   exact way for what the stars left open.
-
-Two sets at the threshold share a given stratum's retained values with a chance of about one in
-two, so that one of 32 keys is shared by all but some 1e-10 of them. For small sets it is certain:
-more strata hold values than values differ.
+   each member outside the list's main component is compared with all members of other components,
+   in blocks of at most ``BLOCK`` by ``BLOCK`` members, by the same rule: first by the smallest value
+   of each stratum, then by the sketches. A pair counts in its first common list only. Only likely
+   pairs leave a block. This is the exact way for what the stars left open.
+
+Two sets at the threshold share a given stratum's run with a chance of about one in two, so that
+one of 32 keys is shared by all but some 1e-10 of them. For small sets it is certain: more strata
+hold values than values differ.
 """
 
 from __future__ import annotations
@@ -25,86 +28,169 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.llm.graph import components
+from earshot.llm.pieces import slices
 from earshot.llm.words import mix, shingles, utf8, word_hashes, word_places
 from earshot.session import cut
 
-STRATA, DEPTH = 32, 3
-SMALL = 8
+STRATA, RUN, DEPTH = 32, 3, 8
+SMALL, ORDERS, BLOCK = 8, 4, 4_096
+#: Bytes of text hashed at once.
+SLICE = 1 << 22
 #: Hash buckets that say which sets to read again for verification.
 BUCKETS = 1 << 20
-_SKETCH = "doc_id bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>, kept array<bigint>"
+_SKETCH = (
+    "doc_id bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>, marks binary, "
+    "kept array<int>, whole boolean"
+)
 
 
 def document_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     data, at = utf8(column)
-    starts, ends, first = word_places(data, at)
-    hashes = word_hashes(data, starts, ends)
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        yield shingles(hashes[a:b], words)
+    for i, j in slices(np.diff(at).tolist(), SLICE):
+        part = data[at[i] : at[j]]
+        starts, ends, first = word_places(part, at[i : j + 1] - at[i])
+        hashes = word_hashes(part, starts, ends)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            yield shingles(hashes[a:b], words)
 
 
-def sketch(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys and the retained values of a sorted set."""
+def sketch(values: np.ndarray) -> tuple[np.ndarray, bytes, np.ndarray, bool]:
+    """Of a sorted set: each stratum's key (0 if it is empty); each stratum's smallest value and key
+    cut to 32 bits; the retained values cut to 32 bits; and whether these are all of the set."""
     stratum = (values >> np.uint64(64 - STRATA.bit_length() + 1)).astype(np.int64)
-    first = np.searchsorted(stratum, stratum)
-    kept = values[np.arange(len(values)) - first < DEPTH]
-    group = (kept >> np.uint64(64 - STRATA.bit_length() + 1)).astype(np.int64)
+    place = np.arange(len(values)) - np.searchsorted(stratum, stratum)
+    run, group = values[place < RUN], stratum[place < RUN]
     at = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    keys = mix(np.add.reduceat(mix(kept), at) + np.uint64(1))
-    return keys, kept
-
-
-def _lists(parts: list[np.ndarray]) -> pa.Array:
+    keys, least = np.zeros(STRATA, np.uint64), np.zeros(STRATA, np.uint32)
+    hashes = mix(np.add.reduceat(mix(run), at) + np.uint64(1))
+    # The lowest bits are the stratum's number, the next one says that it is filled.
+    low = np.uint64(2 * STRATA - 1)
+    keys[group[at]] = (hashes & ~low) | np.uint64(STRATA) | group[at].astype(np.uint64)
+    least[group[at]] = run[at].astype(np.uint32) | np.uint32(1)
+    marks = np.concatenate([least, (keys >> np.uint64(32)).astype(np.uint32)]).tobytes()
+    whole = len(values) <= STRATA * DEPTH
+    kept = values if whole else values[place < DEPTH]
+    return keys, marks, np.unique(kept.astype(np.uint32)), whole
+
+
+def _lists(parts: list[np.ndarray], kind: type) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
     flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(kind)))
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, n, f1, f2, keys, kept)``: set size, set fingerprint, keys, retained values."""
+    """``(doc_id, n, f1, f2, keys, kept, whole)``: set size, set fingerprint, and the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.uint64)
+        none = np.zeros(0, np.uint64), b"", np.zeros(0, np.uint32), True
         for batch in batches:
-            sizes, prints, keys, kept = [], [], [], []
+            sizes, prints, keys, marks, kept, whole = [], [], [], [], [], []
             for values in document_sets(batch["text"], words):
-                k, v = sketch(values) if len(values) else (none, none)
+                k, m, v, w = sketch(values) if len(values) else none
                 sizes.append(len(values))
-                sums = (np.sum(mix(values), dtype=np.uint64), np.bitwise_xor.reduce(values, initial=0))
-                prints.append(sums)
+                total = np.sum(mix(values), dtype=np.uint64)
+                prints.append((total, np.bitwise_xor.reduce(values, initial=0)))
                 keys.append(k)
+                marks.append(m)
                 kept.append(v)
-            marks = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
+                whole.append(w)
+            sums = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(marks[:, 0]),
-                 pa.array(marks[:, 1]), _lists(keys), _lists(kept)],
-                ["doc_id", "n", "f1", "f2", "keys", "kept"],
+                [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(sums[:, 0]),
+                 pa.array(sums[:, 1]), _lists(keys, np.int64), pa.array(marks, pa.binary()),
+                 _lists(kept, np.int32),
+                 pa.array(whole, pa.bool_())],
+                ["doc_id", "n", "f1", "f2", "keys", "marks", "kept", "whole"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, _SKETCH)
 
 
+def _sizes(a: str, b: str, percent: int) -> Column:
+    return 100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n")
+
+
 def _bound(a: str, b: str, percent: int) -> Column:
-    """Whether the sizes, and the sketches within six deviations, allow the threshold."""
+    """Whether the sketches allow the threshold: surely for whole sets, else within six deviations."""
     t = percent / 100
-    sizes = 100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n")
-    most = F.greatest(F.size(f"{a}kept"), F.size(f"{b}kept"))
     shared = F.size(F.array_intersect(f"{a}kept", f"{b}kept"))
-    slack = 6 * F.sqrt(t * (1 - t) * most)
-    return sizes & (shared >= t * most - slack)
+    union = (F.col(f"{a}n") + F.col(f"{b}n")) / (1 + t)
+    fewest = F.least(F.size(f"{a}kept"), F.size(f"{b}kept"))
+    share = F.greatest(F.lit(0.0), 1 - fewest / union)  # the sketch is a sample without replacement
+    slack = 6 * F.sqrt(t * (1 - t) * fewest * share) + 1
+    exact = 100 * shared >= percent * (F.col(f"{a}n") + F.col(f"{b}n") - shared)
+    both = F.col(f"{a}whole") & F.col(f"{b}whole")
+    return F.when(both, exact).otherwise(shared >= t * fewest - slack)
+
+
+def _only(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """Few rows of ``table`` besides those with one of ``ids``: by hash buckets, at most BUCKETS."""
+    bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).alias("_bucket")
+    buckets = F.broadcast(ids.select(bucket).distinct())
+    return table.withColumn("_bucket", bucket).join(buckets, "_bucket", "left_semi").drop("_bucket")
 
 
 def _side(classes: DataFrame, name: str) -> DataFrame:
-    return classes.select(
-        F.col("id").alias(name), F.col("n").alias(f"{name}_n"), F.col("kept").alias(f"{name}_kept")
-    )
+    columns = (F.col(c).alias(f"{name}_{c}") for c in ("n", "kept", "whole"))
+    return classes.select(F.col("id").alias(name), *columns)
+
+
+def _likely_in_list(percent: int):
+    """Compare one block of a list with another: the likely pairs of different components."""
+    t = percent / 100
+
+    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        number, low, high = key
+        stratum = int(number) & (STRATA - 1)
+        ids, roots = group["id"].to_numpy(), group["root"].to_numpy()
+        n, whole, block = group["n"].to_numpy(), group["whole"].to_numpy(), group["block"].to_numpy()
+        marks = np.frombuffer(b"".join(group["marks"]), np.uint32).reshape(len(ids), 2, STRATA)
+        least, keys = marks[:, 0].T.copy(), marks[:, 1]
+        filled = (least > 0).sum(0)
+        kept = [np.sort(np.asarray(k).astype(np.uint32)) for k in group["kept"]]
+        sizes = np.array([len(k) for k in kept])
+        begin, flat = np.cumsum(np.r_[0, sizes]), np.concatenate(kept)
+        is_main = roots == group["main"].iloc[0]
+        left, right = [], []
+        for a in np.flatnonzero(~is_main):
+            ok = (roots != roots[a]) & (is_main | (ids > ids[a]))
+            ok &= 100 * np.minimum(n, n[a]) >= percent * np.maximum(n, n[a])
+            if low != high:
+                ok &= block != block[a]
+            b = np.flatnonzero(ok)
+            if not len(b):
+                continue
+            same = ((least[:, b] == least[:, a, None]) & (least[:, a, None] > 0)).sum(0)
+            strata = np.maximum(filled[b], filled[a])
+            b = b[same >= t * strata - 6 * np.sqrt(t * (1 - t) * strata)]
+            before = (keys[b, :stratum] == keys[a, :stratum]) & (keys[a, :stratum] > 0)
+            b = b[~before.any(1)]
+            if not len(b):
+                continue
+            at = np.concatenate([np.arange(begin[i], begin[i + 1]) for i in b])
+            place = np.minimum(np.searchsorted(kept[a], flat[at]), sizes[a] - 1)
+            hit = kept[a][place] == flat[at]
+            shared = np.add.reduceat(hit, np.cumsum(np.r_[0, sizes[b]])[:-1], dtype=np.int64)
+            fewest = np.minimum(sizes[b], sizes[a])
+            share = np.maximum(0, 1 - fewest * (1 + t) / (n[b] + n[a]))
+            near = shared >= t * fewest - 6 * np.sqrt(t * (1 - t) * fewest * share) - 1
+            exact = 100 * shared >= percent * (n[b] + n[a] - shared)
+            b = b[np.where(whole[b] & whole[a], exact, near)]
+            left.append(np.minimum(ids[a], ids[b]))
+            right.append(np.maximum(ids[a], ids[b]))
+        none = [np.zeros(0, np.int64)]
+        return pd.DataFrame({"a": np.concatenate(left or none), "b": np.concatenate(right or none)})
+
+    return compare
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -160,72 +246,70 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     base = cut(sketches(docs, words))
     filled = base.where("n > 0 AND doc_id IS NOT NULL")
-    of = filled.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"))
-    members = cut(filled.select("doc_id", "f1", "f2", "n").join(of, ["f1", "f2", "n"]))
-    first = members.where("doc_id = id").select("doc_id", "f1", "f2").distinct()
+    # Equal sets have equal sketches, so any row's will do.
+    one_of = [F.first(c).alias(c) for c in ("keys", "marks", "kept", "whole")]
     classes = cut(
-        filled.join(first, ["doc_id", "f1", "f2"])
-        .select(F.col("doc_id").alias("id"), "n", "keys", "kept")
-        .dropDuplicates(["id"])
+        filled.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), *one_of)
     )
-    entries = classes.select("id", "n", F.explode("keys").alias("key"))
-    lead = F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id", "n"))
-    lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), lead.alias("lead"))
-    listed = cut(entries.join(lists.where("size > 1"), "key"))
+    entries = classes.select("id", F.explode("keys").alias("key")).where("key <> 0")
+    lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    listed = cut(entries.join(lists, "key"))
 
     few = listed.where(F.col("size") <= SMALL).groupBy("key").agg(
-        F.sort_array(F.collect_list(F.struct("id", "n"))).alias("m")  # at most SMALL
-    )
-    pairs_of = F.transform(
-        "m", lambda x, i: F.transform(F.slice("m", i + 2, SMALL), lambda y: F.struct(x.alias("x"), y.alias("y")))
+        F.sort_array(F.collect_list("id")).alias("m")  # at most SMALL
     )
-    near = few.select(F.explode(F.flatten(pairs_of)).alias("p")).select(
-        F.col("p.x.id").alias("a"), F.col("p.x.n").alias("an"),
-        F.col("p.y.id").alias("b"), F.col("p.y.n").alias("bn"),
-    )
-    many = listed.where(F.col("size") > SMALL)
-    star = many.where("id <> lead.id").select(
-        F.least("id", "lead.id").alias("a"), F.col("n").alias("an"),
-        F.greatest("id", "lead.id").alias("b"), F.col("lead.n").alias("bn"),
-    )
-    close = 100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")
-    pairs = near.unionByName(star).where(close).select("a", "b").distinct()
+    pairs_of = F.transform("m", lambda x, i: F.transform(
+        F.slice("m", i + 2, SMALL), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    near = few.select(F.inline(F.flatten(pairs_of)))
+    many = listed.where(F.col("size") > SMALL).select("key", "id")
+    # A few orders of the ids, so that lists of the same crowd share leaders, but not all one.
+    order = F.struct(F.xxhash64("id", F.col("key").bitwiseAND(F.lit(ORDERS - 1))), "id")
+    lead = many.groupBy("key").agg(F.min(order)["id"].alias("lead"))
+    star = many.join(lead, "key").where("id <> lead")
+    star = star.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+    pairs = cut(near.unionByName(star).distinct())
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    known = _only(classes, ends).select("id", "n", "kept", "whole")
     likely = (
-        pairs.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b")
-        .where(_bound("a_", "b_", percent)).select("a", "b")
+        pairs.join(_side(known, "a"), "a").join(_side(known, "b"), "b")
+        .where(_sizes("a_", "b_", percent) & _bound("a_", "b_", percent)).select("a", "b")
     )
     links = cut(verified(cut(likely), docs, words, percent))
     roots = cut(components(links))
 
-    named = many.select("key", "id").join(roots, "id", "left")
+    named = many.join(roots, "id", "left")
     named = cut(named.select("key", "id", F.coalesce("root", "id").alias("root")))
     shares = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     main = shares.groupBy("key").agg(
-        F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root"))["root"].alias("main")
+        F.count(F.lit(1)).alias("roots"),
+        F.max(F.struct("c", "root"))["root"].alias("main"),
+        F.ceil(F.sum("c") / BLOCK).cast("bigint").alias("blocks"),
     )
     open_lists = cut(named.join(main.where("roots > 1"), "key"))
-    with_sets = open_lists.join(classes.select("id", "n", "kept"), "id")
-    one, two = (
-        with_sets.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "root", "main", "n", "kept")))
-        for s in ("a", "b")
-    )
-    one = one.where("a_root <> a_main")
-    other = (F.col("a_root") != F.col("b_root")) & (
-        (F.col("b_root") == F.col("b_main")) | (F.col("a_id") < F.col("b_id"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    pair = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1),
+        lambda i: F.struct(F.least(i, "block").alias("low"), F.greatest(i, "block").alias("high")),
+    )
+    placed = open_lists.withColumn("block", own).withColumn("pair", F.explode(pair))
+    wanted = _only(classes, open_lists.select("id")).select("id", "n", "marks", "kept", "whole")
+    met = placed.join(wanted, "id").select(
+        "key", "pair.low", "pair.high", "block", "id", "root", "main", "n", "marks", "kept", "whole"
     )
-    left = one.join(two, (one["key"] == two["key"]) & other & _bound("a_", "b_", percent))
-    left = cut(left.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct())
+    left = met.groupBy("key", "low", "high").applyInPandas(
+        _likely_in_list(percent), "a bigint, b bigint"
+    )
+    left = cut(left.distinct())
     if not left.isEmpty():
         more = verified(left, docs, words, percent)
         stars = roots.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
         roots = cut(components(stars.unionByName(more)))
-    ends = members.join(roots, "id", "left").select(
-        F.col("doc_id").alias("_id"), "f1", "f2", F.coalesce("root", "id").alias("root")
-    ).distinct()
-    at = base.select("doc_id", "n", F.coalesce("doc_id", F.lit(0)).alias("_id"), "f1", "f2")
+    of = classes.select("f1", "f2", "n", "id").join(roots, "id", "left").select(
+        "f1", "f2", "n", F.coalesce("root", "id").alias("root")
+    )
     root = F.when(F.col("n") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     root = F.when(F.col("doc_id").isNotNull(), root)
-    return at.join(ends, ["_id", "f1", "f2"], "left").select(
+    return base.select("doc_id", "n", "f1", "f2").join(of, ["f1", "f2", "n"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         root.alias("component_id"),

@@ -137,10 +137,13 @@ def test_near_duplicates(odd, none, words):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
-def test_near_duplicates_in_long_lists(spark):
+@pytest.mark.parametrize("block", [4_096, 16])
+def test_near_duplicates_in_long_lists(spark, monkeypatch, block):
     """Chains of edits, crowds around one text, and texts that share a passage only."""
     import random
 
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+
     rng = random.Random(5)
     passage = " ".join(f"p{i}" for i in range(60))
     docs, i = {}, 0
