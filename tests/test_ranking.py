@@ -224,6 +224,19 @@ def test_feed_is_as_long_as_the_catalogue_allows(spark):
     assert sorted(r["id"] for r in got.collect()) == [f"s{i:02d}" for i in range(8) if i != 1]
 
 
+def test_feeds_and_lists_may_be_longer_than_a_batch(spark):
+    items, table, songs = world(spark, 200)
+    vectors = spark.createDataFrame(
+        [("u", True, [1.0, 0.0, 0.0, 0.0])], "user_id string, has_long boolean, vector array<double>"
+    )
+    none = spark.createDataFrame([], "user_id string, id string")
+    wanted = spark.createDataFrame([("u", 120)], "user_id string, n int")
+    got = feed.home_feed(wanted, vectors, table, songs, none, 1).collect()
+    assert len({r["id"] for r in got}) == 120 and {r["source"] for r in got} == {1}
+    ask = spark.createDataFrame([("q", "u", "s05", 80)], "query_id string, user_id string, current_song_id string, n int")
+    assert feed.next_songs(ask, vectors, table, table, songs, none, 1).count() == 80
+
+
 def test_next_songs_rules(spark):
     items, table, songs = world(spark)
     content = {k: v for k, v in items.items() if k != "s03"}
