@@ -31,6 +31,7 @@ from earshot.schemas import (
 PLACEHOLDER_VIDEO = "JfVos4VSpmA"
 
 MIN_CHARS = 50
+# The input limit of the sentence model; no default, its callers name it.
 MAX_CHARS = 5000
 
 
@@ -182,7 +183,7 @@ def enrichment_pending(songs: DataFrame, cap: int | None = None) -> DataFrame:
 
 
 def gate_text(
-    df: DataFrame, col: str, min_chars: int = MIN_CHARS, max_chars: int | None = MAX_CHARS
+    df: DataFrame, col: str, min_chars: int = MIN_CHARS, max_chars: int | None = None
 ) -> DataFrame:
     """Keep texts of at least ``min_chars`` characters without outer white space.
 

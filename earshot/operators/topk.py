@@ -125,11 +125,10 @@ def build_balls(items: DataFrame, block: int = ITEM_BLOCK, pivots: int | None =
     crowds = crowds.withColumn("_end", F.sum("_m").over(before))
     salt = F.pmod(F.xxhash64("id"), F.col("_m"))
     blocked = shelled.join(crowds, ["ball", "shell"]).withColumn("block", F.col("_end") - 1 - salt)
-    blocked = cut(blocked.select("id", "embedding", "ball", "block", "away"))
-    reach = blocked.groupBy("ball", "block").agg(F.max("away").alias("reach"))
-    packed = _packed(blocked, ["ball", "block"], "id", "embedding")
-    blocks = packed.join(reach, ["ball", "block"])
-    return Balls(cut(blocks), blocked.select("id", "ball"), centres, radii, sizes)
+    packed = _packed(blocked, ["ball", "block"], "id", "embedding", "away")
+    reach = F.array_max("away").alias("reach")
+    blocks = cut(packed.select("ball", "block", "ids", "vecs", reach))
+    return Balls(blocks, blocks.select(F.explode("ids").alias("id"), "ball"), centres, radii, sizes)
 
 
 def _visits(balls: Balls, bounded: bool):

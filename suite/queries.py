@@ -342,7 +342,8 @@ def enrichment_report(fx):
 
 @register
 def gate_text(fx):
-    gated = catalogue.gate_text(fx.raw("documents").select("doc_id", "text"), "text")
+    docs = fx.raw("documents").select("doc_id", "text")
+    gated = catalogue.gate_text(docs, "text", max_chars=catalogue.MAX_CHARS)
     return gated.select("doc_id", F.length("text").alias("n_kept"), F.md5("text").alias("text_md5"))
 
 
