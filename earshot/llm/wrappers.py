@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
@@ -31,7 +32,8 @@ from earshot.session import cut
 
 #: Pages per host that a wrapper is inferred from, on average; a hash of the id picks them.
 SAMPLE = 12
-#: Tokens of a sampled page that enter the alignment after folding; all pages are extracted whole.
+#: Folded tokens that an alignment takes. Of longer sampled pages it learns the first ones; longer
+#: pages are judged by what encloses their texts alone, and extracted whole like all.
 LONGEST = 4_000
 #: Tables of up to so many hosts (wrappers of a few hundred bytes) are broadcast; larger ones are
 #: joined by a shuffle, whose busy hosts adaptive execution splits.
@@ -60,8 +62,10 @@ FRAME_NAMES = frozenset(
     "subscribe toolbar widget".split()
 )
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+_TOKEN = re.compile(  # possessive: no step back, so broken markup costs no more than sound markup
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|"
+    r"<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
+    re.S,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[^A-Za-z0-9]+")
@@ -99,7 +103,8 @@ def parse(html: str) -> Page:
     """Tags and text blocks of a page, in order."""
     page, parts = Page(), []
     stack: list[tuple[str, bool]] = []
-    articles = links = linked = 0
+    opened: Counter[str] = Counter()
+    articles = links = frames = linked = 0
     size = 0
 
     def flush() -> None:
@@ -107,11 +112,9 @@ def parse(html: str) -> Page:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            # A heading's or footer's own header within an article is framed all the same.
-            framed = any(f for _, f in stack)
             page.places.append(len(page.tokens))
             page.tokens.append("#")
-            page.texts.append(Text(text, framed, articles > 0, linked * 2 > size))
+            page.texts.append(Text(text, frames > 0, articles > 0, linked * 2 > size))
         linked = size = 0
 
     at, end = 0, len(html)
@@ -141,10 +144,12 @@ def parse(html: str) -> Page:
         if tag in BLOCKS:
             flush()
         if closing:
-            if any(t == tag for t, _ in stack):
+            if opened[tag]:
                 flush()
                 while stack:
-                    t, _ = stack.pop()
+                    t, framed = stack.pop()
+                    opened[t] -= 1
+                    frames -= framed
                     articles -= t in ARTICLE
                     links -= t == "a"
                     if t == tag:
@@ -156,6 +161,8 @@ def parse(html: str) -> Page:
                 if framed:
                     flush()
                 stack.append((tag, framed))
+                opened[tag] += 1
+                frames += framed
                 articles += tag in ARTICLE
                 links += tag == "a"
             if tag not in VOID:
@@ -270,7 +277,7 @@ def extract(html: str, wrapper: dict | None) -> str:
     own = any(t.in_article and not t.framed for t in page.texts)
     plain = [not t.framed and (t.in_article or not own) and not (t.in_link and not own) for t in page.texts]
     keep = list(plain)
-    if wrapper:
+    if wrapper and len(tokens) <= LONGEST:
         match = SequenceMatcher(None, wrapper["places"], tokens, autojunk=False)
         for a, b, n in match.get_matching_blocks():
             for k in range(n):

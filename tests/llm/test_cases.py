@@ -229,6 +229,18 @@ def test_pages(spark):
     assert wrappers.main_text(frame.where("false")).count() == 0
 
 
+def test_broken_markup_takes_time_in_proportion():
+    import random
+    import time
+
+    rng = random.Random(1)
+    tags = ["<p>", "</p>", "<div>", "<b>", "</div>", "<li>", "x", "<i>", "</li>", "<tr>"]
+    start = time.time()
+    for page in ("<a" * 200_000, "<a \"" * 100_000, "<!-" * 200_000, "<div>" * 50_000 + "</p>" * 50_000, "".join(rng.choices(tags, k=60_000))):
+        wrappers.extract(page, {"places": ["p", "#"], "roles": ".m", "optional": [], "article": False})
+    assert time.time() - start < 60
+
+
 def test_wrapper_learns_slots_options_and_repeats():
     pages = [
         f"<div><b>Site</b></div><ul>{'<li><a>x</a></li>' * n}</ul><div><p>{'text ' * n}</p></div>"
