@@ -1011,9 +1011,9 @@ def short_term_stream(fx):
     old = known.withColumn("_last", F.max("timestamp").over(whole)).filter(
         F.col("timestamp") <= F.col("_last") - 3_600_000
     )
-    third = F.floor((F.col("timestamp") - F.col("_low")) * 3 / (F.col("_high") - F.col("_low") + 1))
-    ends = log.agg(F.min("timestamp").alias("_low"), F.max("timestamp").alias("_high"))
-    numbered = log.join(F.broadcast(ends)).withColumn("_n", third).drop("_low", "_high")
+    low, high = log.agg(F.min("timestamp"), F.max("timestamp")).first()
+    third = F.floor((F.col("timestamp") - low) * 3 / (high - low + 1)).cast("int")
+    numbered = log.withColumn("_n", third)
     late = old.drop("_last").withColumn("_n", F.lit(3))
     rows = numbered.unionByName(late)
     stream = in_files(fx, rows, f"{root}/log", F.col("_n"))
