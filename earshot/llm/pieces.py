@@ -32,7 +32,7 @@ TABLE, AT_ONCE = 600_000, 50_000
 #: Characters of text encoded at once.
 SLICE = 4_000_000
 _NONE = np.int64(1) << np.int64(40)
-_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_WORD = re.compile(" *[^ ]+| +")
 
 
 class PieceEncoder:
@@ -57,6 +57,8 @@ class PieceEncoder:
         for piece in self.piece:
             for char in piece:
                 self.symbol.setdefault(char, len(ids) + len(self.symbol))
+        # Words keep their spaces as such, which is smaller; a mark in a text is the same as a space.
+        self.symbol[" "] = self.symbol.get(MARK, len(ids) + len(self.symbol))
         rank = {s: r for r, s in enumerate(sorted({-library.get_score(i) for i in usual}))}
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for piece, i in self.piece.items():
@@ -79,7 +81,7 @@ class PieceEncoder:
             if s < self.pieces:
                 out.append(s)
             elif self.has_bytes:
-                out += [self.bytes_of[b] for b in char.encode()]
+                out += [self.bytes_of[b] for b in char.replace(" ", MARK).encode()]
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
         return np.array(out, "<u4").tobytes()
@@ -185,7 +187,7 @@ class PieceEncoder:
     def _compare(self, got: dict[str, bytes]) -> None:
         """The library puts a space mark first itself, so words go to it without their first."""
         words = [w for w in got if len(w) > 1]
-        theirs = self.library.encode([w[1:].replace(MARK, " ") for w in words], num_threads=1)
+        theirs = self.library.encode([w[1:] for w in words], num_threads=1)
         flat = np.fromiter(chain.from_iterable(theirs), "<u4").tobytes()
         sizes = [4 * len(ids) for ids in theirs]
         if flat == b"".join(got[w] for w in words) and sizes == [len(got[w]) for w in words]:
@@ -200,7 +202,7 @@ class PieceEncoder:
         end = np.array([self.library.eos_id()], "<u4").tobytes()
         out: list[bytes] = []
         for a, b in slices([len(t) for t in texts], SLICE):
-            cut = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts[a:b]]
+            cut = [_WORD.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts[a:b]]
             words = set().union(*cut)
             self.learn(words, check)
             find = self.table.__getitem__
