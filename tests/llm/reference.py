@@ -72,19 +72,19 @@ def base_spans(text: str | None) -> list[tuple[int, str, int]]:
     return [(a, PATTERNS[k][0], b) for a, k, b in sorted(out)]
 
 
-def ppm_digits(text: str | None, training: list[str | None], order: int = 3) -> float:
-    """-log10 of a text and its end mark by escape method C with exclusions."""
+def ppm_digits(text: str | None, training: list[str | None], order: int = 5) -> float:
+    """-log10 of a text and its end mark by escape method D with exclusions."""
     from collections import Counter, defaultdict
     from math import log10
 
     counts: dict[tuple, Counter] = defaultdict(Counter)
 
     def marked(t):
-        return [0xFE] * 3 + list((t or "").encode()) + [0xFF]
+        return [0xFE] * order + list((t or "").encode()) + [0xFF]
 
     for t in training:
         s = marked(t)
-        for i in range(3, len(s)):
+        for i in range(order, len(s)):
             for k in range(order + 1):
                 counts[tuple(s[i - k : i])][s[i]] += 1
 
@@ -97,12 +97,12 @@ def ppm_digits(text: str | None, training: list[str | None], order: int = 3) ->
             left = {x: n for x, n in seen.items() if x not in excluded}
             if not left:
                 continue
-            total = sum(left.values()) + len(left)
+            total = 2 * sum(left.values())
             if symbol in left:
-                return p * left[symbol] / total
+                return p * (2 * left[symbol] - 1) / total
             p *= len(left) / total
             excluded |= set(seen)
         return p / (256 - len(excluded))
 
     s = marked(text)
-    return -sum(log10(chance(tuple(s[i - order : i]), s[i])) for i in range(3, len(s)))
+    return -sum(log10(chance(tuple(s[i - order : i]), s[i])) for i in range(order, len(s)))

@@ -84,6 +84,11 @@ def test_model_scores(spark):
         assert r["score"] < 0
 
 
+def test_model_beats_word_counts_on_held_out_documents(spark):
+    out = [r for r in rows(spark, "op5_byte_model", "/root/testdata/sf0.1") if r["held_out"]]
+    assert len(out) > 100 and sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+
+
 def article(page):
     inner = re.search(r"<article>(.*?)(</article>|<footer|\Z)", page, re.S)[1]
     blocks = re.split(r"</?(?:p|h1)>", inner.replace("<br>", " ").replace("<b>", ""))
