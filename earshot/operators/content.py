@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from earshot.operators.catalogue import MIN_CHARS, gate_text, with_lyrics
 from earshot.operators.merge import missing_vectors
 from earshot.schemas import CONTENT_DIM
+from earshot.session import cut
 
 
 class Encoder(Protocol):
@@ -42,13 +43,31 @@ def fit_rarity(corpus: DataFrame, dim: int = CONTENT_DIM) -> DataFrame:
 
     Publish it and give it to the encoder, so that vectors made later are comparable.
     """
-    held = word_buckets(corpus.select("id", "text"), dim).groupBy("bucket")
-    held = held.agg(F.count(F.lit(1)).alias("held"))
-    buckets = corpus.sparkSession.range(dim).select(F.col("id").cast("int").alias("bucket"))
-    share = (F.lit(corpus.count()) + 1) / (F.coalesce("held", F.lit(0)) + 1)
+    return _rarity(word_buckets(corpus.select("id", "text"), dim), corpus.count(), dim)
+
+
+def _rarity(counted: DataFrame, n_texts: int, dim: int) -> DataFrame:
+    held = counted.groupBy("bucket").agg(F.count(F.lit(1)).alias("held"))
+    buckets = counted.sparkSession.range(dim).select(F.col("id").cast("int").alias("bucket"))
+    share = F.lit(n_texts + 1) / (F.coalesce("held", F.lit(0)) + 1)
     return buckets.join(held, "bucket", "left").select("bucket", F.log(share).alias("rarity"))
 
 
+def unit_vectors(dim: int):
+    """Lists of buckets and weights to dense vectors of length one, a batch at a time."""
+
+    @F.pandas_udf("array<float>")
+    def make(buckets: pd.Series, weights: pd.Series) -> pd.Series:
+        out = np.zeros((len(buckets), dim))
+        for row, (at, x) in enumerate(zip(buckets, weights)):
+            if at is not None and len(at):
+                out[row, np.asarray(at, int)] = x
+        length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return pd.Series(list((out / np.where(length > 0, length, 1)).astype(np.float32)))
+
+    return make
+
+
 @dataclass(frozen=True)
 class HashingEncoder:
     """Hashed word counts, weighted by rarity and scaled to length one; reads whole texts.
@@ -61,20 +80,21 @@ class HashingEncoder:
     max_chars: int | None = None
 
     def encode(self, texts: DataFrame, corpus: DataFrame) -> DataFrame:
-        rarity = self.rarity if self.rarity is not None else fit_rarity(corpus, self.dim)
-        value = F.struct("bucket", (F.col("n") * F.col("rarity")).alias("x"))
+        rarity = self.rarity
+        if rarity is None:
+            # Fitting and weighing read the same counts.
+            counted = cut(word_buckets(corpus, self.dim))
+            rarity = cut(_rarity(counted, corpus.count(), self.dim))
+            counted = counted.join(texts.select("id"), "id", "left_semi")
+        else:
+            counted = word_buckets(texts, self.dim)
         # ``dim`` rows.
-        weighed = word_buckets(texts, self.dim).join(F.broadcast(rarity), "bucket")
-        held = weighed.groupBy("id").agg(F.map_from_entries(F.collect_list(value)).alias("_x"))
-        at = F.sequence(F.lit(0), F.lit(self.dim - 1))
-        dense = F.transform(at, lambda i: F.coalesce(F.try_element_at("_x", i), F.lit(0.0)))
-        held = texts.select("id").join(held, "id", "left").withColumn("_v", dense)
-        square = F.aggregate("_v", F.lit(0.0), lambda total, x: total + x * x)
-        length = F.when(square > 0, F.sqrt(square)).otherwise(1.0)
-        unit = held.withColumn("_l", length)
-        return unit.select(
-            "id", F.transform("_v", lambda x: (x / F.col("_l")).cast("float")).alias("embedding")
-        )
+        weighed = counted.join(F.broadcast(rarity), "bucket")
+        entry = F.collect_list(F.struct("bucket", (F.col("n") * F.col("rarity")).alias("x")))
+        held = weighed.groupBy("id").agg(entry.alias("_x"))  # at most ``dim`` entries
+        held = texts.select("id").join(held, "id", "left")
+        vector = unit_vectors(self.dim)(F.col("_x.bucket"), F.col("_x.x"))
+        return held.select("id", vector.alias("embedding"))
 
 
 @dataclass(frozen=True)

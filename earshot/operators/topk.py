@@ -1,6 +1,6 @@
 """Exact top-k by inner product of many query vectors against many item vectors.
 
-Items are grouped into balls around pivot items, about half the square root of their number.
+Items are grouped into balls around pivot items, an eighth of the square root of their number.
 Within a ball of centre ``c`` no item ``r`` away from it has an inner product above ``q.c + |q| r``
 with a query ``q``. A ball is cut into shells by distance and these into blocks of bounded size, so
 that copies of one vector spread too. A query first visits the balls nearest to it; the k-th score
@@ -100,7 +100,7 @@ def build_balls(items: DataFrame, block: int = ITEM_BLOCK, pivots: int | None =
     Pivots are the items with the smallest id hashes: a fixed choice that follows the data.
     """
     items = cut(items.select("id", F.col("embedding").cast("array<float>").alias("embedding")))
-    wanted = pivots or max(1, math.isqrt(items.count()) // 2)
+    wanted = pivots or max(1, math.isqrt(items.count()) // 8)
     chosen = items.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
     if not chosen:
         chosen = [{"embedding": [0.0]}]
@@ -310,12 +310,12 @@ def topk_ip(
     hidden = None
     need = F.lit(k).cast("bigint")
     if exclude is not None:
-        counts = exclude.groupBy("query_id").agg(F.count(F.lit(1)).alias("_s"))
+        at = exclude.select("query_id", "id").join(balls.places, "id")
+        # What one query has excluded of one ball.
+        hidden = cut(at.groupBy("query_id", "ball").agg(F.collect_set("id").alias("barred")))
+        counts = hidden.groupBy("query_id").agg(F.sum(F.size("barred")).alias("_s"))
         asks = asks.join(counts, "query_id", "left")
         need = need + F.coalesce(F.col("_s"), F.lit(0))
-        at = exclude.select("query_id", "id").distinct().join(balls.places, "id")
-        # What one query has excluded of one ball.
-        hidden = cut(at.groupBy("query_id", "ball").agg(F.collect_list("id").alias("barred")))
     none = F.lit(float("-inf")).alias("floor")
     # Counting, dealing and scoring all read the queries.
     asks = cut(asks.select("query_id", "vector", need.alias("need"), none))
