@@ -46,16 +46,30 @@ def land(payloads: DataFrame, dedupe_within: str | None = None) -> DataFrame:
     return checked if dedupe_within is None else drop_repeats(checked, dedupe_within)
 
 
-def write_batch(batch: DataFrame, batch_id: int, path: str, quarantine: str) -> None:
-    """Write one micro-batch to the lake and to quarantine; a replay replaces what it wrote."""
+def write_batch(
+    batch: DataFrame, batch_id: int, path: str, quarantine: str, stream: str = "stream"
+) -> None:
+    """Write one micro-batch to the lake and to quarantine; a replay replaces what it wrote.
+
+    Batch ids start at 0 with every checkpoint, so ``stream`` must differ between checkpoints that
+    write to the same folders, and stay the same for one.
+    """
     batch = batch.persist()
     valid = batch.filter(F.col("reason").isNull()).select(*PLAY_LOG.fieldNames())
-    write_lake(valid, path, f"stream-{batch_id}")
+    write_lake(valid, path, f"{stream}-{batch_id}")
     rejected = batch.filter(F.col("reason").isNotNull()).select("payload", "reason")
-    rejected.write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
+    rejected.write.mode("overwrite").parquet(f"{quarantine}/batch_id={stream}-{batch_id}")
     batch.unpersist()
 
 
+def _stream_name(batch: DataFrame) -> str:
+    """The running query's id, which Spark keeps in its checkpoint: a new one has a new id."""
+    name = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not name:
+        raise RuntimeError("a micro-batch without the id of its query")
+    return f"stream-{name}"
+
+
 def ingest_stream(
     payloads: DataFrame,
     path: str,
@@ -67,11 +81,12 @@ def ingest_stream(
     """Start the one query that reads the events once and lands both kinds.
 
     Lake and quarantine see the same events from the same starting point. Each micro-batch is
-    written under its id, so that one which is replayed replaces itself.
+    written under its checkpoint's and its own id, so that one which is replayed replaces itself,
+    and streams with different checkpoints can share a lake.
     """
     return (
         land(payloads, dedupe_within)
-        .writeStream.foreachBatch(lambda df, i: write_batch(df, i, path, quarantine))
+        .writeStream.foreachBatch(lambda df, i: write_batch(df, i, path, quarantine, _stream_name(df)))
         .option("checkpointLocation", ckpt)
         .trigger(**(trigger or EVERY_MINUTE))
         .start()

@@ -76,6 +76,25 @@ def test_a_replayed_batch_replaces_itself(spark, tmp_path):
     assert read_lake(spark, lake).count() == 5 and spark.read.parquet(bad).count() == 1
 
 
+def test_streams_with_their_own_checkpoints_share_a_lake(spark, tmp_path):
+    lake, bad = str(tmp_path / "lake"), str(tmp_path / "bad")
+    for name, lines in (("a", [event(0), "{"]), ("b", [event(1), "["])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "1.json").write_text("\n".join(lines))
+
+    def run(name, ckpt):
+        stream = ingest.read_event_stream(spark, "text", path=str(tmp_path / name))
+        ingest.ingest_stream(stream, lake, bad, str(tmp_path / ckpt), NOW).awaitTermination()
+        return read_lake(spark, lake).count(), spark.read.parquet(bad).count()
+
+    assert run("a", "c1") == (1, 1)
+    assert run("b", "c2") == (2, 2)
+    # A restart from the same checkpoint: the replay of its last batch replaces itself.
+    for commit in (tmp_path / "c2" / "commits").iterdir():
+        commit.unlink()
+    assert run("b", "c2") == (2, 2)
+
+
 def test_late_plays_neither_move_time_back_nor_restart(spark):
     songs = np.eye(3)
     vector, last = short_term.fold_plays(None, 0, np.array([10_000_000]), songs[:1], 0.7, 3_600_000)
