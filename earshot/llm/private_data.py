@@ -23,7 +23,9 @@ from earshot.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern counts from so many known values and this share of them among its values.
-SUPPORT, CONFIDENCE, ROUNDS = 5, 0.9, 3
+SUPPORT, CONFIDENCE = 5, 0.9
+#: Rounds go on until one finds nothing; so many mean that something is wrong.
+MAX_ROUNDS = 1_000
 #: Characters before and after an occurrence in which its words are looked for.
 NEAR = 60
 SLICE = 8_000_000
@@ -174,9 +176,12 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def bootstrap(
-    seen: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS
+    seen: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE
 ) -> DataFrame:
-    """``(kind, value)`` of candidates that confident patterns, or base spans elsewhere, vouch for."""
+    """``(kind, value)`` of candidates that confident patterns, or base spans elsewhere, vouch for.
+
+    Known values only grow, so the rounds end.
+    """
 
     def edges(column: str) -> DataFrame:
         spans = seen.select(F.explode(column).alias("s"))
@@ -187,7 +192,7 @@ def bootstrap(
     graph = cut(graph.groupBy("kind", "value", "pattern").agg(F.max("seed").alias("seed")))
     values = graph.groupBy("kind", "value").agg(F.max("seed").alias("known"))
     values = cut(values)
-    for _ in range(rounds):
+    for _ in range(MAX_ROUNDS):
         marked = graph.join(values, ["kind", "value"])
         trusted = (
             marked.where("pattern IS NOT NULL").groupBy("kind", "pattern")
@@ -196,12 +201,14 @@ def bootstrap(
             .select("kind", "pattern")
         )
         more = marked.where("known = 0").join(trusted, ["kind", "pattern"])
-        more = more.select("kind", "value", F.lit(1).alias("known")).distinct()
+        more = cut(more.select("kind", "value", F.lit(1).alias("known")).distinct())
         if more.isEmpty():
             break
         values = cut(
             values.unionByName(more).groupBy("kind", "value").agg(F.max("known").alias("known"))
         )
+    else:
+        raise RuntimeError("bootstrapping did not settle")
     return values.where("known = 1").select("kind", "value")
 
 

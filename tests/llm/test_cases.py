@@ -335,6 +335,20 @@ def test_bootstrap_finds_what_confident_context_vouches_for(spark):
     assert 60 not in found and len(found) == 13
 
 
+def test_bootstrap_goes_on_until_nothing_is_new(spark):
+    def span(i):
+        return f"user{i} [at] mail [dot] example [dot] org"
+
+    # Round n vouches for value n through word n, which is sure only from value n - 1 on.
+    rows = [f"word0 user{i}.known@mail.example.com x{i}" for i in range(9)] + [f"word0 {span(0)} y0"]
+    for n in range(1, 6):
+        rows += [f"word{n} b{n}user{i}@mail.example.com z{n}q{i}" for i in range(8)]
+        rows += [f"word{n} {span(n - 1)} v{n}", f"word{n} {span(n)} w{n}"]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["spans"] for r in private_data.find_private(frame).collect()}
+    assert all(len(got[i]) == 1 for i in range(len(rows)))
+
+
 def test_exact_groups(odd, none):
     import re
 
