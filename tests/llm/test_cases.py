@@ -349,6 +349,38 @@ def test_bootstrap_goes_on_until_nothing_is_new(spark):
     assert all(len(got[i]) == 1 for i in range(len(rows)))
 
 
+def test_confident_patterns_extract_other_shapes(spark):
+    def luhn_number(i):
+        head = f"4111 1111 1111 {i:03d}"
+        return next(f"{head}{d}" for d in range(10) if private_data.luhn((head + str(d)).replace(" ", "")))
+
+    rows = [f"my visa {luhn_number(i)} expires" for i in range(12)]
+    rows += [f"please ring +49 30 12345{i:02d}77 tonight" for i in range(12)]
+    rows += [f"kindly write user{i}@mail.example.com today" for i in range(12)]
+    odd = [
+        ("my visa 12 4111 1111 1111 1111 expires", "card", "4111 1111 1111 1111"),
+        ("please ring 030/123 45 67 tonight", "phone", "030/123 45 67"),
+        ("kindly write jane at mail dot example dot org today", "email", "jane at mail dot example dot org"),
+    ]
+    plain = ["we met at home dot org, in 1990 1991 1992", "page 030/123 45 68 of 200"]
+    texts = rows + [t for t, _, _ in odd] + plain
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["spans"] for r in private_data.find_private(frame).collect()}
+    for i, (text, kind, part) in enumerate(odd, len(rows)):
+        assert [(s["kind"], text[s["start"] : s["stop"]]) for s in got[i]] == [(kind, part)]
+    assert all(len(got[i]) == 1 for i in range(len(rows)))
+    assert not got[len(texts) - 1] and not got[len(texts) - 2]
+
+
+def test_loose_spans_take_time_in_proportion():
+    import time
+
+    start = time.time()
+    for text in ("1 " * 300_000, "a at b dot " * 60_000, "at " * 200_000, "9" * 300_000, "1.2 . 3 " * 80_000):
+        private_data.loose_spans(text, [], [])
+    assert time.time() - start < 60
+
+
 def test_exact_groups(odd, none):
     import re
 
