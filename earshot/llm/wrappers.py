@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,9 +33,10 @@ from earshot.session import cut
 
 #: Pages per host that a wrapper is inferred from, on average; a hash of the id picks them.
 SAMPLE = 12
-#: Folded tokens that an alignment takes. Of longer sampled pages it learns the first ones; longer
-#: pages are judged by what encloses their texts alone, and extracted whole like all.
+#: Folded tokens that are aligned at once; longer streams are cut at anchors first.
 LONGEST = 4_000
+#: Tokens in a run that may be an anchor, the longest first.
+RUNS = (32, 8, 3, 1)
 #: Tables of up to so many hosts (wrappers of a few hundred bytes) are broadcast; larger ones are
 #: joined by a shuffle, whose busy hosts adaptive execution splits.
 HOSTS = 10_000
@@ -214,26 +216,92 @@ class Slot:
             self.text = value
 
 
+def _anchors(a: list[str], b: list[str], low: tuple[int, int], high: tuple[int, int]) -> list[tuple[int, int]]:
+    """Places of runs that either side has once, rising on both sides."""
+
+    def once(tokens: list[str], first: int, last: int, n: int) -> dict[tuple[str, ...], int]:
+        at: dict[tuple[str, ...], int] = {}
+        for i in range(first, last - n + 1):
+            key = tuple(tokens[i : i + n])
+            at[key] = -1 if key in at else i
+        return {k: i for k, i in at.items() if i >= 0}
+
+    for n in RUNS:
+        left, right = once(a, low[0], high[0], n), once(b, low[1], high[1], n)
+        pairs = sorted((i, right[k]) for k, i in left.items() if k in right)
+        # The longest rising sequence.
+        tails: list[int] = []
+        best: list[int] = []
+        before = [-1] * len(pairs)
+        for p, (_, j) in enumerate(pairs):
+            at = bisect_left(tails, j)
+            before[p] = best[at - 1] if at else -1
+            tails[at : at + 1] = [j]
+            best[at : at + 1] = [p]
+        if best:
+            out, p = [], best[-1]
+            while p >= 0:
+                out.append(pairs[p])
+                p = before[p]
+            return out[::-1]
+    return []
+
+
+def matches(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
+    """Matching blocks ``(i, j, n)`` of two streams of any length, in order.
+
+    Long streams are cut at runs of tokens that both have once; where there are none, both are
+    halved.
+    """
+    out: list[tuple[int, int, int]] = []
+    todo = [((0, 0), (len(a), len(b)))]
+    while todo:
+        (i, j), (k, m) = todo.pop()
+        if k - i <= LONGEST and m - j <= LONGEST:
+            match = SequenceMatcher(None, a[i:k], b[j:m], autojunk=False)
+            out += [(i + x, j + y, n) for x, y, n in match.get_matching_blocks() if n]
+            continue
+        same = 0
+        while i + same < k and j + same < m and a[i + same] == b[j + same]:
+            same += 1
+        if same:
+            out.append((i, j, same))
+            todo.append(((i + same, j + same), (k, m)))
+            continue
+        if i == k or j == m:
+            continue
+        while same < min(k - i, m - j) and a[k - 1 - same] == b[m - 1 - same]:
+            same += 1
+        if same:
+            out.append((k - same, m - same, same))
+            todo.append(((i, j), (k - same, m - same)))
+            continue
+        cuts = _anchors(a, b, (i, j), (k, m)) or [((i + k) // 2, (j + m) // 2)]
+        if cuts == [(i, j)]:
+            cuts = [((i + k) // 2, (j + m) // 2)]
+        ends = [(i, j), *cuts, (k, m)]
+        todo += [(x, y) for x, y in zip(ends, ends[1:]) if x[0] < y[0] and x[1] < y[1]]
+    return sorted(out)
+
+
 def infer(pages: list[Page]) -> list[Slot]:
     """A wrapper that matches all the pages: optional places are those not ``seen`` in each."""
     wrapper: list[Slot] = []
     for page in pages:
         tokens, texts = groups(page)
-        tokens, texts = tokens[:LONGEST], texts[:LONGEST]
-        match = SequenceMatcher(None, [s.kind for s in wrapper], tokens, autojunk=False)
         merged: list[Slot] = []
-        for what, a, b, c, d in match.get_opcodes():
-            if what == "equal":
-                for slot, numbers in zip(wrapper[a:b], texts[c:d], strict=True):
-                    slot.seen += 1
-                    slot.take(page, numbers)
-                    merged.append(slot)
-                continue
-            merged += wrapper[a:b]
-            for token, numbers in zip(tokens[c:d], texts[c:d], strict=True):
+        a = c = 0
+        for i, j, n in [*matches([s.kind for s in wrapper], tokens), (len(wrapper), len(tokens), 0)]:
+            merged += wrapper[a:i]
+            for token, numbers in zip(tokens[c:j], texts[c:j], strict=True):
                 slot = Slot(token)
                 slot.take(page, numbers)
                 merged.append(slot)
+            a, c = i + n, j + n
+            for slot, numbers in zip(wrapper[i:a], texts[j:c], strict=True):
+                slot.seen += 1
+                slot.take(page, numbers)
+                merged.append(slot)
         wrapper = merged
     return wrapper
 
@@ -277,9 +345,8 @@ def extract(html: str, wrapper: dict | None) -> str:
     own = any(t.in_article and not t.framed for t in page.texts)
     plain = [not t.framed and (t.in_article or not own) and not (t.in_link and not own) for t in page.texts]
     keep = list(plain)
-    if wrapper and len(tokens) <= LONGEST:
-        match = SequenceMatcher(None, wrapper["places"], tokens, autojunk=False)
-        for a, b, n in match.get_matching_blocks():
+    if wrapper:
+        for a, b, n in matches(wrapper["places"], tokens):
             for k in range(n):
                 role = wrapper["roles"][a + k]
                 for number in texts[b + k]:

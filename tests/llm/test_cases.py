@@ -254,6 +254,24 @@ def test_wrapper_learns_slots_options_and_repeats():
     assert [wrappers.extract(p, wrapper) for p in pages[:1]] == ["text text"]
 
 
+def test_long_pages_are_learned_and_matched_whole():
+    import json
+    import random
+    import time
+
+    rng = random.Random(5)
+    forms = ["<p>@{}</p>", "<div>@{}</div>", "<h2>@{}</h2>", "<ul><li>@{}</li></ul>", "<pre>@{}</pre>"]
+    body = "".join(rng.choice(forms).format(i) for i in range(4_000))
+    pages = [f"<h1>Title {n}</h1>{body.replace('@', f'text {n} ')}<h4>All rights kept</h4>" for n in range(4)]
+    start = time.time()
+    wrapper = json.loads(wrappers.wrapper_of(pages))
+    lines = wrappers.extract(pages[0], wrapper).split("\n")
+    assert len(lines) == 4_001 and "All rights kept" not in lines
+    other = "".join(rng.choice(forms).format(i) for i in range(6_000))
+    assert len(wrappers.extract(other, wrapper).split("\n")) >= 5_999
+    assert time.time() - start < 60
+
+
 def vectors(spark, n=300, dim=8):
     import random
 
