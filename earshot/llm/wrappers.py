@@ -1,16 +1,17 @@
 """Main text of web pages by inferring wrappers of their hosts.
 
 A page is a stream of tags and texts. A host's wrapper is a union-free regular expression over
-such streams: tags, text slots, optional groups and repeated groups. It starts as the stream of
-one sampled page and is aligned with the others in turn. Runs that repeat are folded to repeated
-groups first; equal tags are matched; what only one side has becomes an optional group; texts
-in the same place become a slot, and whether all pages agreed on its text is kept.
+such streams: tags, text slots, optional groups and repeated groups. It comes from all pages of the
+host: equal streams are added up, then the distinct ones are aligned in turn, in groups first.
+Runs that repeat are folded to repeated groups before; equal tags are matched; what only one side has
+becomes an optional group; texts in the same place become a slot.
 
 The wrapper says what each slot is: part of the article, or of the frame around it. Slots in
 menus, headers, footers, forms and the like are frame, by the tags and class names that enclose
-them; so is a text that all pages share outside the article, and a repeated group of links. Every
-page's stream is then matched with its host's wrapper, and the texts in article slots are
-its main text; text the wrapper has never seen is judged by what encloses it.
+them; so is a repeated group of links. A text that most pages of the host have in such a place is
+frame too, outside the article. Every page's stream is then matched with its host's wrapper,
+and the texts in article slots are its main text; text the wrapper has never seen is judged by
+what encloses it.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
+from hashlib import blake2b
 from html import unescape
 
 import pandas as pd
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 
 from earshot.session import cut
 
-#: Pages per host that a wrapper is inferred from, on average; a hash of the id picks them.
-SAMPLE = 12
+#: Groups that a host's distinct streams are dealt over before the last merge.
+SALTS = 64
+#: A text is the host's, not the page's, if so many of its distinct pages have it, and most of them.
+SHARED = 3
 #: Folded tokens that are aligned at once; longer streams are cut at anchors first.
 LONGEST = 4_000
 #: Tokens in a run that may be an anchor, the longest first.
@@ -192,28 +196,43 @@ def groups(page: Page) -> tuple[list[str], list[list[int]]]:
 
 @dataclass
 class Slot:
-    """A place of the wrapper. ``kind``: the token; text slots know what they have held."""
+    """A place of the wrapper. ``kind``: the token; text slots know what has enclosed their texts."""
 
     kind: str
-    seen: int = 1
-    text: str | None = None
-    same: bool = True
+    seen: int = 0
     framed: int = 0
     article: int = 0
     links: int = 0
     held: int = 0
 
-    def take(self, page: Page, numbers: list[int]) -> None:
-        for n in numbers:
-            t = page.texts[n]
-            self.held += 1
-            self.framed += t.framed
-            self.article += t.in_article
-            self.links += t.in_link
-        if numbers:
-            value = "\n".join(page.texts[n].value for n in numbers)
-            self.same = self.same and self.text in (None, value)
-            self.text = value
+    def add(self, other: Slot) -> None:
+        for name in COUNTED:
+            setattr(self, name, getattr(self, name) + getattr(other, name))
+
+
+COUNTED = ("seen", "framed", "article", "links", "held")
+
+
+def stream_of(page: Page) -> list[Slot]:
+    """A page's folded stream as a wrapper of this page alone."""
+    out = []
+    for token, numbers in zip(*groups(page), strict=True):
+        texts = [page.texts[n] for n in numbers]
+        out.append(
+            Slot(token, 1, sum(t.framed for t in texts), sum(t.in_article for t in texts),
+                 sum(t.in_link for t in texts), len(texts))
+        )
+    return out
+
+
+def text_keys(page: Page) -> list[int]:
+    """For each text a hash of it and of where it stands: the tag before it, in the article or not."""
+    out = []
+    for place, t in zip(page.places, page.texts, strict=True):
+        where = f"{page.tokens[place - 1] if place else ''} {t.in_article and not t.framed:d} {t.value}"
+        digest = blake2b(where.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+        out.append(int.from_bytes(digest, "little", signed=True))
+    return out
 
 
 def _anchors(a: list[str], b: list[str], low: tuple[int, int], high: tuple[int, int]) -> list[tuple[int, int]]:
@@ -284,29 +303,24 @@ def matches(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def infer(pages: list[Page]) -> list[Slot]:
-    """A wrapper that matches all the pages: optional places are those not ``seen`` in each."""
+def infer(streams: list[list[Slot]]) -> list[Slot]:
+    """A wrapper that matches all the streams, or wrappers: optional places are not ``seen`` on all pages."""
     wrapper: list[Slot] = []
-    for page in pages:
-        tokens, texts = groups(page)
+    for stream in streams:
         merged: list[Slot] = []
         a = c = 0
-        for i, j, n in [*matches([s.kind for s in wrapper], tokens), (len(wrapper), len(tokens), 0)]:
-            merged += wrapper[a:i]
-            for token, numbers in zip(tokens[c:j], texts[c:j], strict=True):
-                slot = Slot(token)
-                slot.take(page, numbers)
-                merged.append(slot)
+        blocks = matches([s.kind for s in wrapper], [s.kind for s in stream])
+        for i, j, n in [*blocks, (len(wrapper), len(stream), 0)]:
+            merged += wrapper[a:i] + stream[c:j]
             a, c = i + n, j + n
-            for slot, numbers in zip(wrapper[i:a], texts[j:c], strict=True):
-                slot.seen += 1
-                slot.take(page, numbers)
+            for slot, other in zip(wrapper[i:a], stream[j:c], strict=True):
+                slot.add(other)
                 merged.append(slot)
         wrapper = merged
     return wrapper
 
 
-def roles(wrapper: list[Slot], pages: int) -> str:
+def roles(wrapper: list[Slot]) -> str:
     """One letter per place: m main text, f frame, . no text."""
     has_article = any(s.article and s.framed < s.held for s in wrapper)
     out = []
@@ -317,27 +331,30 @@ def roles(wrapper: list[Slot], pages: int) -> str:
             out.append("f")
         elif has_article:
             out.append("m" if s.article * 2 >= s.held else "f")
-        elif (s.same and s.seen > 2 and s.seen * 2 > pages) or s.links * 2 > s.held:
-            out.append("f")
         else:
-            out.append("m")
+            out.append("f" if s.links * 2 > s.held else "m")
     return "".join(out)
 
 
-def wrapper_of(pages: list[str]) -> str:
-    """The wrapper of a host as JSON: its places, their roles, and whether it has an article."""
-    parsed = [parse(p) for p in pages]
-    wrapper = infer(parsed)
+def _described(wrapper: list[Slot], pages: int, common: list[int]) -> str:
     return json.dumps(
         {
             "places": [s.kind for s in wrapper],
-            "roles": roles(wrapper, len(parsed)),
-            "optional": [i for i, s in enumerate(wrapper) if s.seen < len(parsed)],
-            "article": any(s.article and s.framed < s.held for s in wrapper),
+            "roles": roles(wrapper),
+            "optional": [i for i, s in enumerate(wrapper) if s.seen < pages],
+            "common": sorted(common),
         }
     )
 
 
+def wrapper_of(pages: list[str]) -> str:
+    """The wrapper of a host as JSON: its places, their roles, and the keys of texts that are the host's."""
+    parsed = [parse(p) for p in pages]
+    counts = Counter(k for p in {h: p for h, p in zip(pages, parsed, strict=True)}.values() for k in set(text_keys(p)))
+    common = [k for k, n in counts.items() if n >= SHARED and n * 2 > len(set(pages))]
+    return _described(infer([stream_of(p) for p in parsed]), len(parsed), common)
+
+
 def extract(html: str, wrapper: dict | None) -> str:
     """The main text of a page: its article blocks joined by line ends."""
     page = parse(html)
@@ -356,6 +373,11 @@ def extract(html: str, wrapper: dict | None) -> str:
                         keep[number] = True
                     elif role == "f" and not (own and t.in_article and not t.framed):
                         keep[number] = False
+        common = set(wrapper.get("common", ()))
+        if common:
+            keys = text_keys(page)
+            for n, t in enumerate(page.texts):
+                keep[n] = keep[n] and (keys[n] not in common or (t.in_article and not t.framed))
     if not any(keep):  # a page unlike its host's others
         keep = plain
     return "\n".join(t.value for t, k in zip(page.texts, keep, strict=True) if k)
@@ -371,30 +393,97 @@ def _small(per_host: DataFrame) -> DataFrame:
     return F.broadcast(per_host) if per_host.count() <= HOSTS else per_host
 
 
-def host_wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``(host, wrapper)`` from about ``sample`` pages of each host."""
-    rows = pages.select(_host("url").alias("host"), "page_id", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.where("html <> ''")
-    counts = cut(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")))
-    draw = F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) / float(1 << 30)
-    taken = rows.join(_small(counts), "host").where(draw < sample / F.col("n"))
-    # A page that repeats is sampled once.
-    taken = taken.select("host", "page_id", "html").dropDuplicates(["host", "page_id"])
+def _streams(rows: DataFrame) -> DataFrame:
+    """``(host, page, texts, stream, counts)``: a page's text keys, or how often a task has met a stream.
+
+    ``counts`` has the numbers of ``COUNTED`` one after the other, each over the stream's places.
+    """
+    schema = "host string, page bigint, texts array<bigint>, stream string, counts array<bigint>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, marks, keys = [], [], []
+            met: dict[tuple[str, str], list[int]] = {}
+            for host, mark, html in zip(*(batch[c].to_pylist() for c in ("host", "page", "html")), strict=True):
+                page = parse(html)
+                hosts.append(host)
+                marks.append(mark)
+                keys.append(list(set(text_keys(page))))
+                slots = stream_of(page)
+                numbers = [getattr(s, name) for name in COUNTED for s in slots]
+                key = host, " ".join(s.kind for s in slots)
+                met[key] = [x + y for x, y in zip(met[key], numbers, strict=True)] if key in met else numbers
+            n = len(met)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(hosts + [h for h, _ in met], pa.string()),
+                    pa.array(marks + [None] * n, pa.int64()),
+                    pa.array(keys + [None] * n, pa.list_(pa.int64())),
+                    pa.array([None] * len(hosts) + [s for _, s in met], pa.string()),
+                    pa.array([None] * len(hosts) + list(met.values()), pa.list_(pa.int64())),
+                ],
+                ["host", "page", "texts", "stream", "counts"],
+            )
+
+    return rows.mapInArrow(run, schema)
+
+
+def _slots_of(stream: str, counts: list[int]) -> list[Slot]:
+    kinds = stream.split(" ") if stream else []
+    n = len(kinds)
+    return [Slot(k, *(int(counts[i + n * c]) for c in range(len(COUNTED)))) for i, k in enumerate(kinds)]
+
+
+def _merge(group: pd.DataFrame) -> list[Slot]:
+    """One wrapper of all rows: equal streams are added up, the others aligned, the commonest first."""
+    sums: dict[str, list[int]] = {}
+    for stream, counts in zip(group["stream"], group["counts"], strict=True):
+        sums[stream] = [x + y for x, y in zip(sums[stream], counts, strict=True)] if stream in sums else list(counts)
+    order = sorted(sums, key=lambda s: (-max(sums[s][: s.count(" ") + 1], default=0), s))
+    return infer([_slots_of(s, sums[s]) for s in order])
+
+
+def host_wrappers(pages: DataFrame) -> DataFrame:
+    """``(host, wrapper)`` from all pages of each host."""
+    rows = pages.select(_host("url").alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = rows.where("html <> ''").select("host", F.xxhash64("html").alias("page"), "html")
+    met = cut(_streams(rows))
+    # A page that repeats counts once among those that share a text.
+    distinct = met.where("page IS NOT NULL").select("host", "page", "texts").dropDuplicates(["host", "page"])
+    distinct = cut(distinct)
+    n = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    shared = (
+        distinct.select("host", F.explode("texts").alias("key")).groupBy("host", "key")
+        .agg(F.count(F.lit(1)).alias("with")).where(F.col("with") >= SHARED)
+    )
+    common = shared.join(n, "host").where(F.col("with") * 2 > F.col("n"))
+    common = common.groupBy("host").agg(F.collect_list("key").alias("common"))
+
+    def part(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        slots = _merge(group)
+        counts = [getattr(s, name) for name in COUNTED for s in slots]
+        return pd.DataFrame([[key[0], " ".join(s.kind for s in slots), counts]], columns=["host", "stream", "counts"])
 
     def learn(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["page_id", "html"])
-        return pd.DataFrame([[key[0], wrapper_of(group["html"].to_list())]], columns=["host", "wrapper"])
+        found = group["common"].iloc[0]
+        described = _described(_merge(group), int(group["n"].iloc[0]), [] if found is None else list(map(int, found)))
+        return pd.DataFrame([[key[0], described]], columns=["host", "wrapper"])
 
-    return taken.groupBy("host").applyInPandas(learn, "host string, wrapper string")
+    salt = F.pmod(F.xxhash64("stream"), F.lit(SALTS)).alias("salt")
+    streams = met.where("stream IS NOT NULL").select("host", salt, "stream", "counts")
+    parts = streams.groupBy("host", "salt").applyInPandas(part, "host string, stream string, counts array<bigint>")
+    total = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    known = parts.join(total, "host").join(common, "host", "left")
+    return known.groupBy("host").applyInPandas(learn, "host string, wrapper string")
 
 
-def main_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def main_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text)`` for every row of ``pages(page_id, url, html, …)``.
 
     A null page is empty and has an empty text; so has a page without main text. Pages without a
     readable host share one wrapper. Repeated rows are extracted each, other columns not read.
     """
-    wrappers = _small(cut(host_wrappers(pages, sample)))
+    wrappers = _small(cut(host_wrappers(pages)))
     kind = pages.schema["page_id"].dataType.simpleString()
     rows = pages.select("page_id", "url", _host("url").alias("host"), "html")
     joined = rows.join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper")
