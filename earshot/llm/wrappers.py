@@ -9,7 +9,7 @@ becomes an optional group; texts in the same place become a slot.
 The wrapper says what each slot is: part of the article, or of the frame around it. Slots in
 menus, headers, footers, forms and the like are frame, by the tags and class names that enclose
 them; so is a repeated group of links. A text that most pages of the host have in such a place is
-frame too, outside the article. Every page's stream is then matched with its host's wrapper,
+frame too, inside the article as well. Every page's stream is then matched with its host's wrapper,
 and the texts in article slots are its main text; text the wrapper has never seen is judged by
 what encloses it.
 """
@@ -374,10 +374,8 @@ def extract(html: str, wrapper: dict | None) -> str:
                     elif role == "f" and not (own and t.in_article and not t.framed):
                         keep[number] = False
         common = set(wrapper.get("common", ()))
-        if common:
-            keys = text_keys(page)
-            for n, t in enumerate(page.texts):
-                keep[n] = keep[n] and (keys[n] not in common or (t.in_article and not t.framed))
+        if common:  # also inside articles
+            keep = [k and key not in common for k, key in zip(keep, text_keys(page), strict=True)]
     if not any(keep):  # a page unlike its host's others
         keep = plain
     return "\n".join(t.value for t, k in zip(page.texts, keep, strict=True) if k)

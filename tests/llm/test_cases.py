@@ -272,6 +272,16 @@ def test_long_pages_are_learned_and_matched_whole():
     assert time.time() - start < 60
 
 
+def test_what_most_pages_of_a_host_share_is_frame_in_articles_too(spark):
+    notice = "<p>Subscribe to our letter</p>"
+    rows = [(i, f"http://h.example/{i}", f"<article><p>one {i}</p>{notice}<p>two {i}</p></article>") for i in range(9)]
+    rows += [(20 + i, "http://few.example/", f"<article><p>{i}</p>{notice}</article>") for i in range(2)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(frame).collect()}
+    assert all(got[i] == f"one {i}\ntwo {i}" for i in range(9))
+    assert got[20] == "0\nSubscribe to our letter"
+
+
 def test_wrappers_come_from_all_pages_of_a_host(spark):
     import json
 
