@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
+from collections import Counter
 from itertools import combinations
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -106,3 +109,67 @@ def ppm_digits(text: str | None, training: list[str | None], order: int = 5) ->
 
     s = marked(text)
     return -sum(log10(chance(tuple(s[i - order : i]), s[i])) for i in range(order, len(s)))
+
+
+TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def ranked(docs: list[tuple], items: list[tuple], k: int = 20) -> list[tuple]:
+    """(item_id, rank, doc_id, score) of every item, by scoring every document."""
+    held = [(i, Counter(TERM.findall((t or "").translate(LOWER)))) for i, t in docs]
+    held = [(i, tf, sum(tf.values())) for i, tf in held if tf]
+    total, length = len(held), sum(n for _, _, n in held)
+    df = Counter(t for _, tf, _ in held for t in tf)
+    out = []
+    for item, text in items:
+        asked, scores = TERM.findall((text or "").translate(LOWER)), []
+        for i, tf, n in held:
+            m = 75 + (25 * n * total) // length
+            score = sum(
+                math.floor(1000 * math.log((2 * total + 2) / (2 * df[t] + 1)))
+                * ((1000000000 * tf[t]) // (1000 * tf[t] + 12 * m))
+                for t in asked if t in tf
+            )
+            if score > 0:
+                scores.append((-score, i is not None, i or 0, i))
+        scores.sort()
+        out += [(item, r + 1, s[3], -s[0]) for r, s in enumerate(scores[:k])]
+    return out
+
+
+def sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def leaf_of(doc_id, source, lang, n_chars, text) -> str:
+    parts = ("-" if v is None else f"{len(str(v).encode())}:{v}" for v in (doc_id, source, lang, n_chars, text))
+    return sha("".join(parts))
+
+
+def folded_tree(nodes: list[str]) -> tuple[str, list[list[str]]]:
+    """The root, and the siblings of every leaf level by level."""
+    proofs, groups = [[] for _ in nodes], [[i] for i in range(len(nodes))]
+    while len(nodes) > 1:
+        for i in range(0, len(nodes) - 1, 2):
+            for leaf in groups[i]:
+                proofs[leaf].append(nodes[i + 1])
+            for leaf in groups[i + 1]:
+                proofs[leaf].append(nodes[i])
+        nodes = [sha("".join(nodes[i : i + 2])) for i in range(0, len(nodes), 2)]
+        groups = [sum(groups[i : i + 2], []) for i in range(0, len(groups), 2)]
+    return nodes[0], proofs
+
+
+def manifest(rows: list[tuple]) -> dict[str, tuple]:
+    """leaf -> (doc_id, subroot, root, siblings) of rows (doc_id, source, lang, n_chars, text)."""
+    trees: dict = {}
+    for r in rows:
+        trees.setdefault(r[2], []).append((r[0] is not None, r[0] or 0, leaf_of(*r), r[0]))
+    langs = sorted(trees, key=lambda x: (x is not None, (x or "").encode()))
+    roots = {lang: folded_tree([x[2] for x in sorted(trees[lang])]) for lang in langs}
+    root, over = folded_tree([roots[lang][0] for lang in langs])
+    out = {}
+    for lang, above in zip(langs, over, strict=True):
+        for (_, _, leaf, doc_id), proof in zip(sorted(trees[lang]), roots[lang][1], strict=True):
+            out[leaf] = (doc_id, roots[lang][0], root, proof + above)
+    return out
