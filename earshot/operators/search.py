@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from earshot.functions.text import words
 from earshot.operators.ranking import page, topk_per
 from earshot.session import cut, spread
+from earshot.sources.tables import current_version, publish, read_marks, read_table
 
 # What one occurrence of a word counts in each name.
 TRACK_WEIGHT = 10
@@ -32,70 +35,144 @@ def token_index(songs: DataFrame) -> DataFrame:
     )
 
 
-# Songs of each word, best first, that the first round looks at.
-HEAD = 200
+# Best songs kept with each word, and songs in a block of a word's other postings.
+HEAD, BLOCK = 200, 256
+_BUCKETS_MARK, _HEAD_MARK = "postings_buckets", "postings_head"
 
 
-def search_songs(
-    index: DataFrame, queries: DataFrame, limit: int, skip: int = 0, head: int = HEAD
-) -> DataFrame:
+@dataclass(frozen=True)
+class Postings:
+    """A published word index.
+
+    Tier 0 has a row for each word: its greatest weight, its number of songs and of shards, ``steps`` (the
+    weights that occur) and its ``head`` best songs. Tier 1 has the blocks: the ids of songs that share
+    word, weight and shard, a hash of the id. So a block's weight is its exact bound, and the blocks that
+    may hold a song follow from its id. Both tiers lie in folders by a hash of the word.
+    """
+
+    rows: DataFrame
+    buckets: int
+    head: int
+
+    def opened(self, tier: int, wanted: DataFrame) -> DataFrame:
+        """The rows of a tier in the buckets of ``wanted``; the scan reads no other folder."""
+        hit = [r[0] for r in wanted.select("bucket").distinct().collect()]  # no more than buckets
+        kept = F.col("bucket").isin(hit) if hit else F.lit(False)
+        return self.rows.filter((F.col("tier") == tier) & kept)
+
+
+def _word_bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def _shard() -> Column:
+    return F.pmod(F.xxhash64("id"), F.col("shards")).alias("shard")
+
+
+def publish_postings(
+    songs: DataFrame, root: str, buckets: int = 16, head: int = HEAD, block: int = BLOCK
+) -> int:
+    """Publish the word index of ``songs`` as the next version under ``root``.
+
+    ``buckets`` is the number of folders of a tier; a search opens those of its words. No list is
+    gathered but a word's head and blocks of about ``block`` ids.
+    """
+    index = cut(token_index(songs))
+    words_ = index.groupBy("token").agg(
+        F.max("weight").alias("most"),
+        F.count(F.lit(1)).alias("songs"),
+        F.sort_array(F.collect_set("weight")).alias("steps"),
+    )
+    words_ = words_.withColumn("shards", F.ceil(F.col("songs") / block))
+    best = topk_per(index, ["token"], [F.desc("weight"), F.asc("id")], head, "_at")
+    best = best.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("_at", "id", "weight"))).alias("_best"))
+    none = {"weight": F.lit(None).cast("int"), "shard": F.lit(None).cast("bigint"), "tier": F.lit(0)}
+    entries = words_.join(best, "token").withColumns(
+        none | {"ids": F.col("_best.id"), "weights": F.col("_best.weight")}
+    ).drop("_best")
+    blocks = index.join(words_.select("token", "shards"), "token")
+    blocks = blocks.groupBy("token", "weight", _shard()).agg(F.collect_list("id").alias("ids"))
+    blocks = blocks.withColumn("tier", F.lit(1))
+    rows = entries.unionByName(blocks, allowMissingColumns=True).withColumn("bucket", _word_bucket(buckets))
+    dealt = rows.hint("rebalance", "tier", "bucket").sortWithinPartitions("tier", "bucket", "token")
+    marks = {_BUCKETS_MARK: buckets, _HEAD_MARK: head}
+    return publish(dealt, root, marks=marks, partition_by=("tier", "bucket"))
+
+
+def read_postings(spark: SparkSession, root: str, version: int | None = None) -> Postings:
+    version = current_version(spark, root) if version is None else version
+    marks = read_marks(spark, root, version)
+    return Postings(read_table(spark, root, version), marks[_BUCKETS_MARK], marks[_HEAD_MARK])
+
+
+def search_songs(postings: Postings, queries: DataFrame, limit: int, skip: int = 0) -> DataFrame:
     """A page of results for each of ``queries(query_id, text)``, best first, ties by id.
 
     A song matches when it has any of the query's distinct words; its score is the sum of
     their weights. Equal texts are searched once. A query without words has no results.
 
-    A first round over each word's ``head`` best songs finds as many songs as a page needs; the
-    lowest of their full scores is the text's floor. The commonest words whose greatest weights
-    together stay below the floor cannot lift a song onto the page alone, and the commonest word
-    never lifts one above its own best songs, which the first round has. Of the others those songs
-    are listed whose weight, with the greatest of all other words, reaches the floor. The songs
-    left are then scored in full.
+    A first round over each word's head finds as many songs as a page needs; the lowest of their
+    full scores is the text's floor. The commonest words whose greatest weights together stay
+    below the floor cannot lift a song onto the page alone, and the commonest word never lifts one
+    above its own best songs, which the first round has (unless a page is deeper than the heads). Of
+    the others those blocks are opened whose weight, with the greatest of all other words, reaches
+    the floor. The songs found are then scored in full, from the blocks that their ids point to.
     """
     probe = skip + limit + 1
     key = F.array_join(F.array_sort(F.array_distinct(words(F.col("text")))), " ")
     asked = queries.select("query_id", key.alias("_text"))
-    index = index.select("token", "id", F.col("weight").cast("bigint").alias("weight"))
-    most = index.groupBy("token").agg(
-        F.max("weight").alias("_most"), F.count(F.lit(1)).alias("_songs")
-    )
-    texts = asked.select("_text").distinct()
-    tokens = cut(
-        texts.select("_text", F.explode(F.split("_text", " ")).alias("token"))
-        .filter(F.col("token") != "")
-        .join(most, "token")
-    )
-    heads = topk_per(
-        index.join(tokens.select("token").distinct(), "token", "left_semi"),
-        ["token"], [F.desc("weight"), F.asc("id")], max(head, probe),
-    ).drop("rank")
-    first = tokens.join(heads, "token").groupBy("_text", "id").agg(F.sum("weight").alias("part"))
-    first = cut(topk_per(first, ["_text"], [F.desc("part"), F.asc("id")], probe))
-    full = first.select("_text", "id").join(tokens, "_text").join(index, ["token", "id"])
-    full = full.groupBy("_text", "id").agg(F.sum("weight").alias("score"))
+    pairs = asked.select("_text").distinct().select("_text", F.explode(F.split("_text", " ")).alias("token"))
+    pairs = pairs.filter(F.col("token") != "").withColumn("bucket", _word_bucket(postings.buckets))
+    heads = postings.opened(0, pairs)
+    tokens = cut(pairs.join(heads.select("token", "most", "songs", "shards", "steps"), "token"))
+    best = heads.join(tokens.select("token").distinct(), "token", "left_semi")
+    best = best.select("token", F.explode(F.arrays_zip("ids", "weights")).alias("_p"))
+    first = tokens.select("_text", "token").join(best, "token").groupBy("_text", F.col("_p.ids").alias("id"))
+    first = first.agg(F.sum("_p.weights").alias("part"))
+    first = cut(topk_per(first, ["_text"], [F.desc("part"), F.asc("id")], probe).select("_text", "id"))
+    full = cut(_scores(postings, tokens, first, tokens))
     floors = full.groupBy("_text").agg(F.count(F.lit(1)).alias("_found"), F.min("score").alias("_floor"))
     floors = floors.filter(F.col("_found") == probe).select("_text", "_floor")
     # Within a text, by its few words.
     whole = Window.partitionBy("_text")
-    common = whole.orderBy(F.desc("_songs"), "token")
-    upto = F.sum("_most").over(common.rowsBetween(Window.unboundedPreceding, 0))
+    common = whole.orderBy(F.desc("songs"), "token")
+    upto = F.sum("most").over(common.rowsBetween(Window.unboundedPreceding, 0))
+    later = (F.row_number().over(common) > 1) | F.lit(probe > postings.head)
     bounds = (
-        tokens.withColumn("_rest", F.sum("_most").over(whole) - F.col("_most"))
-        .withColumns({"_upto": upto, "_place": F.row_number().over(common)})
+        tokens.withColumn("_rest", F.sum("most").over(whole) - F.col("most"))
+        .withColumns({"_upto": upto, "_later": later})
         .join(floors, "_text", "left")
         .withColumn("_floor", F.coalesce("_floor", F.lit(0)))
-        .filter((F.col("_upto") >= F.col("_floor")) & (F.col("_place") > 1))
+        .filter((F.col("_upto") >= F.col("_floor")) & F.col("_later"))
     )
-    steps = index.select("token", "weight").distinct()
-    able = bounds.join(steps, "token").filter(F.col("weight") + F.col("_rest") >= F.col("_floor"))
-    listed = spread(able.select("_text", "token", "weight"), "token", "weight")
-    found = listed.join(index, ["token", "weight"]).select("_text", "id")
-    near = cut(found.unionByName(first.select("_text", "id")).distinct())
-    held = near.join(tokens.select("_text", "token"), "_text").join(index, ["token", "id"])
-    scores = held.groupBy("_text", "id").agg(F.sum("weight").alias("score"))
+    able = bounds.select("_text", "token", "bucket", "_rest", "_floor", F.explode("steps").alias("weight"))
+    able = able.filter(F.col("weight") + F.col("_rest") >= F.col("_floor"))
+    able = cut(able.select("_text", "token", "bucket", "weight"))
+    listed = spread(able.drop("bucket"), "token", "weight").join(
+        postings.opened(1, able).select("token", "weight", "ids"), ["token", "weight"]
+    )
+    listed = listed.select("_text", F.explode("ids").alias("id")).distinct()
+    near = cut(listed.join(full.select("_text", "id"), ["_text", "id"], "left_anti"))
+    asking = tokens.join(near.select("_text").distinct(), "_text", "left_semi")
+    scores = full.unionByName(_scores(postings, tokens, near, asking))
     pages = page(scores, ["_text"], [F.desc("score"), F.asc("id")], skip, limit)
     return asked.join(pages, "_text").select("query_id", "id", "score", "rank", "has_more")
 
 
+def _scores(postings: Postings, tokens: DataFrame, songs: DataFrame, asking: DataFrame) -> DataFrame:
+    """The full score of each ``songs(_text, id)``, from the blocks that its id points to.
+
+    ``asking`` are those of ``tokens`` whose texts have songs here: only their buckets are opened.
+    """
+    held = songs.join(tokens.select("_text", "token", "shards"), "_text")
+    held = held.select("_text", "id", "token", _shard())
+    blocks = ["token", "shard"]
+    opened = postings.opened(1, asking).join(held.select(*blocks).distinct(), blocks, "left_semi")
+    ids = opened.select("token", F.col("weight").cast("bigint").alias("weight"), F.explode("ids").alias("id"))
+    met = held.drop("shard").join(ids, ["token", "id"])
+    return met.groupBy("_text", "id").agg(F.sum("weight").alias("score"))
+
+
 # Patterns that one row of songs meets at once.
 PATTERNS = 200
 

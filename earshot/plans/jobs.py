@@ -35,7 +35,7 @@ from earshot.operators.feed import (
 )
 from earshot.operators.merge import cascade_delete, merge_set, profile_table
 from earshot.operators.ranking import hydrate, topk_per
-from earshot.operators.search import search_songs, token_index
+from earshot.operators.search import Postings, search_songs
 from earshot.operators.training import (
     Params,
     Trained,
@@ -45,16 +45,21 @@ from earshot.operators.training import (
 )
 from earshot.schemas import CONTENT_DIM
 from earshot.session import cut
+from earshot.sources.keyed import is_keyed, read_keyed, update_keyed
 from earshot.sources.lake import sort_history
 from earshot.sources.master import SONG_IDS, read_master_jsonl
 from earshot.sources.tables import (
+    TRIES,
+    Conflict,
     append_delta,
     append_vectors,
+    current_version,
     delta_mark,
     publish,
     read_deltas,
     read_marks,
     read_table,
+    update,
     write_vectors,
 )
 from earshot.streaming.counts import read_counts
@@ -130,18 +135,58 @@ def song_counters(spark: SparkSession, songs_root: str, counts_root: str) -> Dat
 
 
 def fold_counts(spark: SparkSession, songs_root: str, counts_root: str) -> int:
-    """Publish the song table with the kept counts added; the version says how far it goes."""
-    end = delta_mark(spark, counts_root, INCREMENTAL_JOB)
-    table = song_counters(spark, songs_root, counts_root)
-    return publish(table, songs_root, marks={INCREMENTAL_JOB: end})
+    """Publish the song table with the kept counts added; the version says how far it goes.
+
+    If another writer comes first, its version is read again, with its marks.
+    """
+    for _ in range(TRIES):
+        base = current_version(spark, songs_root)
+        folded = read_marks(spark, songs_root, base).get(INCREMENTAL_JOB, 0)
+        deltas = read_deltas(spark, counts_root, INCREMENTAL_JOB, folded)
+        end = delta_mark(spark, counts_root, INCREMENTAL_JOB)
+        try:
+            return _fold(spark, songs_root, base, deltas, {INCREMENTAL_JOB: end})
+        except Conflict:
+            continue
+    raise Conflict(songs_root)
 
 
 def fold_stream_counts(spark: SparkSession, songs_root: str, deltas: str, upto: int) -> int:
     """Publish the song table with the stream's batches up to ``upto`` added, each once."""
-    done = read_marks(spark, songs_root).get(STREAM_JOB, -1)
-    counts = read_counts(spark, deltas, done, upto)
-    table = add_counts(read_table(spark, songs_root), counts)
-    return publish(table, songs_root, marks={STREAM_JOB: max(done, upto)})
+    for _ in range(TRIES):
+        base = current_version(spark, songs_root)
+        done = read_marks(spark, songs_root, base).get(STREAM_JOB, -1)
+        counts = read_counts(spark, deltas, done, upto)
+        try:
+            return _fold(spark, songs_root, base, counts, {STREAM_JOB: max(done, upto)})
+        except Conflict:
+            continue
+    raise Conflict(songs_root)
+
+
+def _fold(
+    spark: SparkSession, root: str, base: int, counts: DataFrame | None, marks: dict[str, int]
+) -> int:
+    """Add counts to version ``base``: of a keyed table only to the buckets that they hit."""
+    if is_keyed(spark, root, base):
+        deltas = spark.createDataFrame([], "track_id string, plays long") if counts is None else counts
+        deltas = deltas.withColumn("_id", F.col("track_id"))
+        return update_keyed(deltas, root, add_counts, marks, base)
+    songs = read_table(spark, root, base)
+    return publish(songs if counts is None else add_counts(songs, counts), root, marks=marks, base=base)
+
+
+def resync_keyed(trending: DataFrame, songs_root: str) -> int:
+    """Set ``plays_7d`` of a keyed song table from the trailing counts; as `resync_trending`, but only
+    the buckets with a song whose count differs are rewritten."""
+    spark = trending.sparkSession
+    now = trending.select(F.col("track_id").alias("_id"), F.col("plays").cast("int").alias("_plays"))
+    held = read_keyed(spark, songs_root).select("_id", F.col("plays_7d").alias("_old"), F.lit(1).alias("_had"))
+    both = held.join(now, "_id", "full_outer")
+    plays = F.coalesce("_plays", F.lit(0))
+    differs = F.col("_had").isNull() | ~F.col("_old").eqNullSafe(plays)
+    changes = both.filter(differs).select("_id", plays.alias("plays_7d"))
+    return update_keyed(changes, songs_root, lambda rows, new: merge_set(rows, new, "_id", ["plays_7d"]))
 
 
 @dataclass(frozen=True)
@@ -161,12 +206,19 @@ def run_nightly(
     params: Params = Params(),
     seed: int = 0,
     blocks: int | None = None,
+    trending: DataFrame | None = None,
 ) -> Trained:
-    """Reset the trailing counts from the lake, then train and publish all vectors."""
+    """Reset the trailing counts, then train and publish all vectors.
+
+    The counts are ``trending`` (as `day_counts.read_trailing` keeps them) or are taken from the lake.
+    """
     spark = lake.sparkSession
     day = as_of.date()
-    songs = resync_trending(read_table(spark, roots.songs), trending_7d(lake, day))
-    publish(songs, roots.songs)
+    trending = trending_7d(lake, day) if trending is None else trending
+    if is_keyed(spark, roots.songs):
+        resync_keyed(trending, roots.songs)
+    else:
+        update(spark, roots.songs, lambda songs: resync_trending(songs, trending))
     trained = train(lake, day, params, seed, blocks=blocks)
     users = export_user_factors(trained, read_table(spark, roots.users), as_of)
     publish(users, roots.users)
@@ -205,6 +257,7 @@ class Tables:
     vectors: DataFrame
     feed_served: DataFrame
     playlist_served: DataFrame
+    postings: Postings
 
 
 @dataclass(frozen=True)
@@ -257,5 +310,5 @@ def serve_batch(
     following, playlist_after = hand_out(state, asks, tables.songs, limit, PLAYLIST)
 
     texts = requests.filter(F.col("kind") == "search").select("query_id", "text")
-    found = search_songs(token_index(tables.songs), texts, limit)
+    found = search_songs(tables.postings, texts, limit)
     return Served(shown, following, hydrate(found, tables.songs), feed_after, playlist_after)

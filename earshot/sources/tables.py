@@ -1,21 +1,28 @@
-"""Published tables: a new folder per version, and a small log that names the current one.
+"""Published tables: a new folder per version, and a log that names the current one.
 
 A merge reads the current version and writes the next one, so no job overwrites what it
-or another job is reading. A version counts only once its log row is written: a job that
-dies before that leaves the table as it was.
+or another job is reading. A version counts only once its log file is there: a job that
+dies before that leaves the table as it was. A log file is created once, so two writers get two
+versions, and a writer that names the version it has read learns that another came first.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.schemas import VECTORS, conform
+from earshot.sources import commits
+from earshot.sources.commits import Conflict
 
-_LOG = "version long, path string, marks map<string,long>"
 _DELTAS = "job_name string, after long, upto long, path string"
 _MARKS = "job_name string, last_timestamp long"
+#: Times that an update is made anew because another writer came first.
+TRIES = 50
 
 
 def _log(spark: SparkSession, root: str, folder: str, schema: str) -> DataFrame:
@@ -27,44 +34,79 @@ def _log(spark: SparkSession, root: str, folder: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def log_folder(root: str) -> str:
+    return f"{root}/_versions"
+
+
 def current_version(spark: SparkSession, root: str) -> int:
     """The newest published version, 0 when there is none."""
-    newest = _log(spark, root, "_versions", _LOG).agg(F.max("version")).first()[0]
-    return newest or 0
+    return commits.newest(spark, log_folder(root))
+
+
+def read_entry(spark: SparkSession, root: str, version: int | None = None) -> dict:
+    """What the log says of a version, the newest unless one is given; empty before the first."""
+    version = current_version(spark, root) if version is None else version
+    return commits.entry(spark, log_folder(root), version) if version else {}
 
 
 def publish(
-    df: DataFrame, root: str, version: int | None = None, marks: dict[str, int] | None = None
+    df: DataFrame,
+    root: str,
+    version: int | None = None,
+    marks: dict[str, int] | None = None,
+    base: int | None = None,
+    partition_by: Sequence[str] = (),
 ) -> int:
     """Write ``df`` as the next version and make it current.
 
     Publishing a given version again replaces its data and changes nothing else, so a
     repeated job is harmless. ``marks`` says how far each job's work is in this version; the same
-    log row commits both. Marks not given carry over from the version before.
+    log file commits both. Marks not given carry over from the version before. ``base`` is the version
+    that ``df`` was made from: if it is no longer the newest, ``Conflict`` is raised.
     """
-    spark = df.sparkSession
-    newest = current_version(spark, root)
-    version = newest + 1 if version is None else version
-    path = f"{root}/v={version}"
-    df.write.mode("overwrite").parquet(path)
-    if version > newest:
-        known = read_marks(spark, root) | (marks or {})
-        row = spark.createDataFrame([(version, path, known)], _LOG)
-        row.coalesce(1).write.mode("append").parquet(f"{root}/_versions")
-    return version
+    spark, log = df.sparkSession, log_folder(root)
+    path = f"{root}/data-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    while True:
+        newest = current_version(spark, root)
+        number = newest + 1 if version is None else version
+        if number <= newest and version is not None:
+            known = commits.entry(spark, log, number)
+            commits.commit(spark, log, number, known | {"path": path}, replace=True)
+            return number
+        if base is not None and newest != base:
+            raise Conflict(f"{root}: version {newest} came after {base}")
+        known = read_marks(spark, root, newest) | (marks or {})
+        if commits.commit(spark, log, number, {"path": path, "marks": known}):
+            return number
+
+
+def update(
+    spark: SparkSession,
+    root: str,
+    change: Callable[[DataFrame], DataFrame],
+    marks: dict[str, int] | None = None,
+) -> int:
+    """Publish ``change`` of the current version; anew on the newer one if another writer came first."""
+    for _ in range(TRIES):
+        base = current_version(spark, root)
+        try:
+            return publish(change(read_table(spark, root, base)), root, marks=marks, base=base)
+        except Conflict:
+            continue
+    raise Conflict(f"{root}: {TRIES} times another writer came first")
 
 
-def read_marks(spark: SparkSession, root: str) -> dict[str, int]:
-    """How far each job's work is in the current version."""
-    last = F.max_by("marks", "version")
-    return _log(spark, root, "_versions", _LOG).agg(last).first()[0] or {}
+def read_marks(spark: SparkSession, root: str, version: int | None = None) -> dict[str, int]:
+    """How far each job's work is in a version, the current one unless given."""
+    return read_entry(spark, root, version).get("marks", {})
 
 
-def read_table(spark: SparkSession, root: str) -> DataFrame:
-    version = current_version(spark, root)
-    if version == 0:
+def read_table(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    known = read_entry(spark, root, version)
+    if not known:
         raise FileNotFoundError(f"no version published under {root}")
-    return spark.read.parquet(f"{root}/v={version}")
+    return spark.read.parquet(known["path"])
 
 
 def read_mark(spark: SparkSession, root: str, job: str) -> int:

@@ -578,6 +578,17 @@ SQL: dict[str, str] = {
         SELECT query_id, id, score, rank::INTEGER AS rank, n > 15 AS has_more
         FROM asked WHERE rank BETWEEN 6 AND 15""",
     "token_index": "SELECT token, id, weight FROM tokens",
+    "merge_buckets": f"""
+        SELECT id AS _id, name AS track_name,
+               CASE WHEN p > 0 THEN p WHEN id NOT LIKE 'x%' THEN 0 END::BIGINT AS plays_7d,
+               CASE WHEN p > 0 THEN p WHEN id NOT LIKE 'x%' THEN 0 END::BIGINT AS plays_cumulative
+        FROM (SELECT p_partkey::VARCHAR AS id,
+                     CASE WHEN p_partkey % 100 = 3 THEN 'new ' || p_partkey ELSE p_name END AS name
+              FROM part WHERE p_partkey % 200 <> 11
+              UNION ALL SELECT 'x' || p_partkey, 'made' FROM part WHERE p_partkey % 500 = 7)
+        LEFT JOIN (SELECT track_id, count(*) AS p FROM play_log WHERE {PLAYED} GROUP BY ALL)
+          ON id = track_id""",
+    "trailing_days": "SELECT track_id, plays FROM trend",
     "search_regex": """
         SELECT query_id, id, rank::INTEGER AS rank, n > 30 AS has_more
         FROM (SELECT query_id, _id AS id,

@@ -30,7 +30,7 @@ from earshot.operators import (
 )
 from earshot.plans import jobs
 from earshot.session import ensure_checkpoint_dir
-from earshot.sources import lake, master, tables
+from earshot.sources import day_counts, keyed, lake, master, tables
 from earshot.streaming import counts as stream_counts
 from earshot.streaming import ingest
 from earshot.streaming import player as stream_player
@@ -615,6 +615,13 @@ def reset_served(fx):
 # ---- search -------------------------------------------------------------------------
 
 
+def postings(fx: Fixtures) -> search.Postings:
+    """The word index of all songs, published to a new folder and read back."""
+    root = scratch(fx.spark, "postings")
+    search.publish_postings(fx.names(), root)
+    return search.read_postings(fx.spark, root)
+
+
 @register
 def search_songs(fx):
     """Every supplier and every song name as a query against all songs."""
@@ -623,7 +630,7 @@ def search_songs(fx):
         F.col("p_partkey").cast("string").alias("query_id"),
         F.concat_ws(" ", F.upper("p_name"), F.col("p_brand")).alias("text"),
     )
-    return search.search_songs(search.token_index(fx.names()), asked, 10, 5)
+    return search.search_songs(postings(fx), asked, 10, 5)
 
 
 @register
@@ -901,6 +908,43 @@ def clean_catalogue(fx):
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
+@register
+def merge_buckets(fx):
+    """A keyed song table after a set of names, additions to counters and a delete, each of few keys."""
+    root = scratch(fx.spark, "keyed")
+    keyed.create_keyed(fx.names(), root, "_id", 16)
+    key = F.col("_id").cast("bigint")
+    ids = fx.names().select("_id")
+    named = ids.filter(key % 100 == 3).withColumn("track_name", F.concat(F.lit("new "), "_id"))
+    made = ids.filter(key % 500 == 7).select(F.concat(F.lit("x"), "_id").alias("_id"), F.lit("made").alias("track_name"))
+    keyed.update_keyed(
+        named.unionByName(made), root, lambda rows, new: merge.merge_set(rows, new, "_id", ["track_name"])
+    )
+    plays = counts.play_counts(fx.play_log()).withColumn("_id", F.col("track_id"))
+    keyed.update_keyed(plays, root, counts.add_counts)
+    keyed.delete_keyed(ids.filter(key % 200 == 11), root)
+    return keyed.read_keyed(fx.spark, root).select(
+        "_id", "track_name", F.col("plays_7d").cast("bigint").alias("plays_7d"), "plays_cumulative"
+    )
+
+
+@register
+def trailing_days(fx):
+    """Trailing counts kept from day to day: loads up to three days, late events of the last, a day's rest."""
+    root = scratch(fx.spark, "days")
+    log = fx.play_log()
+    late = (F.pmod(F.xxhash64("user_id", "timestamp"), F.lit(10)) == 0) & (F.col("date_str") >= "2024-01-20")
+    day = F.col("date_str")
+    loads = [
+        (day <= "2024-01-24") & ~late, (day <= "2024-01-27") & (day > "2024-01-24") & ~late,
+        (day <= "2024-01-27") & late, day > "2024-01-27",
+    ]
+    for i, (part, as_of) in enumerate(zip(loads, (24, 27, 28, 31), strict=True)):
+        lake.write_lake(log.filter(part), f"{root}/lake", f"load-{i}")
+        day_counts.refresh(fx.spark, f"{root}/lake", f"{root}/counts", AS_OF.replace(day=as_of))
+    return day_counts.read_trailing(fx.spark, f"{root}/counts")
+
+
 @register
 def serve_batch(fx):
     """Every listener asks for a feed, for what follows, and searches their brand's name."""
@@ -912,7 +956,8 @@ def serve_batch(fx):
     out = jobs.serve_batch(
         asked,
         jobs.Tables(
-            fx.counted_songs(), fx.items(), fx.content(), fx.vectors(), fx.feed_served(), fx.served()
+            fx.counted_songs(), fx.items(), fx.content(), fx.vectors(), fx.feed_served(), fx.served(),
+            postings(fx),
         ),
         20,
         SEED,

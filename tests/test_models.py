@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from earshot.operators import feed, content, training
+from earshot.operators import content, feed, search, training
 from earshot.operators.events import with_event_date
 from earshot.plans import jobs
 from earshot.schemas import SONGS, USERS, conform
@@ -184,7 +184,7 @@ def test_clean_catalogue(spark):
         assert [r["id"] for r in df.collect()] == ["a"]
 
 
-def test_serve_batch(spark):
+def test_serve_batch(spark, tmp_path):
     rng = np.random.default_rng(0)
     ids = [f"s{i:02d}" for i in range(60)]
     songs = conform(
@@ -209,7 +209,9 @@ def test_serve_batch(spark):
     )
     served = spark.createDataFrame([("u", "s01", 1, False, 5)], kind)
     tastes = spark.createDataFrame([("u", True, [1.0, 0.0, 0.0])], "user_id string, has_long boolean, vector array<double>")
-    state = jobs.Tables(songs, vecs, vecs, tastes, feeds, served)
+    search.publish_postings(songs, str(tmp_path / "postings"))
+    index = search.read_postings(spark, str(tmp_path / "postings"))
+    state = jobs.Tables(songs, vecs, vecs, tastes, feeds, served, index)
     out = jobs.serve_batch(requests, state, 5, 1, 9)
 
     def pages(df):
@@ -228,7 +230,7 @@ def test_serve_batch(spark):
     assert waiting == {"u": 49, "full": 20, "ghost": 15, "capped": 0}
     # The next batch goes on where this one ended.
     again = jobs.serve_batch(
-        requests, jobs.Tables(songs, vecs, vecs, tastes, out.feed_served, out.playlist_served), 5, 1, 10
+        requests, jobs.Tables(songs, vecs, vecs, tastes, out.feed_served, out.playlist_served, index), 5, 1, 10
     )
     two = pages(again.feeds)
     seen = {i for q in ("f", "f2") for i, _ in one[q]}

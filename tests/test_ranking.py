@@ -305,9 +305,9 @@ def brute_search(songs, text, limit, skip):
     return [(i, -s) for s, i in scored[skip : skip + limit]], len(scored) > skip + limit
 
 
-@pytest.mark.parametrize("head", [200, 1])
+@pytest.mark.parametrize("head, block", [(200, 256), (6, 3), (1, 4)])
 @pytest.mark.parametrize("skip", [0, 4])
-def test_search_equals_brute_force(spark, head, skip):
+def test_search_equals_brute_force(spark, tmp_path, head, block, skip):
     rng = random.Random(9)
     words = ["the", "the", "the", "red", "blue", "Love", "night", "rain", "zebra"]
     songs = {
@@ -320,7 +320,9 @@ def test_search_equals_brute_force(spark, head, skip):
     table = spark.createDataFrame([(i, t, a) for i, (t, a) in songs.items()], "_id string, track_name string, artist_name string")
     asked = spark.createDataFrame(list(queries.items()), "query_id string, text string")
     got = {}
-    found = search.search_songs(search.token_index(table), asked, 5, skip, head)
+    root = str(tmp_path / "postings")
+    search.publish_postings(table, root, 4, head, block)
+    found = search.search_songs(search.read_postings(spark, root), asked, 5, skip)
     for r in sorted(found.collect(), key=lambda r: (r["query_id"], r["rank"])):
         got.setdefault(r["query_id"], ([], r["has_more"]))[0].append((r["id"], r["score"]))
     for q, text in queries.items():
@@ -328,7 +330,7 @@ def test_search_equals_brute_force(spark, head, skip):
         assert got.get(q, ([], False)) == (page, more if page else False), (q, text)
 
 
-def test_search_lists_few_songs_of_a_large_vocabulary(spark, monkeypatch):
+def test_search_lists_few_songs_of_a_large_vocabulary(spark, tmp_path, monkeypatch):
     """Every text has a word that half of all songs share; few of these are ever listed."""
     rng = random.Random(1)
     vocabulary = [f"w{i}" for i in range(3000)]
@@ -338,16 +340,38 @@ def test_search_lists_few_songs_of_a_large_vocabulary(spark, monkeypatch):
     queries = {f"q{i}": f"the w{i} w{i + 1}" for i in range(150)}
     table = spark.createDataFrame([(i, *v) for i, v in songs.items()], "_id string, track_name string, artist_name string")
     asked = spark.createDataFrame(list(queries.items()), "query_id string, text string")
+    root = str(tmp_path / "postings")
+    search.publish_postings(table, root)
+    index = search.read_postings(spark, root)
     listed = []
     keep = search.cut
     monkeypatch.setattr(search, "cut", lambda df: listed.append(keep(df)) or listed[-1])
     got = {}
-    for r in search.search_songs(search.token_index(table), asked, 3).collect():
+    for r in search.search_songs(index, asked, 3).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
     for q in ("q0", "q77", "q149"):
         best, _ = brute_search(songs, queries[q], 3, 0)
         assert [(i, s) for _, i, s in sorted(got[q])] == best
-    assert listed[-1].count() < 150 * 3000 / 20  # songs scored in full
+    near = next(df for df in listed[::-1] if df.columns == ["_text", "id"])
+    assert near.count() < 150 * 3000 / 20  # songs scored in full
+
+
+def test_search_opens_only_the_folders_of_its_words(spark, tmp_path):
+    songs = spark.createDataFrame([(f"s{i}", f"w{i} the", None) for i in range(500)], "_id string, track_name string, artist_name string")
+    root = str(tmp_path / "postings")
+    search.publish_postings(songs, root, buckets=32)
+    index = search.read_postings(spark, root)
+    pairs = spark.createDataFrame([("t", "w7")], "_text string, token string").withColumn("bucket", search._word_bucket(32))
+    for tier in (0, 1):
+        files = {f.split("/tier=")[1].rsplit("/", 1)[0] for f in index.opened(tier, pairs).inputFiles()}
+        everything = {f.split("/tier=")[1].rsplit("/", 1)[0] for f in index.rows.inputFiles()}
+        assert len(files) <= len(everything) and len(everything) > 40
+        scan = index.opened(tier, pairs)._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters" in scan and f"tier#" in scan
+        parts = {(r[0], r[1]) for r in index.opened(tier, pairs).select("tier", "bucket").distinct().collect()}
+        assert parts == {(tier, pairs.first()["bucket"])}
+    nothing = spark.createDataFrame([], "query_id string, text string")
+    assert search.search_songs(index, nothing, 3).count() == 0
 
 
 def test_search_regex(spark):
