@@ -77,13 +77,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             out[i:j] = _poly(data[a : ends[j - 1]], starts[i:j] - a, ends[i:j] - a)
             i = j
             continue
-        h = np.uint64(0)  # a word longer than STEP, piece by piece
+        h = np.zeros(1, np.uint64)  # a word longer than STEP, piece by piece
         for k in range(int(a), int(ends[i]), STEP):
             piece = data[k : min(k + STEP, ends[i])]
-            h = mix(np.array([h], np.uint64))[0] + _poly(
-                piece, np.zeros(1, np.int64), np.array([len(piece)])
-            )[0]
-        out[i] = h
+            h = mix(h) + _poly(piece, np.zeros(1, np.int64), np.array([len(piece)]))
+        out[i] = h[0]
         i += 1
     return mix(out + (ends - starts).astype(np.uint64))
 
