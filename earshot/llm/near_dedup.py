@@ -19,8 +19,10 @@ set if it has no more than ``STRATA * DEPTH`` values.
    pairs leave a block. This is the exact way for what the stars left open.
 
 Two sets at the threshold share a given stratum's run with a chance of about one in two, so that
-one of 32 keys is shared by all but some 1e-10 of them. For small sets it is certain: more strata
-hold values than values differ.
+one of 32 keys is shared by all but some 1e-10 of them. Sets of up to ``TINY`` values may differ in one or
+two values at 80 % or more, so the sets that are left without one value, or without two, are keys of
+theirs as well: then some key is shared for certain. Larger sets of few values miss all shared strata
+with a chance below 1e-12.
 """
 
 from __future__ import annotations
@@ -39,13 +41,17 @@ from earshot.llm.words import mix, shingles, utf8, word_hashes, word_places
 from earshot.session import cut
 
 STRATA, RUN, DEPTH = 32, 3, 8
+#: Sets of so many values are listed without one value too, and those of over ``ONE`` without two.
+TINY, ONE = 14, 7
 SMALL, ORDERS, BLOCK = 8, 4, 4_096
 #: Bytes of text hashed at once.
 SLICE = 1 << 22
+#: Bytes of full sets that are compared in one task at once.
+CELL = 1 << 24
 #: Hash buckets that say which sets to read again for verification.
 BUCKETS = 1 << 20
 _SKETCH = (
-    "doc_id bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>, marks binary, "
+    "doc_id bigint, mark bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>, marks binary, "
     "kept array<int>, whole boolean"
 )
 
@@ -80,6 +86,20 @@ def sketch(values: np.ndarray) -> tuple[np.ndarray, bytes, np.ndarray, bool]:
     return keys, marks, np.unique(kept.astype(np.uint32)), whole
 
 
+def without_few(values: np.ndarray) -> np.ndarray:
+    """Keys of a tiny set and of what is left of it without one value or two.
+
+    The bit that says "stratum filled" is not set, which tells them from the other keys.
+    """
+    spread = mix(values)
+    sums = np.sum(spread, dtype=np.uint64) - np.concatenate([np.zeros(1, np.uint64), spread])
+    if len(values) > ONE:
+        i, j = np.triu_indices(len(values), 1)
+        sums = np.concatenate([sums, sums[0] - spread[i] - spread[j]])
+    keys = mix(sums + np.uint64(1)) & ~np.uint64(STRATA)
+    return np.unique(np.where(keys == 0, np.uint64(1), keys))
+
+
 def _lists(parts: list[np.ndarray], kind: type) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
     flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
@@ -87,7 +107,8 @@ def _lists(parts: list[np.ndarray], kind: type) -> pa.Array:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, n, f1, f2, keys, kept, whole)``: set size, set fingerprint, and the sketch."""
+    """``(doc_id, mark, n, f1, f2, keys, marks, kept, whole)``: a hash of the text, set size, set
+    fingerprint, and the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.uint64), b"", np.zeros(0, np.uint32), True
@@ -98,20 +119,21 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 sizes.append(len(values))
                 total = np.sum(mix(values), dtype=np.uint64)
                 prints.append((total, np.bitwise_xor.reduce(values, initial=0)))
-                keys.append(k)
+                keys.append(np.concatenate([k, without_few(values)]) if 0 < len(values) <= TINY else k)
                 marks.append(m)
                 kept.append(v)
                 whole.append(w)
             sums = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(sums[:, 0]),
+                [batch["doc_id"], batch["mark"], pa.array(sizes, pa.int64()), pa.array(sums[:, 0]),
                  pa.array(sums[:, 1]), _lists(keys, np.int64), pa.array(marks, pa.binary()),
                  _lists(kept, np.int32),
                  pa.array(whole, pa.bool_())],
-                ["doc_id", "n", "f1", "f2", "keys", "marks", "kept", "whole"],
+                ["doc_id", "mark", "n", "f1", "f2", "keys", "marks", "kept", "whole"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    mark = F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark, "text")
     return rows.mapInArrow(run, _SKETCH)
 
 
@@ -150,7 +172,8 @@ def _likely_in_list(percent: int):
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         number, low, high = key
-        stratum = int(number) & (STRATA - 1)
+        # A list of tiny sets has no place among the strata: its pairs count whatever they share there.
+        stratum = int(number) & (STRATA - 1) if int(number) & STRATA else 0
         ids, roots = group["id"].to_numpy(), group["root"].to_numpy()
         n, whole, block = group["n"].to_numpy(), group["whole"].to_numpy(), group["block"].to_numpy()
         marks = np.frombuffer(b"".join(group["marks"]), np.uint32).reshape(len(ids), 2, STRATA)
@@ -188,18 +211,18 @@ def _likely_in_list(percent: int):
             left.append(np.minimum(ids[a], ids[b]))
             right.append(np.maximum(ids[a], ids[b]))
         none = [np.zeros(0, np.int64)]
-        return pd.DataFrame({"a": np.concatenate(left or none), "b": np.concatenate(right or none)})
+        found = pd.DataFrame({"a": np.concatenate(left or none), "b": np.concatenate(right or none)})
+        return found.assign(key=number, low=low, high=high)
 
     return compare
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets reach the threshold.
+def _full_sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """``(id, values)``: the full sets of ``ids(id)`` and of few others, from the texts again.
 
-    The sets come from the texts again. Hash buckets of the wanted ids, at most ``BUCKETS``
-    bits, keep most other texts from being hashed and shuffled; the join decides.
+    Hash buckets of the wanted ids, at most ``BUCKETS`` bits, keep most other texts from being hashed
+    and shuffled; a join decides.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int").alias("bucket")
     wanted = np.zeros(BUCKETS, bool)
     wanted[ids.select(bucket).distinct().toArrow()["bucket"].to_numpy()] = True
@@ -215,7 +238,51 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL")
-    full = rows.select("id", bucket, "text").mapInArrow(sets, "id bigint, values binary")
+    return rows.select("id", bucket, "text").mapInArrow(sets, "id bigint, values binary")
+
+
+def _reach(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def verified_in_cells(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """As `verified`, for ``pairs(a, b, key, low, high)`` of crowds: a set is sent once to each cell
+    (list and blocks) in which it has pairs, not once for each pair.
+
+    ``sizes(id, n)`` are the set sizes. Cells whose sets would take over ``CELL`` bytes are verified pair by
+    pair. Rows that repeat an id with another text are each compared; any that reaches it links.
+    """
+    cell = ["key", "low", "high"]
+    ends = pairs.select(*cell, F.explode(F.array("a", "b")).alias("id")).distinct()
+    weight = ends.join(sizes, "id").groupBy(*cell).agg(F.sum("n").alias("_all"))
+    weight = cut(weight.select(*cell, (F.col("_all") * 8 > CELL).alias("_big")))
+    placed = cut(pairs.join(weight, cell))
+    small, big = placed.where("NOT _big"), placed.where("_big")
+    ends = small.select(*cell, F.explode(F.array("a", "b")).alias("id")).distinct()
+    sent = ends.join(_full_sets(ends, docs, words), "id")
+    there = {c: f"_{c}" for c in cell}  # names that the pairs' own cannot be taken for
+    sent = sent.withColumnsRenamed(there)
+
+    def check(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        of: dict[int, list[np.ndarray]] = {}
+        for i, values in zip(sets["id"], sets["values"], strict=True):
+            of.setdefault(i, []).append(np.frombuffer(values, np.uint64))
+        keep = [
+            any(_reach(x, y, percent) for x in of.get(a, ()) for y in of.get(b, ()))
+            for a, b in zip(pairs["a"], pairs["b"], strict=True)
+        ]
+        return pairs.loc[np.array(keep, bool), ["a", "b"]]
+
+    found = small.groupBy(*cell).cogroup(sent.groupBy(*there.values())).applyInPandas(check, "a bigint, b bigint")
+    if big.isEmpty():
+        return found
+    return found.unionByName(verified(cut(big.select("a", "b").distinct()), docs, words, percent))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose full sets reach the threshold."""
+    full = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, words)
     one = full.select(F.col("id").alias("a"), F.col("values").alias("x"))
     two = full.select(F.col("id").alias("b"), F.col("values").alias("y"))
 
@@ -225,8 +292,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
             for x, y in zip(batch["x"], batch["y"], strict=True):
                 x = np.frombuffer(x.as_buffer(), np.uint64)
                 y = np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                keep.append(_reach(x, y, percent))
             part = batch.filter(pa.array(keep, pa.bool_()))
             yield part.select(["a", "b"])
 
@@ -244,6 +310,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     alone too, with a null component, and stays. Rows that repeat an id with another text are
     judged by their own text. Other columns are not read; an empty table gives an empty one.
     """
+    return _near(docs, words, percent).drop("mark")
+
+
+def _near(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """`near_duplicates`, with a hash of each row's text."""
     base = cut(sketches(docs, words))
     filled = base.where("n > 0 AND doc_id IS NOT NULL")
     # Equal sets have equal sketches, so any row's will do.
@@ -297,11 +368,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         "key", "pair.low", "pair.high", "block", "id", "root", "main", "n", "marks", "kept", "whole"
     )
     left = met.groupBy("key", "low", "high").applyInPandas(
-        _likely_in_list(percent), "a bigint, b bigint"
+        _likely_in_list(percent), "a bigint, b bigint, key bigint, low bigint, high bigint"
     )
-    left = cut(left.distinct())
+    left = cut(left.dropDuplicates(["a", "b"]))
     if not left.isEmpty():
-        more = verified(left, docs, words, percent)
+        more = verified_in_cells(left, classes.select("id", "n"), docs, words, percent)
         stars = roots.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
         roots = cut(components(stars.unionByName(more)))
     of = classes.select("f1", "f2", "n", "id").join(roots, "id", "left").select(
@@ -309,8 +380,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
     root = F.when(F.col("n") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     root = F.when(F.col("doc_id").isNotNull(), root)
-    return base.select("doc_id", "n", "f1", "f2").join(of, ["f1", "f2", "n"], "left").select(
+    return base.select("doc_id", "mark", "n", "f1", "f2").join(of, ["f1", "f2", "n"], "left").select(
         "doc_id",
+        "mark",
         F.col("n").alias("n_shingles"),
         root.alias("component_id"),
         F.col("doc_id").eqNullSafe(root).alias("kept"),
@@ -318,8 +390,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component; all columns stay."""
-    keep = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias("_key"))
-    row = docs.select(F.col("doc_id").alias("_key"), F.struct("*").alias("_row"))
-    known = row.join(keep.distinct(), "_key", "left_semi")
+    """``docs`` with one document of each component; all columns stay.
+
+    Rows that repeat an id are judged by their own texts. Rows without an id all stay.
+    """
+    keep = _near(docs, words, percent).where("kept AND doc_id IS NOT NULL")
+    keep = keep.select(F.col("doc_id").alias("_key"), F.col("mark").alias("_mark")).distinct()
+    mark = F.xxhash64(F.coalesce("text", F.lit(""))).alias("_mark")
+    row = docs.select(F.col("doc_id").alias("_key"), mark, F.struct("*").alias("_row"))
+    known = row.join(keep, ["_key", "_mark"], "left_semi")
     return known.unionByName(row.where(F.col("_key").isNull())).select("_row.*")

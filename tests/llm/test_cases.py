@@ -1,5 +1,6 @@
 """Odd rows: nulls, empty and very long texts, ties, repeats, empty tables, clashing columns."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import reference
@@ -472,3 +473,78 @@ def test_places_are_independent_of_the_batch():
     alone = utf8(pa.array(["x" * 600_000]))
     assert hashes[6] == word_hashes(alone[0], *word_places(*alone)[:2])[0]
     assert hashes[0] == hashes[2] == hashes[7] and hashes[1] == hashes[3] == hashes[5]
+
+
+def test_tiny_sets_lose_no_link():
+    """Sets of one stratum, which the runs can't tell: every pair at the threshold shares a key."""
+    draw = np.random.default_rng(4)
+    for _ in range(300):
+        union = int(draw.integers(2, near_dedup.TINY + 1))
+        top = np.uint64(int(draw.integers(near_dedup.STRATA)) << 59)
+        values = np.unique(draw.integers(0, 1 << 58, union).astype(np.uint64) | top)
+        lost = int(draw.integers(0, len(values) // 5 + 1))
+        gone = draw.permutation(len(values))[:lost]
+        part = int(draw.integers(0, lost + 1))
+        a, b = np.delete(values, gone[:part]), np.delete(values, gone[part:])
+        assert np.isin(near_dedup.without_few(a), near_dedup.without_few(b)).any()
+
+
+def test_pairs_of_one_stratum_are_linked(spark):
+    """Two-word shingles of words that differ in one, for sets of 1 to 12 values, found by their keys."""
+    hashes = {}
+    rows, n = [], 0
+    draw = np.random.default_rng(8)
+    for size in range(1, 13):
+        for _ in range(40):
+            text = " ".join(f"w{draw.integers(300)}" for _ in range(size + 1))
+            rows += [(n, text), (n + 1, f"{text} w{draw.integers(300)}"), (n + 2, text[:-1] + "x")]
+            n += 3
+    hashes = reference.near_components(dict(rows), 2, 80)
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(table, 2, 80).collect()}
+    assert got == hashes
+    exact = [(1, "w113 w301 w399 w262 w155"), (2, "w113 w301 w399 w262 w155 w231")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(exact, "doc_id bigint, text string"), 2, 80).collect()
+    assert {r["component_id"] for r in got} == {1}
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_texts(spark):
+    texts = ["one two three four five six seven", "other words of another text here", "ONE two three four five six seven x y"]
+    rows = [(1, texts[0], "a"), (1, texts[1], "b"), (2, texts[0], "c"), (2, texts[2], "d"), (3, texts[1] + " ", "e"),
+            (None, texts[0], "f"), (4, "one  two", "g"), (4, "one two", "h")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, mark string")
+    kept = {r["mark"] for r in block_naming.drop_copies(docs).collect()}
+    assert kept == {"a", "d", "e", "f", "g"}
+    kept = {r["mark"] for r in near_dedup.drop_near_copies(docs).collect()}
+    assert {"a", "b", "d", "f"} <= kept and "c" not in kept
+
+
+def test_crowds_are_verified_alike_in_cells_and_pair_by_pair(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(60):  # a crowd in which some pairs reach the threshold and others don't
+        words = list(base)
+        for at in draw.permutation(60)[: int(draw.integers(1, 5))]:
+            words[at] = f"x{draw.integers(9)}"
+        rows.append((i, " ".join(words)))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = reference.near_components(dict(rows), 2, 80)
+    for cell, block in ((1 << 24, 4096), (0, 4096), (1 << 24, 7), (2000, 7)):
+        monkeypatch.setattr(near_dedup, "CELL", cell)
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(table, 2, 80).collect()}
+        assert got == want
+
+
+def test_the_word_table_is_bounded_by_bytes(monkeypatch):
+    with open(llm.piece_model(), "rb") as file:
+        encoder = pieces.PieceEncoder(file.read())
+    monkeypatch.setattr(pieces, "TABLE", 20_000)
+    monkeypatch.setattr(pieces, "SLICE", 500)
+    texts = [" ".join(f"w{i}x{k}" for k in range(40)) + " " + "long" * 60 for i in range(80)]
+    got = encoder.encode(texts)
+    assert len(encoder.table) < 400 and not any(len(w) > pieces.SHORT for w in encoder.table)
+    library = encoder.library
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_bos=True, add_eos=True)
