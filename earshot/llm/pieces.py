@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Words of more characters use the heap.
 SHORT = 48
-#: Words in a worker's table; beyond, it starts anew. Words encoded in step at once.
-TABLE, AT_ONCE = 600_000, 50_000
+#: Bytes of a worker's table of short words; beyond, it starts anew. Words encoded in step at once.
+TABLE, AT_ONCE = 64 << 20, 50_000
+#: Bytes that a table entry takes besides its characters and ids.
+ENTRY = 180
 #: Characters of text encoded at once.
-SLICE = 4_000_000
+SLICE = 1_000_000
 _NONE = np.int64(1) << np.int64(40)
 _WORD = re.compile(" *[^ ]+| +")
 
@@ -73,6 +75,7 @@ class PieceEncoder:
         self.made = np.array([p[2] for p in pairs] or [0], np.int64)
         self.pieces = len(ids)
         self.table: dict[str, bytes] = {}
+        self.held = 0
 
     def _spell(self, symbols: list[int], chars: list[str]) -> bytes:
         """Ids of the final symbols; ``chars`` has the character of each that is no piece."""
@@ -170,10 +173,14 @@ class PieceEncoder:
             else:
                 out[word[a]] = packed[4 * a : 4 * b]
 
-    def learn(self, words: set[str], check: bool) -> None:
-        """Encode words that the table lacks, and compare them with the library's."""
-        if len(self.table) > TABLE:
+    def learn(self, words: set[str], check: bool) -> list[str]:
+        """Encode words that the table lacks, and compare them with the library's.
+
+        Returns the long ones: they may be of any size, so the caller takes them out again.
+        """
+        if self.held > TABLE:
             self.table.clear()
+            self.held = 0
         fresh = [w for w in words if w not in self.table]
         for i in range(0, len(fresh), AT_ONCE):
             part = fresh[i : i + AT_ONCE]
@@ -183,6 +190,8 @@ class PieceEncoder:
             if check:
                 self._compare(got)
             self.table.update(got)
+            self.held += sum(ENTRY + len(w) + len(got[w]) for w in short)
+        return [w for w in fresh if len(w) > SHORT]
 
     def _compare(self, got: dict[str, bytes]) -> None:
         """The library puts a space mark first itself, so words go to it without their first."""
@@ -204,9 +213,11 @@ class PieceEncoder:
         for a, b in slices([len(t) for t in texts], SLICE):
             cut = [_WORD.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts[a:b]]
             words = set().union(*cut)
-            self.learn(words, check)
+            long = self.learn(words, check)
             find = self.table.__getitem__
             out += [b"".join((begin, *map(find, ws), end)) for ws in cut]
+            for w in long:
+                del self.table[w]
         return out
 
 
