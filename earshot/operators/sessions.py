@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.functions.time import HOUR_MS
@@ -13,13 +13,19 @@ from earshot.schemas import ITEM_DIM
 SESSION_GAP_MS = HOUR_MS
 DECAY = 0.7
 WEIGHT_LONG = 0.7
+SESSION_STATE = (
+    "user_id string, session_no bigint, last_ts bigint, n_plays bigint, vector array<double>, ended boolean"
+)
 
 
-def _session_slices(plays: DataFrame, gap_ms: int, slice_ms: int | None) -> tuple:
+def _session_slices(
+    plays: DataFrame, gap_ms: int, slice_ms: int | None, kept: DataFrame | None = None
+) -> tuple:
     """Rows with their slice, and per user and slice the session it belongs to.
 
     Slices are no wider than the gap, so a session never breaks inside one: breaks show
-    between consecutive slices, in the summary.
+    between consecutive slices, in the summary. With ``kept(user_id, session_no, last_ts)``, each
+    user's last session so far, numbers go on from it and ``_goes_on`` marks the session itself.
     """
     width = min(gap_ms, slices.SLICE_MS) if slice_ms is None else slice_ms
     if width > gap_ms:
@@ -35,12 +41,18 @@ def _session_slices(plays: DataFrame, gap_ms: int, slice_ms: int | None) -> tupl
         },
     )
     order = slices.by_slice("user_id")
-    quiet = F.col("_first") - F.lag("_last").over(order)
+    earlier, number = F.lag("_last").over(order), F.lit(0)
+    if kept is not None:
+        known = kept.select("user_id", F.col("session_no").alias("_no"), F.col("last_ts").alias("_kept"))
+        summary = summary.join(known, "user_id", "left")
+        earlier, number = F.coalesce(earlier, "_kept"), F.coalesce("_no", F.lit(0))
+    quiet = F.col("_first") - earlier
     starts = F.when(quiet.isNull() | (quiet >= gap_ms), 1).otherwise(0)
     summary = summary.withColumn("_starts", starts).withColumn(
-        "session_no", F.sum("_starts").over(slices.upto(order))
+        "session_no", number + F.sum("_starts").over(slices.upto(order))
     )
-    return rows, summary
+    goes_on = F.lit(False) if kept is None else F.coalesce(F.col("session_no") == F.col("_no"), F.lit(False))
+    return rows, summary.withColumn("_goes_on", goes_on)
 
 
 def sessionize(
@@ -51,11 +63,12 @@ def sessionize(
     return slices.attach(rows, summary, "user_id", ["session_no"]).drop("_slice")
 
 
-def ema_weight(n: Column, k: Column, times: Column, decay: float) -> Column:
-    """Weight of the ``k``-th to ``k + times - 1``-th of ``n`` plays in a moving average begun by
-    the first: a geometric sum, and more for the first."""
+def ema_weight(n: Column, k: Column, times: Column, decay: float, begins: Column | bool = True) -> Column:
+    """Weight of the ``k``-th to ``k + times - 1``-th of ``n`` plays in a moving average: a geometric
+    sum, and more for the first where it ``begins`` the average."""
     run = F.pow(F.lit(decay), n - k - times + 1) * (1 - F.pow(F.lit(decay), times))
-    return run + F.when(k == 1, F.pow(F.lit(decay), n)).otherwise(0.0)
+    first = (k == 1) & (begins if isinstance(begins, Column) else F.lit(begins))
+    return run + F.when(first, F.pow(F.lit(decay), n)).otherwise(0.0)
 
 
 def play_weights(
@@ -63,15 +76,16 @@ def play_weights(
     decay: float = DECAY,
     gap_ms: int = SESSION_GAP_MS,
     slice_ms: int | None = None,
+    kept: DataFrame | None = None,
 ) -> DataFrame:
     """Total moving-average weight per user, session and track, with the last play time.
 
-    A play's weight depends on how many plays of its session follow it: those in its own
+    A session that goes on from ``kept`` has the weights of its new plays only. A play's weight depends on how many plays of its session follow it: those in its own
     slice, counted there, plus those in later slices, summed in the summary. Plays of one song at
     one moment are one row from the start, however often an import repeats them.
     """
     plays = plays.groupBy("user_id", "timestamp", "track_id").agg(F.count(F.lit(1)).alias("_times"))
-    rows, summary = _session_slices(plays, gap_ms, slice_ms)
+    rows, summary = _session_slices(plays, gap_ms, slice_ms, kept)
     session = slices.by_slice("user_id", "session_no")
     earlier = F.coalesce(F.sum("_n").over(slices.before(session)), F.lit(0))
     whole = slices.all_slices("user_id", "session_no")
@@ -82,12 +96,13 @@ def play_weights(
             "_ended": F.max("_last").over(whole),
         }
     )
-    rows = slices.attach(rows, summary, "user_id", ["session_no", "_earlier", "_size", "_ended"])
+    rows = slices.attach(rows, summary, "user_id", ["session_no", "_earlier", "_size", "_ended", "_goes_on"])
     here = slices.in_slice("user_id", "timestamp", "track_id")
     before = F.coalesce(F.sum("_times").over(slices.before(here)), F.lit(0))
     position = F.col("_earlier") + before + 1
+    weight = ema_weight(F.col("_size"), position, F.col("_times"), decay, ~F.col("_goes_on"))
     return (
-        rows.withColumn("_w", ema_weight(F.col("_size"), position, F.col("_times"), decay))
+        rows.withColumn("_w", weight)
         .groupBy("user_id", "session_no", "track_id")
         .agg(
             F.sum("_w").alias("weight"),
@@ -105,6 +120,7 @@ def short_term_vectors(
     slice_ms: int | None = None,
     alive_at_ms: int | None = None,
     dim: int | None = None,
+    kept: DataFrame | None = None,
 ) -> DataFrame:
     """Moving average of the vectors of the songs played, per user and session.
 
@@ -113,14 +129,14 @@ def short_term_vectors(
     average is a weighted sum, one partial sum per component: no user's plays are
     gathered as a list. With ``alive_at_ms`` only the sessions whose last play is younger
     than ``gap_ms`` then are computed. The vectors are ``dim`` long, by default as long as the
-    table's first; one of another length fails the job.
+    table's first; one of another length fails the job. ``kept`` is what `fold_sessions` hands over.
     """
     if dim is None:
         first = items.select(F.size("embedding").alias("n")).first()
         dim = first["n"] if first else ITEM_DIM
     ids = items.select(F.col("id").alias("track_id"))
     known = plays.select("user_id", "track_id", "timestamp").join(ids, "track_id", "left_semi")
-    weights = play_weights(known, decay, gap_ms, slice_ms)
+    weights = play_weights(known, decay, gap_ms, slice_ms, kept)
     if alive_at_ms is not None:
         age = F.lit(alive_at_ms) - F.col("last_ts")
         weights = weights.filter((age >= 0) & (age < gap_ms))
@@ -142,6 +158,56 @@ def short_term_vectors(
     )
 
 
+def fold_sessions(
+    state: DataFrame,
+    plays: DataFrame,
+    items: DataFrame,
+    upto_ms: int,
+    decay: float = DECAY,
+    gap_ms: int = SESSION_GAP_MS,
+    slice_ms: int | None = None,
+    dim: int | None = None,
+) -> DataFrame:
+    """Sessions after some more plays: what they were, moved on by the plays alone.
+
+    ``state`` has one row per user, the last session (columns of ``SESSION_STATE``); ``plays`` are
+    those from the moment up to which the state goes, before ``upto_ms``. Returns the rows of
+    ``state`` and of all sessions begun since: ``last`` marks a user's newest, which is the next
+    state, ``ended`` a session that no later play can join, ``new_end`` one that was open before.
+    An average is linear in its past, so a session that goes on is its old vector, faded once for
+    each new play, plus the weighted sum of these.
+    """
+    fresh = short_term_vectors(plays, items, decay, gap_ms, slice_ms, dim=dim, kept=state)
+    old = state.select(
+        "user_id", "session_no", F.col("last_ts").alias("_ts"), F.col("n_plays").alias("_n"),
+        F.col("vector").alias("_v"), F.col("ended").alias("_over"),
+    )
+    both = fresh.withColumnRenamed("n_plays", "_new").join(old, ["user_id", "session_no"], "full_outer")
+    fade = F.pow(F.lit(decay), F.coalesce("_new", F.lit(0)))
+    moved = F.zip_with("_v", "vector", lambda was, more: was * fade + more)
+    vector = F.when(F.col("_v").isNotNull() & F.col("vector").isNotNull(), moved)
+    merged = both.select(
+        "user_id", "session_no",
+        F.greatest("last_ts", "_ts").alias("last_ts"),
+        (F.coalesce("_new", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n_plays"),
+        vector.otherwise(F.coalesce("vector", "_v")).alias("vector"),
+        F.coalesce("_over", F.lit(False)).alias("_over"),
+    )
+    # A row per session of the stretch; a user has at most one per gap.
+    newest = F.max("session_no").over(Window.partitionBy("user_id"))
+    last = F.col("session_no") == newest
+    ended = ~last | (F.col("last_ts") + gap_ms <= upto_ms)
+    return merged.withColumns(
+        {"last": last, "ended": ended, "new_end": ended & ~F.col("_over")}
+    ).drop("_over")
+
+
+def next_state(folded: DataFrame) -> DataFrame:
+    """Each user's last session; one that has ended keeps its number and time, not its vector."""
+    vector = F.when(~F.col("ended"), F.col("vector")).alias("vector")
+    return folded.filter("last").select("user_id", "session_no", "last_ts", "n_plays", vector, "ended")
+
+
 def active_short_term(
     plays: DataFrame,
     items: DataFrame,

@@ -758,6 +758,12 @@ SQL |= {
     "als_recommend": f"""
         SELECT user_id, rank::INTEGER AS rank, TRUE AS is_product, TRUE AS falls, TRUE AS bounded
         FROM {LISTENED}, unnest(range(1, 1 + least(10, (SELECT count(*) FROM {TRACKS})))) AS r(rank)""",
+    "kept_sessions": f"""
+        SELECT user_id, session_no::BIGINT AS session_no, last_ts, n_plays, {vector_sums("vector")}
+        FROM (SELECT user_id, session_no, max(last_ts) AS last_ts, max(n_plays) AS n_plays,
+                     list(x ORDER BY pos) AS vector
+              FROM short_parts GROUP BY user_id, session_no)""",
+    "als_half_step": f"SELECT user_id, 64 AS dim, TRUE AS agrees, TRUE AS not_negative FROM {LISTENED}",
     "content_vectors": """
         SELECT gated.id, round(coalesce(sum(v), 0), 6) AS v_sum,
                round(coalesce(sum(v * v), 0), 6) AS v_square,

@@ -6,6 +6,8 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from earshot.operators import (
     counts,
     events,
     feed,
+    half_step,
     indexing,
     merge,
     player,
@@ -29,8 +32,8 @@ from earshot.operators import (
     training,
 )
 from earshot.plans import jobs
-from earshot.session import ensure_checkpoint_dir
-from earshot.sources import day_counts, keyed, lake, master, tables
+from earshot.session import cut, ensure_checkpoint_dir
+from earshot.sources import day_counts, keyed, lake, master, session_log, tables
 from earshot.streaming import counts as stream_counts
 from earshot.streaming import ingest
 from earshot.streaming import player as stream_player
@@ -686,28 +689,74 @@ def als_factors(fx):
     return items.unionByName(facts(training.user_factors(model), "user", "user_id", "vector"))
 
 
+def in_blocks(df: DataFrame, key: str, vec: str, number: str, size: int) -> DataFrame:
+    """Rows packed into numbered blocks of about ``size``."""
+    n = max(1, df.count() // size)
+    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias(number)).agg(
+        F.collect_list(F.struct(F.col(key).alias("key"), F.col(vec).alias("vec"))).alias(f"_{number}")
+    )
+
+
+def best_left_out(users: DataFrame, items: DataFrame, listed: DataFrame) -> DataFrame:
+    """Each user's best score of an item that is not listed, by plain products of blocks."""
+    songs = in_blocks(items, "id", "embedding", "n", 4096)
+    last = songs.agg(F.max("n")).first()[0]
+    lists = listed.groupBy("user_id").agg(F.collect_set("id").alias("ids"))
+    asked = users.join(lists, "user_id").select(
+        "user_id", F.struct("vector", "ids").alias("both")
+    )
+    asked = in_blocks(asked, "user_id", "both", "u", 512)
+    met = asked.withColumn("n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last)))).join(songs, "n")
+
+    def products(frames):
+        for frame in frames:
+            for people, tracks in zip(frame["_u"], frame["_n"], strict=True):
+                vecs = np.array([t["vec"] for t in tracks], dtype=np.float64)
+                place = {t["key"]: i for i, t in enumerate(tracks)}
+                score = np.array([p["vec"]["vector"] for p in people], dtype=np.float64) @ vecs.T
+                for row, p in enumerate(people):
+                    score[row, [place[i] for i in p["vec"]["ids"] if i in place]] = -np.inf
+                yield pd.DataFrame({"user_id": [p["key"] for p in people], "best": score.max(axis=1)})
+
+    rows = met.select("_u", "_n").mapInPandas(products, "user_id string, best double")
+    return rows.groupBy("user_id").agg(F.max("best").alias("best"))
+
+
 @register
 def als_recommend(fx):
     """For each user and rank whether the score is the inner product of the two factors, whether it
-    falls with the rank, and whether no left-out item beats the last one."""
+    falls with the rank, and whether no left-out item beats it."""
     model = trained(fx)
-    users = training.user_factors(model)
-    items = training.export_item_factors(model)
-    best = training.recommend(model, users.select("user_id"), 10)
-    both = best.join(users, "user_id").join(items, "id")
-    product = F.aggregate(
-        F.zip_with("vector", "embedding", lambda a, b: a.cast("double") * b.cast("double")),
-        F.lit(0.0),
-        lambda total, x: total + x,
-    )
+    users = cut(training.user_factors(model))
+    items = cut(training.export_item_factors(model))
+    best = cut(training.recommend(model, users.select("user_id"), 10))
+    both = best.join(users, "user_id").join(items, "id").join(best_left_out(users, items, best), "user_id")
+    product = vector.vec_ip(F.col("vector"), F.col("embedding"))
     before = F.lag("score").over(Window.partitionBy("user_id").orderBy("rank"))
-    top = both.agg(F.max(product)).first()[0]
     return both.select(
         "user_id",
         "rank",
         (F.abs(product - F.col("score")) <= 1e-9 * (1 + F.abs(product))).alias("is_product"),
         F.coalesce(before >= F.col("score"), F.lit(True)).alias("falls"),
-        (F.col("score") <= top + 1e-9).alias("bounded"),
+        (F.col("best") <= F.col("score") + 1e-9 * (1 + F.abs("score"))).alias("bounded"),
+    )
+
+
+@register
+def als_half_step(fx):
+    """The trainer's user factors, solved again from its item factors: whether both agree."""
+    triples, users, items = training.training_data(fx.play_log(), AS_OF)
+    triples = cut(triples)
+    model = training.Trained(training.train_als(triples, seed=SEED), users, items)
+    rated = indexing.decode_ids(indexing.decode_ids(triples, users, "user_index", "user_id"), items, "item_index", "id")
+    ours = half_step.half_step(rated, training.export_item_factors(model))
+    both = ours.join(training.user_factors(model).withColumnRenamed("vector", "theirs"), "user_id")
+    apart = F.array_max(F.zip_with("vector", "theirs", lambda a, b: F.abs(a - b)))
+    return both.select(
+        "user_id",
+        F.size("vector").alias("dim"),
+        (apart <= 1e-3 * F.greatest(F.lit(1.0), F.array_max("theirs"))).alias("agrees"),
+        F.forall("vector", lambda x: x >= 0).alias("not_negative"),
     )
 
 
@@ -945,6 +994,17 @@ def trailing_days(fx):
     return day_counts.read_trailing(fx.spark, f"{root}/counts")
 
 
+@register
+def kept_sessions(fx):
+    """Sessions carried from run to run, over stretches that end inside days and at the last play's end."""
+    root = scratch(fx.spark, "sessions")
+    lake.write_lake(fx.play_log(), f"{root}/lake", "all")
+    for upto in (MARK_MS + 5_000_000, AS_OF_MS - 40_000_000, AS_OF_MS + 86_400_000):
+        session_log.advance(fx.spark, f"{root}/lake", f"{root}/kept", fx.items(), upto)
+    out = session_log.read_sessions(fx.spark, f"{root}/kept")
+    return out.select("user_id", "session_no", "last_ts", "n_plays", *vector_sums("vector"))
+
+
 @register
 def serve_batch(fx):
     """Every listener asks for a feed, for what follows, and searches their brand's name."""

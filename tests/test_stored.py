@@ -7,10 +7,10 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from earshot.operators import counts, merge
+from earshot.operators import counts, merge, sessions
 from earshot.plans import jobs
 from earshot.schemas import SONGS, conform
-from earshot.sources import commits, day_counts, keyed, lake, tables
+from earshot.sources import commits, day_counts, keyed, lake, session_log, tables
 
 T = "_id string, a string, b int"
 
@@ -194,3 +194,84 @@ def test_jobs_on_a_keyed_song_table(spark, tmp_path):
     got = {r["_id"]: r["plays_7d"] for r in keyed.read_keyed(spark, songs).collect() if r["plays_7d"]}
     assert got == {"t0": 10, "t5": 2}
     assert jobs.resync_keyed(trending, songs) == version  # nothing differs
+
+
+def session_rows(df):
+    return {(r["user_id"], r["session_no"]): (r["last_ts"], r["n_plays"], r["vector"]) for r in df.collect()}
+
+
+def same_sessions(got, want):
+    assert got.keys() == want.keys()
+    for key, (last, n, vector) in want.items():
+        assert got[key][:2] == (last, n) and got[key][2] == pytest.approx(vector, abs=1e-9)
+
+
+DAY_MS = 86_400_000
+T0 = 1_704_067_200_000  # 2024-01-01
+
+
+def play_rows(spark, seed, n=250, step=(0, 1, 60_000, 1_800_000, 3_599_999, 3_600_000, 9_000_000)):
+    rng, ts, out = random.Random(seed), T0, []
+    for _ in range(n):
+        ts += rng.choice(step)
+        day = date(2024, 1, 1) + timedelta(days=(ts - T0) // DAY_MS)
+        out.append((rng.choice(["hot", "hot", "hot", "u", "v"]), f"t{rng.randrange(5)}", ts, "listen", day))
+    schema = "user_id string, track_id string, timestamp long, action string, date_str date"
+    vectors = [(f"t{i}", [rng.random() for _ in range(3)]) for i in range(4)]
+    return out, spark.createDataFrame(out, schema), spark.createDataFrame(vectors, "id string, embedding array<float>")
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_sessions_in_any_stretches_equal_one_pass(spark, tmp_path, seed):
+    rows_, log, items = play_rows(spark, seed)
+    place, root, rng = str(tmp_path / "lake"), str(tmp_path / "s"), random.Random(seed)
+    lake.write_lake(log, place, "a")
+    times = sorted(r[2] for r in rows_)
+    # Cuts at midnights, at plays, in the middle of sessions, twice at one moment, and after the end.
+    cuts = {T0 + DAY_MS, times[60], times[61] + 1, times[-1] + 1, times[-1] + 2 * 3_600_000}
+    for upto in sorted(cuts | {rng.choice(times) + rng.randrange(2)}) + [times[-1] + 7_200_000]:
+        session_log.advance(spark, place, root, items, upto)
+        seen = log.filter(F.col("timestamp") < upto)
+        want = session_rows(sessions.short_term_vectors(seen, items))
+        same_sessions(session_rows(session_log.read_sessions(spark, root)), want)
+    left = session_log.read_state(spark, root).collect()
+    assert len(left) == 3 and all(r["vector"] is None and r["ended"] for r in left)
+    with pytest.raises(ValueError):
+        session_log.advance(spark, place, root, items, times[0])
+
+
+def test_a_session_over_midnight_goes_on(spark, tmp_path):
+    night = T0 + DAY_MS
+    plays = [("u", "t0", night - 1000, "listen", date(2024, 1, 1)), ("u", "t1", night + 1000, "listen", date(2024, 1, 2))]
+    _, _, items = play_rows(spark, 0)
+    log = spark.createDataFrame(plays, "user_id string, track_id string, timestamp long, action string, date_str date")
+    lake.write_lake(log, str(tmp_path / "lake"), "a")
+    for upto in (night, night + DAY_MS):
+        session_log.advance(spark, str(tmp_path / "lake"), str(tmp_path / "s"), items, upto)
+    (row,) = session_log.read_sessions(spark, str(tmp_path / "s")).collect()
+    assert (row["session_no"], row["n_plays"], row["last_ts"]) == (1, 2, night + 1000)
+
+
+def test_a_run_reads_no_older_day_and_late_plays_come_by_an_older_version(spark, tmp_path):
+    rows_, log, items = play_rows(spark, 9)
+    place, root = str(tmp_path / "lake"), str(tmp_path / "s")
+    late = F.col("timestamp") == rows_[30][2]
+    lake.write_lake(log.filter(~late), place, "a")
+    for days in (1, 2, 30):
+        session_log.advance(spark, place, root, items, T0 + days * DAY_MS)
+    lake.write_lake(log.filter(late), place, "late")
+    session_log.advance(spark, place, root, items, T0 + 30 * DAY_MS)
+    want = session_rows(sessions.short_term_vectors(log.filter(~late), items))
+    same_sessions(session_rows(session_log.read_sessions(spark, root)), want)
+    assert rows_[30][2] < T0 + 2 * DAY_MS
+    session_log.advance(spark, place, root, items, T0 + 2 * DAY_MS, base=0)
+    session_log.advance(spark, place, root, items, T0 + 30 * DAY_MS)
+    want = session_rows(sessions.short_term_vectors(log, items))
+    same_sessions(session_rows(session_log.read_sessions(spark, root)), want)
+
+
+def test_sessions_of_an_empty_lake(spark, tmp_path):
+    _, log, items = play_rows(spark, 0)
+    lake.write_lake(log, str(tmp_path / "lake"), "a")
+    assert session_log.advance(spark, str(tmp_path / "lake"), str(tmp_path / "s"), items, T0) == 1
+    assert session_log.read_sessions(spark, str(tmp_path / "s")).count() == 0
