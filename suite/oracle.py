@@ -763,6 +763,9 @@ SQL |= {
         FROM (SELECT user_id, session_no, max(last_ts) AS last_ts, max(n_plays) AS n_plays,
                      list(x ORDER BY pos) AS vector
               FROM short_parts GROUP BY user_id, session_no)""",
+    "approx_recall": """
+        SELECT unnest(['given', 'clustered']) AS vectors, count(*) AS n_queries, TRUE AS reached
+        FROM long_v WHERE user_id::BIGINT % 2 = 1""",
     "als_half_step": f"SELECT user_id, 64 AS dim, TRUE AS agrees, TRUE AS not_negative FROM {LISTENED}",
     "content_vectors": """
         SELECT gated.id, round(coalesce(sum(v), 0), 6) AS v_sum,

@@ -16,6 +16,7 @@ from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 from earshot import schemas
 from earshot.functions import text, time, vector
 from earshot.operators import (
+    approx,
     catalogue,
     content,
     counts,
@@ -495,6 +496,39 @@ def topk_ip(fx):
     return long_topk(fx).withColumn("score", r6("score"))
 
 
+def clustered(df: DataFrame, key: str, vec: str) -> DataFrame:
+    """Vectors pulled to one of 16 directions, by their id."""
+    own = F.pmod(F.col(key).cast("bigint"), F.lit(16))
+    pulled = F.transform(F.col(vec), lambda x, i: x + F.when(i == own, 2.0).otherwise(0.0))
+    return df.withColumn(vec, pulled.cast("array<float>"))
+
+
+@register
+def approx_recall(fx):
+    """Recall of the stored approximate index, with lists opened as tuned on the other half of the queries."""
+    asks = fx.long_vectors().select(F.col("user_id").alias("query_id"), F.col("long_vector").alias("vector"))
+    out = None
+    for name, queries, items in (
+        ("given", asks, fx.items()),
+        ("clustered", clustered(asks, "query_id", "vector"), clustered(fx.items(), "id", "embedding")),
+    ):
+        root = scratch(fx.spark, "index")
+        approx.build_index(items, root)
+        index = approx.read_index(fx.spark, root)
+        exact = cut(topk.topk_ip(queries, items, 10).select("query_id", "id"))
+        half = F.pmod(F.col("query_id").cast("bigint"), F.lit(2)) == 0
+        probes = approx.tune_probes(queries, index, exact.filter(half))
+        found = approx.topk_approx(queries.filter(~half), items, index, 10, probes)
+        wanted = exact.filter(~half).join(found.select("query_id", "id", "rank"), ["query_id", "id"], "left")
+        recall = wanted.agg(
+            F.count_distinct("query_id").alias("n_queries"),
+            (F.count("rank") >= F.lit(0.9) * F.count(F.lit(1))).alias("reached"),
+        )
+        row = recall.select(F.lit(name).alias("vectors"), "n_queries", "reached")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @register
 def exclude_seen(fx):
     log = fx.play_log().select("user_id", F.col("track_id").alias("id"), "timestamp")
