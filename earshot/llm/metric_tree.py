@@ -28,6 +28,8 @@ from earshot.session import cut
 
 #: Vectors per tree, entries per page, queries per block.
 SHARD, PAGE, BLOCK = 4_096, 64, 512
+#: Sums below this are exact in doubles.
+EXACT = float(1 << 52)
 _FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -88,10 +90,15 @@ class MTree:
         """Per query the rows among the k best scores: query numbers, rows, scores.
 
         All rows that tie with the k-th are returned, none below ``floor``; the row with the
-        query's ``own`` id is left out. Scores are whole numbers, exact in doubles.
+        query's ``own`` id is left out. Scores are whole numbers, summed in doubles where these hold
+        them exactly, else in 64-bit integers. Bounds leave room for the rounding of large squares,
+        and rounding keeps order, so comparing rounded scores loses no row.
         """
         q = queries.astype(np.float64)
         whole = np.einsum("ij,ij->i", q, q) + self.norm2
+        largest = max(np.abs(q).max(initial=0), np.abs(self.vectors).max(initial=0)) ** 2 * q.shape[1]
+        whole_numbers = self.vectors.astype(np.int64) if largest >= EXACT else None
+        room = 1e-6 * np.sqrt(whole) if largest >= EXACT else np.zeros(len(q))
         best = np.full((len(q), k), -np.inf)
         least = floor.astype(np.float64)
         hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -99,7 +106,7 @@ class MTree:
         def reach(who: np.ndarray) -> np.ndarray:
             """How far an entry may be for a query to still gain from it."""
             d = np.sqrt(np.maximum(whole[who] - 2 * np.maximum(least[who], -1e300), 0))
-            return d * (1 + 1e-9) + 1e-6
+            return d * (1 + 1e-9) + 1e-6 + room[who]
 
         def away(who: np.ndarray, rows: np.ndarray) -> np.ndarray:
             return np.sqrt(np.maximum(whole[who, None] - 2 * (q[who] @ self.vectors[rows].T), 0))
@@ -129,18 +136,22 @@ class MTree:
                         heapq.heappush(agenda, (bound, int(page["below"][c]), who[m], d[m, j]))
                 continue
             rows = page["rows"][cols]
-            score = np.rint(q[who] @ self.vectors[rows].T)
+            if whole_numbers is None:
+                exact = np.rint(q[who] @ self.vectors[rows].T).astype(np.int64)
+            else:
+                exact = queries[who].astype(np.int64) @ whole_numbers[rows].T
+            score = exact.astype(np.float64)
             score[own[who, None] == ids[rows]] = -np.inf
-            a, b = np.nonzero(score >= least[who, None])
-            hits.append((who[a], rows[b], score[a, b]))
+            a, b = np.nonzero((score >= least[who, None]) & np.isfinite(score))
+            hits.append((who[a], rows[b], exact[a, b]))
             top = np.concatenate([best[who], score], 1)
             best[who] = np.partition(top, top.shape[1] - k, 1)[:, -k:]
             least[who] = np.maximum(least[who], best[who].min(1))
         if not hits:
             return (np.zeros(0, np.int64),) * 3
         n, rows, score = (np.concatenate(x) for x in zip(*hits))
-        keep = (score >= least[n]) & np.isfinite(score)
-        return n[keep], rows[keep], score[keep].astype(np.int64)
+        keep = score.astype(np.float64) >= least[n]
+        return n[keep], rows[keep], score[keep]
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -210,7 +221,12 @@ def quantized(vectors: DataFrame, scale: int = 64) -> DataFrame:
     usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
     rows = vectors.where(usable).where(~bad)
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
+    # No product of two such vectors leaves 64 bits.
+    most = F.floor(F.sqrt(F.lit(float(1 << 62)) / F.size("v")))
+    fits = F.forall("v", lambda x: (x <= most) & (x >= -most))
+    wrong = F.raise_error(F.lit("vector too large for 64-bit scores")).cast("array<bigint>")
+    ids = F.col("vec_id").cast("long").alias("vec_id")
+    return rows.select(ids, whole.alias("v")).select("vec_id", F.when(fits, F.col("v")).otherwise(wrong).alias("v"))
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
@@ -218,8 +234,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
 
     ``vectors`` has ``vec_id`` and ``embedding``; components become floor(64 * x). Scores are inner
     products with every other row, highest first, ties to the smaller id; fewer rows give fewer
-    ranks. Rows without an id, null or empty vectors and vectors with a null or non-finite
-    component take no part; vectors of another length are no candidates. A query id that repeats
+    ranks. Components so large that a score could leave 64 bits fail the job. Rows without an id,
+    null or empty vectors and vectors with a null or non-finite component take no part; vectors of another length are no candidates. A query id that repeats
     is one query, all rows of its id are its own; other repeated rows are candidates each.
     """
     items = cut(quantized(vectors).withColumn("dim", F.size("v").cast("long")))

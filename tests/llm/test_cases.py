@@ -1,5 +1,8 @@
 """Odd rows: nulls, empty and very long texts, ties, repeats, empty tables, clashing columns."""
 
+import math
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -548,3 +551,22 @@ def test_the_word_table_is_bounded_by_bytes(monkeypatch):
     library = encoder.library
     for text, ids in zip(texts, got, strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_bos=True, add_eos=True)
+
+
+def test_metric_tree_is_exact_with_large_components(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.choice([-1, 1]) * rng.uniform(1e6, 1.1e7) for _ in range(5)]) for i in range(300)]
+    # Scores that differ by one, far beyond what a double tells apart, and ties.
+    rows += [(1000 + i, [1e7, 1e7, 1e7, 1e7 + i % 3 / 64, 1 / 64]) for i in range(90)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    got = [tuple(r) for r in metric_tree.top_k(vectors).collect()]
+    want = []
+    for q in sorted(i for i in whole if i % 20 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored[:20], 1)]
+    assert max(r[3] for r in want) > 1 << 53
+    assert sorted(got) == want
+    huge = spark.createDataFrame([(1, [1e12])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        metric_tree.top_k(huge).collect()
