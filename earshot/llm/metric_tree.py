@@ -235,8 +235,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     ``vectors`` has ``vec_id`` and ``embedding``; components become floor(64 * x). Scores are inner
     products with every other row, highest first, ties to the smaller id; fewer rows give fewer
     ranks. Components so large that a score could leave 64 bits fail the job. Rows without an id,
-    null or empty vectors and vectors with a null or non-finite component take no part; vectors of another length are no candidates. A query id that repeats
-    is one query, all rows of its id are its own; other repeated rows are candidates each.
+    null or empty vectors and vectors with a null or non-finite component take no part; vectors of
+    another length are no candidates. A query id that repeats is one query, all rows of its id are its own; other repeated rows are candidates each.
     """
     items = cut(quantized(vectors).withColumn("dim", F.size("v").cast("long")))
     per = {r[0]: (r[1], r[2]) for r in items.groupBy("dim").agg(
