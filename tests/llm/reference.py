@@ -75,8 +75,12 @@ def base_spans(text: str | None) -> list[tuple[int, str, int]]:
     return [(a, PATTERNS[k][0], b) for a, k, b in sorted(out)]
 
 
-def ppm_digits(text: str | None, training: list[str | None], order: int = 5) -> float:
-    """-log10 of a text and its end mark by escape method D with exclusions."""
+def ppm_digits(text: str | None, training: list[str | None], order: int = 5, contexts: float = 1e9) -> float:
+    """-log10 of a text and its end mark by escape method D with exclusions.
+
+    Contexts of 3 bytes or more that hold less than 1 in ``contexts`` of the training bytes serve only
+    inside units: words with the byte behind them, cut every 16 bytes.
+    """
     from collections import Counter, defaultdict
     from math import log10
 
@@ -90,6 +94,7 @@ def ppm_digits(text: str | None, training: list[str | None], order: int = 5) ->
         for i in range(order, len(s)):
             for k in range(order + 1):
                 counts[tuple(s[i - k : i])][s[i]] += 1
+    whole = sum(counts[()].values())
 
     def chance(context: tuple, symbol: int) -> float:
         p, excluded = 1.0, set()
@@ -107,8 +112,22 @@ def ppm_digits(text: str | None, training: list[str | None], order: int = 5) ->
             excluded |= set(seen)
         return p / (256 - len(excluded))
 
-    s = marked(text)
-    return -sum(log10(chance(tuple(s[i - order : i]), s[i])) for i in range(order, len(s)))
+    def frequent(context: tuple) -> bool:
+        held = sum(counts[context].values()) if context in counts else 0
+        return held > 0 and (len(context) < 3 or held * contexts >= whole)
+
+    s, out, place = marked(text), 0.0, None
+    for i in range(order, len(s)):
+        space = s[i - 1] in b" \t\n\x0b\x0c\r"
+        if i == order or space:
+            place = 0 if s[i] not in b" \t\n\x0b\x0c\r" and s[i] != 0xFF else None
+        elif place is not None:
+            place = (place + 1) % 16
+        long = max(k for k in range(order + 1) if k == 0 or frequent(tuple(s[i - k : i])))
+        if place is not None and long <= place:
+            long = min(place, order)
+        out -= log10(chance(tuple(s[i - long : i]), s[i]))
+    return out
 
 
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")

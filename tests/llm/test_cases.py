@@ -196,6 +196,25 @@ def test_model_against_the_definition(spark):
         assert r["score"] == pytest.approx(-expected, rel=1e-5)
 
 
+@pytest.mark.parametrize("contexts, cache", [(1, 1_000_000), (40, 1_000_000), (40, 1), (300, 30)])
+def test_model_rare_contexts_serve_inside_words(spark, monkeypatch, contexts, cache):
+    import random
+    import zlib
+
+    rng = random.Random(contexts)
+    vocabulary = ["banana", "bandana", "Banana", "abracadabra", "anabasis", "é日本語", "x" * 40, "ab" * 8, "ba" * 8 + "n", "an"]
+    docs = [(i, rng.choice([" ", "\n", "  "]).join(rng.choices(vocabulary, k=rng.randrange(9)))) for i in range(40)]
+    docs += [(40, None), (41, " banana"), (42, "bandana "), (43, "abracadabandanabanana")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    training = [t for i, t in docs if zlib.crc32(str(i).encode()) % 7 != 2]
+    monkeypatch.setattr(byte_model, "CONTEXTS", contexts)
+    monkeypatch.setattr(byte_model, "CACHE", cache)
+    monkeypatch.setattr(byte_model, "BUCKET", 100)
+    for r in byte_model.score_texts(df).collect():
+        expected = reference.ppm_digits(docs[r["doc_id"]][1], training, contexts=contexts)
+        assert r["score"] == pytest.approx(-expected, rel=1e-5), docs[r["doc_id"]]
+
+
 def test_model_counts_rare_words_by_the_join(spark, odd, monkeypatch):
     whole = {tuple(r) for r in byte_model.score_texts(odd).drop("score").collect()}
     monkeypatch.setattr(byte_model, "CACHE", 50)
