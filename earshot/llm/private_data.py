@@ -135,6 +135,7 @@ def candidate_spans(text: str, base: list[tuple[int, str, int]]) -> list[tuple[i
         ]
     for zone in _ZONE.finditer(text):
         a, b = zone.span()
+        a -= text[a - 1 : a] == "("  # a zone begins with a digit
         if b - a >= 10:
             out += [(m.start(), "card", m.end()) for m in _DIGITS.finditer(text, a, b)]
             out += [(m.start(), "phone", m.end()) for m in _CALL.finditer(text, a, b)]

@@ -435,6 +435,70 @@ def test_confident_patterns_extract_other_shapes(spark):
     assert not got[len(texts) - 1] and not got[len(texts) - 2]
 
 
+def planted_corpus(rng):
+    """Texts with the values that base patterns miss: ``(text, [(kind, value)])``, and decoys without any."""
+
+    def digits(n):
+        return "".join(rng.choices("123456789", k=n))
+
+    def card(gap):
+        head = "4" + digits(14)
+        whole = next(head + str(d) for d in range(10) if private_data.luhn(head + str(d)))
+        return gap.join(whole[i : i + 4] for i in range(0, 16, 4))
+
+    def name():
+        return "".join(rng.choices("abcdefghijklmnoprstuvw", k=7))
+
+    frames = {
+        "email": ["please write to {} today", "send mail for {} directly", "reply at address {} soon"],
+        "ip": ["blocked host {} yesterday", "login came from {} again", "the server {} answered"],
+        "card": ["charged visa {} twice", "paid with card {} online", "refund onto {} pending"],
+        "phone": ["please ring {} tonight", "her mobile is {} now", "call us on {} anytime"],
+    }
+    known = {
+        "email": lambda: f"{name()}@{name()}.example.com",
+        "ip": lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4)),
+        "card": lambda: card(rng.choice(["", " ", "-"])),
+        "phone": lambda: f"+49 {digits(3)} {digits(6)}",
+    }
+    unseen = {
+        "email": lambda: rng.choice(["{} [at] {}.example.org", "{} (at) {} (dot) org", "{} at {} dot org"]).format(name(), name()),
+        "ip": lambda: "[.]".join(str(rng.randrange(1, 255)) for _ in range(4)),
+        "card": lambda: card(rng.choice([".", "/"])),
+        "phone": lambda: rng.choice([f"0049 {digits(3)} {digits(6)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"0{digits(2)}/{digits(3)} {digits(2)} {digits(2)}"]),
+    }
+    out = []
+    for kind, texts in frames.items():
+        for frame in texts:
+            out += [(f"{name()} {frame.format(known[kind]())} {name()}", []) for _ in range(120)]
+            for _ in range(8):
+                value = unseen[kind]()
+                out.append((f"{name()} {frame.format(value)} {name()}", [(kind, value)]))
+    decoys = ["order {0} {1} shipped", "pages {0}/{1} of the book", "we met at {2} dot com", "between 1990 and 2024 {0}",
+              "version 1 . 2 . 3 . 4 of {2}", "sum {0} {1} {0} units", "total {1}{0}{1}"]
+    out += [(rng.choice(decoys).format(digits(4), digits(5), name()), []) for _ in range(400)]
+    return out
+
+
+def test_bootstrap_recall_and_precision_on_planted_values(spark):
+    import random
+
+    corpus = planted_corpus(random.Random(3))
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(corpus)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["spans"] for r in private_data.find_private(frame).collect()}
+    planted = {(i, k, v) for i, (_, values) in enumerate(corpus) for k, v in values}
+    added = {
+        (i, s["kind"], t[s["start"] : s["stop"]])
+        for i, (t, _) in enumerate(corpus)
+        for s in got[i]
+        if (s["start"], s["kind"], s["stop"]) not in private_data.base_spans(t)
+    }
+    missed, wrong = planted - added, added - planted
+    print(len(planted), len(missed), len(wrong), sorted(missed)[:20], sorted(wrong)[:20])
+    assert len(missed) <= 0.1 * len(planted)
+    assert len(wrong) <= 0.05 * len(added)
+
+
 def test_loose_spans_take_time_in_proportion():
     import time
 
