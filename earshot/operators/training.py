@@ -30,9 +30,17 @@ class Params:
     alpha: float = 40.0
 
 
+@dataclass(frozen=True)
+class Factors:
+    """Factors by index ``(id, features)``, named as in the trainer's model."""
+
+    userFactors: DataFrame
+    itemFactors: DataFrame
+
+
 @dataclass(frozen=True)
 class Trained:
-    model: ALSModel
+    model: ALSModel | Factors
     users: DataFrame
     items: DataFrame
 
@@ -58,11 +66,15 @@ def training_data(
 
 def train_als(
     triples: DataFrame, params: Params = Params(), seed: int = 0, blocks: int | None = None
-) -> ALSModel:
+) -> ALSModel | Factors:
     """Non-negative implicit factors; the same seed and data give the same factors.
 
     Equal up to rounding: sums run in the order in which blocks arrive.
 
+    The trainer's solver gives up, with a factor of zeros, where a system's numbers are so large that
+    its steps fall below 1e-7: an item of tens of thousands of listeners is enough. No rated item's or
+    user's best factor is zero, so zeros tell of it; then all is trained by `alternate`.
+
     ``blocks`` sets how many parts users and items are cut into, by default as many as the
     cluster runs tasks at once. The iterations cut their lineage at the shared checkpoint folder.
     """
@@ -81,7 +93,33 @@ def train_als(
         checkpointInterval=5,
         seed=seed,
     )
-    return als.fit(triples)
+    model = als.fit(triples)
+    lost = F.forall("features", lambda x: x == 0)
+    if model.itemFactors.filter(lost).isEmpty() and model.userFactors.filter(lost).isEmpty():
+        return model
+    return alternate(triples, params, seed)
+
+
+def alternate(triples: DataFrame, params: Params = Params(), seed: int = 0) -> Factors:
+    """The trainer's alternation with `half_step`, whose solver is exact at any size of the numbers."""
+    from earshot.operators.half_step import half_step  # which takes its parameters from here
+
+    rated = triples.select(
+        F.col("user_index").cast("string").alias("user_id"), F.col("item_index").cast("string").alias("id"), "rating"
+    )
+    rated = cut(rated)
+    turned = rated.select(F.col("id").alias("user_id"), F.col("user_id").alias("id"), "rating")
+    draw = F.transform(
+        F.sequence(F.lit(1), F.lit(params.rank)),
+        lambda i: (F.pmod(F.xxhash64("id", i, F.lit(seed)), F.lit(1 << 20)) + 1).cast("double"),
+    )
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    users = turned.select("id").distinct().withColumn("embedding", draw)
+    users = cut(users.withColumn("embedding", F.transform("embedding", lambda x: x / F.sqrt(square)).cast("array<float>")))
+    for _ in range(params.maxIter):
+        items = cut(half_step(turned, users, params).toDF("id", "embedding"))
+        users = cut(half_step(rated, items, params).toDF("id", "embedding"))
+    return Factors(*(t.select(F.col("id").cast("int").alias("id"), F.col("embedding").alias("features")) for t in (users, items)))
 
 
 def train(

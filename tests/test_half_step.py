@@ -62,3 +62,19 @@ def test_gram_and_empty_tables(spark):
     wrong = spark.createDataFrame([("a", [1.0])], "id string, embedding array<float>")
     with pytest.raises(Exception, match="not of length 4"):
         gram(wrong, 4)
+
+
+def test_training_of_very_loud_ratings_gives_no_zero_factors(spark):
+    """The trainer's solver gives zeros for such systems; before, these were the factors."""
+    from earshot.operators import training
+
+    rows = [(u, i, 1e7 * (1 + (u + i) % 3)) for u in range(12) for i in range(8) if (u * i) % 3 != 1]
+    triples = spark.createDataFrame(rows, "user_index int, item_index int, rating float")
+    params = training.Params(rank=4, maxIter=3)
+    model = training.train_als(triples, params, seed=3, blocks=2)
+    users = {r["id"]: r["features"] for r in model.userFactors.collect()}
+    items = {r["id"]: r["features"] for r in model.itemFactors.collect()}
+    assert set(users) == {r[0] for r in rows} and set(items) == {r[1] for r in rows}
+    assert all(min(v) >= 0 and max(v) > 0 for v in [*users.values(), *items.values()])
+    off = [abs(1 - sum(a * b for a, b in zip(users[u], items[i]))) for u, i, _ in rows]
+    assert sum(off) / len(off) < 0.2
