@@ -1082,13 +1082,25 @@ def stream_of(fx: Fixtures, name: str) -> DataFrame:
     )
 
 
+#: Rows of a file of a stream made from a table.
+FILE_ROWS = 1_000_000
+
+
 def in_files(fx: Fixtures, df: DataFrame, path: str, number: Column) -> DataFrame:
-    """Rows as a stream of one file per micro-batch, in the order of ``number``, from 0."""
+    """Rows as a stream of a micro-batch for each ``number``, in their order, from 0.
+
+    A batch is as many files as the largest has millions of rows, so no task writes or reads more.
+    """
     numbered = df.withColumn("_file", number.cast("int"))
-    for i in range(numbered.agg(F.max("_file")).first()[0] + 1):
+    sizes = {r["_file"]: r["count"] for r in numbered.groupBy("_file").count().collect()}
+    files = -(-max(sizes.values()) // FILE_ROWS)
+    for i in range(max(sizes) + 1):
         part = numbered.filter(F.col("_file") == i).drop("_file")
-        part.coalesce(1).write.mode("append").parquet(path)
-    return fx.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        whole = files == 1 or sizes.get(i, 0) < files * files
+        (part.coalesce(1) if whole else part.repartition(files)).write.mode("append").parquet(path)
+        for _ in range(files - 1 if whole else 0):  # empty ones, so that all batches have equally many
+            part.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return fx.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @register
