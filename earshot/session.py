@@ -47,11 +47,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+#: Rows that a step after `spread` holds in a task on average.
+TASK_ROWS = 250_000
+#: Bytes of an Arrow batch: rows of packed vectors or whole texts are wide.
+BATCH_BYTES = 16 << 20
+
+
+def spread(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
     """Partition by ``keys`` ahead of a step that makes many rows, or much work, of each.
 
     Adaptive execution would merge partitions by their size before that step; an explicit
-    number, the session's shuffle partitions, keeps them apart.
+    number, the session's shuffle partitions, keeps them apart. ``rows`` says how many rows the step
+    has in all: of many, each task gets about ``TASK_ROWS``, so that its memory doesn't grow with them.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
+    return df.repartition(max(n, -(-rows // TASK_ROWS)), *keys)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few bytes from now on, unless the session asks for fewer.
+
+    Spark counts rows: 10,000 of them, each a block of vectors or a long text, are gigabytes.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name, None) or ""
+    if not (held.isdigit() and 0 < int(held) <= BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
