@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from earshot.operators.catalogue import MIN_CHARS, gate_text, with_lyrics
 from earshot.operators.merge import missing_vectors
 from earshot.schemas import CONTENT_DIM
-from earshot.session import cut
+from earshot.session import cut, small_batches, spread
 
 
 class Encoder(Protocol):
@@ -28,8 +28,18 @@ class Encoder(Protocol):
     def encode(self, texts: DataFrame, corpus: DataFrame) -> DataFrame: ...
 
 
+#: Characters of a word, about; it says how many tasks count them.
+WORD_CHARS = 6
+
+
 def word_buckets(texts: DataFrame, dim: int) -> DataFrame:
-    """``(id, bucket, n)``: how many words of each text fall in each of ``dim`` md5 buckets."""
+    """``(id, bucket, n)``: how many words of each text fall in each of ``dim`` md5 buckets.
+
+    Texts are partitioned by id before they are split, so that a task counts a bounded number of words
+    and what follows by id stays where it is.
+    """
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    texts = spread(texts.select("id", "text"), "id", rows=chars // WORD_CHARS)
     words = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
     each = texts.select("id", F.explode(F.filter(words, lambda w: w != "")).alias("word"))
     digest = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint")
@@ -139,6 +149,7 @@ def embed_text(
     min_chars: int = MIN_CHARS,
 ) -> DataFrame:
     """Vectors of the songs with enough lyrics that have none yet."""
+    small_batches(songs.sparkSession)
     lyrics = with_lyrics(songs).select("_id", F.col("lrclib_plain_lyrics").alias("text"))
     gated = gate_text(lyrics, "text", min_chars, encoder.max_chars)
     todo = missing_vectors(gated, existing)
