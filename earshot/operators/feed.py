@@ -15,7 +15,7 @@ from earshot.operators.ranking import (
     topk_per,
 )
 from earshot.operators.topk import topk_ip
-from earshot.session import cut
+from earshot.session import cut, spread
 
 
 @dataclass(frozen=True)
@@ -80,6 +80,7 @@ def hand_out(state: DataFrame, asks: DataFrame, songs: DataFrame, limit: int, qu
     not. More follows a page with songs while ids wait behind it or the session has room.
     """
     limit = min(limit, quota.cap)
+    state = spread(state, "user_id", rows=state.count())
     turn = F.row_number().over(Window.partitionBy("user_id").orderBy("query_id"))
     turns = cut(asks.select("query_id", "user_id").withColumn("turn", turn))
     counts = feed_state(state).join(turns.select("user_id").distinct(), "user_id")
@@ -109,6 +110,7 @@ def feed_state(served: DataFrame) -> DataFrame:
 
     An id waits until it is handed out; ``queued`` says so.
     """
+    served = spread(served.select("user_id", "id", "queued"), "user_id", rows=served.count())
     per_id = served.groupBy("user_id", "id").agg(F.max("queued").alias("queued"))
     return per_id.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n_generated"), F.count_if("queued").alias("n_queued")

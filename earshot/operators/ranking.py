@@ -13,6 +13,8 @@ from earshot.operators.indexing import dense_rank_by
 from earshot.session import cut, spread
 
 WEIGHT_ALS = 0.6
+#: Ranked songs that go to all tasks.
+FEW_SONGS = 100_000
 
 
 def topk_per(
@@ -53,6 +55,8 @@ def paginate(
     and ``already(user_id, n_generated)``) stay under the cap. With ``songs(_id)`` nothing
     follows a page none of whose ids has a song.
     """
+    ranked = cut(ranked)
+    ranked = spread(ranked, "user_id", rows=ranked.count())
     lists = ranked.groupBy("user_id").agg(F.max("rank").alias("_size"))
     before = F.lit(0)
     if already is not None:
@@ -160,11 +164,16 @@ def _pools(asks: DataFrame, songs: DataFrame, seen: DataFrame) -> DataFrame:
     """Every user's pool of trending songs: the first positions that hold none they have seen.
 
     Seen songs push a pool at most as many places down, so a user looks at the first
-    ``pool + seen`` positions. Requests are partitioned by user before they expand; a
-    pool then meets the ranked songs in an equi-join whose size follows the requests.
+    ``pool + seen`` positions, and no song beyond the furthest of these is looked at. Requests are
+    partitioned by user before they expand, by the number of rows that they expand to; a pool
+    then meets the ranked songs in an equi-join, and stays where it is if these are few.
     """
     table, order = _by_plays(songs)
-    ranked = cut(dense_rank_by(table, order, "_place").withColumn("position", F.col("_place") + 1))
+    most, rows = asks.agg(F.max("_reach"), F.sum("_pool").cast("long")).first()
+    ranked = dense_rank_by(table, order, "_place").withColumn("position", F.col("_place") + 1)
+    ranked = cut(ranked.filter(F.col("position") <= int(most or 0)))
+    if (most or 0) <= FEW_SONGS:
+        ranked = F.broadcast(ranked)  # at most FEW_SONGS rows
     skips = (
         seen.select("user_id", "id")
         .join(ranked.select("id", "position"), "id")
@@ -177,7 +186,7 @@ def _pools(asks: DataFrame, songs: DataFrame, seen: DataFrame) -> DataFrame:
     free = F.array_except(F.sequence(F.lit(1), F.col("_pool") + F.size(skip)), skip)
     pool = F.slice(free, F.lit(1), F.col("_pool").cast("int"))
     return (
-        spread(asks, "user_id")
+        spread(asks, "user_id", rows=rows or 0)
         .join(skips, "user_id", "left")
         .select("user_id", "n", "offset", F.explode(pool).alias("position"))
         .join(ranked, "position")

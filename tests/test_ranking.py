@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -440,3 +441,39 @@ def test_search_lists_classes_of_equal_names_once(spark, tmp_path):
             page, more = brute_search(songs, text, limit, skip)
             rows = sorted((r["rank"], r["id"], r["score"], r["has_more"]) for r in got if r["query_id"] == q)
             assert rows == [(skip + 1 + n, i, s, more) for n, (i, s) in enumerate(page)]
+
+
+def test_tasks_grow_in_number_with_the_rows_that_a_step_makes(spark):
+    from earshot.session import TASK_ROWS, spread
+
+    users = spark.range(100).selectExpr("cast(id AS string) AS user_id")
+    assert spread(users, "user_id").rdd.getNumPartitions() == 4
+    assert spread(users, "user_id", rows=9 * TASK_ROWS + 1).rdd.getNumPartitions() == 10
+
+
+def test_fallback_meets_only_songs_within_reach(spark, monkeypatch):
+    """Pools lie in the first positions; the other ranked songs are not kept or joined."""
+    songs = spark.range(5000).selectExpr("cast(id AS string) AS _id", "id AS plays_7d")
+    wanted = spark.createDataFrame([("u", 5), ("v", 10)], "user_id string, n int")
+    seen = spark.createDataFrame([("u", str(4999 - i)) for i in range(20)], "user_id string, id string")
+    kept, keep = [], ranking.cut
+    monkeypatch.setattr(ranking, "cut", lambda df: kept.append(keep(df)) or kept[-1])
+    got = ranking.fallback_songs(wanted, songs, seen, 1).collect()
+    assert sorted(r["rank"] for r in got) == sorted([*range(1, 6), *range(1, 11)])
+    assert all(int(r["id"]) in range(4935, 4980) for r in got if r["user_id"] == "u")
+    ranked = next(df for df in kept if "position" in df.columns)
+    assert ranked.count() == 65
+
+
+def test_wide_rows_come_in_small_arrow_batches(spark):
+    from earshot.session import BATCH_BYTES, small_batches
+
+    small_batches(spark)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    wide = spark.range(0, 60, 1, 1).selectExpr("repeat('x', 1000000) AS t")
+    most = max(r["n"] for r in wide.mapInArrow(sizes, "n long").collect())
+    assert most < 2 * BATCH_BYTES  # before: 60 MB
