@@ -15,8 +15,11 @@ set if it has no more than ``STRATA * DEPTH`` values.
 4. Verified links join classes to components. In long lists that still hold several of them,
    each member outside the list's main component is compared with all members of other components,
    in blocks of at most ``BLOCK`` by ``BLOCK`` members, by the same rule: first by the smallest value
-   of each stratum, then by the sketches. A pair counts in its first common list only. Only likely
-   pairs leave a block. This is the exact way for what the stars left open.
+   of each stratum, then by the sketches. A pair counts in its first common list only. Of these
+   comparisons only the members with a likely pair leave, never the pairs, whose number grows with
+   the square of a crowd. Such members meet once more in the same blocks, now with their full sets;
+   likely pairs that are not yet connected there are verified, and the links found are a forest of
+   the block. This is the exact way for what the stars left open.
 
 Two sets at the threshold share a given stratum's run with a chance of about one in two, so that
 one of 32 keys is shared by all but some 1e-10 of them. Sets of up to ``TINY`` values may differ in one or
@@ -166,55 +169,82 @@ def _side(classes: DataFrame, name: str) -> DataFrame:
     return classes.select(F.col("id").alias(name), *columns)
 
 
-def _likely_in_list(percent: int):
-    """Compare one block of a list with another: the likely pairs of different components."""
-    t = percent / 100
+def _likely_pairs(group: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a list's cell, members with the later ones that they are a likely pair with, by place.
 
-    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        number, low, high = key
-        # A list of tiny sets has no place among the strata: its pairs count whatever they share there.
-        stratum = int(number) & (STRATA - 1) if int(number) & STRATA else 0
-        ids, roots = group["id"].to_numpy(), group["root"].to_numpy()
-        n, whole, block = group["n"].to_numpy(), group["whole"].to_numpy(), group["block"].to_numpy()
-        marks = np.frombuffer(b"".join(group["marks"]), np.uint32).reshape(len(ids), 2, STRATA)
-        least, keys = marks[:, 0].T.copy(), marks[:, 1]
-        filled = (least > 0).sum(0)
-        kept = [np.sort(np.asarray(k).astype(np.uint32)) for k in group["kept"]]
-        sizes = np.array([len(k) for k in kept])
-        begin, flat = np.cumsum(np.r_[0, sizes]), np.concatenate(kept)
-        is_main = roots == group["main"].iloc[0]
-        left, right = [], []
-        for a in np.flatnonzero(~is_main):
-            ok = (roots != roots[a]) & (is_main | (ids > ids[a]))
-            ok &= 100 * np.minimum(n, n[a]) >= percent * np.maximum(n, n[a])
-            if low != high:
-                ok &= block != block[a]
-            b = np.flatnonzero(ok)
-            if not len(b):
-                continue
-            same = ((least[:, b] == least[:, a, None]) & (least[:, a, None] > 0)).sum(0)
-            strata = np.maximum(filled[b], filled[a])
-            b = b[same >= t * strata - 6 * np.sqrt(t * (1 - t) * strata)]
-            before = (keys[b, :stratum] == keys[a, :stratum]) & (keys[a, :stratum] > 0)
-            b = b[~before.any(1)]
-            if not len(b):
-                continue
-            at = np.concatenate([np.arange(begin[i], begin[i + 1]) for i in b])
-            place = np.minimum(np.searchsorted(kept[a], flat[at]), sizes[a] - 1)
-            hit = kept[a][place] == flat[at]
-            shared = np.add.reduceat(hit, np.cumsum(np.r_[0, sizes[b]])[:-1], dtype=np.int64)
-            fewest = np.minimum(sizes[b], sizes[a])
-            share = np.maximum(0, 1 - fewest * (1 + t) / (n[b] + n[a]))
-            near = shared >= t * fewest - 6 * np.sqrt(t * (1 - t) * fewest * share) - 1
-            exact = 100 * shared >= percent * (n[b] + n[a] - shared)
-            b = b[np.where(whole[b] & whole[a], exact, near)]
-            left.append(np.minimum(ids[a], ids[b]))
-            right.append(np.maximum(ids[a], ids[b]))
-        none = [np.zeros(0, np.int64)]
-        found = pd.DataFrame({"a": np.concatenate(left or none), "b": np.concatenate(right or none)})
-        return found.assign(key=number, low=low, high=high)
-
-    return compare
+    Pairs of one ``root`` are left out, and those that share an earlier list. ``piece`` tells the two
+    sides of a cell apart; in a cell of ``alike`` sides all members are compared.
+    """
+    t = percent / 100
+    number, alike = int(group["key"].iloc[0]), group["alike"].iloc[0]
+    # A list of tiny sets has no place among the strata: its pairs count whatever they share there.
+    stratum = number & (STRATA - 1) if number & STRATA else 0
+    ids, roots, piece = (group[c].to_numpy() for c in ("id", "root", "piece"))
+    n, whole = group["n"].to_numpy(), group["whole"].to_numpy()
+    marks = np.frombuffer(b"".join(group["marks"]), np.uint32).reshape(len(ids), 2, STRATA)
+    least, keys = marks[:, 0].T.copy(), marks[:, 1]
+    filled = (least > 0).sum(0)
+    kept = [np.sort(np.asarray(k).astype(np.uint32)) for k in group["kept"]]
+    sizes = np.array([len(k) for k in kept])
+    begin, flat = np.cumsum(np.r_[0, sizes]), np.concatenate(kept)
+    is_main = roots == group["main"].iloc[0]
+    for a in np.flatnonzero(~is_main):
+        ok = (roots != roots[a]) & (is_main | (ids > ids[a]))
+        ok &= 100 * np.minimum(n, n[a]) >= percent * np.maximum(n, n[a])
+        if not alike:
+            ok &= piece != piece[a]
+        b = np.flatnonzero(ok)
+        if not len(b):
+            continue
+        same = ((least[:, b] == least[:, a, None]) & (least[:, a, None] > 0)).sum(0)
+        strata = np.maximum(filled[b], filled[a])
+        b = b[same >= t * strata - 6 * np.sqrt(t * (1 - t) * strata)]
+        before = (keys[b, :stratum] == keys[a, :stratum]) & (keys[a, :stratum] > 0)
+        b = b[~before.any(1)]
+        if not len(b):
+            continue
+        at = np.concatenate([np.arange(begin[i], begin[i + 1]) for i in b])
+        place = np.minimum(np.searchsorted(kept[a], flat[at]), sizes[a] - 1)
+        hit = kept[a][place] == flat[at]
+        shared = np.add.reduceat(hit, np.cumsum(np.r_[0, sizes[b]])[:-1], dtype=np.int64)
+        fewest = np.minimum(sizes[b], sizes[a])
+        share = np.maximum(0, 1 - fewest * (1 + t) / (n[b] + n[a]))
+        near = shared >= t * fewest - 6 * np.sqrt(t * (1 - t) * fewest * share) - 1
+        exact = 100 * shared >= percent * (n[b] + n[a] - shared)
+        b = b[np.where(whole[b] & whole[a], exact, near)]
+        if len(b):
+            yield a, b
+
+
+def _with_likely_pairs(percent: int):
+    """The members of a cell that are in a likely pair."""
+
+    def members(group: pd.DataFrame) -> pd.DataFrame:
+        hit = np.zeros(len(group), bool)
+        for a, b in _likely_pairs(group, percent):
+            hit[a] = hit[b] = True
+        return group.loc[hit, ["key", "low", "high", "piece", "id", "root", "main", "n"]]
+
+    return members
+
+
+def _linked_in_cell(percent: int):
+    """Links of likely pairs by their full sets: no more than connect what the cell connects."""
+
+    def links(group: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(v, np.uint64) for v in group["values"]]
+        _, marks, kept, whole = zip(*map(sketch, sets), strict=True)
+        ids, (_, part) = group["id"].to_numpy(), np.unique(group["root"], return_inverse=True)
+        group = group.assign(n=[len(v) for v in sets], marks=marks, kept=kept, whole=whole)
+        found = []
+        for a, others in _likely_pairs(group, percent):
+            for b in others:
+                if part[a] != part[b] and _reach(sets[a], sets[b], percent):
+                    found.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+                    part[part == part[b]] = part[a]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return links
 
 
 def _full_sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -246,38 +276,30 @@ def _reach(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def verified_in_cells(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """As `verified`, for ``pairs(a, b, key, low, high)`` of crowds: a set is sent once to each cell
-    (list and blocks) in which it has pairs, not once for each pair.
+def linked_in_cells(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``(a, b)``: links among ``members(key, low, high, piece, id, root, main, n)`` of crowds, which
+    are those of a list's cells that have likely pairs there.
 
-    ``sizes(id, n)`` are the set sizes. Cells whose sets would take over ``CELL`` bytes are verified pair by
-    pair. Rows that repeat an id with another text are each compared; any that reaches it links.
+    A set is sent once to each cell. A cell whose sets take over ``CELL`` bytes is cut into pieces,
+    every two of which meet in a cell of their own. Rows that repeat an id with another text are each
+    compared; any that reaches it links.
     """
     cell = ["key", "low", "high"]
-    ends = pairs.select(*cell, F.explode(F.array("a", "b")).alias("id")).distinct()
-    weight = ends.join(sizes, "id").groupBy(*cell).agg(F.sum("n").alias("_all"))
-    weight = cut(weight.select(*cell, (F.col("_all") * 8 > CELL).alias("_big")))
-    placed = cut(pairs.join(weight, cell))
-    small, big = placed.where("NOT _big"), placed.where("_big")
-    ends = small.select(*cell, F.explode(F.array("a", "b")).alias("id")).distinct()
-    sent = ends.join(_full_sets(ends, docs, words), "id")
-    there = {c: f"_{c}" for c in cell}  # names that the pairs' own cannot be taken for
-    sent = sent.withColumnsRenamed(there)
-
-    def check(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-        of: dict[int, list[np.ndarray]] = {}
-        for i, values in zip(sets["id"], sets["values"], strict=True):
-            of.setdefault(i, []).append(np.frombuffer(values, np.uint64))
-        keep = [
-            any(_reach(x, y, percent) for x in of.get(a, ()) for y in of.get(b, ()))
-            for a, b in zip(pairs["a"], pairs["b"], strict=True)
-        ]
-        return pairs.loc[np.array(keep, bool), ["a", "b"]]
-
-    found = small.groupBy(*cell).cogroup(sent.groupBy(*there.values())).applyInPandas(check, "a bigint, b bigint")
-    if big.isEmpty():
-        return found
-    return found.unionByName(verified(cut(big.select("a", "b").distinct()), docs, words, percent))
+    parts = F.least(F.ceil(F.sum("n") * 8 * 2 / max(CELL, 1)), F.count(F.lit(1))).cast("bigint")
+    weight = members.groupBy(*cell).agg(F.when(F.sum("n") * 8 > CELL, parts).otherwise(1).alias("_parts"))
+    # A cell of two blocks is cut on both sides, so that pieces of one side need not meet.
+    finer = (F.col("piece") * F.col("_parts") + F.pmod(F.xxhash64("id", F.lit(1)), F.col("_parts"))).alias("_own")
+    sides = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1), lambda i: F.when(
+        F.col("low") == F.col("high"), F.col("low") * F.col("_parts") + i).otherwise(
+        (F.col("low") + F.col("high") - F.col("piece")) * F.col("_parts") + i))
+    placed = members.join(weight, cell).select("*", finer).withColumn("_other", F.explode(sides))
+    placed = placed.select(
+        "key", F.least("_own", "_other").alias("low"), F.greatest("_own", "_other").alias("high"),
+        F.col("_own").alias("piece"), F.col("_parts").alias("parts"), "id", "root", "main",
+    ).withColumn("alike", F.col("low") == F.col("high"))
+    sets = _full_sets(members.select("id").distinct(), docs, words).where(F.length("values") > 0)
+    met = placed.join(sets, "id")
+    return met.groupBy("key", "parts", "low", "high").applyInPandas(_linked_in_cell(percent), "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -365,14 +387,15 @@ def _near(docs: DataFrame, words: int, percent: int) -> DataFrame:
     placed = open_lists.withColumn("block", own).withColumn("pair", F.explode(pair))
     wanted = _only(classes, open_lists.select("id")).select("id", "n", "marks", "kept", "whole")
     met = placed.join(wanted, "id").select(
-        "key", "pair.low", "pair.high", "block", "id", "root", "main", "n", "marks", "kept", "whole"
-    )
-    left = met.groupBy("key", "low", "high").applyInPandas(
-        _likely_in_list(percent), "a bigint, b bigint, key bigint, low bigint, high bigint"
+        "key", "pair.low", "pair.high", F.col("block").alias("piece"), "id", "root", "main", "n", "marks", "kept", "whole"
     )
-    left = cut(left.dropDuplicates(["a", "b"]))
+    met = met.withColumn("alike", F.col("low") == F.col("high"))
+    left = cut(met.groupBy("key", "low", "high").applyInPandas(
+        _with_likely_pairs(percent),
+        "key bigint, low bigint, high bigint, piece bigint, id bigint, root bigint, main bigint, n bigint",
+    ))
     if not left.isEmpty():
-        more = verified_in_cells(left, classes.select("id", "n"), docs, words, percent)
+        more = linked_in_cells(left, docs, words, percent)
         stars = roots.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
         roots = cut(components(stars.unionByName(more)))
     of = classes.select("f1", "f2", "n", "id").join(roots, "id", "left").select(

@@ -623,6 +623,27 @@ def test_crowds_are_verified_alike_in_cells_and_pair_by_pair(spark, monkeypatch)
         assert got == want
 
 
+def test_cells_of_a_crowd_return_members_and_a_forest(spark, monkeypatch):
+    """All pairs of 40 texts are likely and linked: 40 members and 39 links leave a cell, not 780 pairs."""
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sketched = near_dedup.sketches(table, 2).selectExpr(
+        "32L AS key", "0L AS low", "0L AS high", "0L AS piece", "doc_id AS id", "doc_id AS root", "-1L AS main",
+        "n", "marks", "kept", "whole", "true AS alike",
+    )
+    group = sketched.toPandas()
+    assert sum(len(b) for _, b in near_dedup._likely_pairs(group, 80)) == 780
+    members = near_dedup._with_likely_pairs(80)(group)
+    assert len(members) == 40
+    held = spark.createDataFrame(members)
+    for cell, most in ((1 << 24, 39), (10_000, 780)):
+        monkeypatch.setattr(near_dedup, "CELL", cell)
+        links = near_dedup.linked_in_cells(held, table, 2, 80).collect()
+        assert len({r["a"] for r in links} | {r["b"] for r in links}) == 40
+        assert len(links) <= most
+
+
 def test_the_word_table_is_bounded_by_bytes(monkeypatch):
     with open(llm.piece_model(), "rb") as file:
         encoder = pieces.PieceEncoder(file.read())
