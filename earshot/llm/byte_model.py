@@ -15,6 +15,11 @@ probabilities of all symbols sum to one. What the rare contexts add to a unit's
 out once for each distinct unit of the corpus, so that texts are joined with units, not with
 contexts. Trie and units grow with the corpus.
 
+With ``across`` nothing of this is cut: wherever a frequent context has fewer than ``ORDER`` bytes and
+the unit holds no more before the place, the run of ``ORDER`` + 1 bytes that ends there is looked up, like
+a unit, for its exact code length. Runs of all texts have one, worked out once each with the
+whole trie. Then every byte is predicted by the longest context known in training.
+
 The base score needs the corpus count of every word. Units that make up at least 1 in ``CACHE`` of
 all, at most that many, go to the tasks in a table with their words' counts; a document's other
 units are joined with the table.
@@ -22,6 +27,7 @@ units are joined with the table.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +52,8 @@ UNIT, BUCKET = 16, 1 << 19
 #: A byte that no text holds, where a unit has nothing before it.
 NOTHING = 0xFD
 WORD, GRAM, TEXT, LONG, PIECE = 0, 1, 2, 3, 4
+#: Slots of the table of frequent units and runs; what tells a run's key from a unit's.
+CACHED, RUN = 1 << 21, np.uint64(1 << 62)
 
 
 def _marked(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,11 +133,12 @@ def _word_units(data: np.ndarray, at: np.ndarray, marked: np.ndarray, begin: np.
     return hashes, owner, sizes <= UNIT, _units(marked, starts + (begin[:-1] + ORDER - at[:-1])[owner], sizes)
 
 
-def corpus_counts(rows: DataFrame) -> DataFrame:
+def corpus_counts(rows: DataFrame, across: bool = False) -> DataFrame:
     """``(kind, key, more, n)`` of ``rows(held_out, text)``.
 
     Of rows that are not held out: words by hash, those of more than one unit once more, runs of
-    ``ORDER`` + 1 bytes, and the number of texts. Of all rows: units by their bytes.
+    ``ORDER`` + 1 bytes, and the number of texts. Of all rows: units by their bytes. With
+    ``across``, the others' runs are there too, counted as none.
     """
 
     def emptied(tallies: dict[int, list]) -> Iterator[pa.RecordBatch]:
@@ -153,9 +162,11 @@ def corpus_counts(rows: DataFrame) -> DataFrame:
                     if not held:
                         tallies[WORD].append(_tally(hashes))
                         tallies[LONG].append(_tally(hashes[~one]))
+                    if across or not held:
                         gram = _runs(marked, ORDER + 1, 0)
                         # Runs across two texts end in a start mark.
-                        tallies[GRAM].append(_tally(gram[(gram & np.uint64(0xFF)) != START]))
+                        gram, n = _tally(gram[(gram & np.uint64(0xFF)) != START])
+                        tallies[GRAM].append([gram, np.zeros_like(n) if held else n])
                     if len(tallies[PIECE]) == TOGETHER:
                         yield from emptied(tallies)
                 if not held:
@@ -177,26 +188,40 @@ def _counted(kind: int, keys: np.ndarray, more: np.ndarray, n: np.ndarray) -> pa
 
 
 class ByteModel:
-    """Code lengths, in decimal digits, of every symbol in every context of the trie."""
+    """Code lengths, in decimal digits, of every symbol in every context of the trie.
+
+    Only the counts are sent to the tasks; a worker makes the tables of them once.
+    """
+
+    #: The tables that this process made last, and of which model.
+    _made: tuple[str, dict] = "", {}
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        """``levels``: for 0 to ORDER bytes of context, codes of context and symbol with counts."""
-        tables, self.contexts = [], []
+        """``levels``: for 0 to ORDER bytes of context, sorted codes of context and symbol with counts."""
+        self.name, self.levels = uuid.uuid4().hex, levels
+        self._make()
+
+    def _make(self) -> None:
+        self.contexts = [np.unique(codes >> np.uint64(8)) for codes, _ in self.levels]
+        if not len(self.contexts[0]):
+            self.contexts[0] = np.zeros(1, np.uint64)
+        sizes = [len(c) for c in self.contexts]
+        table, offset = np.empty((sum(sizes), 256), np.float32), 0
         parent_counts = parent_below = None
-        for k, (codes, n) in enumerate(levels):
-            known, at = np.unique(codes >> np.uint64(8), return_inverse=True)
-            if k == 0 and not len(known):
-                known = np.zeros(1, np.uint64)
-            counts = np.zeros((len(known), 256), np.float32)
-            if len(codes):
-                counts[at, (codes & np.uint64(0xFF)).astype(int)] = n
-            below, table = np.empty_like(counts), np.empty_like(counts)
+        for k, ((codes, n), known) in enumerate(zip(self.levels, self.contexts, strict=True)):
+            at = np.searchsorted(known, codes >> np.uint64(8))
+            symbols = (codes & np.uint64(0xFF)).astype(int)
+            # The longest contexts are nobody's parents.
+            counts, below = (np.zeros((len(known) if k < ORDER else 0, 256), np.float32) for _ in range(2))
             if k:
                 end = known & np.uint64((1 << 8 * (k - 1)) - 1)
-                parent = np.searchsorted(self.contexts[-1], end)
+                parent = np.searchsorted(self.contexts[k - 1], end)
             for a in range(0, len(known), 4_096):  # bounded temporary tables
                 part = slice(a, a + 4_096)
-                own = counts[part].astype(np.float64)
+                here = slice(*np.searchsorted(at, [a, a + 4_096]))
+                held = np.zeros((len(known[part]), 256), np.float32)
+                held[at[here] - a, symbols[here]] = n[here]
+                own = held.astype(np.float64)
                 seen = own > 0
                 if k == 0:
                     unseen = np.maximum(256 - seen.sum(1, keepdims=True), 1)
@@ -204,19 +229,29 @@ class ByteModel:
                 else:
                     free = np.where(seen, 0, parent_counts[parent[part]])
                     lower = _chances(free, parent_below[parent[part]])
-                below[part] = lower
-                table[part] = -np.log10(np.maximum(_chances(own, lower), 1e-30))
-            tables.append(table)
-            self.contexts.append(known)
+                if k < ORDER:
+                    counts[part], below[part] = held, lower
+                code = -np.log10(np.maximum(_chances(own, lower), 1e-30))
+                table[offset + a : offset + a + len(own)] = code
+            offset += len(known)
             parent_counts, parent_below = counts, below
             if k == 2:
                 self.low = known, counts, below
-        self.table = np.concatenate(tables).ravel()
-        self.level_of = np.repeat(np.arange(ORDER + 1, dtype=np.uint8), [len(c) for c in self.contexts])
+        self.table = table.ravel()
+        self.level_of = np.repeat(np.arange(ORDER + 1, dtype=np.uint8), sizes)
         self._found: tuple | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_found": None, "low": None}
+        return {"name": self.name, "levels": self.levels}
+
+    def __setstate__(self, state: dict) -> None:
+        if ByteModel._made[0] != state["name"]:
+            ByteModel._made = "", {}
+            self.__dict__ = state
+            self._make()
+            self.levels = self.low = None
+            ByteModel._made = self.name, self.__dict__
+        self.__dict__ = ByteModel._made[1]
 
     def _finder(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For any three bytes the row of their longest known end; longer contexts by hash slots.
@@ -245,14 +280,18 @@ class ByteModel:
 
     def rows(self, marked: np.ndarray) -> np.ndarray:
         """The table row of the longest known context before each place from ORDER on."""
+        return self.rows_of(_runs(marked, ORDER, 1))
+
+    def rows_of(self, context: np.ndarray) -> np.ndarray:
+        """The table row of the longest known end of each ``ORDER`` bytes."""
         short, key_of, row_of = self._finder()
-        out = short[_runs(marked, 3, 1).astype(np.int32)].astype(np.int32)
+        out = short[(context & np.uint64(0xFFFFFF)).astype(np.int32)].astype(np.int32)
         able = np.arange(len(out))
         low = sum(len(c) for c in self.contexts[:3])
         for k in range(4, ORDER + 1):
             able = able[out[able] >= low]  # a context is known only if its end is
             low += len(self.contexts[k - 1])
-            keys, slots = _slots(_runs(marked, k, 1)[able], k)
+            keys, slots = _slots(context[able] & np.uint64((1 << 8 * k) - 1), k)
             left = np.arange(len(able))
             while len(left):
                 held = key_of[slots[left]]
@@ -291,23 +330,22 @@ def byte_levels(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     To the driver come at most 2**24 numbers for contexts of up to two bytes, and those of at most
     CONTEXTS contexts for each longer size.
     """
-    grams = counts.where(F.col("kind") == GRAM).select("key", "n")
+    grams = counts.where((F.col("kind") == GRAM) & (F.col("n") > 0)).select("key", "n")
     whole = grams.agg(F.sum("n")).first()[0] or 0
-    arrays, longest = [], grams
-    for k in range(ORDER, -1, -1):
+    arrays = []
+    for k in range(ORDER + 1):
         ends = F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")
-        longest = cut(longest.groupBy(ends).agg(F.sum("n").alias("n")))
-        level = longest
         if k > 2:
-            context = F.shiftright("key", 8).alias("context")
-            held = level.groupBy(context).agg(F.sum("n").alias("held"))
-            held = held.where(F.col("held") * CONTEXTS >= whole).select("context")
-            level = level.withColumn("context", context).join(F.broadcast(held), "context")
-        table = level.select("key", "n").toArrow()
+            # A context occurs no more often than its end, so each size takes up what the last one left.
+            context = F.shiftright(ends, 8).alias("context")
+            held = grams.groupBy(context).agg(F.sum("n").alias("held"))
+            held = cut(held.where(F.col("held") * CONTEXTS >= whole).select("context"))
+            grams = grams.select("key", "n", context).join(F.broadcast(held), "context").drop("context")
+        table = grams.groupBy(ends).agg(F.sum("n").alias("n")).toArrow()
         keys = table["key"].to_numpy().astype(np.uint64)
         order = np.argsort(keys)
         arrays.append((keys[order], table["n"].to_numpy()[order]))
-    return arrays[::-1]
+    return arrays
 
 
 def _bytes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -332,8 +370,9 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _places(model: ByteModel, batch: pa.RecordBatch) -> pa.RecordBatch:
-    """``(run, unit, cost)``: places of units that a longer context than a frequent one may predict.
+def _places(model: ByteModel, batch: pa.RecordBatch, least: int = 3) -> pa.RecordBatch:
+    """``(run, unit, cost)``: places of units, from ``least`` on, that a longer context than a frequent
+    one may predict.
 
     ``run`` is context and byte with the context's length above; ``cost`` is the code length so far.
     """
@@ -345,7 +384,7 @@ def _places(model: ByteModel, batch: pa.RecordBatch) -> pa.RecordBatch:
     run = _runs(flat, ORDER + 1, 0).reshape(len(data), -1)[:, :UNIT]
     place = np.arange(UNIT)
     reach = np.minimum(place, ORDER)
-    i, j = np.nonzero((place >= 3) & (place < size[:, None]) & (level < reach))
+    i, j = np.nonzero((place >= least) & (place < size[:, None]) & (level < reach))
     held = reach[j].astype(np.uint64)
     run = run[i, j] & ((np.uint64(1) << (np.uint64(8) * held + np.uint64(8))) - np.uint64(1))
     halves = data.view(">u8").astype(np.uint64)
@@ -370,17 +409,45 @@ def _escape(count: np.ndarray, total: np.ndarray, distinct: np.ndarray, lower: n
     return np.where(count > 0, (2 * count - 1) / whole, share * lower)
 
 
-def _gains(places: pa.Table, grams: pa.Table, low: tuple) -> pa.Table:
-    """``(unit, d3, d4, d)``: change of code length at places 3, 4 and later by all known contexts.
+def _gains(places: pa.Table, grams: pa.Table, low: tuple, model: ByteModel | None = None) -> pa.Table:
+    """``(unit, d3, d4, d, seen)``: change of code length at places 3, 4 and later by all known contexts.
 
     All runs share hashes of the last three bytes of context, so longer contexts are complete here.
+    With ``model`` also, as ``d``, the code length of each run without a frequent context of ORDER
+    bytes, and how often it was ``seen`` in training; of units that is null.
     """
-    if not len(grams):
-        places = places.slice(0, 0)
-    run = places["run"].to_numpy().view(np.uint64)
+    run, cost = places["run"].to_numpy().view(np.uint64), places["cost"].to_numpy()
     keys, n = grams["key"].to_numpy().view(np.uint64), grams["n"].to_numpy().astype(np.float64)
     order = np.argsort(keys)
-    level = {ORDER: (keys[order], n[order])}
+    keys, n = keys[order], n[order]
+    at_unit, own, times = len(run), keys[:0], n[:0]
+    if model is not None:
+        row = model.rows_of(keys >> np.uint64(8))
+        rare = model.level_of[row] < ORDER
+        own, times = keys[rare], n[rare]
+        table = model.table[row[rare] * 256 + (own & np.uint64(0xFF)).astype(np.int32)]
+        run = np.r_[run, own | np.uint64(ORDER << 56)]
+        cost = np.r_[cost, table.astype(np.float64)]
+    chance = _chance_of(run, keys[n > 0], n[n > 0], low)
+    code = np.where(chance > 0, -np.log10(np.maximum(chance, 1e-30)), cost)
+    able = np.flatnonzero(chance[:at_unit] > 0)
+    change = code[able] - cost[able]
+    unit, at = np.unique(places["unit"].to_numpy()[able], return_inverse=True)
+    column = np.minimum((run[able] >> np.uint64(56)).astype(int), 5) - 3
+    sums = [np.bincount(at, np.where(column == c, change, 0), len(unit)) for c in range(3)]
+    zero = np.zeros(len(own))
+    seen = pa.array(np.r_[np.zeros(len(unit)), times].astype(np.int64), mask=np.arange(len(unit) + len(own)) < len(unit))
+    return pa.table({
+        "unit": np.r_[unit, mix(own | RUN).view(np.int64)],
+        **{c: np.r_[x, y] for c, x, y in zip(("d3", "d4", "d"), sums, (zero, zero, code[at_unit:]), strict=True)},
+        "seen": seen,
+    })
+
+
+def _chance_of(run: np.ndarray, keys: np.ndarray, n: np.ndarray, low: tuple) -> np.ndarray:
+    """Probability of the last byte of each run after the longest known context of 3 bytes or more, 0
+    without one. ``keys`` are the sorted training runs that share a run's last three bytes of context."""
+    level = {ORDER: (keys, n)}
     for k in range(ORDER - 1, 2, -1):
         ends, at = np.unique(keys & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
         level[k] = ends, np.bincount(at, n, len(ends))
@@ -390,8 +457,8 @@ def _gains(places: pa.Table, grams: pa.Table, low: tuple) -> pa.Table:
         at, _ = _in(runs >> np.uint64(8) & np.uint64(0xFFFF), known2)
         return at, (runs & np.uint64(0xFF)).astype(int)
 
-    if not len(run):
-        return pa.table({"unit": places["unit"], **{c: places["cost"] for c in ("d3", "d4", "d")}})
+    if not len(run) or not len(keys):
+        return np.zeros(len(run))
     at, symbol = shortest(run)
     count = counts2[at, symbol].astype(np.float64)
     total, distinct = counts2.sum(1, dtype=np.float64)[at], (counts2 > 0).sum(1)[at]
@@ -416,18 +483,14 @@ def _gains(places: pa.Table, grams: pa.Table, low: tuple) -> pa.Table:
         below = np.where(known, _escape(count, total - covered, distinct - own_distinct, below), below)
         chance = np.where(known, _escape(own, own_total, own_distinct, below), chance)
         count, total, distinct = own, own_total, own_distinct
-    able = np.flatnonzero(chance > 0)
-    change = -np.log10(np.maximum(chance[able], 1e-30)) - places["cost"].to_numpy()[able]
-    unit, at = np.unique(places["unit"].to_numpy()[able], return_inverse=True)
-    column = np.minimum(reach[able].astype(int), 5) - 3
-    sums = [np.bincount(at, np.where(column == c, change, 0), len(unit)) for c in range(3)]
-    return pa.table({"unit": unit, "d3": sums[0], "d4": sums[1], "d": sums[2]})
+    return chance
 
 
-def unit_table(counts: DataFrame, shared, low: tuple, buckets: int) -> DataFrame:
-    """``(key, n, d3, d4, d, times)``: units, and words of more than one unit by their hash.
+def unit_table(counts: DataFrame, shared, low: tuple, buckets: int, across: bool = False) -> DataFrame:
+    """``(key, n, d3, d4, d, times, seen)``: units, and words of more than one unit by their hash.
 
-    ``n`` counts the word that a unit holds, ``d…`` are changes of code length by rare contexts.
+    ``n`` counts the word that a unit holds, ``d…`` are changes of code length by rare contexts. With
+    ``across`` there are runs too, ``seen`` so often in training, with their code length as ``d``.
     """
     units = counts.where(F.col("kind") == PIECE).select("key", "more", "n")
     grams = counts.where(F.col("kind") == GRAM).select("key", "n")
@@ -436,7 +499,7 @@ def unit_table(counts: DataFrame, shared, low: tuple, buckets: int) -> DataFrame
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value[0]
         for batch in batches:
-            yield _places(model, batch)
+            yield _places(model, batch, ORDER if across else 3)
 
     def bucket(run: str):
         # All runs with the same last three bytes of context meet.
@@ -445,40 +508,58 @@ def unit_table(counts: DataFrame, shared, low: tuple, buckets: int) -> DataFrame
     left = units.mapInArrow(places, "run bigint, unit bigint, cost double").select("*", bucket("run"))
     right = grams.select("*", bucket("key"))
     gains = left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(
-        lambda a, b: _gains(a, b, low.value), "unit bigint, d3 double, d4 double, d double"
+        lambda a, b: _gains(a, b, low.value, shared.value[0] if across else None),
+        "unit bigint, d3 double, d4 double, d double, seen bigint",
+    )
+    gains = gains.groupBy(F.col("unit").alias("key")).agg(
+        *(F.sum(c).alias(c) for c in ("d3", "d4", "d")), F.max("seen").alias("seen")
     )
-    gains = gains.groupBy(F.col("unit").alias("key")).agg(*(F.sum(c).alias(c) for c in ("d3", "d4", "d")))
     words = counts.where(F.col("kind") == WORD).select(F.col("key").alias("word"), "n")
     table = units.mapInArrow(_keys, "key bigint, word bigint, times bigint")
-    table = table.join(words, "word", "left").join(gains, "key", "left").fillna(0)
+    table = table.join(words, "word", "left").join(gains, "key", "full" if across else "left")
+    table = table.fillna(0, ["n", "d3", "d4", "d", "times"])
     long = counts.where(F.col("kind") == LONG).select("key", "n")
     return table.drop("word").unionByName(long, allowMissingColumns=True)
 
 
-def _cache(table: DataFrame, total: int) -> tuple[np.ndarray, ...]:
-    """Frequent units by the upper bits of their key; of two in a slot the rarer is left out."""
-    rows = table.where(F.col("times") * CACHE >= total).toArrow()
-    keys, times = rows["key"].to_numpy().view(np.uint64), rows["times"].to_numpy()
-    order = np.lexsort((keys, times))
-    slot = (keys[order] >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
-    out = [np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), *np.zeros((3, SLOTS))]
-    for held, new in zip(out, (keys, *(rows[c].to_numpy() for c in ("n", "d3", "d4", "d"))), strict=True):
-        held[slot] = new[order]
-    return tuple(out)
+def _cached(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - CACHED.bit_length() + 1)).astype(np.int64)
+
+
+def _cache(table: DataFrame, units: int, runs: int) -> tuple[np.ndarray, ...]:
+    """Frequent units and runs, as slots and what they hold; of two in a slot the rarer is left out."""
+    often = F.when(F.col("seen").isNull(), F.col("times") * CACHE >= units)
+    rows = table.where(often.otherwise((F.col("seen") > 0) & (F.col("seen") * CACHE >= runs)))
+    rows = rows.withColumn("often", F.coalesce("seen", "times")).toArrow()
+    keys, times = rows["key"].to_numpy().view(np.uint64), rows["often"].to_numpy()
+    order = np.lexsort((keys, times))[::-1]
+    slot, first = np.unique(_cached(keys[order]), return_index=True)
+    order = order[first]
+    return slot, keys[order], rows["n"].to_numpy()[order], *(
+        rows[c].to_numpy()[order].astype(np.float32) for c in ("d3", "d4", "d"))
+
+
+def _in_slots(slot: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """The columns with a place for every slot."""
+    out = [np.zeros(CACHED, c.dtype) for c in columns]
+    for held, new in zip(out, columns, strict=True):
+        held[slot] = new
+    return out
 
 
-def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, across: bool = False) -> DataFrame:
     """Base and model scores of every row of ``docs(doc_id, text, …)``.
 
     Learns from all rows whose crc32(id) modulo ``folds`` is not ``held_out``. Returns ``doc_id,
     held_out, n_tokens, n_known, train_tokens, base_score, score``; scores are decimal logarithms.
     Tokens are words with A-Z lowered, then one end. A null text is empty: one token. With nothing
     to learn from, base scores are 0 and bytes are all alike. Repeated rows are learned and
-    scored each; a null id is the fold of an empty text. Other columns are not read.
+    scored each; a null id is the fold of an empty text. Other columns are not read. Rare
+    contexts reach back over the start of a word only with ``across``, which is the whole model.
     """
     text = F.coalesce("text", F.lit("")).alias("text")
     rows = docs.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), text)
-    counts = stored(corpus_counts(rows), "counts")
+    counts = stored(corpus_counts(rows, across), "counts")
     kinds = {r[0]: (r[1], r[2]) for r in counts.groupBy("kind").agg(
         F.count(F.lit(1)), F.sum("n")).collect()}
     ends = kinds.get(TEXT, (0, 0))[1]
@@ -488,15 +569,15 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame
     model = ByteModel(byte_levels(counts))
     shared = context.broadcast((model, ends))
     buckets = 1 + (kinds.get(GRAM, (0, 0))[0] + 4 * kinds.get(PIECE, (0, 0))[0]) // BUCKET
-    table = stored(unit_table(counts, shared, model.low, buckets), "units")
-    frequent = context.broadcast(_cache(table, kinds.get(PIECE, (0, 0))[1]))
+    table = stored(unit_table(counts, shared, model.low, buckets, across), "units")
+    frequent = context.broadcast(_cache(table, *(kinds.get(k, (0, 0))[1] for k in (PIECE, GRAM))))
     kind = rows.schema["doc_id"].dataType.simpleString()
     fields = "row bigint, doc_id {}, held_out boolean, tokens bigint, known bigint, base double, "
     numbers = ("words", "times", "e3", "e4")
     schema = fields.format(kind) + "score double, keys array<bigint>" + "".join(f", {c} array<int>" for c in numbers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (model, ends), (key_of, n_of, *changes) = shared.value, frequent.value
+        (model, ends), (key_of, n_of, *changes) = shared.value, _in_slots(*frequent.value)
         log_of = np.log10(n_of + 1.0)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -508,14 +589,25 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame
                 parts = [one[word], np.ones(len(word), bool)]
                 for i in (3, 4):
                     there = np.minimum(start + i, len(marked) - 1) - ORDER
-                    parts.append((size > i) & (level[there] <= i))
+                    parts.append((size > i) & (level[there] <= i) & (not across))
                 long = np.flatnonzero(~one)
                 keys = np.r_[keys, hashes[long]]
                 parts = np.stack(parts).astype(np.int32)
                 parts = np.hstack([parts, np.repeat(np.array([[1], [0], [0], [0]], np.int32), len(long), 1)])
                 tokens = np.bincount(owner, minlength=b - a) + 1
                 owner = np.r_[owner[word], owner[long]]
-                slot = (keys >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+                if across:
+                    # Places that a longer context may predict, and no unit holds whole.
+                    able = (level < ORDER) & (marked[ORDER:] != START)
+                    inside, most = np.zeros(len(cost) + 1, np.int8), size > ORDER
+                    inside[start[most]] += 1
+                    inside[(start + size)[most] - ORDER] -= 1
+                    at_run = np.flatnonzero(able & (np.cumsum(inside[:-1]) == 0))
+                    cost[at_run] = 0
+                    keys = np.r_[keys, mix(_runs(marked, ORDER + 1, 0)[at_run] | RUN)]
+                    owner = np.r_[owner, np.searchsorted(begin, at_run, "right") - 1]
+                    parts = np.hstack([parts, np.repeat(np.array([[0], [1], [0], [0]], np.int32), len(at_run), 1)])
+                slot = _cached(keys)
                 hit = key_of[slot] == keys
                 own, at_hit, has = owner[hit], slot[hit], parts[:, hit]
                 base = np.bincount(own, log_of[at_hit] * has[0], b - a) + np.log10(ends + 1.0)

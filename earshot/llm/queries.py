@@ -82,7 +82,7 @@ def op4_bottom_k(spark, sf_dir):
 @register
 def op5_byte_model(spark, sf_dir):
     """How likely every document is to the model and to word counts."""
-    return byte_model.score_texts(documents(spark, sf_dir))
+    return byte_model.score_texts(documents(spark, sf_dir), across=True)
 
 
 @register

@@ -215,6 +215,27 @@ def test_model_rare_contexts_serve_inside_words(spark, monkeypatch, contexts, ca
         assert r["score"] == pytest.approx(-expected, rel=1e-5), docs[r["doc_id"]]
 
 
+@pytest.mark.parametrize("contexts, cache", [(1, 1_000_000), (40, 1), (300, 30)])
+def test_model_rare_contexts_serve_across_words(spark, monkeypatch, contexts, cache):
+    """Whatever the table of frequent contexts leaves out, scores are those of the whole trie."""
+    import zlib
+
+    rng = random.Random(contexts)
+    vocabulary = ["banana", "bandana", "a", "an", "é日本語", "x" * 40, "ab" * 8, "ba" * 8 + "n", "\n", " "]
+    docs = [(i, rng.choice([" ", "  "]).join(rng.choices(vocabulary, k=rng.randrange(9)))) for i in range(40)]
+    docs += [(40, None), (41, "  banana \n"), (42, "qzw unseen"), (43, "an a an abandana")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    training = [t for i, t in docs if zlib.crc32(str(i).encode()) % 7 != 2]
+    monkeypatch.setattr(byte_model, "CONTEXTS", contexts)
+    monkeypatch.setattr(byte_model, "CACHE", cache)
+    monkeypatch.setattr(byte_model, "BUCKET", 100)
+    for r in byte_model.score_texts(df, across=True).collect():
+        expected = reference.ppm_digits(docs[r["doc_id"]][1], training)
+        assert r["score"] == pytest.approx(-expected, rel=1e-5), docs[r["doc_id"]]
+    untaught = byte_model.score_texts(df.where("doc_id = 3"), folds=1, held_out=0, across=True).collect()
+    assert untaught[0]["base_score"] == 0.0 and untaught[0]["score"] < 0
+
+
 def test_model_counts_rare_words_by_the_join(spark, odd, monkeypatch):
     whole = {tuple(r) for r in byte_model.score_texts(odd).drop("score").collect()}
     monkeypatch.setattr(byte_model, "CACHE", 50)
