@@ -133,12 +133,21 @@ def _word_units(data: np.ndarray, at: np.ndarray, marked: np.ndarray, begin: np.
     return hashes, owner, sizes <= UNIT, _units(marked, starts + (begin[:-1] + ORDER - at[:-1])[owner], sizes)
 
 
+def _inside(start: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """Of ``n`` places from ``ORDER`` on those that have ``ORDER`` bytes of their unit before them."""
+    steps, most = np.zeros(n + 1, np.int8), size > ORDER
+    steps[start[most]] += 1
+    steps[(start + size)[most] - ORDER] -= 1
+    return np.cumsum(steps[:-1]) > 0
+
+
 def corpus_counts(rows: DataFrame, across: bool = False) -> DataFrame:
-    """``(kind, key, more, n)`` of ``rows(held_out, text)``.
+    """``(kind, key, more, n, asked)`` of ``rows(held_out, text)``.
 
     Of rows that are not held out: words by hash, those of more than one unit once more, runs of
     ``ORDER`` + 1 bytes, and the number of texts. Of all rows: units by their bytes. With
-    ``across``, the others' runs are there too, counted as none.
+    ``across``, runs that some text holds outside its units are marked as ``asked``; those of
+    the other rows are there too, counted as none.
     """
 
     def emptied(tallies: dict[int, list]) -> Iterator[pa.RecordBatch]:
@@ -146,8 +155,11 @@ def corpus_counts(rows: DataFrame, across: bool = False) -> DataFrame:
             if parts:
                 key, *others, n = _added(parts)
                 key, more = others if others else (key, np.zeros(len(key), np.uint64))
+                asked = np.zeros(len(key), np.uint64)
+                if kind == GRAM:
+                    key, asked = key >> np.uint64(1), key & np.uint64(1)
                 if len(n):
-                    yield _counted(kind, key, more, n)
+                    yield _counted(kind, key, more, n, asked)
             parts.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,26 +176,31 @@ def corpus_counts(rows: DataFrame, across: bool = False) -> DataFrame:
                         tallies[LONG].append(_tally(hashes[~one]))
                     if across or not held:
                         gram = _runs(marked, ORDER + 1, 0)
+                        asked = ~_inside(units[1], units[2], len(gram)) if across else np.zeros(len(gram), bool)
                         # Runs across two texts end in a start mark.
-                        gram, n = _tally(gram[(gram & np.uint64(0xFF)) != START])
+                        able = (gram & np.uint64(0xFF)) != START
+                        able &= asked if held else True
+                        gram, n = _tally(gram[able] << np.uint64(1) | asked[able])
                         tallies[GRAM].append([gram, np.zeros_like(n) if held else n])
                     if len(tallies[PIECE]) == TOGETHER:
                         yield from emptied(tallies)
                 if not held:
                     zero = np.zeros(1, np.uint64)
-                    yield _counted(TEXT, zero, zero, np.array([part.num_rows]))
+                    yield _counted(TEXT, zero, zero, np.array([part.num_rows]), zero)
         yield from emptied(tallies)
 
-    schema = "kind int, key bigint, more bigint, n bigint"
+    schema = "kind int, key bigint, more bigint, n bigint, asked boolean"
     parts = rows.select("held_out", "text").mapInArrow(run, schema)
-    return parts.groupBy("kind", "key", "more").agg(F.sum("n").alias("n"))
+    return parts.groupBy("kind", "key", "more").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
 
 
-def _counted(kind: int, keys: np.ndarray, more: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _counted(
+    kind: int, keys: np.ndarray, more: np.ndarray, n: np.ndarray, asked: np.ndarray
+) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)),
-         pa.array(more.view(np.int64)), pa.array(n.astype(np.int64))],
-        ["kind", "key", "more", "n"],
+         pa.array(more.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(asked > 0)],
+        ["kind", "key", "more", "n", "asked"],
     )
 
 
@@ -206,26 +223,31 @@ class ByteModel:
         if not len(self.contexts[0]):
             self.contexts[0] = np.zeros(1, np.uint64)
         sizes = [len(c) for c in self.contexts]
-        table, offset = np.empty((sum(sizes), 256), np.float32), 0
+        # A column for each byte that training holds, and one for all others, which are alike everywhere.
+        held = np.unique(self.levels[0][0] & np.uint64(0xFF)).astype(int)
+        self.width = len(held) + 1
+        self.column = np.full(256, len(held), np.int32)
+        self.column[held] = np.arange(len(held))
+        table, offset = np.empty((sum(sizes), self.width), np.float32), 0
         parent_counts = parent_below = None
         for k, ((codes, n), known) in enumerate(zip(self.levels, self.contexts, strict=True)):
             at = np.searchsorted(known, codes >> np.uint64(8))
-            symbols = (codes & np.uint64(0xFF)).astype(int)
+            symbols = self.column[(codes & np.uint64(0xFF)).astype(int)]
             # The longest contexts are nobody's parents.
-            counts, below = (np.zeros((len(known) if k < ORDER else 0, 256), np.float32) for _ in range(2))
+            counts, below = (np.zeros((len(known) if k < ORDER else 0, self.width), np.float32) for _ in range(2))
             if k:
                 end = known & np.uint64((1 << 8 * (k - 1)) - 1)
                 parent = np.searchsorted(self.contexts[k - 1], end)
             for a in range(0, len(known), 4_096):  # bounded temporary tables
                 part = slice(a, a + 4_096)
                 here = slice(*np.searchsorted(at, [a, a + 4_096]))
-                held = np.zeros((len(known[part]), 256), np.float32)
+                held = np.zeros((len(known[part]), self.width), np.float32)
                 held[at[here] - a, symbols[here]] = n[here]
                 own = held.astype(np.float64)
                 seen = own > 0
                 if k == 0:
                     unseen = np.maximum(256 - seen.sum(1, keepdims=True), 1)
-                    lower = np.repeat(1 / unseen, 256, 1)
+                    lower = np.repeat(1 / unseen, self.width, 1)
                 else:
                     free = np.where(seen, 0, parent_counts[parent[part]])
                     lower = _chances(free, parent_below[parent[part]])
@@ -236,7 +258,7 @@ class ByteModel:
             offset += len(known)
             parent_counts, parent_below = counts, below
             if k == 2:
-                self.low = known, counts, below
+                self.low = known, counts, below, self.column
         self.table = table.ravel()
         self.level_of = np.repeat(np.arange(ORDER + 1, dtype=np.uint8), sizes)
         self._found: tuple | None = None
@@ -305,7 +327,7 @@ class ByteModel:
         """Code length of the symbol at each place from ORDER on, and how long the context is."""
         rows = self.rows(marked)
         symbols = marked[ORDER:].astype(np.int32)
-        cost = self.table[rows * 256 + symbols].astype(np.float64)
+        cost = self.table[rows * self.width + self.column[symbols]].astype(np.float64)
         cost[symbols == START] = 0
         return cost, self.level_of[rows]
 
@@ -413,8 +435,8 @@ def _gains(places: pa.Table, grams: pa.Table, low: tuple, model: ByteModel | Non
     """``(unit, d3, d4, d, seen)``: change of code length at places 3, 4 and later by all known contexts.
 
     All runs share hashes of the last three bytes of context, so longer contexts are complete here.
-    With ``model`` also, as ``d``, the code length of each run without a frequent context of ORDER
-    bytes, and how often it was ``seen`` in training; of units that is null.
+    With ``model`` all change is in ``d``, which also is the code length of each run asked for without a
+    frequent context of ORDER bytes, with how often it was ``seen`` in training; of units that is null.
     """
     run, cost = places["run"].to_numpy().view(np.uint64), places["cost"].to_numpy()
     keys, n = grams["key"].to_numpy().view(np.uint64), grams["n"].to_numpy().astype(np.float64)
@@ -423,9 +445,9 @@ def _gains(places: pa.Table, grams: pa.Table, low: tuple, model: ByteModel | Non
     at_unit, own, times = len(run), keys[:0], n[:0]
     if model is not None:
         row = model.rows_of(keys >> np.uint64(8))
-        rare = model.level_of[row] < ORDER
+        rare = (model.level_of[row] < ORDER) & grams["asked"].to_numpy()[order]
         own, times = keys[rare], n[rare]
-        table = model.table[row[rare] * 256 + (own & np.uint64(0xFF)).astype(np.int32)]
+        table = model.table[row[rare] * model.width + model.column[(own & np.uint64(0xFF)).astype(np.int32)]]
         run = np.r_[run, own | np.uint64(ORDER << 56)]
         cost = np.r_[cost, table.astype(np.float64)]
     chance = _chance_of(run, keys[n > 0], n[n > 0], low)
@@ -434,14 +456,13 @@ def _gains(places: pa.Table, grams: pa.Table, low: tuple, model: ByteModel | Non
     change = code[able] - cost[able]
     unit, at = np.unique(places["unit"].to_numpy()[able], return_inverse=True)
     column = np.minimum((run[able] >> np.uint64(56)).astype(int), 5) - 3
-    sums = [np.bincount(at, np.where(column == c, change, 0), len(unit)) for c in range(3)]
-    zero = np.zeros(len(own))
+    sums = [np.bincount(at, np.where(column == c, change, 0), len(unit)).astype(float) for c in range(3)]
     seen = pa.array(np.r_[np.zeros(len(unit)), times].astype(np.int64), mask=np.arange(len(unit) + len(own)) < len(unit))
-    return pa.table({
-        "unit": np.r_[unit, mix(own | RUN).view(np.int64)],
-        **{c: np.r_[x, y] for c, x, y in zip(("d3", "d4", "d"), sums, (zero, zero, code[at_unit:]), strict=True)},
-        "seen": seen,
-    })
+    if model is not None:
+        return pa.table({
+            "unit": np.r_[unit, mix(own | RUN).view(np.int64)], "d": np.r_[sum(sums), code[at_unit:]], "seen": seen,
+        })
+    return pa.table({"unit": unit, **dict(zip(("d3", "d4", "d"), sums, strict=True))})
 
 
 def _chance_of(run: np.ndarray, keys: np.ndarray, n: np.ndarray, low: tuple) -> np.ndarray:
@@ -451,11 +472,11 @@ def _chance_of(run: np.ndarray, keys: np.ndarray, n: np.ndarray, low: tuple) ->
     for k in range(ORDER - 1, 2, -1):
         ends, at = np.unique(keys & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
         level[k] = ends, np.bincount(at, n, len(ends))
-    known2, counts2, below2 = low
+    known2, counts2, below2, column = low
 
     def shortest(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at, _ = _in(runs >> np.uint64(8) & np.uint64(0xFFFF), known2)
-        return at, (runs & np.uint64(0xFF)).astype(int)
+        return at, column[(runs & np.uint64(0xFF)).astype(int)]
 
     if not len(run) or not len(keys):
         return np.zeros(len(run))
@@ -490,10 +511,11 @@ def unit_table(counts: DataFrame, shared, low: tuple, buckets: int, across: bool
     """``(key, n, d3, d4, d, times, seen)``: units, and words of more than one unit by their hash.
 
     ``n`` counts the word that a unit holds, ``d…`` are changes of code length by rare contexts. With
-    ``across`` there are runs too, ``seen`` so often in training, with their code length as ``d``.
+    ``across`` that is ``d`` alone, and there are runs too, ``seen`` so often in training, with their
+    code length as ``d``. A run is in one group of contexts only, so runs are stored as they come.
     """
     units = counts.where(F.col("kind") == PIECE).select("key", "more", "n")
-    grams = counts.where(F.col("kind") == GRAM).select("key", "n")
+    grams = counts.where(F.col("kind") == GRAM).select("key", "n", "asked")
     low = counts.sparkSession.sparkContext.broadcast(low)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -507,19 +529,24 @@ def unit_table(counts: DataFrame, shared, low: tuple, buckets: int, across: bool
 
     left = units.mapInArrow(places, "run bigint, unit bigint, cost double").select("*", bucket("run"))
     right = grams.select("*", bucket("key"))
+    changes = ["d"] if across else ["d3", "d4", "d"]
     gains = left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(
         lambda a, b: _gains(a, b, low.value, shared.value[0] if across else None),
-        "unit bigint, d3 double, d4 double, d double, seen bigint",
-    )
-    gains = gains.groupBy(F.col("unit").alias("key")).agg(
-        *(F.sum(c).alias(c) for c in ("d3", "d4", "d")), F.max("seen").alias("seen")
-    )
+        "unit bigint" + "".join(f", {c} double" for c in changes) + ", seen bigint" * across,
+    ).withColumnRenamed("unit", "key")
+    if across:
+        gains = stored(gains, "gains")
+        runs = gains.where("seen is not null").select("key", "d", "seen")
+        gains = gains.where("seen is null")
+    gains = gains.groupBy("key").agg(*(F.sum(c).alias(c) for c in changes))
     words = counts.where(F.col("kind") == WORD).select(F.col("key").alias("word"), "n")
     table = units.mapInArrow(_keys, "key bigint, word bigint, times bigint")
-    table = table.join(words, "word", "left").join(gains, "key", "full" if across else "left")
-    table = table.fillna(0, ["n", "d3", "d4", "d", "times"])
+    table = table.join(words, "word", "left").join(gains, "key", "left")
+    table = table.fillna(0, ["n", *changes, "times"])
     long = counts.where(F.col("kind") == LONG).select("key", "n")
-    return table.drop("word").unionByName(long, allowMissingColumns=True)
+    table = stored(table.drop("word").unionByName(long, allowMissingColumns=True), "units")
+    table = table.withColumn("seen", F.lit(None).cast("bigint"))
+    return table.unionByName(runs, allowMissingColumns=True).fillna(0, ["n"]) if across else table
 
 
 def _cached(keys: np.ndarray) -> np.ndarray:
@@ -536,7 +563,7 @@ def _cache(table: DataFrame, units: int, runs: int) -> tuple[np.ndarray, ...]:
     slot, first = np.unique(_cached(keys[order]), return_index=True)
     order = order[first]
     return slot, keys[order], rows["n"].to_numpy()[order], *(
-        rows[c].to_numpy()[order].astype(np.float32) for c in ("d3", "d4", "d"))
+        rows[c].to_numpy()[order].astype(np.float32) for c in ("d3", "d4", "d") if c in table.columns)
 
 
 def _in_slots(slot: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
@@ -569,15 +596,17 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, across: bool
     model = ByteModel(byte_levels(counts))
     shared = context.broadcast((model, ends))
     buckets = 1 + (kinds.get(GRAM, (0, 0))[0] + 4 * kinds.get(PIECE, (0, 0))[0]) // BUCKET
-    table = stored(unit_table(counts, shared, model.low, buckets, across), "units")
+    table = unit_table(counts, shared, model.low, buckets, across)
     frequent = context.broadcast(_cache(table, *(kinds.get(k, (0, 0))[1] for k in (PIECE, GRAM))))
     kind = rows.schema["doc_id"].dataType.simpleString()
     fields = "row bigint, doc_id {}, held_out boolean, tokens bigint, known bigint, base double, "
-    numbers = ("words", "times", "e3", "e4")
+    # With ``across`` no place counts apart.
+    changes = {"times": "d"} if across else {"e3": "d3", "e4": "d4", "times": "d"}
+    numbers = ("words", *changes)
     schema = fields.format(kind) + "score double, keys array<bigint>" + "".join(f", {c} array<int>" for c in numbers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (model, ends), (key_of, n_of, *changes) = shared.value, _in_slots(*frequent.value)
+        (model, ends), (key_of, n_of, *change_of) = shared.value, _in_slots(*frequent.value)
         log_of = np.log10(n_of + 1.0)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -585,37 +614,35 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, across: bool
                 marked, begin = _marked(data, at)
                 cost, level = model.costs(marked)
                 hashes, owner, one, (word, start, size, keys, _, _) = _word_units(data, at, marked, begin)
-                # What counts: the word, the unit, places 3 and 4 if no context reaches beyond the unit.
-                parts = [one[word], np.ones(len(word), bool)]
-                for i in (3, 4):
+                # What counts: the word, places 3 and 4 if no context reaches beyond the unit, the unit.
+                parts = [one[word]]
+                for i in () if across else (3, 4):
                     there = np.minimum(start + i, len(marked) - 1) - ORDER
-                    parts.append((size > i) & (level[there] <= i) & (not across))
+                    parts.append((size > i) & (level[there] <= i))
+                parts.append(np.ones(len(word), bool))
                 long = np.flatnonzero(~one)
                 keys = np.r_[keys, hashes[long]]
                 parts = np.stack(parts).astype(np.int32)
-                parts = np.hstack([parts, np.repeat(np.array([[1], [0], [0], [0]], np.int32), len(long), 1)])
+                parts = np.hstack([parts, np.repeat((np.arange(len(parts)) == 0).astype(np.int32)[:, None], len(long), 1)])
                 tokens = np.bincount(owner, minlength=b - a) + 1
                 owner = np.r_[owner[word], owner[long]]
                 if across:
                     # Places that a longer context may predict, and no unit holds whole.
                     able = (level < ORDER) & (marked[ORDER:] != START)
-                    inside, most = np.zeros(len(cost) + 1, np.int8), size > ORDER
-                    inside[start[most]] += 1
-                    inside[(start + size)[most] - ORDER] -= 1
-                    at_run = np.flatnonzero(able & (np.cumsum(inside[:-1]) == 0))
+                    at_run = np.flatnonzero(able & ~_inside(start, size, len(cost)))
                     cost[at_run] = 0
                     keys = np.r_[keys, mix(_runs(marked, ORDER + 1, 0)[at_run] | RUN)]
                     owner = np.r_[owner, np.searchsorted(begin, at_run, "right") - 1]
-                    parts = np.hstack([parts, np.repeat(np.array([[0], [1], [0], [0]], np.int32), len(at_run), 1)])
+                    parts = np.hstack([parts, np.repeat(np.array([[0], [1]], np.int32), len(at_run), 1)])
                 slot = _cached(keys)
                 hit = key_of[slot] == keys
                 own, at_hit, has = owner[hit], slot[hit], parts[:, hit]
                 base = np.bincount(own, log_of[at_hit] * has[0], b - a) + np.log10(ends + 1.0)
                 known = np.bincount(own, (n_of[at_hit] > 0) * has[0], b - a).astype(np.int64) + (ends > 0)
-                d3, d4, d = (x[at_hit] for x in changes)
                 # A text's own symbols are the places from its first byte to its end mark.
                 digits = np.add.reduceat(cost, begin[:-1])
-                digits += np.bincount(own, has[1] * d + has[2] * d3 + has[3] * d4, b - a)
+                moved = sum(h * x[at_hit] for h, x in zip(has[1:], change_of, strict=True))
+                digits += np.bincount(own, moved, b - a)
                 # The others, once per text with their numbers.
                 owner, keys, parts = owner[~hit], keys[~hit], parts[:, ~hit]
                 order = np.lexsort((keys, owner))
@@ -641,11 +668,13 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, across: bool
     scored = stored(rows.mapInArrow(run, schema), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("keys", *numbers)).alias("u"))
     rare = rare.select("row", F.col("u.keys").alias("key"), *(F.col(f"u.{c}").alias(c) for c in numbers))
-    lacking = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("d3", "d4", "d")]
-    found = rare.join(table.select("key", "n", *lacking), "key").groupBy("row").agg(
+    lacking = [F.coalesce(c, F.lit(0.0)).alias(c) for c in changes.values()]
+    # What changes nothing needs no row.
+    telling = table.select("key", "n", *lacking).where(" or ".join(f"{c} != 0" for c in ("n", *changes.values())))
+    found = rare.join(telling, "key").groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("words")).otherwise(0)).alias("more"),
         F.sum(F.col("words") * F.log10(F.col("n") + 1.0)).alias("added"),
-        F.sum(F.expr("times * d + e3 * d3 + e4 * d4")).alias("changed"),
+        F.sum(F.expr(" + ".join(f"{e} * {d}" for e, d in changes.items()))).alias("changed"),
     )
     whole = float(np.log10(total + types + 1.0))
     return scored.drop("keys", *numbers).join(found, "row", "left").select(

@@ -236,6 +236,19 @@ def test_model_rare_contexts_serve_across_words(spark, monkeypatch, contexts, ca
     assert untaught[0]["base_score"] == 0.0 and untaught[0]["score"] < 0
 
 
+def test_model_tables_hold_only_bytes_of_training_and_runs_asked_for(spark):
+    docs = [(False, "abcdefgh abcdefgh"), (True, "abcdefghz"), (False, None)]
+    rows = spark.createDataFrame(docs, "held_out boolean, text string").fillna("")
+    counts = byte_model.corpus_counts(rows, across=True)
+    runs = {r["key"].to_bytes(6): (r["n"], r["asked"]) for r in counts.where(f"kind = {byte_model.GRAM}").collect()}
+    # Six bytes inside a word are its unit's, whatever text holds them; across a start they are asked for.
+    assert runs[b"abcdef"] == (2, False) and runs[b"h abcd"] == (1, True)
+    assert b"defghz" not in runs
+    model = byte_model.ByteModel(byte_model.byte_levels(counts))
+    # Eight letters, a space and the end mark; one column for all other bytes.
+    assert len(model.table) == 11 * len(model.level_of)
+
+
 def test_model_counts_rare_words_by_the_join(spark, odd, monkeypatch):
     whole = {tuple(r) for r in byte_model.score_texts(odd).drop("score").collect()}
     monkeypatch.setattr(byte_model, "CACHE", 50)
