@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import fold, stored
+from earshot.llm.common import discard, fold, shared_folder, short_shuffles, stored
 from earshot.llm.pieces import slices
 from earshot.llm.words import mix, utf8, word_hashes, word_places
 from earshot.session import cut
@@ -46,7 +46,7 @@ START, END = 0xFE, 0xFF
 ORDER, CONTEXTS = 5, 1 << 17
 CACHE, SLOTS = 1_000_000, 1 << 20
 #: Bytes of text taken at once, and such slices whose counts are added up before they leave the task.
-SLICE, TOGETHER = 1 << 20, 8
+SLICE, TOGETHER = 1 << 20, 16
 #: Bytes of a unit; rows that a group of contexts holds on average.
 UNIT, BUCKET = 16, 1 << 19
 #: A byte that no text holds, where a unit has nothing before it.
@@ -190,7 +190,8 @@ def corpus_counts(rows: DataFrame, across: bool = False) -> DataFrame:
         yield from emptied(tallies)
 
     schema = "kind int, key bigint, more bigint, n bigint, asked boolean"
-    parts = rows.select("held_out", "text").mapInArrow(run, schema)
+    # What a task emits is added up, and few of its keys occur again in it: they travel as they are.
+    parts = rows.select("held_out", "text").mapInArrow(run, schema).repartition("kind", "key", "more")
     return parts.groupBy("kind", "key", "more").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
 
 
@@ -308,19 +309,19 @@ class ByteModel:
         """The table row of the longest known end of each ``ORDER`` bytes."""
         short, key_of, row_of = self._finder()
         out = short[(context & np.uint64(0xFFFFFF)).astype(np.int32)].astype(np.int32)
-        able = np.arange(len(out))
-        low = sum(len(c) for c in self.contexts[:3])
+        # A context is known only if its end is.
+        able = np.flatnonzero(out >= sum(len(c) for c in self.contexts[:3]))
         for k in range(4, ORDER + 1):
-            able = able[out[able] >= low]  # a context is known only if its end is
-            low += len(self.contexts[k - 1])
             keys, slots = _slots(context[able] & np.uint64((1 << 8 * k) - 1), k)
-            left = np.arange(len(able))
-            while len(left):
-                held = key_of[slots[left]]
-                hit = left[held == keys[left]]
-                out[able[hit]] = row_of[slots[hit]]
-                left = left[(held != keys[left]) & (held > 0)]
-                slots[left] = (slots[left] + 1) % SLOTS
+            place, found = able, []
+            while len(place):
+                held = key_of[slots]
+                hit = held == keys
+                found.append(place[hit])
+                out[found[-1]] = row_of[slots[hit]]
+                left = np.flatnonzero(~hit & (held > 0))
+                place, keys, slots = place[left], keys[left], (slots[left] + 1) % SLOTS
+            able = np.concatenate(found) if found else able
         return out
 
     def costs(self, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -586,24 +587,29 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, across: bool
     """
     text = F.coalesce("text", F.lit("")).alias("text")
     rows = docs.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), text)
-    counts = stored(corpus_counts(rows, across), "counts")
-    kinds = {r[0]: (r[1], r[2]) for r in counts.groupBy("kind").agg(
-        F.count(F.lit(1)), F.sum("n")).collect()}
-    ends = kinds.get(TEXT, (0, 0))[1]
-    total = kinds.get(WORD, (0, 0))[1] + ends
-    types = kinds.get(WORD, (0, 0))[0] + (1 if ends else 0)
-    context = docs.sparkSession.sparkContext
-    model = ByteModel(byte_levels(counts))
-    shared = context.broadcast((model, ends))
-    buckets = 1 + (kinds.get(GRAM, (0, 0))[0] + 4 * kinds.get(PIECE, (0, 0))[0]) // BUCKET
-    table = unit_table(counts, shared, model.low, buckets, across)
-    frequent = context.broadcast(_cache(table, *(kinds.get(k, (0, 0))[1] for k in (PIECE, GRAM))))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    fields = "row bigint, doc_id {}, held_out boolean, tokens bigint, known bigint, base double, "
+    spark, context = docs.sparkSession, docs.sparkSession.sparkContext
+    counted = shared_folder(spark, "counts")
+    with short_shuffles(spark):
+        counts = stored(corpus_counts(rows, across), "counts", counted)
+        kinds = {r[0]: (r[1], r[2]) for r in counts.groupBy("kind").agg(
+            F.count(F.lit(1)), F.sum("n")).collect()}
+        ends = kinds.get(TEXT, (0, 0))[1]
+        total = kinds.get(WORD, (0, 0))[1] + ends
+        types = kinds.get(WORD, (0, 0))[0] + (1 if ends else 0)
+        model = ByteModel(byte_levels(counts))
+        shared = context.broadcast((model, ends))
+        buckets = 1 + (kinds.get(GRAM, (0, 0))[0] + 4 * kinds.get(PIECE, (0, 0))[0]) // BUCKET
+        table = unit_table(counts, shared, model.low, buckets, across)
+        frequent = context.broadcast(_cache(table, *(kinds.get(k, (0, 0))[1] for k in (PIECE, GRAM))))
+    # Units, words and runs are in tables of their own now.
+    discard(spark, counted)
+    kind = rows.schema["doc_id"].dataType
     # With ``across`` no place counts apart.
     changes = {"times": "d"} if across else {"e3": "d3", "e4": "d4", "times": "d"}
     numbers = ("words", *changes)
-    schema = fields.format(kind) + "score double, keys array<bigint>" + "".join(f", {c} array<int>" for c in numbers)
+    # A text's own row has a base; its tokens and known ones are its words and times.
+    schema = "row bigint, key bigint, " + "".join(f"{c} int, " for c in numbers)
+    schema += f"doc_id {kind.simpleString()}, base double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (model, ends), (key_of, n_of, *change_of) = shared.value, _in_slots(*frequent.value)
@@ -645,44 +651,51 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, across: bool
                 digits += np.bincount(own, moved, b - a)
                 # The others, once per text with their numbers.
                 owner, keys, parts = owner[~hit], keys[~hit], parts[:, ~hit]
-                order = np.lexsort((keys, owner))
+                # Keys that share their first bits may stay apart; they are added up later.
+                order = np.argsort(owner.astype(np.uint64) << np.uint64(43) | keys >> np.uint64(21))
                 owner, keys, parts = owner[order], keys[order], parts[:, order]
                 new = np.ones(len(owner), bool)
                 new[1:] = (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])
                 at_new = np.flatnonzero(new)
                 if len(at_new):
                     parts = np.add.reduceat(parts, at_new, 1, np.int32)
-                cuts = pa.array(np.searchsorted(owner[at_new], np.arange(b - a + 1)).astype(np.int32))
-                part = batch.slice(a, b - a)
+                own = np.zeros((len(numbers), b - a), np.int32)
+                own[0], own[-1] = tokens, known
+                number = row + np.arange(b - a)
+                ids, none = batch.slice(a, b - a)["doc_id"], len(at_new)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(row + np.arange(b - a)), part["doc_id"], part["held_out"],
-                        pa.array(tokens), pa.array(known), pa.array(base), pa.array(-digits),
-                        pa.ListArray.from_arrays(cuts, pa.array(keys[at_new].view(np.int64))),
-                        *(pa.ListArray.from_arrays(cuts, pa.array(x)) for x in parts),
+                        pa.array(np.r_[row + owner[at_new], number]),
+                        pa.array(np.r_[keys[at_new], mix(number.astype(np.uint64))].view(np.int64)),
+                        *(pa.array(x) for x in np.hstack([parts, own])),
+                        pa.concat_arrays([pa.nulls(none, ids.type), ids]),
+                        *(pa.concat_arrays([pa.nulls(none, pa.float64()), pa.array(x)]) for x in (base, -digits)),
                     ],
-                    ["row", "doc_id", "held_out", "tokens", "known", "base", "score", "keys", *numbers],
+                    ["row", "key", *numbers, "doc_id", "base", "score"],
                 )
                 row += b - a
 
-    scored = stored(rows.mapInArrow(run, schema), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("keys", *numbers)).alias("u"))
-    rare = rare.select("row", F.col("u.keys").alias("key"), *(F.col(f"u.{c}").alias(c) for c in numbers))
-    lacking = [F.coalesce(c, F.lit(0.0)).alias(c) for c in changes.values()]
     # What changes nothing needs no row.
+    lacking = [F.coalesce(c, F.lit(0.0)).alias(c) for c in changes.values()]
     telling = table.select("key", "n", *lacking).where(" or ".join(f"{c} != 0" for c in ("n", *changes.values())))
-    found = rare.join(telling, "key").groupBy("row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("words")).otherwise(0)).alias("more"),
-        F.sum(F.col("words") * F.log10(F.col("n") + 1.0)).alias("added"),
-        F.sum(F.expr(" + ".join(f"{e} * {d}" for e, d in changes.items()))).alias("changed"),
+    # A text's own row goes where its key's hash says, and meets nothing that counts.
+    found = rows.select("doc_id", "text").mapInArrow(run, schema).join(telling, "key", "left")
+    own, n, d = F.col("base").isNotNull(), F.coalesce("n", F.lit(0)), " + ".join(
+        f"{e} * coalesce({d}, 0.0)" for e, d in changes.items())
+    sums = found.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.sum(F.when(own, F.col("words")).otherwise(0)).alias("n_tokens"),
+        F.sum(F.when(own, F.col("times")).when(n > 0, F.col("words")).otherwise(0)).alias("n_known"),
+        F.sum(F.coalesce("base", F.col("words") * F.log10(n + 1.0))).alias("base"),
+        F.sum(F.coalesce("score", -F.expr(d))).alias("score"),
     )
     whole = float(np.log10(total + types + 1.0))
-    return scored.drop("keys", *numbers).join(found, "row", "left").select(
+    return sums.select(
         "doc_id",
-        "held_out",
-        F.col("tokens").alias("n_tokens"),
-        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        (fold("doc_id", folds) == held_out).alias("held_out"),
+        "n_tokens",
+        "n_known",
         F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("added", F.lit(0.0)) - F.col("tokens") * whole).alias("base_score"),
-        (F.col("score") - F.coalesce("changed", F.lit(0.0))).alias("score"),
+        (F.col("base") - F.col("n_tokens") * whole).alias("base_score"),
+        "score",
     )

@@ -22,6 +22,8 @@ from earshot.llm import (
     wrappers,
 )
 from earshot.llm import queries as llm
+from earshot.session import ensure_checkpoint_dir
+from earshot.sources.commits import listed
 
 SCHEMA = (
     "doc_id bigint, text string, lang string, source string, n_chars bigint, copy string, ids int, "
@@ -249,6 +251,17 @@ def test_model_tables_hold_only_bytes_of_training_and_runs_asked_for(spark):
     assert len(model.table) == 11 * len(model.level_of)
 
 
+def test_model_leaves_only_tables_that_scores_are_read_from(spark, odd):
+    folder = ensure_checkpoint_dir(spark)
+    before = set(listed(spark, folder))
+    out = byte_model.score_texts(odd, across=True)
+    new = {path.rsplit("/", 1)[1].split("-")[0] for path in set(listed(spark, folder)) - before}
+    assert {"gains", "units"} <= new and not new & {"counts", "scored"}
+    # Shuffle files are dropped early only inside.
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert out.count() == len(TEXTS)
+
+
 def test_model_counts_rare_words_by_the_join(spark, odd, monkeypatch):
     whole = {tuple(r) for r in byte_model.score_texts(odd).drop("score").collect()}
     monkeypatch.setattr(byte_model, "CACHE", 50)
