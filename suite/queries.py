@@ -1166,7 +1166,8 @@ def short_term_stream(fx):
     third = F.floor((F.col("timestamp") - low) * 3 / (high - low + 1)).cast("int")
     numbered = log.withColumn("_n", third)
     late = old.drop("_last").withColumn("_n", F.lit(3))
-    rows = numbered.unionByName(late)
+    # Each file is written from these rows; they are made once.
+    rows = cut(numbered.unionByName(late))
     stream = in_files(fx, rows, f"{root}/log", F.col("_n"))
     out = _collected(short_term.short_term_stream(stream, fx.items()), root, fx.spark)
     last = short_term.latest_vectors(out)

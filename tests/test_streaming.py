@@ -187,6 +187,29 @@ def test_short_term_stream_equals_batch(spark, tmp_path):
         assert row["vector"] == pytest.approx(want[user]["vector"], abs=1e-9)
 
 
+def test_short_term_stream_deals_users_to_groups(spark, tmp_path):
+    rng = random.Random(5)
+    users = [f"u{i}" for i in range(20)]
+    # A user who is in no batch after the first stays as they were.
+    rows, ts = [("early", "t1", 1, "listen"), (None, "t2", 2, "listen")], 10
+    for _ in range(200):
+        ts += rng.choice([1000, 900_000])
+        rows.append((rng.choice(users), f"t{rng.randrange(4)}", ts, "listen"))
+    items = spark.createDataFrame(
+        [(f"t{i}", [float(i), 1.0, -float(i)]) for i in range(4)], "id string, embedding array<float>"
+    )
+    stream = log_stream(spark, tmp_path, rows, LOG, 4, 2)
+    got = run_updates(short_term.short_term_stream(stream, items, groups=2), tmp_path)
+    batch = sessions.short_term_vectors(spark.createDataFrame(rows, LOG), items, dim=3)
+    want = {r["user_id"]: r for r in batch.orderBy("session_no").collect()}
+    last = {r["user_id"]: r for r in got.orderBy("last_ts").collect()}
+    assert set(last) == {*users, "early", None}
+    assert last[None]["vector"] == [2.0, 1.0, -2.0]
+    for user in (*users, "early"):
+        assert last[user]["last_ts"] == want[user]["last_ts"]
+        assert last[user]["vector"] == pytest.approx(want[user]["vector"], abs=1e-6)
+
+
 def test_listen_stream_equals_batch(spark, tmp_path):
     rng = random.Random(3)
     schema = "play_id string, ts_ms long, kind string"
