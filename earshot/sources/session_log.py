@@ -55,16 +55,15 @@ def advance(
     state = _read(spark, sessions.SESSION_STATE, [known["state"]] if known else [])
     folded = sessions.fold_sessions(state, log, items, upto_ms, decay, gap_ms, dim=dim)
     folder = f"{root}/run-{uuid.uuid4().hex}"
-    # Written once, read for both parts.
+    # Sessions are written once: the folders of the ended ones are what a version names.
     folded.write.partitionBy("last", "new_end").parquet(f"{folder}/folded")
     done = spark.read.schema(f"{sessions.SESSION_STATE}, last boolean, new_end boolean").parquet(f"{folder}/folded")
     sessions.next_state(done).write.parquet(f"{folder}/state")
-    done.filter("new_end").select("user_id", "session_no", "last_ts", "n_plays", "vector").write.parquet(
-        f"{folder}/ended"
-    )
+    over = [f"{folder}/folded/last={last}/new_end=true" for last in ("false", "true")]
+    over = [path for path in over if commits.listed(spark, path)]
     entry = {
         "upto": upto_ms, "state": f"{folder}/state", "marks": {},
-        "ended": [*known.get("ended", []), f"{folder}/ended"],
+        "ended": [*known.get("ended", []), *over],
     }
     if not commits.commit(spark, log_folder(root), newest + 1, entry):
         raise commits.Conflict(f"{root}: version {newest + 1} came from another writer")

@@ -240,6 +240,16 @@ def test_sessions_in_any_stretches_equal_one_pass(spark, tmp_path, seed):
         session_log.advance(spark, place, root, items, times[0])
 
 
+def test_ended_sessions_are_written_once(spark, tmp_path):
+    _, log, items = play_rows(spark, 3)
+    place, root = str(tmp_path / "lake"), str(tmp_path / "s")
+    lake.write_lake(log, place, "a")
+    session_log.advance(spark, place, root, items, T0 + 2 * DAY_MS)
+    (run,) = tmp_path.glob("s/run-*")
+    assert sorted(p.name for p in run.iterdir()) == ["folded", "state"]
+    assert session_log.read_sessions(spark, root).count() > 3
+
+
 def test_a_session_over_midnight_goes_on(spark, tmp_path):
     night = T0 + DAY_MS
     plays = [("u", "t0", night - 1000, "listen", date(2024, 1, 1)), ("u", "t1", night + 1000, "listen", date(2024, 1, 2))]
