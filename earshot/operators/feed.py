@@ -170,7 +170,7 @@ def home_feed(
         )
     )
     asks = wanted.filter(F.col("vector").isNotNull())
-    seen = served.select("user_id", "id")
+    seen = cut(served.select("user_id", "id").join(wanted.select("user_id").distinct(), "user_id", "left_semi"))
     best = topk_ip(
         asks.select(F.col("user_id").alias("query_id"), "vector"),
         items,

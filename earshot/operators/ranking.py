@@ -55,32 +55,35 @@ def paginate(
     and ``already(user_id, n_generated)``) stay under the cap. With ``songs(_id)`` nothing
     follows a page none of whose ids has a song.
     """
-    ranked = cut(ranked)
-    ranked = spread(ranked, "user_id", rows=ranked.count())
-    lists = ranked.groupBy("user_id").agg(F.max("rank").alias("_size"))
+    number = F.ceil(F.col("rank") / F.lit(page_size)).cast("int").alias("page")
+    entry = F.struct(*(c for c in ranked.columns if c != "user_id"))
+    # Lists travel and are kept as one row per page, put together in the tasks that made them.
+    packed = ranked.filter("user_id IS NOT NULL").groupBy("user_id", number)
+    packed = cut(packed.agg(F.collect_list(entry).alias("_rows"), F.max("rank").alias("_last")))
+    lists = packed.groupBy("user_id").agg(F.max("_last").alias("_size"))
     before = F.lit(0)
     if already is not None:
         lists = lists.join(already.select("user_id", "n_generated"), "user_id", "left")
         before = F.coalesce(F.col("n_generated"), F.lit(0))
     lists = lists.select("user_id", "_size", (before + F.col("_size")).alias("_generated"))
-    number = F.ceil(F.col("rank") / F.lit(page_size)).cast("int")
-    remaining = F.col("_size") > F.col("page") * page_size
-    pages = (
-        ranked.join(lists, "user_id")
-        .withColumn("page", number)
-        .withColumn("has_more", remaining | (F.col("_generated") < cap))
-        .select(*ranked.columns, "page", "has_more")
-    )
-    if songs is None:
-        return pages
-    shown = pages.join(songs.select(F.col("_id").alias("id")), "id", "left_semi")
-    filled = shown.select("user_id", "page").distinct().withColumn("_filled", F.lit(True))
-    return (
-        pages.join(filled, ["user_id", "page"], "left")
-        .withColumn("has_more", F.col("has_more") & F.col("_filled").isNotNull())
-        .select(*ranked.columns, "page", "has_more")
-    )
-
+    more = (F.col("_size") > F.col("page") * page_size) | (F.col("_generated") < cap)
+    pages = packed.join(lists, "user_id")
+    if songs is not None:
+        filled = _with_songs(packed, songs).withColumn("_filled", F.lit(True))
+        pages = pages.join(filled, ["user_id", "page"], "left")
+        more = more & F.col("_filled").isNotNull()
+    rows = pages.select("user_id", "page", more.alias("has_more"), F.explode("_rows").alias("_row"))
+    columns = [F.col(c if c == "user_id" else f"_row.{c}") for c in ranked.columns]
+    return rows.select(*columns, "page", "has_more")
+
+
+def _with_songs(packed: DataFrame, songs: DataFrame) -> DataFrame:
+    """``(user_id, page)`` of the pages that show an id with a song."""
+    shown = packed.select("user_id", "page", F.explode(F.array_distinct("_rows.id")).alias("id"))
+    found = cut(shown.select("id").distinct().join(songs.select(F.col("_id").alias("id")), "id", "left_semi"))
+    if found.count() <= FEW_SONGS:
+        found = F.broadcast(found)  # at most FEW_SONGS rows
+    return shown.join(found, "id", "left_semi").select("user_id", "page").distinct()
 
 
 def minmax(df: DataFrame, by: str, col: str, out: str = "scaled") -> DataFrame:

@@ -577,13 +577,11 @@ def fallback_songs(fx):
     return ranking.fallback_songs(wanted, fx.counted_songs(), fx.served().select("user_id", "id"), SEED)
 
 
-def feed_refills(fx: Fixtures) -> DataFrame:
-    return feed.refills(fx.user_ids(), feed.feed_state(fx.feed_served()), feed.FEED)
-
-
-def feeds(fx: Fixtures) -> DataFrame:
+def feeds(fx: Fixtures, state: DataFrame | None = None) -> DataFrame:
+    state = feed.feed_state(fx.feed_served()) if state is None else state
+    wanted = feed.refills(fx.user_ids(), state, feed.FEED)
     return feed.home_feed(
-        feed_refills(fx), fx.vectors(), fx.items(), fx.counted_songs(), fx.feed_served(), SEED
+        wanted, fx.vectors(), fx.items(), fx.counted_songs(), fx.feed_served(), SEED
     )
 
 
@@ -594,8 +592,8 @@ def home_feed(fx):
 
 @register
 def paginate_feed(fx):
-    state = feed.feed_state(fx.feed_served())
-    return ranking.paginate(feeds(fx).drop("source"), 20, feed.FEED.cap, state, fx.names())
+    state = cut(feed.feed_state(fx.feed_served()))
+    return ranking.paginate(feeds(fx, state).drop("source"), 20, feed.FEED.cap, state, fx.names())
 
 
 @register

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,6 +159,56 @@ def test_page_and_paginate(spark):
     assert {r["has_more"] for r in ranking.paginate(lists, 2, 11, done).collect()} == {True}
 
 
+def test_paginate_keeps_a_row_per_page(spark, monkeypatch):
+    """Lists are kept once, packed; before, every row of them was."""
+    rows = [(f"u{u}", f"s{i}", i) for u in range(3) for i in range(1, 101)] + [(None, "s1", 1), ("u0", "s1", 100)]
+    lists = spark.createDataFrame(rows, "user_id string, id string, rank int")
+    songs = spark.createDataFrame([(f"s{i}",) for i in range(1, 81)], "_id string")
+    done = spark.createDataFrame([("u1", 400), ("u2", 399)], "user_id string, n_generated long")
+    kept, cut = [], ranking.cut
+    monkeypatch.setattr(ranking, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    got = ranking.paginate(lists, 20, 500, done, songs).collect()
+    assert kept[0].count() == 15
+    more = {(r["user_id"], r["page"], r["has_more"]) for r in got if r["id"] != "s1"}
+    assert len(got) == 301 and more == {
+        (u, p, p < 5 or u == "u0") for u in ("u0", "u1", "u2") for p in range(1, 6)
+    }
+    assert ("u0", "s1", 100, 5, True) in {tuple(r) for r in got}
+    monkeypatch.setattr(ranking, "FEW_SONGS", 5)
+    assert sorted(ranking.paginate(lists, 20, 500, done, songs).collect()) == sorted(got)
+
+
+def test_a_tile_sums_few_scores_again(spark, monkeypatch):
+    """A query's floor rises with each block of a tile; before, each block gave its own best."""
+    rng = np.random.default_rng(5)
+    vecs = rng.normal(size=(2000, 8)).astype(np.float32)
+    names = [f"i{n:04d}" for n in range(2000)]
+    blocks = pa.table({
+        "ball": pa.array([0] * 20, pa.int32()), "ids": [names[n * 100 : n * 100 + 100] for n in range(20)],
+        "vecs": pa.array([vecs[n * 100 : n * 100 + 100].ravel() for n in range(20)], pa.list_(pa.float32())),
+        "reach": [99.0] * 20,
+    })
+    asked = pa.table({
+        "query_id": ["q0", "q1", "q2"], "vector": pa.array(list(vecs[:3]), pa.list_(pa.float32())),
+        "floor": [-np.inf, -np.inf, 0.0], "balls": pa.array([[0]] * 3, pa.list_(pa.int32())),
+        "barred": pa.array([None] * 3, pa.list_(pa.string())),
+    })
+    taken, best = [], topk._best_of_block
+
+    def block(*a):
+        out = best(*a)
+        taken.append(len(out[0]))
+        return out
+
+    monkeypatch.setattr(topk, "_best_of_block", block)
+    got = topk._score_tile(np.zeros((1, 8)), 30, 512)(asked, blocks).to_pylist()
+    assert sum(taken) < 0.5 * 20 * 30 * 3
+    scores = vecs[:3].astype(float) @ vecs.T.astype(float)
+    for q in range(3):
+        mine = sorted((-r["score"], r["id"]) for r in got if r["query_id"] == f"q{q}")[:30]
+        assert [i for _, i in mine] == [names[n] for n in np.argsort(-scores[q])[:30]]
+
+
 def test_seeded_sample_is_repeatable_and_follows_the_seed(spark):
     df = spark.range(100).select(F.lit("g").alias("g"), F.col("id").cast("string").alias("id"))
     one, two = (sorted(ranking.seeded_sample(df.repartition(n), "g", 10, 1).collect()) for n in (1, 5))
