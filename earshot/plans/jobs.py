@@ -43,7 +43,7 @@ from earshot.operators.training import (
     export_user_factors,
     train,
 )
-from earshot.schemas import CONTENT_DIM
+from earshot.schemas import CONTENT_DIM, SONG_SUMMARY
 from earshot.session import cut
 from earshot.sources.keyed import is_keyed, read_keyed, update_keyed
 from earshot.sources.lake import sort_history
@@ -282,33 +282,49 @@ def serve_batch(
     hold ``(user_id, id, position, queued, served_at)`` of the live sessions, before and after. A
     user's playlist is refilled for the first of their requests in the batch.
     """
+    requests, vectors = cut(requests), cut(tables.vectors)
+    songs = cut(tables.songs.select(*dict.fromkeys([*SONG_SUMMARY, "plays_7d"])))
     feeds = requests.filter(F.col("kind") == "feed").select("query_id", "user_id")
-    wanted = refills(feeds.select("user_id").distinct(), feed_state(tables.feed_served), FEED)
-    fresh = home_feed(
-        wanted, tables.vectors, tables.items, tables.songs, tables.feed_served, seed
-    )
-    state = cut(mark_served(tables.feed_served, fresh, now_ms))
-    shown, feed_after = hand_out(state, feeds, tables.songs, limit, FEED)
+    served, others = _of_users(tables.feed_served, feeds)
+    wanted = refills(feeds.select("user_id").distinct(), feed_state(served), FEED)
+    fresh = home_feed(wanted, vectors, tables.items, songs, served, seed)
+    state = cut(mark_served(served, fresh, now_ms))
+    shown, feed_after = hand_out(state, feeds, songs, limit, FEED)
+    feed_after = feed_after.unionByName(_without_new(others, now_ms))
 
     plays = requests.filter(F.col("kind") == "next")
     first = topk_per(
         plays.select("query_id", "user_id", "current_song_id"), ["user_id"], [F.asc("query_id")], 1
     ).drop("rank")
-    room = refills(first.select("user_id"), feed_state(tables.playlist_served), PLAYLIST)
+    served, others = _of_users(tables.playlist_served, plays)
+    room = refills(first.select("user_id"), feed_state(served), PLAYLIST)
     after = next_songs(
         first.join(room, "user_id"),
-        tables.vectors,
+        vectors,
         tables.items,
         tables.content,
-        tables.songs,
-        tables.playlist_served,
+        songs,
+        served,
         seed,
     )
     batch = after.join(first.select("query_id", "user_id"), "query_id")
-    state = cut(mark_served(tables.playlist_served, batch.select("user_id", "id", "rank"), now_ms))
+    state = cut(mark_served(served, batch.select("user_id", "id", "rank"), now_ms))
     asks = plays.select("query_id", "user_id")
-    following, playlist_after = hand_out(state, asks, tables.songs, limit, PLAYLIST)
+    following, playlist_after = hand_out(state, asks, songs, limit, PLAYLIST)
+    playlist_after = playlist_after.unionByName(_without_new(others, now_ms))
 
     texts = requests.filter(F.col("kind") == "search").select("query_id", "text")
     found = search_songs(tables.postings, texts, limit)
-    return Served(shown, following, hydrate(found, tables.songs), feed_after, playlist_after)
+    return Served(shown, following, hydrate(found, songs), feed_after, playlist_after)
+
+
+def _of_users(served: DataFrame, asks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The session table of those who ask, which is worked on, and that of all others."""
+    users = asks.select("user_id").distinct()
+    return cut(served.join(users, "user_id", "left_semi")), served.join(users, "user_id", "left_anti")
+
+
+def _without_new(served: DataFrame, now_ms: int) -> DataFrame:
+    """Queues that get nothing, as they are after a batch."""
+    none = served.select("user_id", "id", F.lit(0).alias("rank")).limit(0)
+    return mark_served(served, none, now_ms)

@@ -289,3 +289,14 @@ def test_stream_deltas_fold_once(spark, tmp_path):
         jobs.fold_stream_counts(spark, songs, deltas, upto)
     got = {r["_id"]: r["plays_cumulative"] for r in tables.read_table(spark, songs).collect()}
     assert got == {"a": 3, "b": 6}
+
+
+def test_serving_works_on_the_sessions_of_those_who_ask(spark):
+    """The queues of all others stay, each id once; before, they were refilled and counted with the rest."""
+    rows = [("a", "s1", 1, True, 5), ("b", "s1", 1, True, 5), ("b", "s1", 2, False, 6), (None, "s2", 1, True, 5)]
+    table = spark.createDataFrame(rows, "user_id string, id string, position long, queued boolean, served_at long")
+    asks = spark.createDataFrame([("q", "a"), ("r", "a"), ("t", None)], "query_id string, user_id string")
+    served, others = jobs._of_users(table, asks)
+    assert [tuple(r) for r in served.collect()] == [rows[0]]
+    left = jobs._without_new(others, 9)
+    assert {tuple(r) for r in left.collect()} == {("b", "s1", 2, True, 6), rows[3]}
